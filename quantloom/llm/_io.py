@@ -72,6 +72,7 @@ def drop(df: DataFrame) -> None:
 def ready(spark: SparkSession) -> None:
     """Python workers can import this package, and get Arrow batches of bounded size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     sc = spark.sparkContext
     root = str(_PACKAGE.parent)
     seen = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
