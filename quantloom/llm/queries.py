@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontam, mixing, neardup, sharding
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1,
+        "op2_lsh_forest": neardup.op2,
         "op4_rendezvous_shards": sharding.op4,
+        "op7_suffix_automaton": decontam.op7,
     }
 
 
