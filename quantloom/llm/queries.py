@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, neardup, sharding
+from . import binary_records, decontam, mixing, neardup, sharding, substrings
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1,
         "op2_lsh_forest": neardup.op2,
+        "op3_fm_index_repeats": substrings.op3,
         "op4_rendezvous_shards": sharding.op4,
         "op7_suffix_automaton": decontam.op7,
+        "op10_binary_records": binary_records.op10,
     }
 
 
