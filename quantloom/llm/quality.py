@@ -151,7 +151,7 @@ def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str, risk: float = R
     bins = _io.keep(bins, "quality-bins")
     share = delta / max(1, bins.select("stratum").distinct().count() * len(RULES))
 
-    def find(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
         return pd.DataFrame({"stratum": [key[0] if pd.notna(key[0]) else None], "rule": [key[1]], "cutoff": [cutoff(*(pdf[c].to_numpy() for c in ("value", "good", "bad")), risk, share)]})
 
