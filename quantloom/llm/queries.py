@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_records, decontam, mixing, neardup, sharding, substrings
+from . import binary_records, decontam, mixing, neardup, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_fm_index_repeats": substrings.op3,
         "op4_rendezvous_shards": sharding.op4,
         "op7_suffix_automaton": decontam.op7,
+        "op8_risk_controlled_rules": quality.op8,
+        "op9_deobfuscated_toxicity": toxicity.op9,
         "op10_binary_records": binary_records.op10,
     }
 
