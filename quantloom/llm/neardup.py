@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """docs without the near-duplicates of a document of lesser id; all columns stay."""
-    out = near_duplicates(docs, id_col=id_col).where("not kept").select(id_col).distinct()
-    return docs.join(out, id_col, "left_anti")
+    out = _io.keep(near_duplicates(docs, id_col=id_col).where("not kept").select(id_col).distinct(), "near-duplicates")
+    return docs.join(F.broadcast(out) if out.count() <= SEND_IDS else out, id_col, "left_anti")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
