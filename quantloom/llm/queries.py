@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_records, decontam, mixing, neardup, quality, sharding, substrings, toxicity
+from . import binary_records, decontam, licenses, mixing, neardup, pii, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_lsh_forest": neardup.op2,
         "op3_fm_index_repeats": substrings.op3,
         "op4_rendezvous_shards": sharding.op4,
+        "op5_license_classifier": licenses.op5,
+        "op6_crf_personal_data": pii.op6,
         "op7_suffix_automaton": decontam.op7,
         "op8_risk_controlled_rules": quality.op8,
         "op9_deobfuscated_toxicity": toxicity.op9,
