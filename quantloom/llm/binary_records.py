@@ -12,6 +12,9 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from . import _io
 
 END = 0  # the id that ends a document
 FILE_BYTES = 32 << 20  # of text in a file, about
-CACHED = 400_000  # words whose ids a worker keeps
+CACHED = 800_000  # words whose ids a worker keeps
 
 _MASK = 0xA282EAD8
 #: Where a text can't be cut before each space: one that white space or the end follows.
@@ -83,30 +86,53 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # the library's own store of words: those that come here are new to it
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         self.words: dict[str, bytes] = {}
 
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # tokens that begin with a space
+        self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, the ids of " " + word), for words without spaces: many go as one text, in which each begins at a token that begins with one."""
+        parts = [words[k : k + 400] for k in range(0, len(words), 400)]
+        for part, ids in zip(parts, self._ids([" " + " ".join(p) for p in parts])):
+            data, width = ids.tobytes(), ids.itemsize
+            at = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * width).tolist()
+            yield from zip(part, map(data.__getitem__, map(slice, at, at[1:])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHED:
             self.words = {}
         cut = []
+        odd: set[str] = set()
         for t in texts:
             if _LOOSE.search(t):
                 head, *rest = _TIGHT.split(t)
-                cut.append([head, *(x[1:] for x in rest)])
+                rest = [x[1:] for x in rest]
+                cut.append((head, rest))
+                odd.update(w for w in rest if " " in w)
             else:
-                cut.append(t.split(" "))
-        heads = self._pack([c[0] for c in cut])
-        new = list(set().union(*(c[1:] for c in cut)) - self.words.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.words.update(zip(part, self._pack([" " + w for w in part])))
-        ids = self.words.__getitem__
-        return [h + b"".join(map(ids, c[1:])) for h, c in zip(heads, cut)]
+                head, *rest = t.split(" ")
+                cut.append((head, rest))
+        heads = self._ids([head for head, _ in cut])
+        found = [list(map(self.words.get, rest)) for _, rest in cut]
+        missing: set[str] = set()
+        for (_, rest), x in zip(cut, found):
+            missing.update(compress(rest, map(partial(is_, None), x)))
+        ids = self.words
+        if odd:
+            missing -= odd
+            odd = list(odd - ids.keys())
+            ids.update(zip(odd, (x.tobytes() for x in self._ids([" " + w for w in odd]))))
+        ids.update(self._spaced(list(missing)))
+        return [h.tobytes() + b"".join([v or ids[w] for v, w in zip(x, rest)] if None in x else x) for h, (_, rest), x in zip(heads, cut, found)]
 
 
 _encoders: dict[str, Encoder] = {}
