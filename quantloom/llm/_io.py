@@ -14,6 +14,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _made: list[str] = []
@@ -86,6 +88,22 @@ def ready(spark: SparkSession) -> None:
     sc._quantloom_sent = True
 
 
+def schema(df: DataFrame, keys: list[str], more: str) -> T.StructType:
+    """The columns `keys` of df, and those of a DDL string."""
+    return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keys), *T.StructType.fromDDL(more).fields])
+
+
+def pack(docs: DataFrame, used: list[str]) -> DataFrame:
+    """docs with the columns `used` and all others in one, so that names of working columns can't clash with theirs."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*(c for c in used if c in docs.columns), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("_others"))
+
+
+def unpack(df: DataFrame, columns: list[str], used: list[str]) -> list:
+    """The Columns that pack() took, in their order."""
+    return [F.col(c) if c in used else F.col(f"_others.`{c}`").alias(c) for c in columns]
+
+
 def slices(column: pa.Array | pa.ChunkedArray, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about `size` bytes: (first row, end row, bytes, offsets into them). Null counts as ''."""
     if isinstance(column, pa.ChunkedArray):

@@ -233,8 +233,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, cut: bo
 
     names = [*keys, "_n_words", "_n_hit", "_items", *["_cut"] * cut]
     d = docs.select(*keys, "text")
-    schema = ", ".join([*(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keys), "_n_words long, _n_hit long, _items array<long>", *["_cut string"] * cut])
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(run, _io.schema(d, keys, "_n_words long, _n_hit long, _items array<long>" + ", _cut string" * cut))
 
 
 def _without(raw, offsets, starts, ends, first, hit) -> pa.Array:
@@ -255,8 +254,8 @@ def contaminated() -> F.Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; the others as they are."""
-    kept = scan(docs.withColumn("_text", F.col("text")), benchmark).where(~contaminated())
-    return kept.withColumnRenamed("_text", "text").select(*docs.columns)
+    kept = scan(_io.pack(docs, ["text"]).withColumn("_text", F.col("text")), benchmark).where(~contaminated())
+    return kept.withColumnRenamed("_text", "text").select(*_io.unpack(docs, docs.columns, ["text"]))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

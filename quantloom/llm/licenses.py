@@ -238,8 +238,8 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     _io.ready(spark)
     sent = spark.sparkContext.broadcast(model or trained(docs))
     keys = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys), "n_paragraphs long, n_licenses long, families string, confidence double, places string"])
-    return docs.select(*keys, "text").mapInArrow(_scan(sent, len(keys)), schema)
+    schema = _io.schema(docs, keys, "n_paragraphs long, n_licenses long, families string, confidence double, places string")
+    return docs.select(*(f"`{c}`" for c in keys), "text").mapInArrow(_scan(sent, len(keys)), schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,13 +108,15 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each document as often as it is taken, a part as its first words."""
-    m = mix(docs, **options)
+    used = ["doc_id", "text", "source"]
+    m = mix(_io.pack(docs, used), **options)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("_part").cast("int")), " ")
     whole = m.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    part = m.where("_part > 0").withColumn("text", cut)
+    whole = whole.select(*_io.unpack(docs, docs.columns, used))
+    part = m.where("_part > 0").withColumn("text", cut).select(*_io.unpack(docs, docs.columns, used))
     if "n_chars" in docs.columns:
         part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
+    return whole.unionByName(part)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """MinHash near-duplicates by an LSH forest.
 
 Each tree is a sorted order of the documents by a run of their MinHash values (a different run for each tree). Documents next to each other
-with a common prefix of DEPTH values or more are a region; small regions compare all their documents, large ones go as deep as their
-common prefixes reach, each document with its neighbours of longest common prefix, and with the region's first. Candidates are
-confirmed on full shingle sets, and confirmed links joined to components.
+with a common prefix of DEPTH values or more are a region. First each document is a candidate with its region's least. What that leaves in
+different components is looked at again: small regions compare all their documents; in large ones, which are sorted by deeper prefixes, each
+document is compared by a 64-bit sketch with its neighbours of longest common prefix, NEIGHBOURS of them, so a region of up to that size is
+compared as a whole, and a larger one as deep as it takes for so many to share a prefix. Candidates are confirmed on full shingle sets, and
+confirmed links joined to components.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ PERCENT = 85
 TREES = 20
 DEPTH = 4  # shortest common prefix of a candidate pair: at 85% alike, all trees miss it with probability 4e-7
 PATH = 8  # values in a tree's sort key
-ALL_PAIRS = 12  # a region of so many documents at most compares all of them
-NEIGHBOURS = 4  # on each side, in larger regions
+ALL_PAIRS = 12  # a region of so many documents at most makes candidates of all pairs
+NEIGHBOURS = 2048  # of longest common prefix in larger regions: those whose sketches agree are candidates
+SKETCH = 48  # of 64 bits that must agree; at 85% alike they fail to with probability 3e-6
 N_HASHES = TREES * DEPTH
 
 _PERM = _text.mix(np.arange(1, N_HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -85,9 +88,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, comp, sig) -> a row for each tree: (region, path, id, comp); region hashes the tree and its first DEPTH values."""
+    """(id, comp, sig) -> a row for each tree: (region, path, id, comp, sketch); region hashes the tree and its first DEPTH values, path is of
+    those after, and the sketch has a bit of 64 values."""
     for b in batches:
         sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(len(b), N_HASHES) if len(b) else np.zeros((0, N_HASHES), np.uint32)
+        sketch = pa.array(np.packbits((sig[:, :64] & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64).ravel()) if len(b) else pa.array([], pa.int64())
         for tree in range(TREES):
             order = [(tree * DEPTH + k) % N_HASHES for k in range(PATH)]
             region = np.full(len(b), tree + 1, np.uint64)
@@ -97,14 +102,14 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     region = _text.mix(region * np.uint64(0x9E3779B97F4A7C15) + sig[:, j].astype(np.uint64))
                 else:
                     path = (path << np.uint64(16)) | (sig[:, j] & np.uint32(0xFFFF)).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(path.view(np.int64)), b.column(0), b.column(1)], ["region", "path", "id", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(path.view(np.int64)), b.column(0), b.column(1), sketch], ["region", "path", "id", "comp", "sketch"])
 
 
 def _candidates(star: bool):
     """Over rows sorted by (region, path, id), in blocks: pairs of ids of one region and different components.
 
-    star: each with its region's first. Otherwise all pairs of a small region, and of a large one the nearest NEIGHBOURS in order. A region
-    that a block's end cuts is met again from its last rows, which the next block starts with.
+    star: each with its region's least. Otherwise all pairs of a small region, and of a large one those of NEIGHBOURS in order whose sketches
+    agree. A region that a block's end cuts goes on in the next, which starts with its last rows.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,33 +117,55 @@ def _candidates(star: bool):
         for b in batches:
             if not len(b):
                 continue
-            cols = [np.asarray(b.column(k)) for k in range(4)]
-            if tail is not None:
+            cols = [np.asarray(b.column(k)) for k in range(5)]
+            old = 0 if tail is None else len(tail[0])
+            if old:
                 cols = [np.concatenate(x) for x in zip(tail, cols)]
-            region, _, ids, comp = cols
+            region, _, ids, comp, sketch = cols
             new = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
             size = np.diff(np.append(new, len(region)))
-            head, left = np.repeat(new, size), np.repeat(size, size)
             found = []
             if star:
                 least = np.repeat(np.minimum.reduceat(ids, new), size)
                 chief = np.repeat(comp[_argmin(ids, new)], size)
                 found.append((least, chief, ids, comp))
             else:
-                for k in range(1, ALL_PAIRS):
-                    ok = np.flatnonzero((region[k:] == region[:-k]) & ((left[k:] <= ALL_PAIRS) | (k <= NEIGHBOURS))) if len(region) > k else np.zeros(0, np.int64)
+                left = np.repeat(size, size)
+                for k in range(1, min(ALL_PAIRS, len(region))):
+                    ok = np.flatnonzero((region[k:] == region[:-k]) & (left[k:] <= ALL_PAIRS))
                     found.append((ids[ok], comp[ok], ids[ok + k], comp[ok + k]))
-                found.append((ids[head], comp[head], ids, comp))
-            a, ca, z, cz = (np.concatenate([f[k] for f in found]) for k in range(4))
+                mixed = np.minimum.reduceat(comp, new) != np.maximum.reduceat(comp, new)
+                for r in np.flatnonzero((size > ALL_PAIRS) & mixed):
+                    for i, j in _close(sketch[new[r] : new[r] + size[r]].view(np.uint64), comp[new[r] : new[r] + size[r]], max(0, old - new[r])):
+                        found.append((ids[new[r] + i], comp[new[r] + i], ids[new[r] + j], comp[new[r] + j]))
+            a, ca, z, cz = (np.concatenate([f[k] for f in found]) for k in range(4)) if found else [np.zeros(0, np.int64)] * 4
             ok = ca != cz
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[ok], z[ok])), pa.array(np.maximum(a[ok], z[ok]))], ["a", "b"])
-            last = max(new[-1], len(region) - ALL_PAIRS)
-            keep = np.append(new[-1], np.arange(max(last, new[-1] + 1), len(region))).astype(np.int64)
+            keep = np.arange(max(new[-1], len(region) - NEIGHBOURS), len(region))
+            if star:
+                keep = np.array([new[-1] + int(np.argmin(ids[new[-1] :]))])
             tail = [c[keep] for c in cols]
 
     return pairs
 
 
+def _close(sketch: np.ndarray, comp: np.ndarray, old: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j <= i + NEIGHBOURS of different components whose sketches agree in SKETCH bits, but for pairs among the first `old`."""
+    n = len(sketch)
+    for a in range(0, n - 1, block):
+        z = min(n, a + block)
+        first = max(a + 1, old)
+        last = min(n, z + NEIGHBOURS)
+        if first >= last:
+            continue
+        near = np.bitwise_count(~(sketch[a:z, None] ^ sketch[None, first:last])) >= SKETCH
+        near &= comp[a:z, None] != comp[None, first:last]
+        i, j = np.nonzero(near)
+        i, j = i + a, j + first
+        ok = (j > i) & (j - i <= NEIGHBOURS)
+        yield i[ok], j[ok]
+
+
 def _argmin(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     size = np.diff(np.append(starts, len(x)))
     hit = np.flatnonzero(x == np.repeat(np.minimum.reduceat(x, starts), size))
@@ -172,7 +199,7 @@ SEND_IDS = 1_000_000
 
 def _links(texts: DataFrame, reps: DataFrame, star: bool) -> DataFrame:
     """Confirmed links (a, b) between representatives of different components."""
-    rows = reps.select("id", "comp", "sig").mapInArrow(_paths, "region long, path long, id long, comp long")
+    rows = reps.select("id", "comp", "sig").mapInArrow(_paths, "region long, path long, id long, comp long, sketch long")
     ordered = rows.repartitionByRange("region", "path", "id").sortWithinPartitions("region", "path", "id")
     pairs = _io.keep(ordered.mapInArrow(_candidates(star), "a long, b long").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

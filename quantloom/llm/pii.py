@@ -353,19 +353,19 @@ def scan(docs: DataFrame, model: Field | None = None) -> DataFrame:
     _io.ready(spark)
     sent = spark.sparkContext.broadcast(model or field())
     keys = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys), *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string"])
-    return docs.select(*keys, "text").mapInArrow(_scan(sent, len(keys)), schema)
+    schema = _io.schema(docs, keys, ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return docs.select(*(f"`{c}`" for c in keys), "text").mapInArrow(_scan(sent, len(keys)), schema)
 
 
 def redacted(docs: DataFrame, model: Field | None = None) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; spans that overlap go as one, by the first one's kind."""
-    d = scan(docs.withColumn("_text", F.col("text")), model)
+    d = scan(_io.pack(docs, ["text"]).withColumn("_text", F.col("text")), model)
     part = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("z"), F.split(s, ":")[0].alias("k")))
     text = F.col("_text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda acc, s: F.when(s["a"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["z"]).alias("at"))).otherwise(F.struct(F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit("["), s["k"], F.lit("]")).alias("out"), s["z"].alias("at")))
     done = F.aggregate(F.array_sort(part), start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return d.withColumn("text", done).select(*docs.columns)
+    return d.withColumn("text", done).select(*_io.unpack(docs, docs.columns, ["text"]))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,8 +100,8 @@ def features(docs: DataFrame) -> DataFrame:
     """docs' columns but the text, COUNTS and base_failed. Null texts count as empty."""
     _io.ready(docs.sparkSession)
     keys = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys), *(f"{c} long" for c in COUNTS)])
-    out = docs.select(*keys, "text").mapInArrow(_count(len(keys)), schema)
+    schema = _io.schema(docs, keys, ", ".join(f"{c} long" for c in COUNTS))
+    out = docs.select(*(f"`{c}`" for c in keys), "text").mapInArrow(_count(len(keys)), schema)
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 

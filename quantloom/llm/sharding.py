@@ -31,13 +31,17 @@ def shard(docs: DataFrame, *, key: str = "doc_id", weights: Sequence[float] = (1
 
     A null key is a key of its own; equal keys share a shard. Slots follow a hash of the whole row; equal rows are numbered in any order.
     They are numbered in buckets of that hash, with offsets from the buckets' counts, so no shard is sorted as a whole and a key that many
-    rows share is dealt out too. An empty table gives an empty one; other columns stay.
+    rows share is dealt out too. An empty table gives an empty one; other columns stay, but for ones
+    named _shard, _grown_shard, _slot or _h.
     """
     grown = [*weights, weights[-1]] if grown is None else grown
-    d = docs.withColumn("_shard", shard_of(F.col(key), weights)).withColumn("_grown_shard", shard_of(F.col(key), grown))
-    d = d.withColumn("_h", F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    h = F.xxhash64(*[f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind])
+    packed = _io.pack(docs.withColumn("_h", h), [key, "_h"])
+    d = packed.withColumns({"_shard": shard_of(F.col(key), weights), "_grown_shard": shard_of(F.col(key), grown)})
     buckets = max(1, -(-docs.count() // (BUCKET_ROWS * len(weights))))
-    return _numbered(d, buckets).drop("_h", "_bucket")
+    out = _numbered(d, buckets)
+    names = [c for c in docs.columns if c not in ("_shard", "_grown_shard", "_slot", "_h")]
+    return out.select(*_io.unpack(out, names, [key]), "_shard", "_grown_shard", "_slot")
 
 
 def _numbered(d: DataFrame, buckets: int) -> DataFrame:

@@ -340,8 +340,7 @@ def score(docs: DataFrame, model: CharModel, marks: Marks) -> DataFrame:
     _io.ready(spark)
     sent, learned = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(marks)
     keys = docs.columns
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys) + ", _score double"
-    return docs.withColumn("_scored", F.col("text")).mapInArrow(_score(sent, learned, len(keys)), schema)
+    return docs.withColumn("_scored", F.col("text")).mapInArrow(_score(sent, learned, len(keys)), _io.schema(docs, keys, "_score double"))
 
 
 def held_out() -> F.Column:
@@ -357,7 +356,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, Marks]:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those of score 0.5 and more."""
-    return score(docs, *fitted(docs, labels)).where("_score < 0.5").select(*docs.columns)
+    return score(_io.pack(docs, ["text"]), *fitted(docs, labels)).where("_score < 0.5").select(*_io.unpack(docs, docs.columns, ["text"]))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "delta_normal_var": build("select book, d, i, x, var_full, var_nodrift, es_full, es_nodrift, mu, sigma from dn", dn(), 4, "x var_full var_nodrift es_full es_nodrift mu sigma"),
         "panel_ffill_limit": build("select * from lv", None, 6, "px_a px_b px_c px_d vol_idx rate_idx"),
-        "asof_levels": build("select l.book, l.d, l.i, o.order_idx from lv l asof left join (select cast(o_orderdate as date) as d, avg(o_totalprice) as order_idx from orders group by 1) o on l.d>=o.d", None, 4, "order_idx"),
+        "asof_levels": build("select l.book, l.d, l.i, o.order_idx from lv l asof left join (select cast(o_orderdate as date) as d, sum(cast(round(100*o_totalprice) as bigint))/(100e0*count(o_totalprice)) as order_idx from orders group by 1) o on l.d>=o.d", None, 4, "order_idx"),
         "log_returns": build("select * from ret", None, 8, "r_a r_b r_c r_d"),
         "factor_shocks_hist": build("select * from shock", None, 8, "s_a s_b s_c s_d s_vol s_rate"),
         "factor_shocks_mc": build("select * replace (s_rate/100 as s_rate) from shock", None, 8, "s_a s_b s_c s_d s_vol s_rate"),
