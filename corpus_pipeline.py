@@ -29,9 +29,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each record with its shard and its place there."""
-    out = sharding.shard(docs)
-    rest = [f"`{c}`" for c in docs.columns if c not in ("shard", "slot")]
-    return out.select(*rest, out._shard.alias("shard"), out._slot.alias("slot"))
+    return sharding.shard(docs, names=("shard", None, "slot"))
 
 
 STAGES = [

@@ -93,7 +93,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: float =
     left = F.col("_rest") - F.col("_under") - (F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
     close = close.withColumn("_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), left)))
     both = clear.unionByName(close)
-    both = both.withColumn("_copies", F.col("_epochs") + (F.col("_part") == F.col("_size")).cast("long") * (F.col("_size") > 0).cast("long"))
+    both = both.withColumn("_copies", F.when(F.col("_size") > 0, F.col("_epochs") + (F.col("_part") == F.col("_size")).cast("long")).otherwise(F.lit(0).cast("long")))
     both = both.withColumn("_part", F.when(F.col("_part") == F.col("_size"), F.lit(0).cast("long")).otherwise(F.col("_part")))
     return both.select(*docs.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_copies", "_part")
 

@@ -26,22 +26,23 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (-(F.greatest(*scores) if len(scores) > 1 else scores[0]).getField("i")).cast("int")
 
 
-def shard(docs: DataFrame, *, key: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, grown: Sequence[float] | None = None) -> DataFrame:
+def shard(docs: DataFrame, *, key: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, grown: Sequence[float] | None = None, names: Sequence[str | None] = ("_shard", "_grown_shard", "_slot")) -> DataFrame:
     """docs with _shard, _grown_shard (under `grown`, by default one more shard of the last weight) and _slot, gapless from 0 in each shard.
+    `names` are theirs; a column without one is left out.
 
     A null key is a key of its own; equal keys share a shard. Slots follow a hash of the whole row; equal rows are numbered in any order.
     They are numbered in buckets of that hash, with offsets from the buckets' counts, so no shard is sorted as a whole and a key that many
-    rows share is dealt out too. An empty table gives an empty one; other columns stay, but for ones
-    named _shard, _grown_shard, _slot or _h.
+    rows share is dealt out too. An empty table gives an empty one; other columns stay, but for ones of the names that `names` gives the
+    three.
     """
     grown = [*weights, weights[-1]] if grown is None else grown
-    h = F.xxhash64(*[f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind])
-    packed = _io.pack(docs.withColumn("_h", h), [key, "_h"])
-    d = packed.withColumns({"_shard": shard_of(F.col(key), weights), "_grown_shard": shard_of(F.col(key), grown)})
+    packed = _io.pack(docs, [key])
+    rest = [F.col(f"_others.`{c}`") for c, kind in docs.dtypes if c != key and "map<" not in kind]
+    d = packed.withColumns({"_h": F.xxhash64(key, *rest), "_shard": shard_of(F.col(key), weights), "_grown_shard": shard_of(F.col(key), grown)})
     buckets = max(1, -(-docs.count() // (BUCKET_ROWS * len(weights))))
     out = _numbered(d, buckets)
-    names = [c for c in docs.columns if c not in ("_shard", "_grown_shard", "_slot", "_h")]
-    return out.select(*_io.unpack(out, names, [key]), "_shard", "_grown_shard", "_slot")
+    made = [F.col(c).alias(n) for c, n in zip(("_shard", "_grown_shard", "_slot"), names) if n]
+    return out.select(*_io.unpack(out, [c for c in docs.columns if c not in names], [key]), *made)
 
 
 def _numbered(d: DataFrame, buckets: int) -> DataFrame:
