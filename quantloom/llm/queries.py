@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_records, decontam, licenses, mixing, neardup, pii, quality, sharding, substrings, toxicity
+from . import binary_records, decontam, licenses, mixing, neardup, oracle, pii, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": oracle.OP1, "op2_lsh_forest": oracle.OP2, "op3_fm_index_repeats": oracle.OP3, "op7_suffix_automaton": oracle.OP7}
