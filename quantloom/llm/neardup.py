@@ -1,7 +1,8 @@
 """MinHash near-duplicates by an LSH forest.
 
 Each tree is a sorted order of the documents by a run of their MinHash values (a different run for each tree). Documents next to each other
-with a common prefix of DEPTH values or more are a region. First each document is a candidate with its region's least. What that leaves in
+with a common prefix of DEPTH values or more are a region. In each of ROUNDS rounds a document is a candidate with its region's pivot, which
+is drawn by a hash, so that a document meets another pivot in each tree and the pairs grow with the documents. What that leaves in
 different components is looked at again: small regions compare all their documents; in large ones, which are sorted by deeper prefixes, each
 document is compared by a 64-bit sketch with its neighbours of longest common prefix, NEIGHBOURS of them, so a region of up to that size is
 compared as a whole, and a larger one as deep as it takes for so many to share a prefix. Candidates are confirmed on full shingle sets, and
@@ -24,6 +25,7 @@ PERCENT = 85
 TREES = 20
 DEPTH = 4  # shortest common prefix of a candidate pair: at 85% alike, all trees miss it with probability 4e-7
 PATH = 8  # values in a tree's sort key
+ROUNDS = 2  # of pivots
 ALL_PAIRS = 12  # a region of so many documents at most makes candidates of all pairs
 NEIGHBOURS = 2048  # of longest common prefix in larger regions: those whose sketches agree are candidates
 SKETCH = 48  # of 64 bits that must agree; at 85% alike they fail to with probability 3e-6
@@ -105,10 +107,10 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(path.view(np.int64)), b.column(0), b.column(1), sketch], ["region", "path", "id", "comp", "sketch"])
 
 
-def _candidates(star: bool):
+def _candidates(star: int):
     """Over rows sorted by (region, path, id), in blocks: pairs of ids of one region and different components.
 
-    star: each with its region's least. Otherwise all pairs of a small region, and of a large one those of NEIGHBOURS in order whose sketches
+    star: the round, from 1; each with its region's pivot, that of least hash. Otherwise (0) all pairs of a small region, and of a large one those of NEIGHBOURS in order whose sketches
     agree. A region that a block's end cuts goes on in the next, which starts with its last rows.
     """
 
@@ -126,9 +128,9 @@ def _candidates(star: bool):
             size = np.diff(np.append(new, len(region)))
             found = []
             if star:
-                least = np.repeat(np.minimum.reduceat(ids, new), size)
-                chief = np.repeat(comp[_argmin(ids, new)], size)
-                found.append((least, chief, ids, comp))
+                drawn = _text.mix(_text.mix(ids.view(np.uint64) + np.uint64(star)) ^ region.view(np.uint64))
+                pivot = np.repeat(_argmin(drawn, new), size)
+                found.append((ids[pivot], comp[pivot], ids, comp))
             else:
                 left = np.repeat(size, size)
                 for k in range(1, min(ALL_PAIRS, len(region))):
@@ -143,7 +145,7 @@ def _candidates(star: bool):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[ok], z[ok])), pa.array(np.maximum(a[ok], z[ok]))], ["a", "b"])
             keep = np.arange(max(new[-1], len(region) - NEIGHBOURS), len(region))
             if star:
-                keep = np.array([new[-1] + int(np.argmin(ids[new[-1] :]))])
+                keep = np.array([new[-1] + int(np.argmin(drawn[new[-1] :]))])
             tail = [c[keep] for c in cols]
 
     return pairs
@@ -197,7 +199,7 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
 SEND_IDS = 1_000_000
 
 
-def _links(texts: DataFrame, reps: DataFrame, star: bool) -> DataFrame:
+def _links(texts: DataFrame, reps: DataFrame, star: int) -> DataFrame:
     """Confirmed links (a, b) between representatives of different components."""
     rows = reps.select("id", "comp", "sig").mapInArrow(_paths, "region long, path long, id long, comp long, sketch long")
     ordered = rows.repartitionByRange("region", "path", "id").sortWithinPartitions("region", "path", "id")
@@ -251,12 +253,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     reps = _io.keep(own.select("set_id", "id", F.col("id").alias("comp"), "sig"), "reps")
     member = full.select("id", "set_id").join(reps.select("set_id", F.col("id").alias("rep")), "set_id")
     texts = named.where("id is not null")
-    first = _links(texts, reps, star=True)
-    comp = components(first)
-    near = _io.keep(reps.join(comp.withColumnRenamed("comp", "c"), "id", "left").select("id", F.coalesce("c", "comp").alias("comp"), "sig"), "near-reps")
-    rest = _links(texts, near, star=False)
+    links = None
+    near = reps
+    for star in (*range(1, ROUNDS + 1), 0):
+        more = _links(texts, near, star)
+        links = more if links is None else links.unionByName(more)
+        if star:
+            comp = components(links).withColumnRenamed("comp", "c")
+            near = _io.keep(reps.join(comp, "id", "left").select("id", F.coalesce("c", "comp").alias("comp"), "sig"), "near-reps")
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    comp = _io.keep(components(first.unionByName(rest).unionByName(same)), "components")
+    comp = _io.keep(components(links.unionByName(same)), "components")
     out = signed.select("id", "n_shingles").join(comp, "id", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
