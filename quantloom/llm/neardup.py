@@ -3,10 +3,9 @@
 Each tree is a sorted order of the documents by a run of their MinHash values (a different run for each tree). Documents next to each other
 with a common prefix of DEPTH values or more are a region. In each of ROUNDS rounds a document is a candidate with its region's pivot, which
 is drawn by a hash, so that a document meets another pivot in each tree and the pairs grow with the documents. What that leaves in
-different components is looked at again: small regions compare all their documents; in large ones, which are sorted by deeper prefixes, each
-document is compared by a 64-bit sketch with its neighbours of longest common prefix, NEIGHBOURS of them, so a region of up to that size is
-compared as a whole, and a larger one as deep as it takes for so many to share a prefix. Candidates are confirmed on full shingle sets, and
-confirmed links joined to components.
+different components is looked at again, every pair of a region: small regions are candidates as they are; large ones are dealt into blocks
+of about BLOCK documents, a task's group for each pair of blocks, and compared by 64-bit sketches. Pivots only save pairs: a region that two
+tasks share may draw one in each. Candidates are confirmed on full shingle sets, and confirmed links joined to components.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ DEPTH = 4  # shortest common prefix of a candidate pair: at 85% alike, all trees
 PATH = 8  # values in a tree's sort key
 ROUNDS = 2  # of pivots
 ALL_PAIRS = 12  # a region of so many documents at most makes candidates of all pairs
-NEIGHBOURS = 2048  # of longest common prefix in larger regions: those whose sketches agree are candidates
+BLOCK = 1024  # documents of a larger region that are compared with those of another block, about: those whose sketches agree are candidates
 SKETCH = 48  # of 64 bits that must agree; at 85% alike they fail to with probability 3e-6
 N_HASHES = TREES * DEPTH
 
@@ -108,10 +107,9 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(star: int):
-    """Over rows sorted by (region, path, id), in blocks: pairs of ids of one region and different components.
+    """Over rows sorted by (region, path, id), in blocks: pairs of ids of different components, each with its region's pivot.
 
-    star: the round, from 1; each with its region's pivot, that of least hash. Otherwise (0) all pairs of a small region, and of a large one those of NEIGHBOURS in order whose sketches
-    agree. A region that a block's end cuts goes on in the next, which starts with its last rows.
+    star: the round, from 1; the pivot is that of least hash. A region that a block's end cuts goes on in the next, which starts with its pivot.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,53 +117,79 @@ def _candidates(star: int):
         for b in batches:
             if not len(b):
                 continue
-            cols = [np.asarray(b.column(k)) for k in range(5)]
-            old = 0 if tail is None else len(tail[0])
-            if old:
+            cols = [np.asarray(b.column(k)) for k in (0, 2, 3)]
+            if tail is not None:
                 cols = [np.concatenate(x) for x in zip(tail, cols)]
-            region, _, ids, comp, sketch = cols
+            region, ids, comp = cols
             new = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
             size = np.diff(np.append(new, len(region)))
-            found = []
-            if star:
-                drawn = _text.mix(_text.mix(ids.view(np.uint64) + np.uint64(star)) ^ region.view(np.uint64))
-                pivot = np.repeat(_argmin(drawn, new), size)
-                found.append((ids[pivot], comp[pivot], ids, comp))
-            else:
-                left = np.repeat(size, size)
-                for k in range(1, min(ALL_PAIRS, len(region))):
-                    ok = np.flatnonzero((region[k:] == region[:-k]) & (left[k:] <= ALL_PAIRS))
-                    found.append((ids[ok], comp[ok], ids[ok + k], comp[ok + k]))
-                mixed = np.minimum.reduceat(comp, new) != np.maximum.reduceat(comp, new)
-                for r in np.flatnonzero((size > ALL_PAIRS) & mixed):
-                    for i, j in _close(sketch[new[r] : new[r] + size[r]].view(np.uint64), comp[new[r] : new[r] + size[r]], max(0, old - new[r])):
-                        found.append((ids[new[r] + i], comp[new[r] + i], ids[new[r] + j], comp[new[r] + j]))
-            a, ca, z, cz = (np.concatenate([f[k] for f in found]) for k in range(4)) if found else [np.zeros(0, np.int64)] * 4
-            ok = ca != cz
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[ok], z[ok])), pa.array(np.maximum(a[ok], z[ok]))], ["a", "b"])
-            keep = np.arange(max(new[-1], len(region) - NEIGHBOURS), len(region))
-            if star:
-                keep = np.array([new[-1] + int(np.argmin(drawn[new[-1] :]))])
-            tail = [c[keep] for c in cols]
+            drawn = _text.mix(_text.mix(ids.view(np.uint64) + np.uint64(star)) ^ region.view(np.uint64))
+            pivot = _argmin(drawn, new)
+            yield _pairs(ids, comp, np.repeat(pivot, size), np.arange(len(ids)))
+            tail = [c[pivot[-1:]] for c in cols]
 
     return pairs
 
 
-def _close(sketch: np.ndarray, comp: np.ndarray, old: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places i < j <= i + NEIGHBOURS of different components whose sketches agree in SKETCH bits, but for pairs among the first `old`."""
-    n = len(sketch)
-    for a in range(0, n - 1, block):
-        z = min(n, a + block)
-        first = max(a + 1, old)
-        last = min(n, z + NEIGHBOURS)
-        if first >= last:
+def _pairs(ids: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """(a, b) of places i and j, the lesser id first, without those of one component."""
+    ok = comp[i] != comp[j]
+    i, j = i[ok], j[ok]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (region, one, two, id, comp, sketch, block, large) sorted by the first three: pairs of ids of different components, all of a
+    small region, and those of a large one's blocks `one` and `two` whose sketches agree."""
+    tail = None
+    for b in batches:
+        if not len(b):
             continue
-        near = np.bitwise_count(~(sketch[a:z, None] ^ sketch[None, first:last])) >= SKETCH
-        near &= comp[a:z, None] != comp[None, first:last]
+        cols = [np.asarray(b.column(k)) for k in range(8)]
+        if tail is not None:
+            cols = [np.concatenate(x) for x in zip(tail, cols)]
+        new = _group_starts(cols)
+        # the last group may go on in the next batch
+        tail = [c[new[-1] :] for c in cols]
+        yield from _met([c[: new[-1]] for c in cols])
+    if tail is not None:
+        yield from _met(tail)
+
+
+def _group_starts(cols: list[np.ndarray]) -> np.ndarray:
+    other = np.zeros(len(cols[0]) - 1, bool)
+    for c in cols[:3]:
+        other |= c[1:] != c[:-1]
+    return np.flatnonzero(np.concatenate(([True], other)))
+
+
+def _met(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if not len(cols[0]):
+        return
+    _, one, two, ids, comp, sketch, block, large = cols
+    new = _group_starts(cols)
+    size = np.diff(np.append(new, len(ids)))
+    group = np.repeat(np.arange(len(new)), size)
+    for k in range(1, min(ALL_PAIRS, len(ids))):
+        i = np.flatnonzero((group[k:] == group[:-k]) & ~large[k:])
+        yield _pairs(ids, comp, i, i + k)
+    for r in np.flatnonzero(large[new]).tolist():
+        here = np.arange(new[r], new[r] + size[r])
+        within = one[new[r]] == two[new[r]]
+        left, right = (here, here) if within else (here[block[here] == one[here]], here[block[here] == two[here]])
+        for i, j in _close(sketch[left], sketch[right], comp[left], comp[right]):
+            ok = (j > i) | (not within)
+            yield _pairs(ids, comp, left[i[ok]], right[j[ok]])
+
+
+def _close(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in x and y of different components whose sketches agree in SKETCH bits."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    for a in range(0, len(x), block):
+        near = np.bitwise_count(~(x[a : a + block, None] ^ y[None])) >= SKETCH
+        near &= cx[a : a + block, None] != cy[None]
         i, j = np.nonzero(near)
-        i, j = i + a, j + first
-        ok = (j > i) & (j - i <= NEIGHBOURS)
-        yield i[ok], j[ok]
+        yield i + a, j
 
 
 def _argmin(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -199,11 +223,34 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
 SEND_IDS = 1_000_000
 
 
+def _left(rows: DataFrame) -> DataFrame:
+    """(a, b), distinct: the pairs of each region's documents in different components, of rows (region, path, id, comp, sketch).
+
+    A region of one component has none left. Of a large region each document goes once to each pair of blocks that its own is in.
+    """
+    size = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
+    size = _io.keep(size.select("region", "n"), "regions")
+    at = rows.select("region", "id", "comp", "sketch").join(F.broadcast(size) if size.count() <= SEND_IDS else size, "region")
+    at = at.withColumn("large", F.col("n") > ALL_PAIRS).withColumn("blocks", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int"))
+    at = at.withColumn("block", F.pmod(F.xxhash64("id", "region"), F.col("blocks")).cast("int"))
+    at = at.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = at.select("region", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "id", "comp", "sketch", "block", "large")
+    met = at.repartition("region", "one", "two").sortWithinPartitions("region", "one", "two")
+    out = _io.keep(met.mapInArrow(_meet, "a long, b long").distinct(), "pairs")
+    _io.drop(size)
+    return out
+
+
 def _links(texts: DataFrame, reps: DataFrame, star: int) -> DataFrame:
-    """Confirmed links (a, b) between representatives of different components."""
+    """Confirmed links (a, b) between representatives of different components. star: the round of pivots; 0 is the last pass, of all pairs."""
     rows = reps.select("id", "comp", "sig").mapInArrow(_paths, "region long, path long, id long, comp long, sketch long")
-    ordered = rows.repartitionByRange("region", "path", "id").sortWithinPartitions("region", "path", "id")
-    pairs = _io.keep(ordered.mapInArrow(_candidates(star), "a long, b long").distinct(), "pairs")
+    if star:
+        ordered = rows.repartitionByRange("region", "path", "id").sortWithinPartitions("region", "path", "id")
+        pairs = _io.keep(ordered.mapInArrow(_candidates(star), "a long, b long").distinct(), "pairs")
+    else:
+        rows = _io.keep(rows.select("region", "id", "comp", "sketch"), "paths")
+        pairs = _left(rows)
+        _io.drop(rows)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = F.broadcast(wanted) if pairs.count() <= SEND_IDS // 2 else wanted
     near = _io.keep(texts.join(wanted, "id"), "near-texts")

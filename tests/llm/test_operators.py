@@ -156,6 +156,22 @@ def test_near_copies_by_the_hundred(spark):
     assert got == near(list(enumerate(texts)))
 
 
+def test_every_pair_of_a_large_region_meets(spark):
+    n, r = 2600, np.random.default_rng(5)
+    sig = r.integers(0, 2**32, (n, neardup.N_HASHES), np.uint32)
+    sig[:, : neardup.DEPTH] = 7  # one region in the first tree, in which the first and the last are furthest apart
+    sig[:, neardup.DEPTH] = np.arange(n)
+    sig[n // 2 :, neardup.DEPTH + 1 :] = sig[n // 2 - 1 :: -1, neardup.DEPTH + 1 :] ^ np.uint32(2)
+    comp = np.arange(n) // 2 * 2
+    bits = (sig[:, :64] & 1).astype(np.int8) * 2 - 1
+    i, j = np.nonzero(np.triu(((bits.astype(np.float32) @ bits.T) + 64) / 2 >= neardup.SKETCH, 1))
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if comp[a] != comp[b]}
+    assert (0, n - 1) in want
+    reps = spark.createDataFrame([(k, int(comp[k]), sig[k].tobytes()) for k in range(n)], "id long, comp long, sig binary").repartition(5)
+    paths = reps.mapInArrow(neardup._paths, "region long, path long, id long, comp long, sketch long")
+    assert {(x.a, x.b) for x in neardup._left(paths).collect()} == want
+
+
 def test_near_duplicate_edges(edge, empty, clashing):
     got = rows(neardup.near_duplicates(edge), "doc_id", "n_shingles", "component_id", "kept")
     assert len(got) == 12 and (2, len(shingles(edge.where("doc_id = 2").first().text)), 1, False) in got and (3, 0, 3, True) in got and (7, len(shingles(edge.where("doc_id = 7").first().text)), 6, False) in got
