@@ -3,6 +3,7 @@
 Multinomial logistic regression over the 1- and 2-grams of words tells licence families from other text ("unknown"). It is trained on short
 notices of each family, varied at random, and on paragraphs of the documents. Its probabilities are calibrated with a temperature on notices
 kept apart. A family is reported if its probability is CERTAIN or more and a template of that family has most of its 2-grams in the paragraph.
+A paragraph is a line, or lines in a row that a notice is wrapped over.
 """
 
 from __future__ import annotations
@@ -151,6 +152,8 @@ class Classifier:
         self.templates = [(k, _pairs(t)) for k, family in enumerate(FAMILIES[1:], 1) for t in NOTICES[family]]
         # a template without any of these 2-grams can't be confirmed, so paragraphs without them needn't be looked at
         self.telling = np.unique(np.concatenate([p for _, p in self.templates]))
+        self.longest = max(len(_words(t)) for ts in NOTICES.values() for t in ts)
+        self.least = min(int(np.ceil(CONFIRMED * len(p))) for _, p in self.templates)
 
     def _row(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.grams) + 2, np.float32)
@@ -172,6 +175,11 @@ class Classifier:
         return 0, float(p[0])
 
 
+def _words(t: str) -> np.ndarray:
+    raw = np.frombuffer(t.encode(), np.uint8)
+    return _grams(raw, np.array([0, len(raw)]))[0]
+
+
 def _pairs(t: str) -> np.ndarray:
     raw = np.frombuffer(t.encode(), np.uint8)
     return np.unique(_grams(raw, np.array([0, len(raw)]))[1])
@@ -193,6 +201,38 @@ _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 
 
+def _judged(model: Classifier, h: np.ndarray, g: np.ndarray, hits: np.ndarray, at: np.ndarray, to: np.ndarray, goes_on: np.ndarray) -> dict[int, tuple[int, float]]:
+    """(family, probability) of the notices by first line. hits: places in g of telling 2-grams; at, to: the words of each line; goes_on: whether
+    the next line belongs to the same paragraph.
+
+    A notice stands in a line, or is wrapped over lines of which those between the first and the last are all its own, so that they have fewer
+    words than the longest template. Lines that are notices by themselves aren't joined to those before; of the wrapped readings from one
+    line on, the likeliest counts, and its lines begin no other.
+    """
+    lines = np.unique(np.searchsorted(at, hits, "right") - 1).tolist()
+    alone = {}
+    for a in lines:
+        if to[a] - at[a] > 1:
+            family, p = model.judge(h[at[a] : to[a]], g[at[a] : to[a] - 1])
+            if family:
+                alone[a] = family, p
+    out, free = dict(alone), 0
+    for a in lines:
+        if a < free:
+            continue
+        best, end = alone.get(a, (0, 0.0)), a
+        b = a
+        while b < len(goes_on) and goes_on[b] and b + 1 not in alone and to[b] - to[a] < model.longest:
+            b += 1
+            if np.searchsorted(hits, to[b] - 1) - np.searchsorted(hits, at[a]) >= model.least:
+                family, p = model.judge(h[at[a] : to[b]], g[at[a] : to[b] - 1])
+                if family and p > best[1] and (a not in alone or family != alone[a][0]):
+                    best, end = (family, p), b
+        if best[0]:
+            out[a], free = best, end + 1
+    return out
+
+
 def _scan(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -210,16 +250,14 @@ def _scan(sent, k: int):
                 at = np.searchsorted(model.telling, g)
                 at[at == len(model.telling)] = 0
                 hits = np.flatnonzero(model.telling[at] == g)
-                for line in np.unique(np.searchsorted(ls, starts[hits], "right") - 1).tolist():
-                    a, z = np.searchsorted(starts, [ls[line], le[line]])
-                    if z - a < 2:
-                        continue
-                    family, p = model.judge(h[a:z], g[a : z - 1])
-                    if family:
-                        r = int(row[line])
-                        name = FAMILIES[family]
-                        found[r][name] = max(p, found[r].get(name, 0.0))
-                        spans[r].append((line - int(lf[r]), family))
+                at, to = np.searchsorted(starts, ls), np.searchsorted(starts, le)
+                # a line without words, or an empty one, ends a paragraph; so does the row
+                goes_on = (row[1:] == row[:-1]) & (ls[1:] == le[:-1] + 1) & (to[1:] > at[1:])
+                for line, (family, p) in sorted(_judged(model, h, g, hits, at, to, goes_on).items()):
+                    r = int(row[line])
+                    name = FAMILIES[family]
+                    found[r][name] = max(p, found[r].get(name, 0.0))
+                    spans[r].append((line - int(lf[r]), family))
                 cols = [pa.array(np.diff(lf)), pa.array([len(s) for s in spans], pa.int64()), pa.array([",".join(sorted(f)) for f in found]), pa.array([min(f.values(), default=None) for f in found], pa.float64())]
                 cols.append(pa.array([",".join(f"{n}:{FAMILIES[f]}" for n, f in s) for s in spans]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c)[i:j] for c in range(k)), *cols], [*map(str, range(k)), *map(str, range(100, 105))])
@@ -228,9 +266,9 @@ def _scan(sent, k: int):
 
 
 def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """docs' columns but the text, with n_paragraphs (lines with any character), n_licenses (those that are licence notices), families
+    """docs' columns but the text, with n_paragraphs (lines with any character), n_licenses (licence notices), families
     (distinct, ascending, comma-joined), confidence (the least certain family's probability; null without any) and places
-    (paragraph:family, in order).
+    (paragraph:family, in order; of a wrapped notice, its first line).
 
     Null and empty texts have no paragraphs. Repeated rows each get their own result.
     """

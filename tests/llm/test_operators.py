@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -291,6 +292,23 @@ def test_licenses_in_documents(spark, sf, docs):
     assert got == {i: ",".join(sorted(k for k, m in marks.items() if m in (t or ""))) for i, t in table(docs)}
 
 
+def test_wrapped_licenses(spark):
+    model = licenses.Classifier(["words of no licence at all", "the mat and the hat sat there"])
+    heads = {k: next(t for t in licenses.NOTICES[k] if t.startswith(s)) for k, s in (("gpl", "This program"), ("agpl", "This program"), ("bsd", "Redistribution"), ("mit", "Permission"))}
+    texts, want = [], []
+    for k, t in heads.items():
+        for width in (40, 55, 72):
+            for sign in ("", "# ", " * ", "// "):
+                texts.append("\n".join(["def f():", "", *(sign + x for x in textwrap.wrap(t, width)), "", "    the code"]))
+                want.append((k, 1))
+    # two notices in a row stay two, and an empty line parts
+    texts += ["Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", "\n\n".join(textwrap.wrap(heads["bsd"], 72))]
+    want += [("apache,mit", 2), ("", 0)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_licenses) for r in licenses.scan(d, model).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_license_families_and_other_text(spark, edge, empty):
     model = licenses.Classifier(["words of no licence at all", "the mat and the hat sat there"])
     texts = [t for k in sorted(licenses.NOTICES) for t in licenses.NOTICES[k]]
