@@ -20,7 +20,7 @@ from . import _io
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-RUN = 64  # tokens of a run that are decoded together; longer runs are decoded in parts
+TABLE = 1 << 17  # places of tokens in a table of runs that are decoded together; a longer run has a table of its own
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -205,16 +205,24 @@ class Field:
         return cls(names, w, t)
 
     def decode(self, runs: list[tuple[list[str], list[bool]]]) -> list[list[int]]:
-        """Viterbi over many runs (tokens, whether each may bear a kind) at once."""
-        if not runs:
-            return []
+        """Viterbi over runs (tokens, whether each may bear a kind), whole, those of like length at once."""
         order = sorted(range(len(runs)), key=lambda i: -len(runs[i][0]))
-        longest, k = len(runs[order[0]][0]), len(LABELS)
+        out: list[list[int]] = [[] for _ in runs]
+        a = 0
+        while a < len(order):
+            z = a + max(1, TABLE // len(runs[order[a]][0]))
+            for i, path in zip(order[a:z], self._decode([runs[i] for i in order[a:z]])):
+                out[i] = path
+            a = z
+        return out
+
+    def _decode(self, runs: list[tuple[list[str], list[bool]]]) -> list[list[int]]:
+        """Viterbi over runs, the longest first, in one table."""
+        longest, k = len(runs[0][0]), len(LABELS)
         unseen = len(self.names)
         e = np.full((len(runs), longest, k), 0.0)
-        size = np.array([len(runs[i][0]) for i in order])
-        for j, i in enumerate(order):
-            tokens, may = runs[i]
+        size = np.array([len(r[0]) for r in runs])
+        for j, (tokens, may) in enumerate(runs):
             for p in range(len(tokens)):
                 e[j, p] = self.weights[[self.names.get(f, unseen) for f in token_features(tokens, p)]].sum(0)
                 if not may[p]:
@@ -228,13 +236,13 @@ class Field:
             back[:n, p] = s.argmax(1)
             final[:n] = s.max(1) + e[:n, p]
         out: list[list[int]] = [[] for _ in runs]
-        for j, i in enumerate(order):
+        for j in range(len(runs)):
             label = int(final[j].argmax())
             path = [label]
             for p in range(size[j] - 1, 0, -1):
                 label = int(back[j, p, label])
                 path.append(label)
-            out[i] = path[::-1]
+            out[j] = path[::-1]
         return out
 
 
@@ -253,7 +261,7 @@ def field(seed: int = 0) -> Field:
 
 
 def _runs(text: str) -> list[tuple[list[str], list[bool], list[tuple[int, int]]]]:
-    """Runs of tokens that may bear a kind, each with a token before and after for context, in parts of RUN."""
+    """Runs of tokens that may bear a kind, each with a token before and after for context."""
     tokens = [(m.group(), m.span()) for m in _TOKEN.finditer(text)]
     may = [bool(_MAY.search(t)) for t, _ in tokens]
     # what stands beside a spelled-out @ or dot may be part of an address
@@ -268,7 +276,7 @@ def _runs(text: str) -> list[tuple[list[str], list[bool], list[tuple[int, int]]]
             i += 1
             continue
         a = i
-        while i < len(tokens) and may[i] and i - a < RUN:
+        while i < len(tokens) and may[i]:
             i += 1
         lo, hi = max(0, a - 1), min(len(tokens), i + 1)
         inside = [a <= p < i for p in range(lo, hi)]
