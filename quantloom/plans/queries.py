@@ -234,9 +234,6 @@ def garch_challenger(lv: DataFrame) -> DataFrame:
     return garch.garch_evt(garch.residuals(series(lv), _fits(lv, rolling=True))).select(S.BOOK, "d", "i", "r", "vol", "var", "es")
 
 
-STEP = 10  # Monte Carlo queries draw for every tenth day
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     losses = lambda f: lambda lv: f(portfolio_losses(lv))
     return {
@@ -307,8 +304,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "garch_evt_var": _of(garch_evt_var, 4),
         "garch_evt_rolling": _of(garch_challenger, 4),
         "fhs_var": _of(fhs_var, 4),
-        "mc_gaussian_var": _of(lambda lv: monte_carlo.gaussian(lv, step=STEP), 2),
-        "mc_t_copula_var": _of(lambda lv: monte_carlo.t_copula(lv, step=STEP), 2),
-        "mc_garch_copula_var": _of(lambda lv: monte_carlo.garch_copula(lv, step=STEP), 2),
+        "mc_gaussian_var": _of(monte_carlo.gaussian, 2),
+        "mc_t_copula_var": _of(monte_carlo.t_copula, 2),
+        "mc_garch_copula_var": _of(monte_carlo.garch_copula, 2),
         "copula_gof_cvm": _of(monte_carlo.copula_gof, 6),
     }

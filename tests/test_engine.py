@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom import schema as S
 from quantloom.functions import pricing
-from quantloom.operators import analysis, backtest, book, garch, hist_sim, panel, tails
+from quantloom.operators import analysis, backtest, book, garch, hist_sim, monte_carlo, panel, tails
 from quantloom.plans import queries as Q
 
 
@@ -192,3 +192,9 @@ def test_result_files_round_trip(spark, sf, tmp_path):
         assert M.read_panel(spark, str(tmp_path / fmt), fmt).count() == d.count()
     M.write_result(d.select("d", F.col("px_a").alias("pnl"), F.col("px_b").alias("var")), str(tmp_path / "m"))
     assert M.methods(spark, {"a": str(tmp_path / "m"), "gone": str(tmp_path / "none"), "other": str(tmp_path / "parquet")}).select("method").distinct().collect() == [("a",)]
+
+
+def test_monte_carlo_queries_have_every_day(spark, sf):
+    want = [r.i for r in monte_carlo.days(Q.levels(spark, sf)).select("i").orderBy("i").collect()]
+    got = [r.i for r in Q.queries()["mc_gaussian_var"](spark, sf).select("i").orderBy("i").collect()]
+    assert got == want == list(range(want[0], want[0] + len(want))) and len(want) > 100
