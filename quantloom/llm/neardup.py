@@ -1,16 +1,24 @@
 """MinHash near-duplicates by an LSH forest.
 
-Each tree is a sorted order of the documents by a run of their MinHash values (a different run for each tree). Documents next to each other
-with a common prefix of DEPTH values or more are a region. In each of ROUNDS rounds a document is a candidate with its region's pivot, which
-is drawn by a hash, so that a document meets another pivot in each tree and the pairs grow with the documents. What that leaves in
-different components is looked at again, every pair of a region: small regions are candidates as they are; large ones are dealt into blocks
-of about BLOCK documents, a task's group for each pair of blocks, and compared by 64-bit sketches. Pivots only save pairs: a region that two
-tasks share may draw one in each. Candidates are confirmed on full shingle sets, and confirmed links joined to components.
+Each tree of the forest is a sorted order of the documents by a run of their MinHash values (a different run for each tree). Documents next to
+each other with a common prefix of DEPTH values or more are a region, and the candidates are the documents of one region. A class of equal
+shingle sets is one document.
+
+- The first passes walk a few trees each in sorted order. A region of up to BLOCK_BYTES of shingles is compared whole; a larger one is cut
+  where neighbours have their shortest longest common prefix, so that its depth adapts to its size. They cost in proportion to the documents,
+  and join most copies.
+- The last pass takes all trees, and every pair of documents that a region has in different components: a region within BLOCK_BYTES in one task,
+  a larger one by pairs of blocks, a task's group for each. Nothing is capped.
+
+A task holds the full shingle sets of its documents, confirms pairs on them, and gives only links that join two components, so that links
+grow with the documents whatever the size of a group. Within a group, documents with too few shingles that occur in other components drop out
+before any pair is looked at, and sketches of 64 bits before any set is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +28,36 @@ from pyspark.sql import functions as F
 from . import _io, _text
 
 WORDS = 5
-PERCENT = 85
-TREES = 20
-DEPTH = 4  # shortest common prefix of a candidate pair: at 85% alike, all trees miss it with probability 4e-7
+PERCENT = 80  # similarity of linked documents, unless an argument says otherwise
+MISS = 1e-6  # chance that all trees miss a pair at the threshold, and that its sketches do, at most
+DEPTH = 4  # shortest common prefix of a region
 PATH = 8  # values in a tree's sort key
-ROUNDS = 2  # of pivots
-ALL_PAIRS = 12  # a region of so many documents at most makes candidates of all pairs
-BLOCK = 1024  # documents of a larger region that are compared with those of another block, about: those whose sketches agree are candidates
-SKETCH = 48  # of 64 bits that must agree; at 85% alike they fail to with probability 3e-6
-N_HASHES = TREES * DEPTH
+FIRST = ((0, 2), (2, 6))  # trees of each pass in sorted order
+SMALL = 12  # documents of a group whose pairs are compared one by one
+BLOCK_BYTES = 16 << 20  # of a block of documents: shingles, and ROW_BYTES for each, so that a block of short ones is bounded too
+ROW_BYTES = 1000
+BITS_BYTES = 64 << 20  # of a group's bit matrix; a larger one's pairs are compared one by one
+#: So many ids or regions at most are sent to all executors (about 16 bytes each); more are joined by shuffle.
+SEND_IDS = 1_000_000
+
+
+def trees(percent: int) -> int:
+    """So many that a pair at the threshold shares a region but with chance MISS."""
+    return math.ceil(math.log(MISS) / math.log(1 - min(percent / 100, 0.99) ** DEPTH))
+
+
+def sketch_bits(percent: int) -> int:
+    """Bits of 64 that the sketches of a pair at the threshold agree in, but with chance MISS. A bit agrees with probability (1 + s) / 2."""
+    p, below = (1 + percent / 100) / 2, 0.0
+    for k in range(65):
+        below += math.comb(64, k) * p**k * (1 - p) ** (64 - k)
+        if below > MISS:
+            return k
+    return 64
 
-_PERM = _text.mix(np.arange(1, N_HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+
+def _permutations(n: int) -> np.ndarray:
+    return _text.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +82,14 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[
     return (np.concatenate(parts) if parts else h[:0]), at
 
 
-def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, N_HASHES) MinHash values, 32 bits each; an empty set's are all ones."""
-    out = np.full((len(at) - 1, N_HASHES), 0xFFFFFFFF, np.uint32)
+def signatures(sets: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n) MinHash values, 32 bits each; an empty set's are all ones."""
+    out = np.full((len(at) - 1, n), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(np.diff(at))
     if len(full):
         with np.errstate(over="ignore"):
-            for j in range(N_HASHES):
-                out[full, j] = np.minimum.reduceat((sets * _PERM[j]) >> np.uint64(32), at[full]).astype(np.uint32)
+            for j, by in enumerate(_permutations(n)):
+                out[full, j] = np.minimum.reduceat((sets * by) >> np.uint64(32), at[full]).astype(np.uint32)
     return out
 
 
@@ -74,196 +101,271 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(rows)])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> (row, n_shingles, set_id, signature)"""
-    for b in batches:
-        for i, j, raw, offsets in _io.slices(b.column(1)):
-            sets, at = shingle_sets(raw, offsets)
-            full = np.flatnonzero(np.diff(at))
-            ids = np.zeros((j - i, 2), np.uint64)
-            if len(full):
-                with np.errstate(over="ignore"):
-                    ids[full, 0] = np.add.reduceat(_text.mix(sets), at[full])
-                    ids[full, 1] = np.add.reduceat(_text.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at[full])
-            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.diff(at)), _binary(ids), _binary(signatures(sets, at))], ["id", "n_shingles", "set_id", "sig"])
-
-
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, comp, sig) -> a row for each tree: (region, path, id, comp, sketch); region hashes the tree and its first DEPTH values, path is of
-    those after, and the sketch has a bit of 64 values."""
-    for b in batches:
-        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(len(b), N_HASHES) if len(b) else np.zeros((0, N_HASHES), np.uint32)
-        sketch = pa.array(np.packbits((sig[:, :64] & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64).ravel()) if len(b) else pa.array([], pa.int64())
-        for tree in range(TREES):
-            order = [(tree * DEPTH + k) % N_HASHES for k in range(PATH)]
-            region = np.full(len(b), tree + 1, np.uint64)
-            path = np.zeros(len(b), np.uint64)
-            for k, j in enumerate(order):
-                if k < DEPTH:
-                    region = _text.mix(region * np.uint64(0x9E3779B97F4A7C15) + sig[:, j].astype(np.uint64))
-                else:
-                    path = (path << np.uint64(16)) | (sig[:, j] & np.uint32(0xFFFF)).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(path.view(np.int64)), b.column(0), b.column(1), sketch], ["region", "path", "id", "comp", "sketch"])
-
-
-def _candidates(star: int):
-    """Over rows sorted by (region, path, id), in blocks: pairs of ids of different components, each with its region's pivot.
-
-    star: the round, from 1; the pivot is that of least hash. A region that a block's end cuts goes on in the next, which starts with its pivot.
-    """
+def _set_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, 2): 128 bits that tell sets apart; an empty set's are zero."""
+    full = np.flatnonzero(np.diff(at))
+    ids = np.zeros((len(at) - 1, 2), np.uint64)
+    if len(full):
+        with np.errstate(over="ignore"):
+            ids[full, 0] = np.add.reduceat(_text.mix(sets), at[full])
+            ids[full, 1] = np.add.reduceat(_text.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at[full])
+    return ids
+
+
+def _sign(words: int, n_hashes: int) -> Callable:
+    """(id, text) -> (id, n_shingles, set_id, signature)"""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, raw, offsets in _io.slices(b.column(1)):
+                sets, at = shingle_sets(raw, offsets, words)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.diff(at)), _binary(_set_ids(sets, at)), _binary(signatures(sets, at, n_hashes))], ["id", "n_shingles", "set_id", "sig"])
+
+    return sign
+
+
+def _sets(words: int) -> Callable:
+    """(id, text) -> (id, set_id, values), values being the shingle set"""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, raw, offsets in _io.slices(b.column(1)):
+                sets, at = shingle_sets(raw, offsets, words)
+                values = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.ascontiguousarray(at) * 8), pa.py_buffer(sets)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], _binary(_set_ids(sets, at)), values], ["id", "set_id", "values"])
+
+    return sets_of
+
+
+_NODE = "region long, path long, id long, set_id binary, comp long, n long, sketch long"
+
+
+def _paths(first: int, last: int, n_hashes: int) -> Callable:
+    """(id, set_id, comp, n, sig) -> a row for each tree: region hashes the tree and its first DEPTH values, path is of those after, and the
+    sketch has a bit of 64 values."""
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            cols = [np.asarray(b.column(k)) for k in (0, 2, 3)]
-            if tail is not None:
-                cols = [np.concatenate(x) for x in zip(tail, cols)]
-            region, ids, comp = cols
-            new = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
-            size = np.diff(np.append(new, len(region)))
-            drawn = _text.mix(_text.mix(ids.view(np.uint64) + np.uint64(star)) ^ region.view(np.uint64))
-            pivot = _argmin(drawn, new)
-            yield _pairs(ids, comp, np.repeat(pivot, size), np.arange(len(ids)))
-            tail = [c[pivot[-1:]] for c in cols]
-
-    return pairs
-
-
-def _pairs(ids: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    """(a, b) of places i and j, the lesser id first, without those of one component."""
-    ok = comp[i] != comp[j]
-    i, j = i[ok], j[ok]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (region, one, two, id, comp, sketch, block, large) sorted by the first three: pairs of ids of different components, all of a
-    small region, and those of a large one's blocks `one` and `two` whose sketches agree."""
-    tail = None
-    for b in batches:
-        if not len(b):
-            continue
-        cols = [np.asarray(b.column(k)) for k in range(8)]
-        if tail is not None:
-            cols = [np.concatenate(x) for x in zip(tail, cols)]
-        new = _group_starts(cols)
-        # the last group may go on in the next batch
-        tail = [c[new[-1] :] for c in cols]
-        yield from _met([c[: new[-1]] for c in cols])
-    if tail is not None:
-        yield from _met(tail)
-
-
-def _group_starts(cols: list[np.ndarray]) -> np.ndarray:
-    other = np.zeros(len(cols[0]) - 1, bool)
-    for c in cols[:3]:
-        other |= c[1:] != c[:-1]
-    return np.flatnonzero(np.concatenate(([True], other)))
-
-
-def _met(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if not len(cols[0]):
-        return
-    _, one, two, ids, comp, sketch, block, large = cols
-    new = _group_starts(cols)
-    size = np.diff(np.append(new, len(ids)))
-    group = np.repeat(np.arange(len(new)), size)
-    for k in range(1, min(ALL_PAIRS, len(ids))):
-        i = np.flatnonzero((group[k:] == group[:-k]) & ~large[k:])
-        yield _pairs(ids, comp, i, i + k)
-    for r in np.flatnonzero(large[new]).tolist():
-        here = np.arange(new[r], new[r] + size[r])
-        within = one[new[r]] == two[new[r]]
-        left, right = (here, here) if within else (here[block[here] == one[here]], here[block[here] == two[here]])
-        for i, j in _close(sketch[left], sketch[right], comp[left], comp[right]):
-            ok = (j > i) | (not within)
-            yield _pairs(ids, comp, left[i[ok]], right[j[ok]])
-
-
-def _close(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in x and y of different components whose sketches agree in SKETCH bits."""
-    x, y = x.view(np.uint64), y.view(np.uint64)
-    for a in range(0, len(x), block):
-        near = np.bitwise_count(~(x[a : a + block, None] ^ y[None])) >= SKETCH
-        near &= cx[a : a + block, None] != cy[None]
-        i, j = np.nonzero(near)
-        yield i + a, j
-
-
-def _argmin(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    size = np.diff(np.append(starts, len(x)))
-    hit = np.flatnonzero(x == np.repeat(np.minimum.reduceat(x, starts), size))
-    return hit[np.searchsorted(hit, starts)]
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text of a, text of b) -> the pairs with 100 * intersection >= PERCENT * union, on full sets"""
-    for b in batches:
-        sets = []
-        for k in (2, 3):
-            coded = b.column(k).dictionary_encode()
-            own = [x[at[i] : at[i + 1]] for _, _, raw, offsets in _io.slices(coded.dictionary) for x, at in [shingle_sets(raw, offsets)] for i in range(len(at) - 1)]
-            sets.append([own[i] for i in coded.indices.to_pylist()])
-        keep = pa.array([_alike(x, y) for x, y in zip(*sets)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
-
-
-def _alike(x: np.ndarray, y: np.ndarray) -> bool:
-    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-        return False
+            sig = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32).reshape(len(b), n_hashes)
+            sketch = pa.array(np.packbits((sig[:, :64] & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64).ravel())
+            for tree in range(first, last):
+                region = np.full(len(b), tree + 1, np.uint64)
+                path = np.zeros(len(b), np.uint64)
+                for k in range(PATH):
+                    value = sig[:, (tree * DEPTH + k) % n_hashes]
+                    if k < DEPTH:
+                        region = _text.mix(region * np.uint64(0x9E3779B97F4A7C15) + value.astype(np.uint64))
+                    else:
+                        path = (path << np.uint64(16)) | (value & np.uint32(0xFFFF)).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(path.view(np.int64)), *(b.column(k) for k in range(4)), sketch], ["region", "path", "id", "set_id", "comp", "n", "sketch"])
+
+    return paths
+
+
+class _Joined:
+    """Labels of components that grow together."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """False if they were one."""
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+    def roots(self) -> np.ndarray:
+        up = self.up
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        self.up = up.copy()
+        return up
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate((x, y))
     both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _enough(common, nx, ny, percent: int):
+    """100 * common >= percent * union"""
+    return (100 + percent) * common >= percent * (nx + ny)
+
+
+def group_links(ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int, bits: int) -> list[tuple[int, int]]:
+    """Links (id, id) that join the components that any pair of these documents joins. With two blocks, only pairs across them count."""
+    across = bool((block != block[0]).any())
+    labels, label = np.unique(comp, return_inverse=True)
+    joined = _Joined(len(labels))
+    n = np.array([len(s) for s in sets])
+    out = []
+    if len(ids) <= SMALL:
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids)):
+                if (across and block[i] == block[j]) or not _enough(min(n[i], n[j]), n[i], n[j], percent) or joined.root(label[i]) == joined.root(label[j]):
+                    continue
+                if int(np.bitwise_count(~(sketch[i] ^ sketch[j]).view(np.uint64))) >= bits and _enough(_overlap(sets[i], sets[j]), n[i], n[j], percent):
+                    joined.join(label[i], label[j])
+                    out.append((int(ids[i]), int(ids[j])))
+        return out
+    live, shared, rank = _shared(sets, n, label, percent)
+    ids, label, sketch, block, n = ids[live], label[live], sketch[live].view(np.uint64), block[live], n[live]
+    if len(live) < 2:
+        return out
+    top = int(max(r[-1] if len(r) else 0 for r in rank)) + 1
+    matrix = _bits(rank, top) if len(live) * (top + 63) // 64 * 8 <= BITS_BYTES else None
+    a, step = 0, 1
+    while a < len(ids):
+        # the first rows are looked at one by one: in a group of copies they join most of it
+        b = min(a + step, len(ids))
+        root = joined.roots()[label]
+        ok = root[a:b, None] != root[None, a:]
+        ok &= np.arange(a, b)[:, None] < np.arange(a, len(ids))[None]
+        if across:
+            ok &= block[a:b, None] != block[None, a:]
+        i, j = np.nonzero(ok)
+        i, j = i + a, j + a
+        ok = _enough(np.minimum(shared[i], shared[j]), n[i], n[j], percent)
+        i, j = i[ok], j[ok]
+        ok = np.bitwise_count(~(sketch[i] ^ sketch[j])) >= bits
+        i, j = i[ok], j[ok]
+        for at in range(0, len(i), 4096):
+            x, y = i[at : at + 4096], j[at : at + 4096]
+            if matrix is None:
+                common = np.array([_overlap(rank[p], rank[q]) for p, q in zip(x.tolist(), y.tolist())], np.int64)
+            else:
+                common = np.bitwise_count(matrix[x] & matrix[y]).sum(axis=1, dtype=np.int64)
+            ok = _enough(common, n[x], n[y], percent)
+            for p, q in zip(x[ok].tolist(), y[ok].tolist()):
+                if joined.join(label[p], label[q]):
+                    out.append((int(ids[p]), int(ids[q])))
+        a, step = b, min(2 * step, 256, max(1, (4 << 20) // len(ids)))
+    return out
 
 
-#: So many ids at most are sent to all executors (8 bytes each); more are joined by shuffle.
-SEND_IDS = 1_000_000
+def _shared(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Documents of which `percent` of the shingles, or more, occur in another component's (until none drops out), how many of theirs do, and
+    which, as ranks."""
+    live = np.arange(len(sets))
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(live, n)
+    while True:
+        order = np.argsort(value, kind="stable")
+        v, of = value[order], label[row[order]]
+        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+        both = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts) if len(v) else np.zeros(0, bool)
+        size = np.diff(np.append(starts, len(v)))
+        kept = np.zeros(len(v), bool)
+        kept[order] = np.repeat(both, size)
+        rank = np.zeros(len(v), np.int64)
+        rank[order] = np.repeat(np.cumsum(both) - 1, size)
+        count = np.bincount(row[kept], minlength=len(sets))
+        ok = 100 * count[live] >= percent * n[live]
+        if ok.all():
+            break
+        live = live[ok]
+        stay = kept & np.isin(row, live)
+        value, row = value[stay], row[stay]
+    row, rank = row[kept], rank[kept]
+    ends = np.searchsorted(row, np.append(live, len(sets)))
+    return live, count[live], [np.sort(rank[ends[k] : ends[k + 1]]) for k in range(len(live))]
+
+
+def _bits(rank: list[np.ndarray], top: int) -> np.ndarray:
+    """(rows, words) of bits: that of each rank of a row."""
+    out = np.zeros((len(rank), (top + 63) // 64), np.uint64)
+    step = max(1, (8 << 20) // max(1, out.shape[1] * 64))
+    for a in range(0, len(rank), step):
+        part = rank[a : a + step]
+        flags = np.zeros((len(part), out.shape[1] * 64), np.uint8)
+        flags[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)] = 1
+        out[a : a + step] = np.packbits(flags, axis=1).view(np.uint64)
+    return out
 
 
-def _left(rows: DataFrame) -> DataFrame:
-    """(a, b), distinct: the pairs of each region's documents in different components, of rows (region, path, id, comp, sketch).
+def _linked(percent: int, bits: int, block_bytes: int | None) -> Callable:
+    """Over rows (region, one, two, block, id, comp, sketch, path, values) sorted by (region, one, two, path): the links of each group (region,
+    one, two). With block_bytes a group is cut once its shingles pass that many bytes: where two neighbours' common prefix is shortest."""
 
-    A region of one component has none left. Of a large region each document goes once to each pair of blocks that its own is in.
-    """
-    size = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-    size = _io.keep(size.select("region", "n"), "regions")
-    at = rows.select("region", "id", "comp", "sketch").join(F.broadcast(size) if size.count() <= SEND_IDS else size, "region")
-    at = at.withColumn("large", F.col("n") > ALL_PAIRS).withColumn("blocks", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int"))
-    at = at.withColumn("block", F.pmod(F.xxhash64("id", "region"), F.col("blocks")).cast("int"))
-    at = at.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    at = at.select("region", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "id", "comp", "sketch", "block", "large")
-    met = at.repartition("region", "one", "two").sortWithinPartitions("region", "one", "two")
-    out = _io.keep(met.mapInArrow(_meet, "a long, b long").distinct(), "pairs")
-    _io.drop(size)
-    return out
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, size = [], None, 0
 
+        def flush(rows: list) -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                block, ids, comp, sketch, _ = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+                if (comp != comp[0]).any():
+                    found = group_links(ids, comp, sketch, block, [np.frombuffer(r[5], np.uint64) for r in rows], percent, bits)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-def _links(texts: DataFrame, reps: DataFrame, star: int) -> DataFrame:
-    """Confirmed links (a, b) between representatives of different components. star: the round of pivots; 0 is the last pass, of all pairs."""
-    rows = reps.select("id", "comp", "sig").mapInArrow(_paths, "region long, path long, id long, comp long, sketch long")
-    if star:
-        ordered = rows.repartitionByRange("region", "path", "id").sortWithinPartitions("region", "path", "id")
-        pairs = _io.keep(ordered.mapInArrow(_candidates(star), "a long, b long").distinct(), "pairs")
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
+            for k, row in zip(keys, zip(*(b.column(c).to_pylist() for c in range(3, 8)), b.column(8).to_pylist())):
+                if k != key:
+                    yield from flush(held)
+                    held, key, size = [], k, 0
+                held.append(row)
+                size += len(row[5]) + ROW_BYTES
+                if block_bytes is not None and size > block_bytes:
+                    cut = _cut(np.array([r[4] for r in held], np.int64))
+                    yield from flush(held[:cut])
+                    held = held[cut:]
+                    size = sum(len(r[5]) + ROW_BYTES for r in held)
+        yield from flush(held)
+
+    return links
+
+
+def _cut(path: np.ndarray) -> int:
+    """Where to cut sorted paths, from the middle on: after the row with the shortest longest common prefix with its next."""
+    x = (path[1:] ^ path[:-1]).view(np.uint64)
+    common = sum(((x >> np.uint64(64 - 16 * k)) == 0).astype(np.int64) for k in range(1, PATH - DEPTH + 1)) if len(x) else np.zeros(0, np.int64)
+    half = len(path) // 2
+    return half + int(np.argmin(common[half - 1 :])) if half else len(path)
+
+
+def _links(texts: DataFrame, near: DataFrame, span: tuple[int, int], last: bool, percent: int, words: int, block_bytes: int) -> DataFrame:
+    """Confirmed links (a, b) of documents in a common region of the trees `span`, between components that none joined so far."""
+    n_hashes = trees(percent) * DEPTH
+    rows = near.select("id", "set_id", "comp", "n", "sig").mapInArrow(_paths(*span, n_hashes), _NODE)
+    size = rows.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.col("n") * 8 + ROW_BYTES).alias("bytes")).where("c0 < c1")
+    size = _io.keep(size.select("region", "bytes"), "regions")
+    at = rows.join(F.broadcast(size) if size.count() <= SEND_IDS else size, "region")
+    if last:
+        at = at.withColumn("blocks", F.ceil(F.col("bytes") / F.lit(float(block_bytes))).cast("int"))
+        at = at.withColumn("block", F.pmod(F.xxhash64("set_id", "region"), F.col("blocks")).cast("long"))
+        at = at.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+        at = at.withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
     else:
-        rows = _io.keep(rows.select("region", "id", "comp", "sketch"), "paths")
-        pairs = _left(rows)
-        _io.drop(rows)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = F.broadcast(wanted) if pairs.count() <= SEND_IDS // 2 else wanted
-    near = _io.keep(texts.join(wanted, "id"), "near-texts")
-    with_a = pairs.join(near.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    both = with_a.join(near.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    out = _io.keep(both.mapInArrow(_confirm, "a long, b long"), "links")
-    _io.drop(near)
-    _io.drop(pairs)
+        at = at.select("*", *(F.lit(0).cast("long").alias(c) for c in ("block", "one", "two")))
+    at = _io.keep(at.select("region", "one", "two", "block", "id", "comp", "sketch", "path", "set_id"), "open")
+    wanted = at.select("id").distinct()
+    wanted = F.broadcast(wanted) if at.count() <= SEND_IDS else wanted
+    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, set_id binary, values binary")
+    sets = sets.groupBy("id", "set_id").agg(F.first("values").alias("values"))
+    full = at.join(sets, ["id", "set_id"]).select("region", "one", "two", "block", "id", "comp", "sketch", "path", "values")
+    if last:
+        full = full.repartition("region", "one", "two").sortWithinPartitions("region", "one", "two")
+    else:
+        full = full.repartitionByRange("region", "path", "id").sortWithinPartitions("region", "one", "two", "path", "id")
+    found = full.mapInArrow(_linked(percent, sketch_bits(percent), None if last else block_bytes), "a long, b long")
+    out = _io.keep(found.distinct(), "links")
+    _io.drop(size)
+    _io.drop(at)
     return out
 
 
-def components(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(id, comp): the least id that each id of the links (a, b) reaches. Large-star and small-star steps by turns, until no edge changes."""
+def components(links: DataFrame) -> DataFrame:
+    """(id, comp): the least id that each id of the links (a, b) reaches. Large-star and small-star steps by turns, until no edge changes. The
+    minimum of a hub's neighbours is combined before the shuffle; the join back to them is split by AQE where a hub has very many."""
     edges = _io.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
@@ -284,42 +386,51 @@ def components(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) of each row of docs (id_col, text).
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", percent: int = PERCENT, words: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) of each row of docs (id_col, text). Documents are linked if 100 * intersection of their sets of
+    shingles of `words` words >= percent * union.
 
     Rows of one id are one document, linked to whatever any of its texts is; a null id stands for itself alone, with a null component_id
     and kept true. Null texts and texts without words have no shingles and link to nothing. Texts of equal shingle sets are one class; only
-    its least id is compared. An empty table gives an empty one.
+    its least id is compared. An empty table gives an empty one. Other columns, of whatever name, are not read.
     """
-    spark = docs.sparkSession
-    _io.ready(spark)
-    named = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    signed = _io.keep(named.mapInArrow(_sign, "id long, n_shingles long, set_id binary, sig binary"), "signed")
+    _io.ready(docs.sparkSession)
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), "text")
+    n_trees = trees(percent)
+    signed = _io.keep(named.mapInArrow(_sign(words, n_trees * DEPTH), "id long, n_shingles long, set_id binary, sig binary"), "signed")
     full = signed.where("n_shingles > 0 and id is not null")
-    own = full.groupBy("set_id").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"))
-    reps = _io.keep(own.select("set_id", "id", F.col("id").alias("comp"), "sig"), "reps")
-    member = full.select("id", "set_id").join(reps.select("set_id", F.col("id").alias("rep")), "set_id")
-    texts = named.where("id is not null")
-    links = None
-    near = reps
-    for star in (*range(1, ROUNDS + 1), 0):
-        more = _links(texts, near, star)
-        links = more if links is None else links.unionByName(more)
-        if star:
-            comp = components(links).withColumnRenamed("comp", "c")
-            near = _io.keep(reps.join(comp, "id", "left").select("id", F.coalesce("c", "comp").alias("comp"), "sig"), "near-reps")
-    same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    comp = _io.keep(components(links.unionByName(same)), "components")
-    out = signed.select("id", "n_shingles").join(comp, "id", "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-
-
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    own = full.groupBy("set_id").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    reps = _io.keep(own.select("set_id", "id", "n", "sig"), "reps")
+    # ids with several texts: their classes are linked, by the id itself
+    several = signed.where("id is not null").groupBy("id").agg(F.min("set_id").alias("s0"), F.max("set_id").alias("s1")).where("s0 <> s1").select("id")
+    several = _io.keep(several, "several")
+    n_several = several.count()
+    several_of = F.broadcast(several) if n_several <= SEND_IDS else several
+    links = full.join(several_of, "id", "left_semi").join(reps.select("set_id", F.col("id").alias("rep")), "set_id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = _io.keep(links.distinct(), "links")
+    parts, texts = [links], named.where("id is not null")
+    near = reps.withColumn("comp", F.col("id"))
+    for span in (*FIRST, (0, n_trees)):
+        last = span == (0, n_trees)
+        more = _links(texts, near, span, last, percent, words, block_bytes)
+        parts.append(more)
+        links = links.unionByName(more)
+        comp = _io.keep(components(links), "components")
+        near = reps.join(comp, "id", "left").select("set_id", "id", "n", "sig", F.coalesce("comp", "id").alias("comp"))
+    classes = near.select("set_id", "comp")
+    some = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
+    out = some.join(classes, "set_id", "left").select("id", "n_shingles", "comp")
+    if n_several:
+        out = out.join(comp.join(several_of, "id", "left_semi").withColumnRenamed("comp", "c"), "id", "left").select("id", "n_shingles", F.coalesce("c", "comp").alias("comp"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """docs without the near-duplicates of a document of lesser id; all columns stay."""
-    out = _io.keep(near_duplicates(docs, id_col=id_col).where("not kept").select(id_col).distinct(), "near-duplicates")
+    out = _io.keep(near_duplicates(docs, id_col=id_col, percent=percent).where("not kept").select(id_col).distinct(), "near-duplicates")
     return docs.join(F.broadcast(out) if out.count() <= SEND_IDS else out, id_col, "left_anti")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), percent=85)

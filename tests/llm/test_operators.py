@@ -108,7 +108,7 @@ def shingles(t):
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
 
 
-def near(table):
+def near(table, percent=85):
     sets = defaultdict(list)
     for i, t in table:
         sets[i].append(shingles(t))
@@ -130,7 +130,7 @@ def near(table):
             for b in ids:
                 if a < b and (a, b) not in done:
                     done.add((a, b))
-                    if any(100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b] if x and y):
+                    if any(100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b] if x and y):
                         x, y = sorted((root(a), root(b)))
                         up[y] = x
     return {i: root(i) for i in up}
@@ -153,24 +153,55 @@ def test_near_copies_by_the_hundred(spark):
             t[r.randrange(len(t))] = f"new{i}"
         texts.append(" ".join(t))
     texts += [" ".join(f"{r.randint(0, 99)}x{i}" for _ in range(50)) for i in range(40)]
-    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=85).collect()}
     assert got == near(list(enumerate(texts)))
 
 
-def test_every_pair_of_a_large_region_meets(spark):
-    n, r = 2600, np.random.default_rng(5)
-    sig = r.integers(0, 2**32, (n, neardup.N_HASHES), np.uint32)
-    sig[:, : neardup.DEPTH] = 7  # one region in the first tree, in which the first and the last are furthest apart
-    sig[:, neardup.DEPTH] = np.arange(n)
-    sig[n // 2 :, neardup.DEPTH + 1 :] = sig[n // 2 - 1 :: -1, neardup.DEPTH + 1 :] ^ np.uint32(2)
-    comp = np.arange(n) // 2 * 2
-    bits = (sig[:, :64] & 1).astype(np.int8) * 2 - 1
-    i, j = np.nonzero(np.triu(((bits.astype(np.float32) @ bits.T) + 64) / 2 >= neardup.SKETCH, 1))
-    want = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if comp[a] != comp[b]}
-    assert (0, n - 1) in want
-    reps = spark.createDataFrame([(k, int(comp[k]), sig[k].tobytes()) for k in range(n)], "id long, comp long, sig binary").repartition(5)
-    paths = reps.mapInArrow(neardup._paths, "region long, path long, id long, comp long, sketch long")
-    assert {(x.a, x.b) for x in neardup._left(paths).collect()} == want
+def copies(n, words, edits, seed):
+    """Texts of one passage with up to `edits` words changed in each: of all degrees of likeness."""
+    r = random.Random(seed)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(r.randint(0, edits)):
+            t[r.randrange(words)] = f"new{r.randint(0, 3)}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_a_large_region_is_joined_whole(spark, percent):
+    texts = copies(500, 80, 8, 7)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    want = near(list(enumerate(texts)), percent)
+    assert 20 < len(set(want.values())) < 480
+    for block in (neardup.BLOCK_BYTES, 100_000):  # whole regions, and pairs of blocks
+        got = {x.doc_id: x.component_id for x in neardup.near_duplicates(table, percent=percent, block_bytes=block).collect()}
+        assert got == want
+
+
+def test_links_of_a_group_are_no_more_than_its_merges():
+    texts = copies(400, 100, 9, 3)
+    raw, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t) for t in texts)])
+    values, ends = neardup.shingle_sets(raw, at)
+    sets = [values[ends[i] : ends[i + 1]] for i in range(len(texts))]
+    ids, zero = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    want = near(list(enumerate(texts)), 85)
+    for limit in (neardup.BITS_BYTES, 0):  # by bit matrix, and pair by pair
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(neardup, "BITS_BYTES", limit)
+            links = neardup.group_links(ids, ids, zero, zero, sets, 85, 0)
+        assert len(links) == len(texts) - len(set(want.values()))
+        assert all(want[a] == want[b] for a, b in links)
+    half = ids % 2
+    across = neardup.group_links(ids, ids, zero, half, sets, 85, 0)
+    assert across and all(half[a] != half[b] for a, b in across)
+
+
+def test_a_region_is_cut_where_neighbours_differ_most():
+    paths = np.array([0x0001000200030004, 0x0001000200030005, 0x0001000200030006, 0x0001000200030007, 0x0001000200090000, 0x0002000000000000, 0x0002000000000001, 0x0002000000000002], np.int64)
+    assert neardup._cut(paths) == 5 and neardup._cut(paths[:1]) == 1
 
 
 def test_near_duplicate_edges(edge, empty, clashing):

@@ -27,7 +27,7 @@ def test_toxicity(spark, sf, stages):
 
 
 def test_near_duplicates(stages):
-    want = {i for i, c in near(table(stages[1])).items() if i == c}
+    want = {i for i, c in near(table(stages[1]), 80).items() if i == c}
     assert {r.doc_id for r in stages[2].collect()} == want
 
 
