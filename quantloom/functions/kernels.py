@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -58,6 +59,7 @@ def t_logpdf(x, nu: float):
     return math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - (nu + 1) / 2 * np.log1p(np.square(x) / nu)
 
 
+@lru_cache(maxsize=64)
 def _t_table(nu: float) -> tuple[np.ndarray, np.ndarray]:
     """Points and the distribution function of Student's t there, by fine trapezia in asinh(x)."""
     y = np.linspace(0, math.asinh(1e4 if nu < 3 else 2e3), 40_001)
@@ -194,15 +196,21 @@ def pot(x: np.ndarray, q: float, alpha: float, fewest: int = 10, floor: bool = T
 # --- GARCH(1,1) with t innovations ----------------------------------------------------------------------------------------------------
 
 
-def garch_variance(e: np.ndarray, omega: float, alpha: float, beta: float, first: float, leverage: float = 0.0) -> np.ndarray:
-    """Conditional variances of residuals e, and the next one (one more entry)."""
-    out = np.empty(len(e) + 1)
-    out[0] = s = first
-    e2 = e * e
-    rise = alpha + leverage * (e < 0)
-    for i in range(len(e)):
-        out[i + 1] = s = max(omega + rise[i] * e2[i] + beta * s, 1e-12)
-    return out
+def garch_variance(e: np.ndarray, omega: float, alpha: float, beta: float, first: float, leverage: float = 0.0, block: int = 64) -> np.ndarray:
+    """Conditional variances of residuals e, and the next one (one more entry).
+
+    s' = x + beta s is linear in s: within a block it is a triangular matrix of powers of beta, and only the blocks' ends follow one by one.
+    """
+    n = len(e)
+    x = omega + (alpha + leverage * (e < 0)) * e * e
+    powers = beta ** np.arange(block + 1)
+    lag = np.subtract.outer(np.arange(block), np.arange(block))
+    inner = np.pad(x, (0, -n % block)).reshape(-1, block) @ np.where(lag >= 0, powers[np.abs(lag)], 0.0).T
+    s, starts = first, np.empty(len(inner))
+    for k in range(len(inner)):
+        starts[k] = s
+        s = inner[k, -1] + powers[-1] * s
+    return np.concatenate(([first], np.maximum((inner + starts[:, None] * powers[1:]).ravel()[:n], 1e-12)))
 
 
 def backcast(e: np.ndarray) -> float:
@@ -212,14 +220,15 @@ def backcast(e: np.ndarray) -> float:
     return float((w * e[:k] ** 2).sum() / w.sum()) or 1e-8
 
 
-def garch_fit(r: np.ndarray, leverage: bool = False) -> dict:
-    """Maximum likelihood of a constant mean GARCH(1,1) (GJR with leverage) with unit-variance t innovations. r should be of the order of 1."""
+def garch_fit(r: np.ndarray, leverage: bool = False, normal: bool = False) -> dict:
+    """Maximum likelihood of a constant mean GARCH(1,1) (GJR with leverage) with unit-variance t innovations, or normal ones (nu is 0 then). r
+    should be of the order of 1."""
     v = float(r.var()) or 1e-8
 
     def unpack(p):
         alpha, beta = 1 / (1 + math.exp(-p[1])), 1 / (1 + math.exp(-p[2]))
         beta *= 1 - alpha  # alpha + beta stays under 1
-        return p[0], alpha, beta, 2.05 + math.exp(min(p[3], 5)), v * math.exp(p[4]), (math.exp(p[5]) if leverage else 0.0)
+        return p[0], alpha, beta, (0.0 if normal else 2.05 + math.exp(min(p[-1], 5))), v * math.exp(p[3]), (math.exp(p[4]) if leverage else 0.0)
 
     def cost(p):
         if np.abs(p[1:]).max() > 30:
@@ -229,10 +238,12 @@ def garch_fit(r: np.ndarray, leverage: bool = False) -> dict:
             return math.inf
         e = r - mu
         s = garch_variance(e, omega, alpha, beta, backcast(e), gamma)[:-1]
+        if normal:
+            return 0.5 * (math.log(2 * math.pi) + np.log(s) + e * e / s).sum()
         c = math.sqrt((nu - 2) / nu)
         return -(t_logpdf(e / np.sqrt(s) / c, nu) - 0.5 * np.log(s) - math.log(c)).sum()
 
-    start = [float(r.mean()), -2.5, 2.0, 1.5, math.log(0.1)] + ([-3.0] if leverage else [])
+    start = [float(r.mean()), -2.5, 2.0, math.log(0.1)] + [-3.0] * leverage + [1.5] * (not normal)
     p, best = minimise(cost, start, step=0.2, rounds=220, tol=1e-8)
     mu, alpha, beta, nu, omega, gamma = unpack(p)
     e = r - mu
@@ -259,19 +270,24 @@ def pseudo(x: np.ndarray) -> np.ndarray:
     return out / (len(x) + 1)
 
 
+def t_scores_correlation(u: np.ndarray, nu: float, eps: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, correlation) of pseudo-observations as quantiles of t with nu degrees of freedom."""
+    z = t_ppf(np.clip(u, eps, 1 - eps), nu)
+    r = np.corrcoef(z, rowvar=False)
+    return z, nearest_pd(r) if np.linalg.eigvalsh(r).min() < 1e-8 else r
+
+
 def t_copula_fit(u: np.ndarray, grid=range(2, 21)) -> tuple[np.ndarray, int, float]:
-    """(correlation, nu, log-likelihood): the correlation of normal scores of u, and the nu of greatest profile likelihood."""
-    r = nearest_pd(np.corrcoef(norm_ppf(u), rowvar=False))
-    inverse, logdet = np.linalg.inv(r), float(np.linalg.slogdet(r)[1])
+    """(correlation, nu, log-likelihood) of greatest profile likelihood; each nu has the correlation of its own scores."""
     d, best = u.shape[1], None
     for nu in grid:
-        z = t_ppf(u, nu)
-        quad = np.einsum("ij,jk,ik->i", z, inverse, z)
-        joint = math.lgamma((nu + d) / 2) - math.lgamma(nu / 2) - d / 2 * math.log(nu * math.pi) - logdet / 2 - (nu + d) / 2 * np.log1p(quad / nu)
+        z, r = t_scores_correlation(u, nu)
+        quad = np.einsum("ij,jk,ik->i", z, np.linalg.inv(r), z)
+        joint = math.lgamma((nu + d) / 2) - math.lgamma(nu / 2) - d / 2 * math.log(nu * math.pi) - float(np.linalg.slogdet(r)[1]) / 2 - (nu + d) / 2 * np.log1p(quad / nu)
         like = float((joint - t_logpdf(z, nu).sum(1)).sum())
-        if best is None or like > best[2]:
+        if math.isfinite(like) and (best is None or like > best[2]):
             best = (r, nu, like)
-    return best
+    return best or (t_scores_correlation(u, 5)[1], 5, -math.inf)
 
 
 def t_copula_sample(r: np.ndarray, nu: float, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -290,6 +306,49 @@ def cvm(u: np.ndarray, r: np.ndarray, nu: float, seed: int, draws: int = 10_000)
     return float(((empirical_copula(u, u) - empirical_copula(s, u)) ** 2).sum())
 
 
+# --- tests of residuals ---------------------------------------------------------------------------------------------------------------
+
+
+def ljung_box(x: np.ndarray, lags: int) -> float:
+    c = x - x.mean()
+    v, n = float(c @ c), len(c)
+    return n * (n + 2) * sum((float(c[k:] @ c[:-k]) / v) ** 2 / (n - k) for k in range(1, lags + 1))
+
+
+def chi2_tail(x: float, df: int) -> float:
+    """1 - distribution function of chi-squared, for an even number of degrees of freedom."""
+    return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(df // 2))
+
+
+def beta_inc(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by the continued fraction (Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_inc(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    f = d
+    for m in range(1, 500):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d or tiny)
+            c = 1 + num / c or tiny
+            f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * f
+
+
+def f_tail(x: float, d1: float, d2: float) -> float:
+    """1 - distribution function of F."""
+    return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * x))
+
+
+def t_two_sided(x: float, df: float) -> float:
+    return beta_inc(df / 2, 0.5, df / (df + x * x))
+
+
 # --- prices, for simulated scenarios --------------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from . import backtest
+from .panel import frame
 
 
 def stress_dim(like: DataFrame, windows=S.STRESS) -> DataFrame:
@@ -24,12 +25,10 @@ def in_windows(df: DataFrame, windows=S.STRESS, others: str | None = "outside")
     return df.withColumn("label", F.explode(F.concat(F.array(F.lit("full")), labels)))
 
 
-def summarize(df: DataFrame, by=("label",), confidence: float = S.ALPHA) -> DataFrame:
-    """Tests, severity and mean VaR and ES of each group of rows (by, d, pnl, var, es)."""
-    d = df.withColumn("exception", (F.col("pnl") < -F.col("var")).cast("int"))
-    tests = backtest.run(d, by, confidence)
-    more = d.groupBy(*by).agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"), backtest.severity().alias("severity"), F.avg("var").alias("mean_var"), F.avg("es").alias("mean_es"), F.max("var").alias("max_var"))
-    return backtest._join(tests, more, list(by))
+def summarize(df: DataFrame, by=("label",), confidence: float = S.ALPHA, extra=()) -> DataFrame:
+    """Tests, severity and mean VaR and ES of each group of rows (by, d, pnl, var, es), and `extra` aggregates."""
+    more = [F.min("d").alias("first_d"), F.max("d").alias("last_d"), backtest.severity().alias("severity"), F.avg("var").alias("mean_var"), F.avg("es").alias("mean_es"), F.max("var").alias("max_var"), F.max("es").alias("max_es")]
+    return backtest.run(df.withColumn("exception", (F.col("pnl") < -F.col("var")).cast("int")), by, confidence, more=[*more, *extra])
 
 
 def tail_summary(usage: DataFrame, n: int = 15) -> DataFrame:
@@ -66,3 +65,34 @@ def moments(value: Column) -> dict[str, Column]:
     """Mean, population standard deviation, skewness and excess kurtosis, and nine quantiles."""
     q = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
     return {"mean": F.avg(value), "std": F.stddev_pop(value), "skew": F.skewness(value), "kurt": F.kurtosis(value)} | {f"q{i}": F.percentile(value, x) for i, x in enumerate(q)}
+
+
+def static_var(df: DataFrame, value: str, levels: dict[float, float]) -> DataFrame:
+    """(book, confidence, var, es, var_normal) of a P&L column over all history, levels being confidences and their normal quantiles: the sample's
+    quantile, the mean of what is at or beyond it, and a normal law of the sample's mean and deviation."""
+    q = df.groupBy(S.BOOK).agg(F.percentile(value, [1 - a for a in levels]).alias("_q"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    rows = F.inline(F.array(*[F.struct(F.lit(a).alias("confidence"), (-F.col("_q")[k]).alias("var"), (F.lit(z) * F.col("_s") - F.col("_m")).alias("var_normal")) for k, (a, z) in enumerate(levels.items())]))
+    d = df.select(S.BOOK, F.col(value).alias("_v")).join(q.select(S.BOOK, rows), S.BOOK)
+    return d.groupBy(S.BOOK, "confidence").agg(F.first("var").alias("var"), (-F.avg(F.when(F.col("_v") <= -F.col("var"), F.col("_v")))).alias("es"), F.first("var_normal").alias("var_normal"))
+
+
+def rolling_moments(df: DataFrame, value: str, days: int = 30, around: int = 60) -> DataFrame:
+    """(book, d, i, vol, mean, sd): the yearly volatility of the `days` rows up to a day; mean and deviation (from the whole sample's mean) of the
+    `around` rows about it, half of them and one less before. Null where there are fewer."""
+    back, about = frame(1 - days, 0), frame(1 - around // 2, around // 2)
+    d = df.withColumn("_c", F.col(value) - F.avg(value).over(Window.partitionBy(S.BOOK)))
+    full = lambda w, n, x: F.when(F.count("*").over(w) == n, x.over(w))
+    return d.select(
+        S.BOOK, "d", "i",
+        (full(back, days, F.stddev_samp(value)) * F.sqrt(F.lit(float(S.TRADING_DAYS)))).alias("vol"),
+        full(about, around, F.avg(value)).alias("mean"),
+        F.sqrt(full(about, around, F.avg(F.col("_c") * F.col("_c")))).alias("sd"),
+    )
+
+
+def summary_stats(value: str) -> dict[str, Column]:
+    """n, mean, standard deviation, extremes, skewness, excess kurtosis, and whether the tails are fatter than normal ones."""
+    v = F.col(value)
+    return {
+        "n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "least": F.min(v), "most": F.max(v), "skew": F.skewness(v), "kurt": F.kurtosis(v), "fat_tailed": F.kurtosis(v) > 0,
+    }

@@ -5,8 +5,6 @@ Input everywhere: rows of (group columns, d, pnl, var); a breach is pnl < -var.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +23,12 @@ def _ln(p: Column) -> Column:
     return F.log(F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS)))
 
 
-def counts(df: DataFrame, by) -> DataFrame:
-    """t, n and the transitions n00, n01, n10, n11 of each group, in order of d."""
+def counts(df: DataFrame, by, more=()) -> DataFrame:
+    """t, n and the transitions n00, n01, n10, n11 of each group, in order of d; `more` aggregates come from the same pass."""
     w = Window.partitionBy(*by).orderBy("d")
     d = df.withColumn("_e", F.col("exception")).withColumn("_p", F.lag("exception").over(w))
     n = lambda a, b: F.coalesce(F.sum(((F.col("_p") == a) & (F.col("_e") == b)).cast("long")), F.lit(0)).alias(f"n{a}{b}")
-    return d.groupBy(*by).agg(F.count("*").alias("t"), F.sum("_e").cast("long").alias("n"), n(0, 0), n(0, 1), n(1, 0), n(1, 1))
+    return d.groupBy(*by).agg(F.count("*").alias("t"), F.sum("_e").cast("long").alias("n"), n(0, 0), n(0, 1), n(1, 0), n(1, 1), *more)
 
 
 def kupiec(t: Column, n: Column, p: float) -> Column:
@@ -67,42 +65,50 @@ def degenerate_as_null(df: DataFrame, p: float) -> DataFrame:
     return df.withColumns({"lr_uc_strict": uc, "lr_ind_strict": F.when((a > 0) & (b > 0), ind)})
 
 
-def binomial(df: DataFrame, by, p: float, level: float = 0.05) -> DataFrame:
-    """df (by, t, n) with the inclusive acceptance range of n and its two-sided exact p-value, from the probabilities of 0 .. t: t + 1 rows
-    a group, so t is the length of a backtest."""
-    k = df.select(*by, "t", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t"))).alias("k"))
-    run = Window.partitionBy(*by).orderBy("k")
-    # log pmf by its ratios: ln C(t, k) grows by ln((t - k + 1) / k)
-    step = F.when(F.col("k") > 0, F.log((F.col("t") - F.col("k") + 1) / F.col("k"))).otherwise(F.lit(0.0))
-    k = k.withColumn("pmf", F.exp(F.sum(step).over(run) + F.col("k") * F.log(F.lit(p)) + (F.col("t") - F.col("k")) * F.log(F.lit(1 - p))))
-    k = k.withColumn("cdf", F.sum("pmf").over(run))
-    k = k.withColumn("own", F.max(F.when(F.col("k") == F.col("n"), F.col("pmf"))).over(Window.partitionBy(*by)))
-    g = k.groupBy(*by).agg(
-        F.min(F.when(F.col("cdf") >= level / 2, F.col("k"))).alias("lower"),
-        F.min(F.when(F.col("cdf") >= 1 - level / 2, F.col("k"))).alias("upper"),
-        F.least(F.lit(1.0), F.sum(F.when(F.col("pmf") <= F.col("own") * (1 + 1e-7), F.col("pmf")))).alias("binomial_p"),
-    )
-    return _join(df, g, by)
-
-
-def _join(a: DataFrame, b: DataFrame, by) -> DataFrame:
-    """Null keys match."""
-    b = b.withColumnsRenamed({c: f"_{c}" for c in by})
-    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    return a.join(b, on).drop(*(f"_{c}" for c in by))
-
-
-def run(df: DataFrame, by=(S.BOOK,), confidence: float = S.ALPHA, level: float = 0.05) -> DataFrame:
-    """All tests of each group of rows (by, d, pnl, var)."""
+def binomial(df: DataFrame, p: float, level: float = 0.05) -> DataFrame:
+    """df (t, n) with the inclusive acceptance range of n and its two-sided exact p-value: folds over 0 .. t within a row, so that a group is
+    one row whatever its length."""
+    t, n = F.col("t"), F.col("n")
+    ks = F.sequence(F.lit(0).cast("long"), t)
+    none = F.lit(None).cast("long")
+
+    def ahead(acc, k):  # ln C(t, k) grows by ln((t - k + 1) / k)
+        return F.when(k > 0, acc["c"] + F.log((t - k + 1) / k)).otherwise(F.lit(0.0))
+
+    def pmf(c, k):
+        return F.exp(c + k * F.log(F.lit(p)) + (t - k) * F.log(F.lit(1 - p)))
+
+    def step(acc, k):
+        own = pmf(ahead(acc, k), k)
+        cdf = acc["cdf"] + own
+        return F.struct(
+            ahead(acc, k).alias("c"), cdf.alias("cdf"),
+            F.coalesce(acc["lower"], F.when(cdf >= level / 2, k)).alias("lower"), F.coalesce(acc["upper"], F.when(cdf >= 1 - level / 2, k)).alias("upper"),
+            F.when(k == n, own).otherwise(acc["own"]).alias("own"),
+        )
+
+    def total(acc, k):
+        own = pmf(ahead(acc, k), k)
+        return F.struct(ahead(acc, k).alias("c"), (acc["sum"] + F.when(own <= F.col("_b.own") * (1 + 1e-7), own).otherwise(F.lit(0.0))).alias("sum"))
+
+    zero = F.lit(0.0)
+    first = F.struct(zero.alias("c"), zero.alias("cdf"), none.alias("lower"), none.alias("upper"), F.lit(None).cast("double").alias("own"))
+    df = df.withColumn("_b", F.aggregate(ks, first, step))
+    value = F.least(F.lit(1.0), F.aggregate(ks, F.struct(zero.alias("c"), zero.alias("sum")), total)["sum"])
+    return df.withColumns({"lower": F.col("_b.lower"), "upper": F.col("_b.upper"), "binomial_p": value}).drop("_b")
+
+
+def run(df: DataFrame, by=(S.BOOK,), confidence: float = S.ALPHA, level: float = 0.05, more=()) -> DataFrame:
+    """All tests of each group of rows (by, d, pnl, var), with `more` aggregates of them: one pass over df."""
     p = 1 - confidence
     by = list(by)
     d = df if "exception" in df.columns else df.withColumn("exception", (F.col("pnl") < -F.col("var")).cast("int"))
-    c = counts(d, by)
+    c = counts(d, by, more)
     c = c.withColumns({"lr_uc": kupiec(F.col("t"), F.col("n"), p), "lr_ind": christoffersen(*(F.col(x) for x in ("n00", "n01", "n10", "n11")))})
     c = c.withColumn("lr_cc", F.col("lr_uc") + F.col("lr_ind"))
     c = c.withColumns({"p_uc": chi2_tail(F.col("lr_uc"), 1), "p_ind": chi2_tail(F.col("lr_ind"), 1), "p_cc": chi2_tail(F.col("lr_cc"), 2)})
     c = c.withColumns({"expected_n": F.round(F.col("t") * p, 1), "rate": F.col("n") / F.col("t"), **{f"reject_{x}": F.col(f"p_{x}") < level for x in ("uc", "ind", "cc")}})
-    c = binomial(c, by, p, level)
+    c = binomial(c, p, level)
     return c.withColumn("binomial_reject", (F.col("n") < F.col("lower")) | (F.col("n") > F.col("upper")))
 
 

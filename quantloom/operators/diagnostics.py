@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import kernels as K
 from ..functions.pricing import norm_cdf
 from .panel import frame
 
@@ -90,6 +94,25 @@ def ljung_box(df: DataFrame, value: str, lags: int = 10) -> DataFrame:
     return g.select(S.BOOK, "n", F.lit(lags).alias("lags"), (F.col("n") * (F.col("n") + 2) * rho).alias("q"))
 
 
+def chi2_tail_even(x: Column, df: int) -> Column:
+    """1 - distribution function of chi-squared, for an even number of degrees of freedom: a sum of df / 2 terms."""
+    return F.exp(-x / 2) * reduce(lambda acc, k: F.lit(1.0) + x / 2 / k * acc, range(df // 2 - 1, 0, -1), F.lit(1.0))
+
+
+def portmanteau(df: DataFrame, series: dict[str, Column], lags=(10, 20)) -> DataFrame:
+    """(book, series, n, q<lags>, p<lags>): Ljung-Box tests of several series of the same rows, in one pass."""
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("series"), v.cast("double").alias("_v")) for k, v in series.items()]))
+    by = (S.BOOK, "series")
+    w = Window.partitionBy(*by).orderBy("i")
+    d = df.select(S.BOOK, "i", rows).withColumn("_c", F.col("_v") - F.avg("_v").over(Window.partitionBy(*by)))
+    most = max(lags)
+    d = d.withColumns({f"_l{k}": F.lag("_c", k).over(w) for k in range(1, most + 1)})
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_s0"), *(F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, most + 1)))
+    q = {f"q{m}": F.col("n") * (F.col("n") + 2) * sum(F.pow(F.col(f"_s{k}") / F.col("_s0"), 2) / (F.col("n") - k) for k in range(1, m + 1)) for m in lags}
+    g = g.withColumns(q).withColumns({f"p{m}": chi2_tail_even(F.col(f"q{m}"), m) for m in lags})
+    return g.select(*by, "n", *(c for m in lags for c in (f"q{m}", f"p{m}")))
+
+
 def ks_normal(df: DataFrame, value: str) -> DataFrame:
     """(book, n, ks): the greatest distance from a normal of the sample's mean and standard deviation."""
     every = Window.partitionBy(S.BOOK)
@@ -121,3 +144,129 @@ def sign_bias(df: DataFrame, z: str) -> DataFrame:
     d = df.withColumn("_b", F.lag(z).over(Window.partitionBy(S.BOOK).orderBy("i"))).where("_b is not null")
     neg = (F.col("_b") < 0).cast("double")
     return normal_equations(d, F.col(z) * F.col(z), {"neg": neg, "negsize": neg * F.col("_b"), "possize": (1 - neg) * F.col("_b")})
+
+
+def sign_bias_test(df: DataFrame, z: str) -> DataFrame:
+    """(book, n, c0, sign, neg_size, pos_size, t_sign, t_neg, t_pos, f): z^2 regressed on a constant, the sign and the sizes of the z before.
+
+    With a sign and a size for either side it is two lines, one for each side: their slopes and the difference of their constants, with one
+    variance of what is left; f is that of all three being 0.
+    """
+    d = df.withColumn("_b", F.lag(z).over(Window.partitionBy(S.BOOK).orderBy("i"))).where("_b is not null").withColumn("_y", F.col(z) * F.col(z))
+    side = {"n": F.col("_b") < 0, "p": F.col("_b") >= 0}
+    aggs = [F.count("*").alias("n"), F.regr_syy("_y", "_b").alias("_all")]
+    for k, on in side.items():
+        y, x = F.when(on, F.col("_y")), F.when(on, F.col("_b"))
+        aggs += [f(y, x).alias(f"_{name}_{k}") for name, f in (("count", F.regr_count), ("slope", F.regr_slope), ("const", F.regr_intercept), ("sxx", F.regr_sxx), ("syy", F.regr_syy), ("sxy", F.regr_sxy), ("x", F.regr_avgx))]
+    c = F.col
+    g = d.groupBy(S.BOOK).agg(*aggs)
+    left = sum(c(f"_syy_{k}") - c(f"_sxy_{k}") * c(f"_sxy_{k}") / c(f"_sxx_{k}") for k in side)
+    g = g.withColumn("_left", left).withColumn("_s2", c("_left") / (c("n") - 4))
+    spread = sum(1 / c(f"_count_{k}") + c(f"_x_{k}") * c(f"_x_{k}") / c(f"_sxx_{k}") for k in side)
+    sign = c("_const_n") - c("_const_p")
+    return g.select(
+        S.BOOK, "n", c("_const_p").alias("c0"), sign.alias("sign"), c("_slope_n").alias("neg_size"), c("_slope_p").alias("pos_size"),
+        (sign / F.sqrt(c("_s2") * spread)).alias("t_sign"), (c("_slope_n") / F.sqrt(c("_s2") / c("_sxx_n"))).alias("t_neg"), (c("_slope_p") / F.sqrt(c("_s2") / c("_sxx_p"))).alias("t_pos"),
+        ((c("_all") - c("_left")) / 3 / c("_s2")).alias("f"),
+    )
+
+
+def with_p(tests: DataFrame) -> DataFrame:
+    """sign_bias_test()'s rows with p_sign, p_neg, p_pos and p_joint."""
+    fields = ", ".join(f"{c} {k}" for c, k in tests.dtypes) + ", p_sign double, p_neg double, p_pos double, p_joint double"
+
+    def run(batches):
+        for b in batches:
+            for name, t in (("p_sign", "t_sign"), ("p_neg", "t_neg"), ("p_pos", "t_pos")):
+                b[name] = [K.t_two_sided(x, n - 4) for x, n in zip(b[t], b["n"])]
+            b["p_joint"] = [K.f_tail(x, 3, n - 4) for x, n in zip(b["f"], b["n"])]
+            yield b
+
+    return tests.mapInPandas(run, fields)
+
+
+def least_squares(df: DataFrame, y: Column, xs: dict[str, Column]) -> DataFrame:
+    """(book, n, rss, r2, b_<x>, t_<x>) of a regression with a constant (one): sums in one pass, and a small solve for each book. Rows with a null
+    regressor have no part."""
+    names = ["one", *xs]
+    sums = normal_equations(df.where(reduce(lambda a, b: a & b, [x.isNotNull() for x in xs.values()])), y, xs)
+    fields = "book string, n long, rss double, r2 double, " + ", ".join([f"b_{k} double" for k in names] + [f"t_{k} double" for k in names])
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for _, row in b.iterrows():
+                m = np.array([[row[f"xx_{names[min(i, j)]}_{names[max(i, j)]}"] for j in range(len(names))] for i in range(len(names))])
+                v, n = np.array([row[f"xy_{k}"] for k in names]), row["n"]
+                # columns of one scale, so that the solve is as exact as the sums are
+                scale = np.sqrt(np.diag(m))
+                inverse = np.linalg.inv(m / np.outer(scale, scale)) / np.outer(scale, scale)
+                beta = inverse @ v
+                rss = float(row["yy"] - beta @ v)
+                out.append((row["book"], n, rss, 1 - rss / (row["yy"] - v[0] ** 2 / n), *beta, *(beta / np.sqrt(np.diag(inverse) * rss / (n - len(names))))))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
+
+    return sums.mapInPandas(run, fields)
+
+
+def arch_lm(df: DataFrame, z: str, lags: int = 10) -> DataFrame:
+    """(book, n, lm, p): n R^2 of z^2 on its last `lags`."""
+    w = Window.partitionBy(S.BOOK).orderBy("i")
+    d = df.withColumn("_y", F.col(z) * F.col(z))
+    d = d.withColumns({f"_l{k}": F.lag("_y", k).over(w) for k in range(1, lags + 1)})
+    out = least_squares(d, F.col("_y"), {f"l{k}": F.col(f"_l{k}") for k in range(1, lags + 1)})
+    out = out.select(S.BOOK, "n", (F.col("n") * F.col("r2")).alias("lm"))
+    return out.withColumn("p", chi2_tail_even(F.col("lm"), lags))
+
+
+#: Quantiles of the Dickey-Fuller t statistic with constant and trend, for samples without end.
+DF_PROBABILITIES = (0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99)
+DF_QUANTILES = (-3.96, -3.66, -3.41, -3.12, -1.25, -0.94, -0.66, -0.33)
+
+
+def dickey_fuller(df: DataFrame, value: str, lags: int = 12) -> DataFrame:
+    """(book, n, t, p): the augmented test of a unit root, with constant and trend; p is between the table's quantiles, and held to its ends."""
+    w = Window.partitionBy(S.BOOK).orderBy("i")
+    d = df.withColumn("_x", F.col(value)).withColumn("_d", F.col("_x") - F.lag("_x").over(w))
+    d = d.withColumns({"_b": F.lag("_x").over(w), "_n": F.row_number().over(w)} | {f"_l{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)})
+    out = least_squares(d, F.col("_d"), {"before": F.col("_b"), "trend": F.col("_n").cast("double")} | {f"l{k}": F.col(f"_l{k}") for k in range(1, lags + 1)})
+    t = F.col("t_before")
+    p = F.lit(DF_PROBABILITIES[-1])
+    for (q0, p0), (q1, p1) in reversed(list(zip(zip(DF_QUANTILES, DF_PROBABILITIES), zip(DF_QUANTILES[1:], DF_PROBABILITIES[1:])))):
+        p = F.when(t < q1, p0 + (t - q0) / (q1 - q0) * (p1 - p0)).otherwise(p)
+    return out.select(S.BOOK, "n", t.alias("t"), F.when(t < DF_QUANTILES[0], F.lit(DF_PROBABILITIES[0])).otherwise(p).alias("p"))
+
+
+def quantiles_type8(df: DataFrame, value: str, us) -> DataFrame:
+    """(book, u, q): quantiles at (n + 1/3) u + 1/3, between order statistics."""
+    every = Window.partitionBy(S.BOOK)
+    d = df.select(S.BOOK, F.col(value).alias("_v"), F.row_number().over(every.orderBy(value)).alias("_k"), F.count("*").over(every).alias("_n"))
+    at = lambda u: F.least(F.greatest((F.col("_n") + 1 / 3) * u + 1 / 3, F.lit(1.0)), F.col("_n").cast("double"))
+    aggs = []
+    for j, u in enumerate(us):
+        k = F.floor(at(u))
+        aggs += [F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"_a{j}"), F.max(F.when(F.col("_k") == k + 1, F.col("_v"))).alias(f"_b{j}"), F.max(at(u) - k).alias(f"_g{j}")]
+    q = [F.struct(F.lit(u).alias("u"), (F.col(f"_a{j}") + F.when(F.col(f"_g{j}") > 0, F.col(f"_g{j}") * (F.col(f"_b{j}") - F.col(f"_a{j}"))).otherwise(0.0)).alias("q")) for j, u in enumerate(us)]
+    return d.groupBy(S.BOOK).agg(*aggs).select(S.BOOK, F.inline(F.array(*q)))
+
+
+def families(df: DataFrame, value: str) -> DataFrame:
+    """(book, family, p1, p2, p3, loglik, aic, ks, ks_p): normal, Laplace and Student-t laws fitted to a column, a book a task."""
+    fields = "book string, family string, p1 double, p2 double, p3 double, loglik double, aic double, ks double, ks_p double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, out = pdf["_v"].to_numpy(float), []
+        m, s, mid = x.mean(), x.std(), float(np.median(x))
+        b = float(np.abs(x - mid).mean())
+        nu, at, scale = K.t_fit(x)
+        laws = {
+            "normal": ((m, s, None), -0.5 * np.log(2 * np.pi * s * s) - (x - m) ** 2 / (2 * s * s), lambda v: K.norm_cdf((v - m) / s)),
+            "laplace": ((mid, b, None), -np.log(2 * b) - np.abs(x - mid) / b, lambda v: np.where(v < mid, 0.5 * np.exp((v - mid) / b), 1 - 0.5 * np.exp(-(v - mid) / b))),
+            "t": ((at, scale, nu), K.t_logpdf((x - at) / scale, nu) - np.log(scale), lambda v: K.t_cdf((v - at) / scale, nu)),
+        }
+        for name, (p, like, cdf) in laws.items():
+            d, k = K.ks_against(x, cdf), 3 if name == "t" else 2
+            out.append((pdf["book"].iloc[0], name, *p, float(like.sum()), 2 * k - 2 * float(like.sum()), d, K.ks_p(d, len(x))))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
+
+    return df.select(S.BOOK, F.col(value).alias("_v")).groupBy(S.BOOK).applyInPandas(run, fields)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import kernels as K
 from . import tails
+from .once import once
 from .panel import frame
 
 REFIT = 50
@@ -68,17 +69,19 @@ def volatility(r: DataFrame, fits: DataFrame, window: int = S.WINDOW, every: int
 
 
 def residuals(r: DataFrame, fits: DataFrame, window: int = S.WINDOW, every: int = REFIT) -> DataFrame:
-    """volatility(), with the days before the first forecast filled from the first fit's sample."""
+    """volatility(), with the days before the first forecast filled from the first fit's sample. The fits are made once."""
+    fits = once(fits)
     out = volatility(r, fits, window, every)
     first = fits.where("refit = 0").select(S.BOOK, "mu", F.posexplode("sigma").alias("i", "sigma")).withColumn("i", F.col("i").cast("long"))
     early = r.join(first, [S.BOOK, "i"]).withColumn("z", (F.col("r") - F.col("mu")) / F.col("sigma"))
     return out.unionByName(early.select(S.BOOK, "d", "i", "r", F.lit(-1).alias("refit"), "mu", "sigma", "z"))
 
 
-def garch_evt(resid: DataFrame, window: int = S.WINDOW, q: float = 0.9, alpha: float = S.ALPHA, v0: float = S.V0) -> DataFrame:
-    """VaR = v0 (sigma * tail quantile of -z - mu), not under 0; ES not under VaR."""
+def garch_evt(resid: DataFrame, window: int = S.WINDOW, qs=(0.9,), alpha: float = S.ALPHA, v0: float = S.V0) -> DataFrame:
+    """VaR = v0 (sigma * tail quantile of -z - mu), not under 0; ES not under VaR. A row for each day and threshold q."""
     d = tails.windows(resid.withColumn("loss", -F.col("z")), "loss", window).where("refit >= 0")
-    p = tails.fit(d.select(S.BOOK, "d", "i", "r", "mu", F.col("sigma").alias("vol"), "w"), q, alpha, floor=False)
+    d = d.select(S.BOOK, "d", "i", "r", "mu", F.col("sigma").alias("vol"), "w", F.explode(F.array(*map(F.lit, qs))).alias("q"))
+    p = tails.fit(d, "q", alpha, floor=False)
     var = F.greatest(v0 * (F.col("vol") * F.col("var") - F.col("mu")), F.lit(0.0))
     p = p.withColumns({"q_z": F.col("var"), "es_z": F.col("es"), "var": var})
     return p.withColumn("es", F.greatest(v0 * (F.col("vol") * F.col("es_z") - F.col("mu")), F.col("var")))
@@ -89,3 +92,39 @@ def filtered(resid: DataFrame, window: int = S.WINDOW, p: float = 1 - S.ALPHA, v
     w = frame(-window, -1)
     d = resid.withColumns({"_q": F.percentile("z", p).over(w), "_n": F.count("z").over(w)}).where((F.col("_n") == window) & (F.col("refit") >= 0))
     return d.select(S.BOOK, "d", "i", "r", "sigma", (-v0 * F.col("sigma") * F.col("_q")).alias("var"))
+
+
+def whole_sample(shocks: DataFrame, columns, leverage=(False,), normal=(False,)) -> DataFrame:
+    """A fit of all history for each book, column and model: GARCH or GJR, with t or normal innovations; each is a task's row of its own.
+
+    aic counts the parameters; lb_p is the Ljung-Box test of ten lags of the squared residuals, ks_p that of the residuals' law.
+    """
+    series = F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in columns]))
+    d = shocks.select(S.BOOK, "i", series).groupBy(S.BOOK, "factor").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("x"))
+    d = d.withColumn("gjr", F.explode(F.array(*map(F.lit, leverage)))).withColumn("normal", F.explode(F.array(*map(F.lit, normal))))
+    fields = "book string, factor string, gjr boolean, normal boolean, n long, mu double, omega double, alpha double, beta double, gamma double, nu double, loglik double, aic double, lb_p double, ks_p double"
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                x = np.asarray(row.x, float)
+                scale = 1 / (x.std() or 1.0)
+                f = K.garch_fit(x * scale, leverage=bool(row.gjr), normal=bool(row.normal))
+                z = (x * scale - f["mu"]) / f["sigma"]
+                loglik = f["loglik"] + len(x) * float(np.log(scale))
+                k = 4 + bool(row.gjr) + (not row.normal)
+                nu = None if row.normal else f["nu"]
+                law = K.norm_cdf if row.normal else lambda v, nu=nu: K.t_cdf(v * np.sqrt(nu / (nu - 2)), nu)
+                out.append((row.book, row.factor, row.gjr, row.normal, len(x), f["mu"] / scale, f["omega"] / scale**2, f["alpha"], f["beta"], f["gamma"], nu, loglik, 2 * k - 2 * loglik, K.chi2_tail(K.ljung_box(z * z, 10), 10), K.ks_p(K.ks_against(z, law), len(z))))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
+
+    return d.repartition(S.BOOK, "factor", "gjr", "normal").mapInPandas(run, fields)
+
+
+def selected(fits: DataFrame, top: int = 3, least: float = 0.05) -> DataFrame:
+    """Of each factor's `top` models by AIC, the best whose tests pass; the best of all if none does. passed tells which."""
+    w = Window.partitionBy(S.BOOK, "factor").orderBy("aic", "gjr", "normal")
+    d = fits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumn("passed", (F.col("lb_p") > least) & (F.col("ks_p") > least))
+    first = Window.partitionBy(S.BOOK, "factor").orderBy(F.desc("passed"), "rank")
+    return d.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")

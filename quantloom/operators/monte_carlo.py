@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import kernels as K
 from .book import values
+from .once import once
 from .panel import SHOCKS, frame, mc_shocks
 
 EWMA = 0.94
@@ -20,7 +21,9 @@ OUT = "book string, d date, i long, var double, mean_pnl double, std_pnl double"
 
 
 def days(lv: DataFrame, window: int = S.MC_WINDOW, step: int = 1) -> DataFrame:
-    """(book, d, i, w, snapshot before): w is the window's shocks, flat, oldest first. Every step-th day of those with a full window."""
+    """(book, d, i, w, snapshot before): w is the window's shocks, flat, oldest first. Every step-th day of those with a full window. The
+    levels are computed once; a window is built from them where it is needed, as it is wider than what it comes from."""
+    lv = once(lv)
     shocks = mc_shocks(lv).withColumn("_w", F.collect_list(F.array(*SHOCKS)).over(frame(-window, -1))).where(F.size("_w") == window)
     shocks = shocks.where((F.col("i") - 1 - window) % step == 0)
     snap = values(lv).select(S.BOOK, (F.col("i") + 1).alias("i"), F.array(*S.ASSETS).alias("px"), F.array(*(f"sh_{c[-1]}" for c in S.ASSETS)).alias("sh"), "strike", "tenor", "vol_idx", "rate_idx")
@@ -141,23 +144,35 @@ def garch_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draw
     return _run(d.where((F.col("i") - 1 - window) % step == 0), draw, alpha)
 
 
-def copula_gof(lv: DataFrame, window: int = S.MC_WINDOW, replicates: int = 40, seed: int = 42) -> DataFrame:
-    """Parametric bootstrap of the Cramer-von Mises distance on each book's first window: a task for each replicate (0 is the sample's own)."""
-    first = days(lv, window).where(F.col("i") == window + 1).select(S.BOOK, "w")
-    d = first.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+def copula_gof(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 500, replicates: int = 200, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """(book, d, i, nu, cvm, p, replicates): parametric bootstrap of the Cramer-von Mises distance of the residuals' t copula, for the first window
+    and each `every` days on (every tenth refit). The copula is fitted once a window; a task for each replicate (0 is the sample's own), which
+    keeps nu and estimates the correlation anew."""
+    n = len(SHOCKS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                u = K.pseudo(np.asarray(row.w, float).reshape(-1, len(SHOCKS)))
+                u = K.pseudo(garch_fits(np.asarray(row.w, float).reshape(-1, n))[0])
                 r, nu, _ = K.t_copula_fit(u)
+                out.append((row.book, row.d, row.i, u.ravel().tolist(), r.ravel().tolist(), float(nu)))
+            yield pd.DataFrame(out, columns=["book", "d", "i", "u", "r", "nu"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                u, r = np.asarray(row.u, float).reshape(-1, n), np.asarray(row.r, float).reshape(n, n)
                 if row.replicate:
-                    u = K.pseudo(K.t_copula_sample(r, nu, len(u), np.random.default_rng([seed, row.replicate])))
-                    r, nu, _ = K.t_copula_fit(u)
-                out.append((row.book, row.replicate, float(nu), K.cvm(u, r, nu, seed, 3000)))
-            yield pd.DataFrame(out, columns=["book", "replicate", "nu", "cvm"])
-
-    s = d.repartition(S.BOOK, "replicate").mapInPandas(run, "book string, replicate int, nu double, cvm double")
-    own = s.where("replicate = 0").select(S.BOOK, "nu", F.col("cvm").alias("own"))
-    return s.where("replicate > 0").join(own.drop("nu"), S.BOOK).groupBy(S.BOOK).agg(F.first("own").alias("cvm"), F.avg((F.col("cvm") >= F.col("own")).cast("double")).alias("p"), F.count("*").alias("replicates"))
+                    u = K.t_copula_sample(K.nearest_pd(r), row.nu, len(u), np.random.default_rng([seed, row.i, row.replicate]))
+                    r = K.t_scores_correlation(u, row.nu)[1]
+                out.append((row.book, row.d, row.i, row.replicate, row.nu, K.cvm(u, r, row.nu, seed, draws)))
+            yield pd.DataFrame(out, columns=["book", "d", "i", "replicate", "nu", "cvm"])
+
+    fits = once(days(lv, window, every).select(S.BOOK, "d", "i", "w").repartition(S.BOOK, "i").mapInPandas(fit, "book string, d date, i long, u array<double>, r array<double>, nu double"))
+    s = fits.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).repartition(S.BOOK, "i", "replicate")
+    s = once(s.mapInPandas(run, "book string, d date, i long, replicate int, nu double, cvm double"))
+    own = s.where("replicate = 0").select(S.BOOK, "i", F.col("cvm").alias("own"))
+    g = s.where("replicate > 0").join(own, [S.BOOK, "i"]).groupBy(S.BOOK, "d", "i", "nu")
+    return g.agg(F.first("own").alias("cvm"), F.avg((F.col("cvm") >= F.col("own")).cast("double")).alias("p"), F.count("*").alias("replicates"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from .. import schema as S
 from ..functions.pricing import TAIL_CUT, TAIL_DEN, TAIL_NUM
@@ -260,10 +261,16 @@ def oracle_sql() -> dict[str, str]:
     cdoubles = "p_uc p_ind p_cc severity mean_var mean_es"
     dnw = dn(250, "dnx") | dn(500, "dny") | dn(750, "dnz") | {"dw": " union all ".join(f"select {w} as \"window\", d, pnl, var, es, exception from {k}" for w, k in ((250, "dnx"), (500, "dny"), (750, "dnz")))}
     hsx = lambda w, k: f"select {w} as \"window\", d, realised_pnl as pnl, var, es, exception from {k}"
-    h250 = {f"h{k}" if k in ("pair", "hs0", "hs", "scen", "scen0") or k.startswith("xs") else k: v for k, v in hs(250, k=3).items()}
-    for old in ("xs_1", "xs_2", "xs_3", "xs_4", "xs_5", "xs_ok", "pair", "scen0", "scen", "hs0"):
-        h250 = {k: v.replace(f"from {old}", f"from h{old}") for k, v in h250.items()}
-    hw = h250 | hs(500) | {"hw": hsx(250, "hhs") + " union all " + hsx(500, "hs")}
+
+    def named(w: int, k: int, prefix: str) -> dict[str, str]:
+        """hs(w, k) with the CTEs that depend on w under names of their own."""
+        own = lambda x: x in ("pair", "hs0", "hs", "scen", "scen0") or x.startswith("xs")
+        out = {prefix + x if own(x) else x: v for x, v in hs(w, k=k).items()}
+        for old in ("xs_1", "xs_2", "xs_3", "xs_4", "xs_5", "xs_ok", "pair", "scen0", "scen", "hs0"):
+            out = {x: v.replace(f"from {old}", f"from {prefix}{old}") for x, v in out.items()}
+        return out
+
+    hw = named(250, 3, "h") | named(750, 8, "g") | hs(500) | {"hw": " union all ".join((hsx(250, "hhs"), hsx(500, "hs"), hsx(750, "ghs")))}
     hb = {"hb": "select d, realised_pnl as pnl, var, es, exception from hs"}
     cm = {"cm": "select 'delta_normal' as method, d, pnl, var, es, exception from dn union all select 'hist_sim', d, realised_pnl, var, es, exception from hs"}
     q9 = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
@@ -282,7 +289,68 @@ def oracle_sql() -> dict[str, str]:
     snap_last = {"sl": f"select {_COLS.replace('snap_d, d', 'd as snap_d, n_day as d')} from snap qualify f=max(f) over ()", "pair": "select n.*, h.d as shock_d, h.i as shock_i, s_a, s_b, s_c, s_d, s_vol, s_rate from sl n cross join shock h"}
     worst = {k: v for k, v in scenario(500).items() if k not in ("sn", "pair")} | snap_last
     u = "(1-0.99e0)"
+    sp = f"(1-{lit(S.ALPHA)})"
+    sn = {"p01": "n01/(n00+n01)", "p11": "n11/(n10+n11)", "q": "(n01+n11)/(n00+n01+n10+n11)"}
+    safe = lambda x: f"(case when {x}>0 then ln({x}) else 0e0 end)"
+    held = lambda x: f"ln(case when {x}>0 then {x} else 1e-10 end)"
+    strict = f"""select book, case when n>0 and n<t then -2*(n*ln({sp}/(n/t))+(t-n)*ln((1-{sp})/(1-n/t))) end as lr_uc_strict,
+        case when n00+n01>0 and n10+n11>0 then -2*((n00+n10)*{safe('1-' + sn['q'])}+(n01+n11)*{safe(sn['q'])}-n00*{safe('1-' + sn['p01'])}-n01*{held(sn['p01'])}-n10*{safe('1-' + sn['p11'])}-n11*{held(sn['p11'])}) end as lr_ind_strict from bt1"""
+    bad = lambda src, cols: f"select book, d, 'duplicate' as problem from {src} group by book, d having count(*)>1 union all select book, d, 'not finite' from {src} where " + " or ".join(f"{c} is null or isnan({c})" for c in cols)
+    tail = lambda x, m: f"exp(-{x}/2)*(" + "+".join(f"pow({x}/2, {k})/{math.factorial(k)}" for k in range(m // 2)) + ")"
+    pm = {
+        "lj0": "select book, i, 'r' as series, r as v from gf union all select book, i, 'z', z from gf union all select book, i, 'z2', z*z from gf",
+        "lj1": "select *, v-avg(v) over (partition by series) as c from lj0",
+        "lj2": "select *, " + ", ".join(f"lag(c, {k}) over (partition by series order by i) as l{k}" for k in range(1, 21)) + " from lj1",
+        "lj3": "select book, series, count(*) as n, sum(c*c) as s0, " + ", ".join(f"sum(c*l{k}) as s{k}" for k in range(1, 21)) + " from lj2 group by book, series",
+        "lj4": "select book, series, n, " + ", ".join(f"n*(n+2)*({'+'.join(f'pow(s{k}/s0, 2)/(n-{k})' for k in range(1, m + 1))}) as q{m}" for m in (10, 20)) + " from lj3",
+    }
+    half = lambda k, on: ", ".join(f"{f}(y, b) filter (where {on}) as {c}_{k}" for c, f in (("cnt", "regr_count"), ("slope", "regr_slope"), ("cst", "regr_intercept"), ("sxx", "regr_sxx"), ("syy", "regr_syy"), ("sxy", "regr_sxy"), ("mx", "regr_avgx")))
+    st = sb | {
+        "st0": f"select count(*) as n, regr_syy(y, b) as yy, {half('n', 'b<0')}, {half('p', 'b>=0')} from sb",
+        "st1": "select *, syy_n-sxy_n*sxy_n/sxx_n+syy_p-sxy_p*sxy_p/sxx_p as rss from st0",
+        "st2": "select *, rss/(n-4) as s2 from st1",
+    }
+    t8 = " union all ".join(
+        f"select 'main' as book, {lit(x)} as u, max(z) filter (where k=j)+coalesce((max(h)-max(j))*(max(z) filter (where k=j+1)-max(z) filter (where k=j)), 0e0) as q from (select *, floor(h) as j from (select z, row_number() over (order by z) as k, least(greatest((count(*) over ()+1/3e0)*{lit(x)}+1/3e0, 1e0), count(*) over ()) as h from gf))"
+        for x in Q.US
+    )
+    static = " union all ".join(
+        f"select 'main' as book, {lit(c)} as confidence, v as var, -avg(pnl_total) filter (where pnl_total<=-v) as es, any_value({lit(zz)}*s-m) as var_normal from (select pnl_total, -quantile_cont(pnl_total, 1-{lit(c)}) over () as v, avg(pnl_total) over () as m, stddev_samp(pnl_total) over () as s from tot) group by v"
+        for c, zz in ((0.95, Q.Z_95), (S.ALPHA, S.Z_ALPHA))
+    )
+    moving = """select book, d, i, case when count(*) over b=30 then stddev_samp(x) over b end*sqrt(252e0) as vol, case when count(*) over a=60 then avg(x) over a end as mean, sqrt(case when count(*) over a=60 then avg(c*c) over a end) as sd
+        from (select *, x-avg(x) over () as c from port) window b as (order by i rows between 29 preceding and current row), a as (order by i rows between 29 preceding and 30 following)"""
+    stats = f"""select 'main' as book, count(*) as n, any_value(m) as mean, any_value(s) as std, min(x) as least, max(x) as most, avg(pow(x-m, 3))/pow(avg(pow(x-m, 2)), 1.5) as skew, avg(pow(x-m, 4))/pow(avg(pow(x-m, 2)), 2)-3 as kurt,
+        avg(pow(x-m, 4))/pow(avg(pow(x-m, 2)), 2)-3>0 as fat_tailed, max(greatest(k/n_-p, p-(k-1)/n_)) as ks from (select *, {cdf('zz')} as p from (select *, (x-m)/s as zz, row_number() over (order by x) as k, count(*) over () as n_ from (select x, avg(x) over () as m, stddev_samp(x) over () as s from port)))"""
+    fp = lambda c: f"case when {c}<1e-4 then '< 0.0001' else printf('%.4f', {c}) end as {c}"
+    table = f"select method, t, n, printf('%.1f', expected_n) as expected, printf('%.2f%%', 100*rate) as rate, {fp('p_uc')}, {fp('p_ind')}, {fp('p_cc')}, '['||lower||', '||upper||']' as accepted from bt"
+    rb = {
+        "rb0": """select r_name as book, cast(l_shipdate as date) as d, avg(l_extendedprice) filter (where l_returnflag='A' and l_linestatus='F') as a, avg(l_extendedprice) filter (where l_returnflag='A' and l_linestatus='O') as b,
+            avg(l_extendedprice) filter (where l_returnflag='N' and l_linestatus='F') as c, avg(l_extendedprice) filter (where l_returnflag='N' and l_linestatus='O') as s, avg(l_quantity) as v, 100*avg(l_discount) as r
+            from lineitem join supplier on l_suppkey=s_suppkey join nation on s_nationkey=n_nationkey join region on n_regionkey=r_regionkey group by 1, 2""",
+        "rb1": "select book, d, v, r, " + ", ".join(f"last_value({c} ignore nulls) over w as {c}" for c in "abcs") + " from rb0 window w as (partition by book order by d rows between 3 preceding and current row)",
+        "rb2": "select *, row_number() over (partition by book order by d)-1 as i from rb1 where a is not null and b is not null and c is not null and s is not null and v is not null and r is not null",
+        "rb3": "select book, d, i, " + "+".join(f"0.25e0*ln({c}/lag({c}) over w)" for c in "abcs") + " as x from rb2 window w as (partition by book order by d) qualify i>0",
+        "rb4": "select *, 1e6*avg(x) over w as mu, 1e6*sqrt(var_samp(x) over w) as sigma from rb3 window w as (partition by book order by i rows between 250 preceding and 1 preceding) qualify i>250",
+    }
+    days = "cast(o_orderdate as date) as d from orders"
     return {
+        "strict_backtest": build(strict, dn() | tests("dn", "book"), 8, "lr_uc_strict lr_ind_strict"),
+        "panel_violations": build(bad("lv", ("px_a", "px_b", "px_c", "px_d", "vol_idx", "rate_idx"))),
+        "raw_panel_violations": build(bad("rw", "abcsvr"), {"rw": "select 'main' as book, * from raw"}),
+        "adequacy_ljung_box": build(f"select *, {tail('q10', 10)} as p10, {tail('q20', 20)} as p20 from lj4", GF | pm, 6, "q10 q20 p10 p20"),
+        "sign_bias_test": build(
+            "select 'main' as book, n, cst_p as c0, cst_n-cst_p as sign, slope_n as neg_size, slope_p as pos_size, (cst_n-cst_p)/sqrt(s2*(1/cnt_n+mx_n*mx_n/sxx_n+1/cnt_p+mx_p*mx_p/sxx_p)) as t_sign, slope_n/sqrt(s2/sxx_n) as t_neg, slope_p/sqrt(s2/sxx_p) as t_pos, (yy-rss)/3/s2 as f from st2",
+            GF | st, 6, "c0 sign neg_size pos_size t_sign t_neg t_pos f"),
+        "innovation_quantiles": build(t8, GF, 8, "q"),
+        "static_var_es": build(static, None, 3, "var es var_normal"),
+        "rolling_moments": build(moving, None, 8, "vol mean sd"),
+        "summary_stats": build(stats, None, 6, "mean std least most skew kurt ks"),
+        "compare_table": build(table, dn() | hs(500) | cm | tests("cm", "method")),
+        "registry_backtest": build(f"select method, {TESTS} from bt", dn() | hs(500) | cm | tests("cm", "method"), 6, TEST_DOUBLES),
+        "region_books": build(f"select book, d, i, x, {z}*sigma-mu as var_full, {e}*sigma-mu as es_full, mu, sigma from rb4", rb, 4, "x var_full es_full mu sigma"),
+        "dates_in_both": build(f"select book, d from lv intersect select 'main' as book, {days}"),
+        "dates_in_panel_only": build(f"select book, d from lv except select 'main' as book, {days}"),
         "delta_normal_var": build("select book, d, i, x, var_full, var_nodrift, es_full, es_nodrift, mu, sigma from dn", dn(), 4, "x var_full var_nodrift es_full es_nodrift mu sigma"),
         "panel_ffill_limit": build("select * from lv", None, 6, "px_a px_b px_c px_d vol_idx rate_idx"),
         "asof_levels": build("select l.book, l.d, l.i, o.order_idx from lv l asof left join (select cast(o_orderdate as date) as d, sum(cast(round(100*o_totalprice) as bigint))/(100e0*count(o_totalprice)) as order_idx from orders group by 1) o on l.d>=o.d", None, 4, "order_idx"),

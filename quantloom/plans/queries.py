@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import pricing
 from ..operators import analysis, backtest, book, delta_normal, diagnostics, garch, hist_sim, monte_carlo, panel, tails
+from ..operators.once import once, shared_folder
 from ..sources import market
 
 #: Fixed parameters of the queries that show formulas apart from fits.
 XI, SIGMA = 0.15, 0.02
+Z_95 = 1.6448536269514722
+US = (0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999)
 OMEGA, G_ALPHA, G_BETA, G_MU = 0.05, 0.1, 0.85, 0.0
 
 
@@ -92,8 +96,9 @@ def delta_t_normal(lv: DataFrame) -> DataFrame:
 
 
 def hist_windows(lv: DataFrame) -> DataFrame:
-    parts = [hs_backtest(lv, w).withColumn("window", F.lit(w)) for w in (250, 500)]
-    return analysis.summarize(parts[0].unionByName(parts[1]), ("window",)).select("window", "t", "n", "p_uc", "p_ind", "p_cc", "severity", "mean_var", "mean_es", "max_var")
+    lv = once(lv)
+    parts = [hs_backtest(lv, w).withColumn("window", F.lit(w)) for w in (250, 500, 750)]
+    return analysis.summarize(parts[0].unionByName(parts[1]).unionByName(parts[2]), ("window",)).select("window", "t", "n", "p_uc", "p_ind", "p_cc", "severity", "mean_var", "mean_es", "max_var")
 
 
 def hist_subperiods(lv: DataFrame) -> DataFrame:
@@ -199,14 +204,14 @@ def evt_var(lv: DataFrame) -> DataFrame:
     return tails.rolling(portfolio_losses(lv))
 
 
+QS = (0.85, 0.9, 0.925, 0.95)
+
+
 def evt_grid(lv: DataFrame) -> DataFrame:
     """Thresholds by windows from a common first day, summarised."""
-    out = None
-    for q in (0.88, 0.9, 0.92):
-        for w in (250, 500):
-            d = tails.rolling(portfolio_losses(lv), w, q, first=501).select(F.lit(q).alias("q"), F.lit(w).alias("window"), S.BOOK, "d", (-F.col("loss")).alias("pnl"), "var", "es")
-            out = d if out is None else out.unionByName(d)
-    return analysis.summarize(out, ("q", "window")).select("q", "window", "t", "n", "p_uc", "p_cc", "mean_var", "mean_es")
+    d = tails.grid(portfolio_losses(lv), QS, (250, 500, 750), first=751).withColumn("pnl", -F.col("loss"))
+    extra = [F.avg("xi").alias("mean_xi"), F.sum((F.col("fallback") != "none").cast("long")).alias("fallbacks")]
+    return analysis.summarize(d, ("q", "window"), extra=extra).select("q", "window", "t", "n", "p_uc", "p_cc", "mean_var", "mean_es", "max_var", "max_es", "mean_xi", "fallbacks")
 
 
 def _fits(lv: DataFrame, rolling: bool = False) -> DataFrame:
@@ -217,8 +222,9 @@ def garch_params(lv: DataFrame) -> DataFrame:
     return garch.guarded(_fits(lv)).drop("sigma")
 
 
-def _resid(lv: DataFrame) -> DataFrame:
-    return garch.residuals(series(lv), _fits(lv))
+def _resid(lv: DataFrame, rolling: bool = False, every: int = garch.REFIT) -> DataFrame:
+    r = once(series(lv))
+    return garch.residuals(r, garch.refits(r, rolling=rolling, scale=1.0, every=every), every=every)
 
 
 def garch_evt_var(lv: DataFrame) -> DataFrame:
@@ -231,7 +237,103 @@ def fhs_var(lv: DataFrame) -> DataFrame:
 
 def garch_challenger(lv: DataFrame) -> DataFrame:
     """Refits on the window before instead of all history."""
-    return garch.garch_evt(garch.residuals(series(lv), _fits(lv, rolling=True))).select(S.BOOK, "d", "i", "r", "vol", "var", "es")
+    return garch.garch_evt(_resid(lv, rolling=True)).select(S.BOOK, "d", "i", "r", "vol", "var", "es")
+
+
+_EVT_EXTRA = lambda: [F.avg("xi").alias("mean_xi"), F.avg("vol").alias("mean_vol"), F.avg("es_z").alias("mean_es_z"), F.sum((F.col("fallback") != "none").cast("long")).alias("fallbacks"), F.sum((F.col("es_fallback") != "none").cast("long")).alias("es_fallbacks"), F.sum((F.col("ks_p") < 0.05).cast("long")).alias("poor_ks")]
+_EVT_COLUMNS = ("t", "n", "rate", "p_uc", "p_cc", "mean_var", "mean_es", "max_es", "mean_xi", "mean_vol", "mean_es_z", "fallbacks", "es_fallbacks", "poor_ks")
+
+
+def garch_thresholds(lv: DataFrame) -> DataFrame:
+    """The tail step at other thresholds, with the GARCH as it is."""
+    d = garch.garch_evt(_resid(lv), qs=QS).withColumn("pnl", S.V0 * F.col("r"))
+    return analysis.summarize(d, ("q",), extra=_EVT_EXTRA()).select("q", *_EVT_COLUMNS)
+
+
+def garch_compare(lv: DataFrame) -> DataFrame:
+    """Refits on all history beside refits on the window before."""
+    lv = once(lv)
+    parts = [garch.garch_evt(_resid(lv, rolling)).withColumn("fits", F.lit(name)) for rolling, name in ((False, "expanding"), (True, "rolling"))]
+    d = parts[0].unionByName(parts[1]).withColumn("pnl", S.V0 * F.col("r"))
+    return analysis.summarize(d, ("fits",), extra=_EVT_EXTRA()).select("fits", *_EVT_COLUMNS)
+
+
+def refit_sweep(lv: DataFrame) -> DataFrame:
+    """Filtered historical simulation with refits every 10, 25 and 50 days."""
+    lv, out = once(lv), None
+    for every in (10, 25, 50):
+        d = garch.filtered(_resid(lv, every=every)).select(F.lit(every).alias("every"), "d", (S.V0 * F.col("r")).alias("pnl"), "var", F.col("var").alias("es"))
+        out = d if out is None else out.unionByName(d)
+    return analysis.summarize(out, ("every",)).select("every", "t", "n", "rate", "p_uc", "p_ind", "p_cc", "mean_var", "max_var")
+
+
+def window_sweep(lv: DataFrame) -> DataFrame:
+    """GARCH-copula simulation on windows of 250, 500 and 750 days."""
+    lv, out = once(lv), None
+    pnl = book.pnl(lv).select(S.BOOK, "d", F.col("pnl_total").alias("pnl"))
+    for n in (250, 500, 750):
+        d = monte_carlo.garch_copula(lv, window=n).select(S.BOOK, "d", "var").join(pnl, [S.BOOK, "d"]).select(F.lit(n).alias("window"), "d", "pnl", "var", F.col("var").alias("es"))
+        out = d if out is None else out.unionByName(d)
+    return analysis.summarize(out, ("window",)).select("window", "t", "n", "rate", "p_uc", "p_ind", "p_cc", "mean_var", "max_var")
+
+
+def compare_all(lv: DataFrame) -> DataFrame:
+    """All methods of the registry beside each other, as a table of text."""
+    lv = once(lv)
+    pnl = book.pnl(lv).select(S.BOOK, "d", F.col("pnl_total").alias("pnl"))
+    simulated = {"mc_gaussian": monte_carlo.gaussian(lv), "mc_garch_copula": monte_carlo.garch_copula(lv)}
+    x = portfolio_losses(lv).select(S.BOOK, "d", (S.V0 * F.col("x")).alias("pnl"))
+    returns = {"evt": evt_var(lv).withColumn("var", S.V0 * F.col("var")), "garch_evt": garch_evt_var(lv)}
+    parts = {"delta_normal": dn_backtest(lv), "hist_sim": hs_backtest(lv)}
+    parts |= {k: v.select(S.BOOK, "d", "var").join(pnl, [S.BOOK, "d"]) for k, v in simulated.items()} | {k: v.select(S.BOOK, "d", "var").join(x, [S.BOOK, "d"]) for k, v in returns.items()}
+    out = None
+    for name, d in parts.items():
+        d = d.select(F.lit(name).alias("method"), "d", "pnl", "var")
+        out = d if out is None else out.unionByName(d)
+    return backtest.compare(backtest.run(out, ("method",)))
+
+
+def compare_table(lv: DataFrame) -> DataFrame:
+    return backtest.compare(compare_methods(lv))
+
+
+def registry_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written, then read by their names; one that isn't there is left out."""
+    lv = once(levels(spark, sf_dir))
+    at = f"{shared_folder(spark)}/quantloom/results-{uuid.uuid4().hex[:12]}"
+    for name, d in (("delta_normal", dn_backtest(lv)), ("hist_sim", hs_backtest(lv))):
+        market.write_result(d.select("d", "pnl", "var"), f"{at}/{name}")
+    d = market.methods(spark, {k: f"{at}/{k}" for k in ("delta_normal", "hist_sim", "not_there")})
+    return rounded(backtest.run(d, ("method",)).select("method", *TESTS))
+
+
+def summary_stats(lv: DataFrame) -> DataFrame:
+    p = once(panel.portfolio_return(lv).select(S.BOOK, "i", "x"))
+    return p.groupBy(S.BOOK).agg(*(v.alias(k) for k, v in analysis.summary_stats("x").items())).join(diagnostics.ks_normal(p, "x").drop("n"), S.BOOK)
+
+
+def static_var(lv: DataFrame) -> DataFrame:
+    d = book.pnl(lv)
+    return analysis.static_var(d, "pnl_total", {0.95: Z_95, S.ALPHA: S.Z_ALPHA})
+
+
+def adequacy(lv: DataFrame) -> DataFrame:
+    d = garch_fixed(lv)
+    return diagnostics.portmanteau(d, {"r": F.col("r"), "z": F.col("z"), "z2": F.col("z") * F.col("z")})
+
+
+def region_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delta-normal VaR of several books, each a series of its own."""
+    d = delta_normal.rolling(panel.levels(market.lineitem_panel(spark, sf_dir, books="region")), 250)
+    return rounded(d.select(S.BOOK, "d", "i", "x", "var_full", "es_full", "mu", "sigma"), 4)
+
+
+def calendar(how: str) -> Callable:
+    return lambda spark, sf_dir: panel.date_set(levels(spark, sf_dir), market.orders_index(spark, sf_dir), how)
+
+
+def shock_fits(lv: DataFrame, **models) -> DataFrame:
+    return garch.whole_sample(panel.mc_shocks(lv), panel.SHOCKS, **models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -295,12 +397,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pnl_component_corr": _of(lambda lv: diagnostics.correlations(book.pnl(lv), [f"pnl_{c}" for c in S.COMPONENTS]), 8),
         "param_stability": _of(param_stability, 8),
         "stress_worst_n": _of(stress_worst, 3),
+        "adequacy_ljung_box": _of(adequacy, 6),
+        "sign_bias_test": _of(lambda lv: diagnostics.sign_bias_test(garch_fixed(lv), "z"), 6),
+        "innovation_quantiles": _of(lambda lv: diagnostics.quantiles_type8(garch_fixed(lv), "z", US), 8),
+        "static_var_es": _of(static_var, 3),
+        "rolling_moments": _of(lambda lv: analysis.rolling_moments(panel.portfolio_return(lv), "x"), 8),
+        "summary_stats": _of(summary_stats, 6),
+        "compare_table": _of(compare_table),
+        "registry_backtest": registry_backtest,
+        "region_books": region_books,
+        "dates_in_both": calendar("intersect"),
+        "dates_in_panel_only": calendar("except"),
         "panel_violations": _of(panel.violations),
+        "raw_panel_violations": lambda spark, sf_dir: panel.violations(market.lineitem_panel(spark, sf_dir)),
         "delta_t_normal": _of(delta_t_normal, 4),
         "evt_var": _of(evt_var, 8),
         "evt_violations": _of(lambda lv: tails.invariants(evt_var(lv)), 8),
         "evt_threshold_windows": _of(evt_grid, 6),
         "garch_fit": _of(garch_params, 6),
+        "garch_factors": _of(shock_fits, 6),
+        "garch_selection": _of(lambda lv: garch.selected(shock_fits(lv, leverage=(False, True), normal=(False, True))), 6),
+        "garch_evt_thresholds": _of(garch_thresholds, 6),
+        "garch_compare": _of(garch_compare, 6),
+        "refit_sweep": _of(refit_sweep, 6),
+        "window_sweep": _of(window_sweep, 6),
+        "compare_all_methods": _of(compare_all),
+        "sign_bias_p": _of(lambda lv: diagnostics.with_p(diagnostics.sign_bias_test(garch_fixed(lv), "z")), 6),
+        "arch_lm": _of(lambda lv: diagnostics.arch_lm(garch_fixed(lv), "z"), 6),
+        "adf": _of(lambda lv: diagnostics.dickey_fuller(panel.portfolio_return(lv), "x"), 6),
+        "residual_families": _of(lambda lv: diagnostics.families(garch_fixed(lv), "z"), 6),
         "garch_evt_var": _of(garch_evt_var, 4),
         "garch_evt_rolling": _of(garch_challenger, 4),
         "fhs_var": _of(fhs_var, 4),

@@ -11,11 +11,17 @@ from .. import schema as S
 PANEL = T.StructType([T.StructField("d", T.DateType()), *(T.StructField(c, T.DoubleType()) for c in (*S.ASSETS, "vol_idx", "rate_idx"))])
 
 
-def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each book and day of `lineitem`: four prices (null where nothing traded), a volatility index and a rate index in percent."""
+def lineitem_panel(spark: SparkSession, sf_dir: str, books: str | None = None) -> DataFrame:
+    """A row for each book and day of `lineitem`: four prices (null where nothing traded), a volatility index and a rate index in percent. One book,
+    or one for each region of suppliers (books: region): books are spread over the cluster."""
     d = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = F.lit("main")
+    if books == "region":
+        names = spark.read.parquet(f"{sf_dir}/nation.parquet").join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+        suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(names, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
+        d, key = d.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")), F.col("r_name")
     price = lambda flag, status: F.avg(F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), F.col("l_extendedprice")))
-    return d.groupBy(F.lit("main").alias(S.BOOK), F.col("l_shipdate").cast("date").alias("d")).agg(
+    return d.groupBy(key.alias(S.BOOK), F.col("l_shipdate").cast("date").alias("d")).agg(
         price("A", "F").alias("px_a"),
         price("A", "O").alias("px_b"),
         price("N", "F").alias("px_c"),

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom import schema as S
+from quantloom.functions import kernels as K
 from quantloom.functions import pricing
-from quantloom.operators import analysis, backtest, book, garch, hist_sim, monte_carlo, panel, tails
+from quantloom.operators import analysis, backtest, book, diagnostics, garch, hist_sim, monte_carlo, panel, tails
 from quantloom.plans import queries as Q
 
 
@@ -105,12 +106,12 @@ def test_backtest_reproduces_known_values(spark):
 @pytest.mark.parametrize("n,reject", [(29, True), (30, False), (56, False), (57, True)])
 def test_binomial_bounds_are_inclusive(spark, n, reject):
     d = spark.createDataFrame([("a", 4269, n)], "book string, t long, n long")
-    r = backtest.binomial(d, ["book"], 0.01).first()
+    r = backtest.binomial(d, 0.01).first()
     assert (n < r.lower or n > r.upper) == reject
 
 
 def test_lecture_range(spark):
-    r = backtest.binomial(spark.createDataFrame([("a", 500, 20)], "book string, t long, n long"), ["book"], 0.05).first()
+    r = backtest.binomial(spark.createDataFrame([("a", 500, 20)], "book string, t long, n long"), 0.05).first()
     assert (r.lower, r.upper) == (16, 35)
 
 
@@ -198,3 +199,101 @@ def test_monte_carlo_queries_have_every_day(spark, sf):
     want = [r.i for r in monte_carlo.days(Q.levels(spark, sf)).select("i").orderBy("i").collect()]
     got = [r.i for r in Q.queries()["mc_gaussian_var"](spark, sf).select("i").orderBy("i").collect()]
     assert got == want == list(range(want[0], want[0] + len(want))) and len(want) > 100
+
+
+def series(spark, n=400, seed=3):
+    x = np.random.default_rng(seed).standard_t(6, n)
+    return x, spark.createDataFrame([("main", i, float(v)) for i, v in enumerate(x)], "book string, i long, z double")
+
+
+def ols(y, columns):
+    m = np.column_stack([np.ones(len(y)), *columns])
+    b, *_ = np.linalg.lstsq(m, y, rcond=None)
+    rest = y - m @ b
+    s2 = rest @ rest / (len(y) - m.shape[1])
+    return b, b / np.sqrt(s2 * np.diag(np.linalg.inv(m.T @ m))), 1 - rest @ rest / ((y - y.mean()) ** 2).sum(), rest @ rest
+
+
+def test_sign_bias_is_the_regression_it_stands_for(spark):
+    z, d = series(spark)
+    y, b = z[1:] ** 2, z[:-1]
+    neg = (b < 0).astype(float)
+    beta, t, _, rss = ols(y, [neg, neg * b, (1 - neg) * b])
+    r = diagnostics.with_p(diagnostics.sign_bias_test(d, "z")).first()
+    assert [r.c0, r.sign, r.neg_size, r.pos_size] == pytest.approx(beta) and [r.t_sign, r.t_neg, r.t_pos] == pytest.approx(t[1:])
+    f = (((y - y.mean()) ** 2).sum() - rss) / 3 / (rss / (len(y) - 4))
+    assert r.f == pytest.approx(f) and r.p_joint == pytest.approx(K.f_tail(f, 3, len(y) - 4)) and r.p_sign == pytest.approx(K.t_two_sided(t[1], len(y) - 4))
+
+
+def test_arch_lm_and_unit_root_regressions(spark):
+    z, d = series(spark)
+    y = z * z
+    _, _, r2, _ = ols(y[10:], [y[10 - k : -k] for k in range(1, 11)])
+    r = diagnostics.arch_lm(d, "z").first()
+    assert r.n == 390 and r.lm == pytest.approx(390 * r2, rel=1e-6) and r.p == pytest.approx(K.chi2_tail(390 * r2, 10), rel=1e-5)
+    walk = spark.createDataFrame([("main", i, float(v)) for i, v in enumerate(np.cumsum(z))], "book string, i long, z double")
+    for x, table, root in ((z, d, False), (np.cumsum(z), walk, True)):
+        dx, k = np.diff(x), 4
+        at = np.arange(k, len(dx))
+        _, t, _, _ = ols(dx[at], [x[at], at + 2.0, *(dx[at - j] for j in range(1, k + 1))])
+        r = diagnostics.dickey_fuller(table, "z", lags=k).first()
+        assert r.t == pytest.approx(t[1], rel=1e-6) and (r.p > 0.05) == root
+
+
+def test_portmanteau_p_values(spark):
+    z, d = series(spark)
+    r = {x.series: x for x in diagnostics.portmanteau(d, {"z": F.col("z"), "z2": F.col("z") * F.col("z")}).collect()}
+    for name, x in (("z", z), ("z2", z * z)):
+        for m in (10, 20):
+            q = K.ljung_box(x, m)
+            assert r[name][f"q{m}"] == pytest.approx(q) and r[name][f"p{m}"] == pytest.approx(K.chi2_tail(q, m))
+
+
+def test_families_rank_the_true_law_first(spark):
+    z, d = series(spark, 3000)
+    r = {x.family: x for x in diagnostics.families(d, "z").collect()}
+    assert min(r.values(), key=lambda x: x.aic).family == "t" and r["t"].ks_p > 0.05 and 4 < r["t"].p3 < 9
+    assert r["normal"].loglik == pytest.approx(sum(-0.5 * math.log(2 * math.pi * z.var()) - (v - z.mean()) ** 2 / (2 * z.var()) for v in z))
+
+
+def test_model_selection_takes_the_best_that_passes(spark):
+    rows = [("main", "a", False, False, 10.0, 0.5, 0.5), ("main", "a", True, False, 9.0, 0.01, 0.5), ("main", "a", True, True, 11.0, 0.9, 0.9), ("main", "b", False, False, 5.0, 0.0, 0.0), ("main", "b", True, True, 4.0, 0.0, 0.0)]
+    d = spark.createDataFrame(rows, "book string, factor string, gjr boolean, normal boolean, aic double, lb_p double, ks_p double")
+    got = {r.factor: (r.aic, r["rank"], r.passed) for r in garch.selected(d).collect()}
+    assert got == {"a": (10.0, 2, True), "b": (4.0, 1, False)}
+
+
+def test_whole_sample_fits_find_what_was_simulated(spark):
+    r, s, x = np.random.default_rng(9), 1.0, []
+    for _ in range(3000):
+        e = math.sqrt(s) * r.standard_normal() * 0.01
+        x.append(e)
+        s = 0.05 + 0.1 * (e / 0.01) ** 2 + 0.85 * s
+    d = spark.createDataFrame([("main", i, v) for i, v in enumerate(x)], "book string, i long, s double")
+    got = garch.whole_sample(d, ["s"], normal=(False, True)).collect()
+    assert len(got) == 2 and all(abs(g.alpha - 0.1) < 0.04 and abs(g.beta - 0.85) < 0.07 and g.lb_p > 0.01 for g in got)
+    assert min(got, key=lambda g: g.aic).normal or abs(got[0].aic - got[1].aic) < 3
+
+
+def test_grid_of_thresholds_is_each_of_them(spark, sf):
+    losses = Q.portfolio_losses(Q.levels(spark, sf))
+    last = losses.agg(F.max("i")).first()[0]
+    d = tails.grid(losses, (0.85, 0.95), (250, 500), first=last - 3)
+    for q in (0.85, 0.95):
+        for w in (250, 500):
+            one = {r.i: (r["var"], r.n_u) for r in tails.rolling(losses, w, q, first=last - 3).collect()}
+            assert one and one == {r.i: (r["var"], r.n_u) for r in d.where((F.col("q") == q) & (F.col("window") == w)).collect()}
+
+
+def test_fits_are_made_once(spark, sf):
+    """One task of fits however often the rest reads them, and one of tails."""
+    lv = Q.levels(spark, sf)
+    plan = Q.garch_evt_var(lv)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # the tails; the fits are read
+    assert Q.fhs_var(lv)._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 0
+    assert Q.evt_grid(lv)._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+
+
+def test_goodness_of_fit_keeps_nu(spark, sf):
+    r = monte_carlo.copula_gof(Q.levels(spark, sf), replicates=10, draws=500, every=10**6).collect()
+    assert len(r) == 1 and r[0].replicates == 10 and 0 <= r[0].p <= 1 and r[0].nu in range(2, 21)

@@ -61,3 +61,44 @@ def test_pot_of_a_pareto_tail():
 def test_ks_of_the_right_and_a_wrong_law():
     x = np.random.default_rng(8).standard_normal(500)
     assert K.ks_p(K.ks_against(x, K.norm_cdf), 500) > 0.01 > K.ks_p(K.ks_against(x + 0.5, K.norm_cdf), 500)
+
+
+def test_variances_follow_the_recursion():
+    e = np.random.default_rng(2).standard_t(5, 333)
+    want = [1.3]
+    for x in e:
+        want.append(max(0.05 + (0.1 + 0.02 * (x < 0)) * x * x + 0.85 * want[-1], 1e-12))
+    for n in (0, 1, 63, 64, 65, 333):
+        assert K.garch_variance(e[:n], 0.05, 0.1, 0.85, 1.3, 0.02) == pytest.approx(want[: n + 1])
+
+
+def test_t_copula_fit_is_the_profile_of_each_nu():
+    """Scores, correlation and likelihood of each nu, written out."""
+    r = np.array([[1, 0.6, 0.2], [0.6, 1, -0.3], [0.2, -0.3, 1]])
+    u = K.pseudo(K.t_copula_sample(r, 4, 600, np.random.default_rng(8)))
+    u[0] = 1e-9
+    best = None
+    for nu in range(2, 21):
+        t = K.t_ppf(np.minimum(np.maximum(u, 1e-6), 1 - 1e-6), nu)
+        c = np.array([[np.cov(t[:, i], t[:, j])[0, 1] / np.sqrt(t[:, i].var(ddof=1) * t[:, j].var(ddof=1)) for j in range(3)] for i in range(3)])
+        like = 0.0
+        for row in t:
+            q = row @ np.linalg.solve(c, row)
+            like += math.lgamma((nu + 3) / 2) - math.lgamma(nu / 2) - 1.5 * math.log(nu * math.pi) - 0.5 * math.log(np.linalg.det(c)) - (nu + 3) / 2 * math.log(1 + q / nu)
+            like -= sum(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - (nu + 1) / 2 * math.log(1 + x * x / nu) for x in row)
+        if best is None or like > best[2]:
+            best = (c, nu, like)
+    got = K.t_copula_fit(u)
+    assert got[1] == best[1] and got[2] == pytest.approx(best[2]) and np.allclose(got[0], best[0])
+
+
+def test_tails_of_laws():
+    assert K.chi2_tail(18.307, 10) == pytest.approx(0.05, abs=1e-5) and K.chi2_tail(31.410, 20) == pytest.approx(0.05, abs=1e-5)
+    assert K.t_two_sided(2.2281, 10) == pytest.approx(0.05, abs=1e-5) and K.f_tail(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-5) and K.f_tail(2.6955, 3, 100) == pytest.approx(0.05, abs=1e-4)
+    assert K.beta_inc(2, 3, 0.4) == pytest.approx(0.5248)
+
+
+def test_garch_models_are_nested():
+    r = np.random.default_rng(6).standard_t(5, 1500)
+    plain, gjr, normal = K.garch_fit(r), K.garch_fit(r, leverage=True), K.garch_fit(r, normal=True)
+    assert gjr["loglik"] >= plain["loglik"] - 0.5 and plain["loglik"] > normal["loglik"] + 10 and normal["nu"] == 0
