@@ -1,9 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects documents whose statistic is over a cutoff, one cutoff for each stratum. Cutoffs come from labelled documents: going from
-lax to strict, a cutoff holds while an exact binomial test says that at most RISK of the good documents of the stratum exceed it; the first
-that fails ends the sequence, so the cutoffs of one rule need no correction among themselves, and DELTA is shared by rules and strata
-(Bonferroni). With chance 1 - DELTA no rule rejects more than RISK of any stratum's good documents.
+Each rule rejects documents whose statistic is over a cutoff, one cutoff for each stratum. Labelled documents, one of each equal text, are
+halved by a hash of the text. One half proposes a cutoff for each rule and the order of the rules, most telling first. The other half decides
+how many of them hold: going through the rules in that order, the first k hold together while an exact binomial test says that all of them
+reject at most RISK of the stratum's good documents; the first k that fails ends the sequence. So a stratum's rules need no correction among
+themselves, and DELTA is shared by the strata (Bonferroni): with chance 1 - DELTA the verdict rejects at most RISK of the good documents of
+any stratum.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ DELTA = 0.05
 #: A rule that rejects less of a stratum's bad documents, or not so many more of them than of the good, isn't used there.
 LEAST_CAUGHT = 0.02
 BETTER = 10.0
-#: Statistics are counted in 1000ths of a word, up to this.
-TOP = 20_000
+#: Statistics are counted in 1000ths up to this; beyond, a bin is a 1000th part wide.
+FINE = 20_000
 #: So many rows of cutoffs at most (a few numbers each) are sent to all executors; more are joined by shuffle.
 SEND_ROWS = 20_000
 
@@ -96,18 +98,22 @@ def _count(k: int):
     return run
 
 
+RESULTS = (*COUNTS, "base_failed", "failed", "kept")
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """docs' columns but the text, COUNTS and base_failed. Null texts count as empty."""
+    """docs' columns but the text, COUNTS and base_failed. Null texts count as empty. Columns with the name of a result give way to it."""
     _io.ready(docs.sparkSession)
-    keys = [c for c in docs.columns if c != "text"]
-    schema = _io.schema(docs, keys, ", ".join(f"{c} long" for c in COUNTS))
-    out = docs.select(*(f"`{c}`" for c in keys), "text").mapInArrow(_count(len(keys)), schema)
+    d = _io.pack(docs, ["text"], RESULTS).select("_others", "text")
+    out = d.mapInArrow(_count(1), _io.schema(d, ["_others"], ", ".join(f"{c} long" for c in COUNTS)))
+    out = out.select(*_io.unpack(out, docs.columns, [], ("text", *RESULTS)), *COUNTS)
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def statistic(rule: str) -> F.Column:
     a, b = RULES[rule]
-    return F.least(F.lit(TOP), F.floor(1000 * F.col(a) / F.greatest(F.col(b), F.lit(1)))).cast("long")
+    x = 1000 * F.col(a) / F.greatest(F.col(b), F.lit(1))
+    return F.when(x < FINE, F.floor(x)).otherwise(FINE + F.floor(1000 * F.log(x / FINE))).cast("long")
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -120,59 +126,92 @@ def tail(k: int, n: int, p: float) -> float:
     return float(np.exp(math.lgamma(n + 1) - lg - rest + i * math.log(p) + (n - i) * math.log1p(-p)).sum())
 
 
-def cutoff(values: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float, delta: float) -> int:
-    """The cutoff for a histogram (values ascending, good and bad documents at each), TOP if none holds or none is worth it.
+def proposal(values: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float) -> tuple[int, int, int] | None:
+    """(cutoff, good and bad documents over it) for a histogram (values ascending, good and bad documents at each); None if none is worth it.
 
-    Of the cutoffs that hold, the laxest that rejects 99% of the bad documents that the strictest does.
+    Of the cutoffs that at most half of the risk exceeds, the laxest that rejects 99% of the bad documents that the strictest does.
     """
     n_good, n_bad = int(good.sum()), int(bad.sum())
     held = []
     over_good = over_bad = 0
     for v, g, b in zip(values[::-1].tolist(), good[::-1].tolist(), bad[::-1].tolist()):
         over_good, over_bad = over_good + g, over_bad + b  # what the cutoff v - 1 rejects
-        if not n_good or over_good > risk * n_good or tail(over_good, n_good, risk) > delta:
+        if not n_good or over_good > risk / 2 * n_good:
             break
         held.append((v - 1, over_good, over_bad))
     held = [x for x in held if x[2] >= LEAST_CAUGHT * n_bad and x[2] * n_good >= BETTER * x[1] * n_bad and x[2]]
     if not held:
-        return TOP
+        return None
     most = max(x[2] for x in held)
-    return next(c for c, _, b in held if b >= 0.99 * most)
-
-
-def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) from counted documents (doc_id, stratum, COUNTS) and labels (doc_id, quality); one bad label of a document
-    makes it bad. Documents that fail the base rules have no part."""
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    d = counted.where("not base_failed").join(known, "doc_id")
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), statistic(r).alias("value")) for r in RULES]))
-    bins = d.select(F.col(stratum).alias("stratum"), (F.col("quality") > 0).alias("good"), rules.alias("r")).select("stratum", "good", "r.*")
+    return next(x for x in held if x[2] >= 0.99 * most)
+
+
+def holding(n_good: int, rejected: list[int], risk: float, delta: float) -> int:
+    """How many of the rules hold: rejected[k] of n_good good documents are rejected by the rule k and by none before."""
+    total = 0
+    for k, n in enumerate(rejected):
+        total += n
+        if not n_good or tail(total, n_good, risk) > delta:
+            return k
+    return len(rejected)
+
+
+def cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, limits) of counted documents (id, stratum, copy: a hash of the text, COUNTS, base_failed), limits being a map of rules to cutoffs.
+    labels: (doc_id, quality); one bad label of a text makes it bad. Documents that fail the base rules have no part."""
+    known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
+    d = counted.where("not base_failed").join(known, "id")
+    d = d.groupBy("stratum", "copy").agg((F.min("quality") > 0).alias("good"), *(F.first(c).alias(c) for c in COUNTS))
+    d = _io.keep(d.select("stratum", "good", (F.pmod(F.xxhash64("copy"), F.lit(2)) == 0).alias("proposes"), *(statistic(r).alias(r) for r in RULES)), "quality-labelled")
+    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES]))
+    bins = d.where("proposes").select("stratum", "good", rules.alias("r")).select("stratum", "good", "r.*")
     bins = bins.groupBy("stratum", "rule", "value").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
-    bins = _io.keep(bins, "quality-bins")
-    share = delta / max(1, bins.select("stratum").distinct().count() * len(RULES))
 
-    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def propose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
-        return pd.DataFrame({"stratum": [key[0] if pd.notna(key[0]) else None], "rule": [key[1]], "cutoff": [cutoff(*(pdf[c].to_numpy() for c in ("value", "good", "bad")), risk, share)]})
+        found = proposal(*(pdf[c].to_numpy() for c in ("value", "good", "bad")), risk)
+        stratum = key[0] if pd.notna(key[0]) else None
+        return pd.DataFrame([(stratum, key[1], *found)] if found else [], columns=["stratum", "rule", "cutoff", "good", "bad"])
+
+    rows = bins.groupBy("stratum", "rule").applyInPandas(propose, "stratum string, rule string, cutoff long, good long, bad long")
+    # most telling first: the fewest good documents for each bad one
+    order = F.struct((F.col("good") / F.col("bad")).alias("cost"), (-F.col("bad")).alias("bad"), "rule", "cutoff")
+    plan = _io.keep(rows.groupBy("stratum").agg(F.array_sort(F.collect_list(order)).alias("plan")), "quality-plan")
+    strata = max(1, plan.count())
+    if strata <= SEND_ROWS:
+        plan = F.broadcast(plan)
+    value = F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(r))])
+    tests = d.where("good and not proposes").join(plan.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")))
+    first = F.array_position(F.transform("plan", lambda p: value[p["rule"]] > p["cutoff"]), True)
+    tests = tests.select("stratum", "plan", first.alias("first")).groupBy("stratum").agg(F.first("plan").alias("plan"), F.count("*").alias("n"), *(F.sum((F.col("first") == k + 1).cast("long")).alias(f"n{k}") for k in range(len(RULES))))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held = [holding(int(r["n"]), [int(r[f"n{k}"]) for k in range(r["size"])], risk, delta / strata) for _, r in b.iterrows()]
+            yield pd.DataFrame({"stratum": b["stratum"], "held": held})
 
-    return bins.groupBy("stratum", "rule").applyInPandas(find, "stratum string, rule string, cutoff long")
+    held = tests.select("stratum", F.size("plan").alias("size"), "n", *(f"n{k}" for k in range(len(RULES)))).mapInPandas(decide, "stratum string, held int")
+    out = plan.withColumnRenamed("stratum", "_s").join(held, F.col("_s").eqNullSafe(F.col("stratum"))).where("held > 0")
+    return out.select("stratum", F.map_from_entries(F.transform(F.slice("plan", F.lit(1), F.col("held")), lambda p: F.struct(p["rule"], p["cutoff"]))).alias("limits"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """docs' columns but the text, with COUNTS, base_failed, failed (the rules that reject it) and kept.
 
-    docs: doc_id, text, the stratum and any other columns. A null stratum is one of its own; a stratum without enough good labelled documents
-    has no certain cutoffs, so there only the base rules reject. Repeated rows each get their own result.
+    docs: doc_id, text, the stratum and any other columns, of which those with the name of a result give way to it. A null stratum is one of
+    its own; a stratum without enough good labelled documents has no certain cutoffs, so there only the base rules reject. Repeated rows each
+    get their own result.
     """
-    counted = _io.keep(features(docs.withColumn(stratum, F.col(stratum).cast("string"))), "quality-counts")
-    limits = cutoffs(counted, labels, stratum, risk, delta).where(F.col("cutoff") < TOP)
-    limits = _io.keep(limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_limits")), "quality-limits")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in RESULTS))
+    d = docs.select(F.col("doc_id").alias("id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), F.xxhash64("text").alias("copy"), row.alias("row"), "text")
+    counted = _io.keep(features(d), "quality-counts")
+    limits = _io.keep(cutoffs(counted, labels, risk, delta), "quality-limits")
     if limits.count() <= SEND_ROWS:
         limits = F.broadcast(limits)
-    d = counted.join(limits.withColumnRenamed("stratum", "_stratum"), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    failed = F.array_compact(F.array(*[F.when(statistic(r) > F.col("_limits")[r], F.lit(r)) for r in RULES]))
-    d = d.withColumn("failed", F.when(F.col("_limits").isNull(), F.array().cast("array<string>")).otherwise(failed))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_limits", "_stratum")
+    d = counted.join(limits.withColumnRenamed("stratum", "_stratum"), F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    failed = F.array_compact(F.array(*[F.when(statistic(r) > F.col("limits")[r], F.lit(r)) for r in RULES]))
+    d = d.withColumn("failed", F.when(F.col("limits").isNull(), F.array().cast("array<string>")).otherwise(failed))
+    return d.select("row.*", *COUNTS, "base_failed", "failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
