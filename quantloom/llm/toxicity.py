@@ -2,7 +2,8 @@
 
 Tokens that may be disguised (letters swapped for digits or signs, letters doubled at will, words spelled out with gaps) are decoded: a
 lattice holds the letters that each character may stand for, and Viterbi finds the likeliest reading under a channel model and a character
-trigram model. The trigrams are counted over all documents. The restored words are then scored with the others: a document's score combines
+trigram model; a run of spelled-out letters may hold several words, so there the lattice ends words too. Tokens and runs are decoded whole,
+whatever their length. The trigrams are counted over all documents. The restored words are then scored with the others: a document's score combines
 (noisy-or) the precision of the word beginnings found in it that mark toxic documents, learned from labelled ones.
 """
 
@@ -23,7 +24,8 @@ FOLDS, HELD = 5, 0
 BEGINNINGS = (4, 5, 6, 8)  # bytes
 LEAST_DOCS = 6
 LEAST_PRECISION = 0.97
-LONGEST = 64  # characters of a token that are decoded together; longer ones are decoded in pieces
+SPELLED = 3  # single letters in a row, at least, that may spell words
+REACH = 12
 
 # --- characters -----------------------------------------------------------------------------------------------------------------------
 
@@ -106,56 +108,74 @@ def _readings(c: str, before: str) -> list[tuple[str, float]]:
     return out
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The likeliest word that a token (lower case, characters of LEET, GAPS and letters only) stands for, by Viterbi over its lattice."""
+def decode(token: str, model: CharModel, spaced: bool = False) -> str:
+    """The likeliest word that a token (lower case, characters of LEET, GAPS and letters only) stands for, by Viterbi over its lattice; with
+    `spaced` the likeliest words, joined by spaces, as a word may end after any letter."""
     logp = model.logp
-    # state: the last two symbols, and the word so far
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # state: the last two symbols; with its score, the reading so far as linked (before, letter)
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for c in token:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for x, cost in _readings(c, before):
             for (a, b), (p, word) in best.items():
                 if x:
                     k = _code(x)
-                    state, q, w = (b, k), p + cost + float(logp[a, b, k]), word + x
+                    state, q, w = (b, k), p + cost + float(logp[a, b, k]), (word, x)
                 else:
                     state, q, w = (a, b), p + cost - 1.0, word
                 if state not in after or after[state][0] < q:
                     after[state] = (q, w)
         if after:
             best = after
+            if spaced:
+                for (a, b), (p, word) in list(best.items()):
+                    q = p + float(logp[a, b, 0])
+                    if b and ((b, 0) not in best or best[b, 0][0] < q):
+                        best[b, 0] = q, (word, " ")
         before = c
-    ended = [(p + float(logp[a, b, 0]), w) for (a, b), (p, w) in best.items()]
-    return max(ended)[1]
+    node = max(((p + (float(logp[a, b, 0]) if b else 0.0), i, w) for i, ((a, b), (p, w)) in enumerate(best.items())))[2]
+    letters = []
+    while node is not None:
+        node, x = node
+        letters.append(x)
+    return "".join(reversed(letters)).strip()
 
 
 _PIECE = re.compile(r"(?:[^\W\d_]|[%s])+" % re.escape("".join(LEET) + "._-~'·"))
 
 
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
+_DOUBLE = re.compile(r"([^\W\d_])\1+")
 
 
-def restore(token: str, model: CharModel) -> list[str]:
-    """The words that a disguised token may stand for; its own letters are no part of it."""
+def restore(token: str, model: CharModel, spaced: bool = False) -> list[str]:
+    """The words that a disguised token may stand for; its own letters are no part of it. spaced: it is spelled-out letters, joined; the
+    likeliest words then, and in case they are cut elsewhere what begins at each letter, of the run and its likeliest reading, REACH letters of
+    it."""
     out = []
     for piece in _PIECE.findall(token.lower()):
         piece = piece.strip(GAPS).rstrip("!|#*+(")
-        for i in range(0, len(piece), LONGEST):
-            part = piece[i : i + LONGEST]
-            if any(c.isalpha() for c in part) or sum(c in LEET for c in part) > 2:
-                out += [decode(x, model) for x in _variants(part)]
+        if any(c.isalpha() for c in piece) or sum(c in LEET for c in piece) > 2:
+            read = [decode(x, model) for x in _variants(piece)]
+            out += read
+            if spaced:
+                out += decode(piece, model, spaced=True).split()
+                out += [x[i : i + REACH] for x in dict.fromkeys((piece, read[0])) for i in range(1, len(x) - min(BEGINNINGS) + 1)]
     return list(dict.fromkeys(out))
 
 
 def _variants(part: str) -> list[str]:
-    """The piece; with long runs of a letter cut to one and to two; with each vowel for a lone star."""
+    """The piece; with long runs of a letter cut to one and to two; with all doubled letters single, if there are three or more; with each
+    vowel for a lone star."""
     out = [part]
     if _LONG.search(part):
         out += [_LONG.sub(r"\1", part), _LONG.sub(r"\1\1", part)]
+    if len(_DOUBLE.findall(part)) >= 3:
+        out.append(_DOUBLE.sub(r"\1", part))
     if part.count("*") == 1:
         out += [part.replace("*", v) for v in "aeiou"]
-    return out
+    return list(dict.fromkeys(out))
 
 
 # --- tokens that may be disguised -----------------------------------------------------------------------------------------------------
@@ -172,8 +192,8 @@ _NOT_LETTER[0x80:] = False
 
 
 def suspects(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) bytes of what may be disguised: tokens with a sign before a letter or three equal letters, and four or more tokens of one
-    letter in a row, taken together."""
+    """(row, start, end) bytes of what may be disguised: tokens with a sign before a letter, three equal letters or three
+    doubled ones, and SPELLED or more tokens of one letter in a row, taken together."""
     starts, ends, first = _text.words(raw, offsets)
     if not len(starts):
         e = np.zeros(0, np.int64)
@@ -191,6 +211,12 @@ def suspects(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         mark[1:] |= digit[1:] & letter[:-1]
     sums = np.concatenate(([0], np.cumsum(mark)))
     odd = sums[ends] > sums[starts]
+    if len(raw) > 2:
+        pair = np.zeros(len(raw), bool)
+        pair[1:] = ascii_letter[1:] & (low[1:] == low[:-1])
+        pair[1:] &= ~pair[:-1]
+        sums = np.concatenate(([0], np.cumsum(pair)))
+        odd |= sums[ends] - sums[np.minimum(starts + 1, ends)] >= 3
     size = ends - starts
     point = np.zeros(256, bool)
     point[list(b".-_,")] = True
@@ -199,7 +225,7 @@ def suspects(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new[1:] = ~(short[1:] & short[:-1] & (row[1:] == row[:-1]))
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(starts)))
-    run = short[begin] & (size >= 4)
+    run = short[begin] & (size >= SPELLED)
     at, last = begin[run], (begin + size - 1)[run]
     return np.concatenate((row[odd], row[at])), np.concatenate((starts[odd], starts[at])), np.concatenate((ends[odd], ends[last]))
 
@@ -219,7 +245,7 @@ def _marks(raw: np.ndarray, offsets: np.ndarray, model: CharModel, cache: dict[b
                     cache.clear()
                 spelled = token.decode().split()
                 text = "".join(x[0] if len(spelled) > 1 else x for x in spelled)
-                cache[token] = restore(text, model) + (restore(text[1:], model) if len(spelled) > 4 else [])
+                cache[token] = restore(text, model, len(spelled) > 1)
             more.append(cache[token])
         words = "\n".join(" ".join(x) for x in more).encode()
         extra = np.frombuffer(words, np.uint8)
@@ -335,12 +361,15 @@ def _score(sent, learned, k: int):
 
 
 def score(docs: DataFrame, model: CharModel, marks: Marks) -> DataFrame:
-    """docs' columns with _score, 0 to 1. Null and empty texts have the score of a document without marks; the text stays."""
+    """docs' columns with _score, 0 to 1. Null and empty texts have the score of a document without marks; the text stays. Other columns of
+    whatever name stay, but one named _score gives way."""
     spark = docs.sparkSession
     _io.ready(spark)
     sent, learned = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(marks)
-    keys = docs.columns
-    return docs.withColumn("_scored", F.col("text")).mapInArrow(_score(sent, learned, len(keys)), _io.schema(docs, keys, "_score double"))
+    packed = _io.pack(docs, ["text"], ("_score",))
+    keys = packed.columns
+    out = packed.withColumn("_scored", F.col("text")).mapInArrow(_score(sent, learned, len(keys)), _io.schema(packed, keys, "_score double"))
+    return out.select(*_io.unpack(out, docs.columns, ["text"], ("_score",)), "_score")
 
 
 def held_out() -> F.Column:
