@@ -6,8 +6,10 @@
    segments; backward search gives for each window of a streamed segment the interval of its occurrences, and so the first.
 3. The intervals go back to the documents, and the words they cover are cut.
 
-Anchors that a sample of documents shows to be very frequent are not dealt as one group: their segments are cut into single windows, and the
-windows that are as frequent need no count to be known as repeated.
+No anchor is a group without bound. Those that a sample of documents shows to be very frequent are not dealt as one group in step 1: their
+segments are cut into single windows, and the windows that are as frequent need no count to be known as repeated. In step 2 the distinct
+segments of each anchor are counted; one with over SHARD_WORDS words has no shard, but each of its windows is counted as it is, combined before
+the shuffle.
 """
 
 from __future__ import annotations
@@ -142,6 +144,34 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(kept.field(c) for c in ("anchor", "seg", "doc_id", "start")), pa.array(words, pa.binary())], ["anchor", "seg", "doc_id", "start", "words"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, [(seg, start, n)]) -> (doc_id, start, window), a hash of each window of the segments"""
+    for b in batches:
+        where = b.column(2)
+        for i, j, raw, offsets in _io.slices(b.column(1)):
+            h, _, _, first = _hashed(raw, offsets)
+            part = where.slice(i, j - i)
+            flat = part.flatten()
+            row = np.repeat(np.arange(j - i), np.diff(np.asarray(part.offsets)))
+            start, n = np.asarray(flat.field("start")).astype(np.int64), np.asarray(flat.field("n")).astype(np.int64)
+            at = first[row] + start
+            ok = np.flatnonzero(at + n <= first[row + 1])  # else they are of another row with this doc_id
+            ok = ok[run_hashes(h, at[ok], at[ok] + n[ok]).view(np.int64) == np.asarray(flat.field("seg"))[ok]]
+            many = n[ok] - WINDOW + 1
+            row, place = np.repeat(row[ok], many), np.repeat(at[ok] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            cols = [b.column(0).take(pa.array(row + i)), pa.array((place - first[row]).astype(np.int32)), pa.array(run_hashes(h, place, place + WINDOW).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "window"])
+
+
+def _again(found: DataFrame, near: DataFrame) -> DataFrame:
+    """Spans (doc_id, start, n, mask) of the windows of the segments `found` that occur earlier in these, counted one by one."""
+    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "start", "n")).alias("at"))
+    windows = _io.keep(near.join(lists, "doc_id").select("doc_id", "text", "at").mapInArrow(_windows, "doc_id long, start int, window long"), "windows")
+    at = F.struct("doc_id", "start")
+    first = windows.groupBy("window").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return windows.join(first, "window").where(at != F.col("first")).select("doc_id", "start", F.lit(WINDOW).alias("n"), F.lit(None).cast("binary").alias("mask"))
+
+
 class Wavelet:
     """A wavelet matrix over symbols: rank() of many (symbol, place) at once. A bit of each symbol a level, packed, with counts every 64."""
 
@@ -338,9 +368,17 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = _io.keep((counted.unionByName(sure) if len(known) else counted).drop("known"), "segments")
     # the first place of each distinct segment
     own = found.groupBy("seg", "anchor", "n").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("anchor", "seg", "n", "at.doc_id", "at.start")
+    own = _io.keep(own, "own-segments")
+    heavy = _io.keep(own.groupBy("anchor").agg(F.sum("n").alias("words")).where(F.col("words") > SHARD_WORDS).select("anchor"), "heavy-anchors")
+    n_heavy = heavy.count()
+    heavy = F.broadcast(heavy) if n_heavy <= SEND_IDS else heavy
     ids = found.select("doc_id").distinct()
     near = d.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, "doc_id", "left_semi")
     near = _io.keep(near, "near-texts")
+    again = None
+    if n_heavy:
+        again = _again(found.join(heavy, "anchor", "left_semi"), near)
+        found, own = found.join(heavy, "anchor", "left_anti"), own.join(heavy, "anchor", "left_anti")
     firsts = own.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg", "doc_id", "start", "n")).alias("at"))
     words = near.join(firsts, "doc_id").select("text", "at").mapInArrow(_payload, "anchor long, seg long, doc_id long, start int, words binary")
     dealt = words.repartition("anchor").sortWithinPartitions("anchor")
@@ -349,6 +387,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = (F.col("doc_id") == F.col("d")) & (F.col("start") == F.col("s"))
     spans = spans.select("doc_id", "start", "n", F.when(first, F.col("mask")).alias("mask"), first.alias("first"))
     spans = spans.where(~F.col("first") | (F.regexp_replace(F.hex("mask"), "0", "") != "")).drop("first")
+    spans = spans if again is None else spans.unionByName(again)
     return _io.keep(spans.dropDuplicates(["doc_id", "start", "n"]), "spans"), near
 
 
