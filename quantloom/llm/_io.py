@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +23,11 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset in local mode (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quantloom-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -42,18 +45,20 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def _sweep(spark: SparkSession) -> None:
-    for path in _made:
-        delete(spark, path)
+    try:
+        for path in _made:
+            delete(spark, path)
+    except (OSError, Py4JError):  # the driver's JVM is gone already
+        pass
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder; a path that is gone, or a session that has ended, is no error."""
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session is over: the folder's own clean-up has it
-        pass
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():  # the session is over: the folder's own clean-up has it
+        return
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
@@ -93,15 +98,16 @@ def schema(df: DataFrame, keys: list[str], more: str) -> T.StructType:
     return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keys), *T.StructType.fromDDL(more).fields])
 
 
-def pack(docs: DataFrame, used: list[str]) -> DataFrame:
-    """docs with the columns `used` and all others in one, so that names of working columns can't clash with theirs."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+def pack(docs: DataFrame, used: list[str], results: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the columns `used` and all others in one, so that names of working columns can't clash with theirs. Columns with the name of a
+    result give way to it."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used and c not in results]
     return docs.select(*(c for c in used if c in docs.columns), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("_others"))
 
 
-def unpack(df: DataFrame, columns: list[str], used: list[str]) -> list:
+def unpack(df: DataFrame, columns: list[str], used: list[str], results: tuple[str, ...] = ()) -> list:
     """The Columns that pack() took, in their order."""
-    return [F.col(c) if c in used else F.col(f"_others.`{c}`").alias(c) for c in columns]
+    return [F.col(c) if c in used else F.col(f"_others.`{c}`").alias(c) for c in columns if c not in results]
 
 
 def slices(column: pa.Array | pa.ChunkedArray, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

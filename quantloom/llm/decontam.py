@@ -208,7 +208,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, cut: bo
     spark = docs.sparkSession
     _io.ready(spark)
     sent = spark.sparkContext.broadcast(automata(benchmark, window))
-    keys = [c for c in docs.columns if c != "text"]
+    results = ("_n_words", "_n_hit", "_items", *["_cut"] * cut)
+    keys = ["_others"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = sent.value
@@ -231,9 +232,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, cut: bo
                     cols.append(_without(raw, offsets, starts, ends, first, hit))
                 yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(len(keys))), *cols], names)
 
-    names = [*keys, "_n_words", "_n_hit", "_items", *["_cut"] * cut]
-    d = docs.select(*keys, "text")
-    return d.mapInArrow(run, _io.schema(d, keys, "_n_words long, _n_hit long, _items array<long>" + ", _cut string" * cut))
+    names = [*keys, *results]
+    d = _io.pack(docs, ["text"], results).select(*keys, "text")
+    out = d.mapInArrow(run, _io.schema(d, keys, "_n_words long, _n_hit long, _items array<long>" + ", _cut string" * cut))
+    return out.select(*_io.unpack(out, docs.columns, [], ("text", *results)), *results)
 
 
 def _without(raw, offsets, starts, ends, first, hit) -> pa.Array:

@@ -56,16 +56,20 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return t.select("source", "source_size", "source_rows", target.alias("target"))
 
 
+RESULTS = ("_size", "_source_size", "_target", "_copies", "_part")
+
+
 def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, weight=quality) -> DataFrame:
     """docs with _size, _source_size, _target, _copies (whole ones) and _part (words of one more, cut copy).
 
     docs: doc_id, text, source and any other columns, which stay; `weight` gives a document's quality weight from (text, size).
     Null texts have size 0 and are never taken; a null source is a source. Equal keys are told apart by doc_id, size and text, and what is
     still equal is one row as good as another. An empty table gives an empty one. The text is read twice: for the totals and key counts,
-    and for the result. Only documents in the one bucket of keys that a source's budget ends in are sorted.
+    and for the result. Only documents in the one bucket of keys that a source's budget ends in are sorted. Columns with the name of a result
+    give way to it.
     """
-    spark = docs.sparkSession
-    d = docs.withColumn("_size", word_count(F.col("text")))
+    used = ["doc_id", "text", "source"]
+    d = _io.pack(docs, used, RESULTS).withColumn("_size", word_count(F.col("text")))
     key = F.when(F.col("_size") > 0, F.log(-F.log(uniform(F.lit(seed), F.col("doc_id")) * (1 - 2**-52)) / weight(F.col("text"), F.col("_size"))))
     d = d.withColumn("_key", key)
     # (source, size, key) without texts; what follows counts it twice
@@ -95,7 +99,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: float =
     both = clear.unionByName(close)
     both = both.withColumn("_copies", F.when(F.col("_size") > 0, F.col("_epochs") + (F.col("_part") == F.col("_size")).cast("long")).otherwise(F.lit(0).cast("long")))
     both = both.withColumn("_part", F.when(F.col("_part") == F.col("_size"), F.lit(0).cast("long")).otherwise(F.col("_part")))
-    return both.select(*docs.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_copies", "_part")
+    return both.select(*_io.unpack(both, docs.columns, used, RESULTS), "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_copies", "_part")
 
 
 #: A table of so many rows at most, each of a source's name and a few numbers, is sent to all executors; a larger one is joined by shuffle.
@@ -107,16 +111,13 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of docs: each document as often as it is taken, a part as its first words."""
+    """The mix itself, with the columns of docs: each document as often as it is taken. The one that a source's budget ends in goes whole if half
+    of it or more is within, else not."""
     used = ["doc_id", "text", "source"]
     m = mix(_io.pack(docs, used), **options)
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("_part").cast("int")), " ")
-    whole = m.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    whole = whole.select(*_io.unpack(docs, docs.columns, used))
-    part = m.where("_part > 0").withColumn("text", cut).select(*_io.unpack(docs, docs.columns, used))
-    if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(part)
+    copies = F.col("_copies") + ((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("_size"))).cast("long")
+    m = m.withColumn("_n", copies).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return m.select(*_io.unpack(docs, docs.columns, used))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

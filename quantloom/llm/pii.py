@@ -356,13 +356,16 @@ def scan(docs: DataFrame, model: Field | None = None) -> DataFrame:
     """docs' columns but the text, with n_<kind> and base_sha256 of the patterns' spans, and spans, all as kind:start:end.
 
     Starts and ends are code points. Null texts count as empty, and have no spans; repeated rows each get their own result.
+    Columns with the name of a result give way to it.
     """
     spark = docs.sparkSession
     _io.ready(spark)
     sent = spark.sparkContext.broadcast(model or field())
-    keys = [c for c in docs.columns if c != "text"]
-    schema = _io.schema(docs, keys, ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
-    return docs.select(*(f"`{c}`" for c in keys), "text").mapInArrow(_scan(sent, len(keys)), schema)
+    results = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans")
+    d = _io.pack(docs, ["text"], results).select("_others", "text")
+    schema = _io.schema(d, ["_others"], ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    out = d.mapInArrow(_scan(sent, 1), schema)
+    return out.select(*_io.unpack(out, docs.columns, [], ("text", *results)), *results)
 
 
 def redacted(docs: DataFrame, model: Field | None = None) -> DataFrame:

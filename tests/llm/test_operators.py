@@ -97,7 +97,7 @@ def test_mix_edges(edge, empty, clashing):
     out = mixing.mixed(clashing)
     assert out.columns == clashing.columns and out.where("_size <> 7 or size <> 7").count() == 0
     words = sum(len(W.findall(r.text)) for r in out.collect())
-    assert words == sum(r._copies * r._size + r._part for r in m)
+    assert words == sum((r._copies + (r._part > 0 and 2 * r._part >= r._size)) * r._size for r in m)
 
 
 # --- 2 --------------------------------------------------------------------------------------------------------------------------------
@@ -253,8 +253,10 @@ def test_repeats_with_frequent_passages(spark, monkeypatch, tmp_path):
     texts += ["x y " * 50, "z " * 90, " ".join(common[5:15]), ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = repeats(list(enumerate(texts)))
-    for words in (substrings.SHARD_WORDS, 300):
+    # the last: anchors that no sample shows are found by their counts
+    for words, frequent in ((substrings.SHARD_WORDS, substrings.FREQUENT), (300, substrings.FREQUENT), (300, 10**9), (60, 10**9)):
         monkeypatch.setattr(substrings, "SHARD_WORDS", words)
+        monkeypatch.setattr(substrings, "FREQUENT", frequent)
         assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.op3(spark, str(tmp_path)).collect()} == want
 
 
@@ -340,6 +342,38 @@ def test_wrapped_licenses(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_new_wordings_of_licenses():
+    model = licenses.Classifier(["words of no licence at all", "the mat and the hat sat there"])
+    family = lambda t: licenses.FAMILIES[model.judge(licenses._words(t))[0]]
+    new = {
+        "This library is distributed under the terms of the MIT licence": "mit", "Code licensed GPLv3": "gpl", "You may copy this under GPL version 2 or later": "gpl",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file": "bsd", "Boost Software License - Version 1.0": "boost",
+        "Licensed under the EUPL": "eupl", "This project uses the ISC license": "isc", "published under CC BY-SA 3.0": "cc-by-sa",
+    }
+    assert {t: family(t) for t in new} == new
+    for t in ("the court looked at the GPL", "he studied at MIT", "The Apache License was discussed at length by the speaker", "a new license plate was sold", "all rights reserved seats were taken"):
+        assert family(t) == "unknown", t
+
+
+def test_notices_that_the_classifier_never_saw():
+    """A notice of each family, by turns, is kept out of training and templates."""
+    seen = {k: ts for k, ts in licenses.NOTICES.items() if len(ts) > 2 and k in licenses.NAMES}
+    hits = total = 0
+    for n in range(3):
+        out = {k: ts[n] for k, ts in seen.items() if "SPDX" not in ts[n] and any(re.search(r"\b" + x.replace(" ", "[ .-]") + r"\b", ts[n].lower()) for x in licenses.NAMES[k])}
+        model = licenses.Classifier(["words of no licence at all"], without=tuple(out.values()))
+        for k, t in out.items():
+            hits += licenses.FAMILIES[model.judge(licenses._words(t))[0]] == k
+            total += 1
+    assert total >= 12 and hits >= 0.8 * total, (hits, total)
+
+
+def test_license_sample_is_of_the_texts_alone(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    a, b = (licenses.trained(x) for x in (d.repartition(7), d.orderBy("text").repartition(3)))
+    assert np.array_equal(a.grams, b.grams) and np.array_equal(a.weights, b.weights)
+
+
 def test_license_families_and_other_text(spark, edge, empty):
     model = licenses.Classifier(["words of no licence at all", "the mat and the hat sat there"])
     texts = [t for k in sorted(licenses.NOTICES) for t in licenses.NOTICES[k]]
@@ -497,24 +531,76 @@ def test_quality_edges(edge, empty, labels):
     assert quality.judge(edge, labels).count() == 12 and quality.judge(empty, labels).count() == 0 and quality.judge(edge, labels.limit(0)).count() == 12
 
 
-def test_cutoffs_limit_false_rejections():
+def test_proposals_and_what_holds_of_them():
     from math import comb
 
     assert quality.tail(3, 20, 0.1) == pytest.approx(sum(comb(20, k) * 0.1**k * 0.9 ** (20 - k) for k in range(4)))
     values, good, bad = np.arange(0, 100, 10), np.array([900, 80, 15, 4, 1, 0, 0, 0, 0, 0]), np.array([0, 0, 0, 0, 5, 5, 5, 5, 5, 5])
-    c = quality.cutoff(values, good, bad, 0.01, 0.05)
-    assert 20 < c <= 39 and good[values > c].sum() <= 5
-    assert quality.cutoff(values, good // 100, bad, 0.01, 0.05) == quality.TOP  # too few to be sure
-    assert quality.cutoff(values, good, 0 * bad, 0.01, 0.05) == quality.TOP
-    r = np.random.default_rng(1)
-    worst = 0
-    for _ in range(200):
-        x = r.exponential(10, 2000).astype(int)
-        v, n = np.unique(x, return_counts=True)
-        worst += np.exp(-(quality.cutoff(v, n, np.where(v > 20, 1000, 0), 0.01, 0.05) + 1) / 10) > 0.01
+    c, over_good, over_bad = quality.proposal(values, good, bad, 0.01)
+    assert 20 < c <= 39 and over_good == good[values > c].sum() <= 5 and over_bad == bad[values > c].sum() == 30
+    assert quality.proposal(values, good, 0 * bad, 0.01) is None
+    assert quality.holding(5000, [5, 5, 5, 5, 5, 5, 5], 0.01, 0.05) == 7 and quality.holding(5000, [20, 10, 200, 0], 0.01, 0.05) == 2
+    assert quality.holding(100, [0, 0], 0.01, 0.05) == 0  # too few to be sure
+    # all rules together: the chance to hold a union that rejects more than the risk
+    r, worst = np.random.default_rng(1), 0
+    for _ in range(400):
+        first = r.multinomial(2000, [0.003] * 4 + [0.988])[:4]
+        worst += quality.holding(2000, first.tolist(), 0.01, 0.05) == 4  # 1.2% in all
     assert worst <= 20
 
 
+def test_quality_verdicts_are_those_of_brute_force(spark):
+    """Cutoffs and verdicts again in Python, from the counts."""
+    r, texts, labels = random.Random(4), [], []
+    for i in range(3000):
+        bad = i % 3 == 0
+        words = [r.choice("abcdefghij") * r.randint(2, 6) + str(r.randint(0, 999)) for _ in range(60)]
+        if bad and i % 2:
+            words = [w + "!!#" if r.random() < 0.5 else w for w in words]
+        elif bad:
+            words[:30] = [w.upper() * 9000 if i == 0 and not k else w.upper() for k, w in enumerate(words[:30])]
+        texts.append((i, " ".join(words), ("en", "fr", None)[i % 100 // 45], "own", "own", 7))
+        labels.append((i, 0 if bad else 1))
+    texts += [(i + 3000, *texts[i][1:]) for i in range(0, 900, 3)]  # copies of bad documents
+    labels += [(i + 3000, 0) for i in range(0, 900, 3)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string, failed string, `a.b` string, _limits int")
+    out = quality.judge(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert out.columns == ["doc_id", "lang", "a.b", "_limits", *quality.COUNTS, "base_failed", "failed", "kept"]
+    got = out.collect()
+    half = {x.doc_id: x.h for x in d.select("doc_id", (F.pmod(F.xxhash64(F.xxhash64("text")), F.lit(2)) == 0).alias("h")).collect()}
+    good, text = dict(labels), {t[0]: t[1] for t in texts}
+
+    def stat(x, rule):
+        a, b = quality.RULES[rule]
+        v = 1000 * x[a] / max(x[b], 1)
+        return int(v) if v < quality.FINE else quality.FINE + int(1000 * np.log(v / quality.FINE))
+
+    verdict, held_rules = {}, 0
+    strata = {x.lang for x in got}
+    plans = {}
+    for lang in strata:
+        own = {text[x.doc_id]: x for x in got if x.lang == lang and not x.base_failed}.values()
+        plan = []
+        for rule in quality.RULES:
+            rows_ = [(stat(x, rule), good[x.doc_id]) for x in own if half[x.doc_id]]
+            values = np.array(sorted({v for v, _ in rows_}))
+            found = quality.proposal(values, np.array([sum(v == w and g for v, g in rows_) for w in values]), np.array([sum(v == w and not g for v, g in rows_) for w in values]), quality.RISK)
+            if found:
+                plan.append((found[1] / found[2], -found[2], rule, found[0]))
+        if plan:
+            plans[lang] = sorted(plan), own
+    for lang, (plan, own) in plans.items():
+        tests = [x for x in own if not half[x.doc_id] and good[x.doc_id]]
+        first = [next((k for k, p in enumerate(plan) if stat(x, p[2]) > p[3]), None) for x in tests]
+        k = quality.holding(len(tests), [first.count(i) for i in range(len(plan))], quality.RISK, quality.DELTA / len(plans))
+        held_rules += k
+        verdict[lang] = plan[:k]
+    assert held_rules
+    for x in got:
+        failed = [rule for rule in quality.RULES if any(p[2] == rule and stat(x, rule) > p[3] for p in verdict.get(x.lang, ()))]
+        assert (x.failed, x.kept) == (failed, not x.base_failed and not failed)
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -537,9 +623,14 @@ def test_disguised_words(spark, fitted):
     model = fitted[2]
     for token, word in {"1d10t": "idiot", "l0s3r": "loser", "$tup1d": "stupid", "m0r0n": "moron", "scuuuum": "scum", "p@thetic": "pathetic", "w.o.r.t.h.l.e.s.s": "worthless", "5cum": "scum", "sc*m": "scum", "tr@sh.": "trash"}.items():
         assert word in toxicity.restore(token, model), token
-    texts = ["that is an 1d10t thing", "what an i d i o t he was", "a l o s e r", "such a moroooon.", "L.O.S.E.R", "pathet1c.", "clean text of the day", "write to a.b@c.example.com 4 times", None, "", "x " * 20_000]
+    for token, word in {"you idiot": "idiot", "such a worthless moron": "worthless"}.items():
+        assert any(x.startswith(word) for x in toxicity.restore(token.replace(" ", ""), model, spaced=True)), token
+    assert toxicity.decode("thatisthehouseofthepeople", model, spaced=True).count(" ") >= 3
+    letters = " ".join("you are a worthless idiot and a loser " * 40).split()  # over 64 letters, words across every bound
+    assert any(x.startswith("worthless") for x in toxicity.restore("".join(letters), model, spaced=True))
+    texts = ["y o u i d i o t", "iiddiioott here", "so " + "y o u a r e m y f r i e n d a n d t h e n e x t o n e i s w h o k n o w s w h o b u t y o u a r e t h e l o s e r", "that is an 1d10t thing", "what an i d i o t he was", "a l o s e r", "such a moroooon.", "L.O.S.E.R", "pathet1c.", "clean text of the day", "write to a.b@c.example.com 4 times", None, "", "x " * 20_000]
     s = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *fitted[2:]).orderBy("doc_id").collect()
-    assert [r["_score"] >= 0.5 for r in s] == [True] * 6 + [False] * 5
+    assert [r["_score"] >= 0.5 for r in s] == [True] * 9 + [False] * 5
 
 
 def test_toxicity_edges(edge, empty, clashing, labels, fitted):
@@ -619,3 +710,21 @@ def test_kept_tables_lie_in_the_shared_folder(spark):
     d = _io.keep(spark.range(3), "t")
     assert d.inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir").replace("file://", "file://")) and d.count() == 3
     _io.drop(d)
+
+
+def test_columns_of_any_name_stay(spark, clashing, labels, items):
+    """Names of working columns stay, those of results give way, and the result can be written."""
+    more = clashing
+    for c in ("_n_words", "n_words", "_items", "spans", "families", "_others", "quality", "_limits", "limits", "stratum", "row", "copy"):
+        more = more.withColumn(c, F.lit("own"))
+    model = licenses.Classifier(["words of no licence at all"], rounds=5)
+    results = {
+        "op1": mixing.mix(more), "op4": sharding.shard(more), "op5": licenses.scan(more, model), "op6": pii.scan(more), "op7": decontam.scan(more, items), "op8": quality.judge(more, labels),
+        "op9": toxicity.score(more, *toxicity.fitted(more, labels)),
+    }
+    for name, out in results.items():
+        assert len(set(out.columns)) == len(out.columns), name
+        kept = _io.keep(out, "test")
+        assert kept.count() == 12, name
+        own = [c for c in ("a.b", "_h", "count") if c in kept.columns]
+        assert len(own) == 3 and all(r[c] == 7 for r in kept.collect() for c in own), name
