@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import kernels as K
 from . import tails
-from .once import once
+from .once import dealt, once
 from .panel import frame
 
 REFIT = 50
@@ -39,7 +39,7 @@ def refits(r: DataFrame, window: int = S.WINDOW, every: int = REFIT, rolling: bo
                 out.append((row.book, row.refit, row.t, f["mu"] / scale, f["omega"] / scale**2, f["alpha"], f["beta"], f["nu"], f["loglik"], f["next"] / scale**2, (f["sigma"][-window:] / scale).tolist()))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FIT_SCHEMA.split(", ")])
 
-    return own.repartition(S.BOOK, "t").mapInPandas(run, FIT_SCHEMA)
+    return dealt(own, S.BOOK, "t").mapInPandas(run, FIT_SCHEMA)
 
 
 def fold(omega: Column, alpha: Column, beta: Column, first: Column, squares: Column) -> Column:
@@ -119,7 +119,7 @@ def whole_sample(shocks: DataFrame, columns, leverage=(False,), normal=(False,))
                 out.append((row.book, row.factor, row.gjr, row.normal, len(x), f["mu"] / scale, f["omega"] / scale**2, f["alpha"], f["beta"], f["gamma"], nu, loglik, 2 * k - 2 * loglik, K.chi2_tail(K.ljung_box(z * z, 10), 10), K.ks_p(K.ks_against(z, law), len(z))))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
 
-    return d.repartition(S.BOOK, "factor", "gjr", "normal").mapInPandas(run, fields)
+    return dealt(d, S.BOOK, "factor", "gjr", "normal").mapInPandas(run, fields)
 
 
 def selected(fits: DataFrame, top: int = 3, least: float = 0.05) -> DataFrame:

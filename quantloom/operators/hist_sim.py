@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.pricing import irs_value, with_straddle
 from .book import linear_value, rate, values
+from .once import dealt, once
 from .panel import SHOCKS, frame, hist_shocks, rows
 
 #: A table of shocks of so many rows at most is sent to all executors; a larger one is joined by shuffle.
@@ -54,8 +55,9 @@ def snapshots(lv: DataFrame) -> DataFrame:
 
 def scenarios(lv: DataFrame, window: int = S.WINDOW, first: int | None = None, shocks: DataFrame | None = None, extra=()) -> DataFrame:
     """A row for each (book, forecast f, shock ordinal): pnl_<component> of the scenario, with what the snapshot has. f starts at `first`
-    (window + 1 by default)."""
-    snap = snapshots(lv).where(F.col("f") >= (first or window + 1)).repartition(S.BOOK, "f")
+    (window + 1 by default). The levels are computed once."""
+    lv = once(lv)
+    snap = dealt(snapshots(lv).where(F.col("f") >= (first or window + 1)), S.BOOK, "f")
     days = snap.withColumn("shock_i", F.explode(F.sequence(F.col("f") - window, F.col("f") - 1)))
     shocks = hist_shocks(lv) if shocks is None else shocks
     if shocks.select("i").limit(SEND_ROWS + 1).count() <= SEND_ROWS:
@@ -109,11 +111,12 @@ def vol_ratios(lv: DataFrame, vol_window: int = 60) -> DataFrame:
 
 def vol_adjusted(lv: DataFrame, window: int = S.WINDOW, alpha: float = S.ALPHA, vol_window: int = 60) -> DataFrame:
     """Shocks scaled by the last day's volatility over their own; avg_vol_ratio is the mean over factors of the last over the window's mean."""
+    lv = once(lv)
     vols = vol_ratios(lv, vol_window)
     names = [f"vol_{c}" for c in SHOCKS]
     snap = snapshots(lv).where(F.col("f") >= window + 1)
     now = vols.select(S.BOOK, (F.col("i") + 1).alias("f"), *(F.col(c).alias(f"now_{c}") for c in names))
-    snap = snap.join(now, [S.BOOK, "f"]).repartition(S.BOOK, "f")
+    snap = dealt(snap.join(now, [S.BOOK, "f"]), S.BOOK, "f")
     days = snap.withColumn("shock_i", F.explode(F.sequence(F.col("f") - window, F.col("f") - 1)))
     s = vols.select(S.BOOK, F.col("i").alias("shock_i"), F.col("d").alias("shock_d"), *SHOCKS, *names)
     if s.select("shock_i").limit(SEND_ROWS + 1).count() <= SEND_ROWS:

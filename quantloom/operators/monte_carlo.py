@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import kernels as K
 from .book import values
-from .once import once
+from .once import dealt, once
 from .panel import SHOCKS, frame, mc_shocks
 
 EWMA = 0.94
@@ -50,7 +50,7 @@ def _run(d: DataFrame, draw, alpha: float) -> DataFrame:
                 out.append((row.book, row.d, row.i, -float(np.quantile(pnl, 1 - alpha)), float(pnl.mean()), float(pnl.std())))
             yield pd.DataFrame(out, columns=["book", "d", "i", "var", "mean_pnl", "std_pnl"])
 
-    return d.repartition(S.BOOK, "i").mapInPandas(run, OUT)
+    return dealt(d, S.BOOK, "i").mapInPandas(run, OUT)
 
 
 def gaussian(lv: DataFrame, window: int = S.MC_WINDOW, draws: int = 10_000, seed: int = 42, alpha: float = S.ALPHA, step: int = 1) -> DataFrame:
@@ -74,7 +74,7 @@ def _with_fits(d: DataFrame, window: int, every: int, fit, schema: str) -> DataF
             yield pd.DataFrame([(row.book, row.refit, *fit(np.asarray(row.w, float).reshape(-1, len(SHOCKS)), row.i)) for row in b.itertuples(index=False)], columns=[x.split()[0] for x in full.split(", ")])
 
     full = "book string, refit int, " + schema
-    return d.join(at.repartition(S.BOOK, "refit").mapInPandas(run, full), [S.BOOK, "refit"])
+    return d.join(dealt(at, S.BOOK, "refit").mapInPandas(run, full), [S.BOOK, "refit"])
 
 
 def t_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draws: int = 10_000, seed: int = 42, alpha: float = S.ALPHA, step: int = 1) -> DataFrame:
@@ -170,8 +170,8 @@ def copula_gof(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 500, repli
                 out.append((row.book, row.d, row.i, row.replicate, row.nu, K.cvm(u, r, row.nu, seed, draws)))
             yield pd.DataFrame(out, columns=["book", "d", "i", "replicate", "nu", "cvm"])
 
-    fits = once(days(lv, window, every).select(S.BOOK, "d", "i", "w").repartition(S.BOOK, "i").mapInPandas(fit, "book string, d date, i long, u array<double>, r array<double>, nu double"))
-    s = fits.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).repartition(S.BOOK, "i", "replicate")
+    fits = once(dealt(days(lv, window, every).select(S.BOOK, "d", "i", "w"), S.BOOK, "i").mapInPandas(fit, "book string, d date, i long, u array<double>, r array<double>, nu double"))
+    s = dealt(fits.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))), S.BOOK, "i", "replicate")
     s = once(s.mapInPandas(run, "book string, d date, i long, replicate int, nu double, cvm double"))
     own = s.where("replicate = 0").select(S.BOOK, "i", F.col("cvm").alias("own"))
     g = s.where("replicate > 0").join(own, [S.BOOK, "i"]).groupBy(S.BOOK, "d", "i", "nu")

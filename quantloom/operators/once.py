@@ -24,3 +24,11 @@ def once(df: DataFrame) -> DataFrame:
     """df, computed now and read from there by all that follows: lineage is cut, and a lost executor loses nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df by hash of the columns, over as many tasks as there are cores, twice. The rows are few and the work on each is long, so they aren't to be
+    brought together again for their size."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import kernels as K
+from .once import dealt
 from .panel import frame
 
 POT_SCHEMA = "var double, var_raw double, var_mle double, xi double, xi_raw double, clamped boolean, sigma double, n_u int, f_u double, u double, ks_p double, fallback string, es double, es_raw double, es_mle double, es_fallback string"
@@ -33,7 +34,7 @@ def fit(df: DataFrame, q: float | str = 0.9, alpha: float = S.ALPHA, floor: bool
             yield pd.concat([b[keys].reset_index(drop=True), pd.DataFrame(rows, columns=list(K.POT_FIELDS))], axis=1)
 
     schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys), POT_SCHEMA])
-    return df.repartition(*[c for c in (S.BOOK, "i") if c in keys]).mapInPandas(run, schema)
+    return dealt(df, *[c for c in (S.BOOK, "i") if c in keys]).mapInPandas(run, schema)
 
 
 def rolling(losses: DataFrame, window: int = S.WINDOW, q: float = 0.9, alpha: float = S.ALPHA, first: int | None = None) -> DataFrame:
