@@ -71,16 +71,22 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 # --- the field ------------------------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^ \t-\r]+")
+#: Runs of a token that its shape has in order.
+PARTS = 12
 _MAY = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]", re.I | re.A)
 
 
 def shape(token: str) -> str:
-    """Runs of digits as 9 and their length, of letters as a or A; others as they are. The ends' punctuation counts too."""
+    """Runs of digits as 9 and their length, of letters as a or A; others as they are. The ends' punctuation counts too.
+
+    After PARTS runs follow the kinds of all the rest, each once, so that a long token's shape is of the whole token.
+    """
     out = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", token[:64], re.S):
+    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", token, re.S):
         s = m.group()
         out.append(f"9{min(len(s), 20)}" if s[0] in "0123456789" else ("A" if s.isupper() else "a") if s[0].isalpha() else s)
-    return "".join(out[:12])
+    rest = sorted({part[0] for part in out[PARTS:]})
+    return "".join(out[:PARTS]) + ("~" + "".join(rest) if rest else "")
 
 
 def token_features(tokens: list[str], i: int) -> list[str]:
