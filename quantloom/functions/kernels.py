@@ -220,6 +220,34 @@ def backcast(e: np.ndarray) -> float:
     return float((w * e[:k] ** 2).sum() / w.sum()) or 1e-8
 
 
+def garch_loglik(r: np.ndarray, mu: float, omega: float, alpha: float, beta: float, gamma: float = 0.0, nu: float = 0.0) -> np.ndarray:
+    """Each observation's log density; nu 0 is the normal law."""
+    e = r - mu
+    s = garch_variance(e, omega, alpha, beta, backcast(e), gamma)[:-1]
+    if not nu:
+        return -0.5 * (math.log(2 * math.pi) + np.log(s) + e * e / s)
+    c = math.sqrt((nu - 2) / nu)
+    return t_logpdf(e / np.sqrt(s) / c, nu) - 0.5 * np.log(s) - math.log(c)
+
+
+def nyblom(r: np.ndarray, fit: dict) -> tuple[float, int]:
+    """(joint statistic, parameters) of the test that a GARCH fit's parameters are constant, from numerical scores."""
+    names = ["mu", "omega", "alpha", "beta"] + ["gamma"] * (fit["gamma"] > 0) + ["nu"] * (fit["nu"] > 0)
+    base = {k: fit[k] for k in ("mu", "omega", "alpha", "beta", "gamma", "nu")}
+    scores = np.empty((len(r), len(names)))
+    for j, k in enumerate(names):
+        h = 1e-4 * max(abs(base[k]), 1e-2)
+        scores[:, j] = (garch_loglik(r, **base | {k: base[k] + h}) - garch_loglik(r, **base | {k: base[k] - h})) / (2 * h)
+    sums = np.cumsum(scores, 0)
+    return float(np.einsum("ij,jk,ik->", sums, np.linalg.pinv(scores.T @ scores), sums)) / len(r), len(names)
+
+
+def uniform_groups_p(u: np.ndarray, groups: int) -> float:
+    """Pearson's test that u is uniform, from its counts in equal groups."""
+    n = np.bincount(np.minimum((u * groups).astype(int), groups - 1), minlength=groups)
+    return chi2_tail(float(((n - len(u) / groups) ** 2).sum()) * groups / len(u), groups - 1)
+
+
 def garch_fit(r: np.ndarray, leverage: bool = False, normal: bool = False) -> dict:
     """Maximum likelihood of a constant mean GARCH(1,1) (GJR with leverage) with unit-variance t innovations, or normal ones (nu is 0 then). r
     should be of the order of 1."""
@@ -236,12 +264,7 @@ def garch_fit(r: np.ndarray, leverage: bool = False, normal: bool = False) -> di
         mu, alpha, beta, nu, omega, gamma = unpack(p)
         if gamma / 2 + alpha + beta >= 1:
             return math.inf
-        e = r - mu
-        s = garch_variance(e, omega, alpha, beta, backcast(e), gamma)[:-1]
-        if normal:
-            return 0.5 * (math.log(2 * math.pi) + np.log(s) + e * e / s).sum()
-        c = math.sqrt((nu - 2) / nu)
-        return -(t_logpdf(e / np.sqrt(s) / c, nu) - 0.5 * np.log(s) - math.log(c)).sum()
+        return -garch_loglik(r, mu, omega, alpha, beta, gamma, nu).sum()
 
     start = [float(r.mean()), -2.5, 2.0, math.log(0.1)] + [-3.0] * leverage + [1.5] * (not normal)
     p, best = minimise(cost, start, step=0.2, rounds=220, tol=1e-8)
@@ -316,8 +339,10 @@ def ljung_box(x: np.ndarray, lags: int) -> float:
 
 
 def chi2_tail(x: float, df: int) -> float:
-    """1 - distribution function of chi-squared, for an even number of degrees of freedom."""
-    return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(df // 2))
+    """1 - distribution function of chi-squared: a finite sum, which for odd degrees of freedom begins with a normal tail."""
+    if df % 2 == 0:
+        return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(df // 2))
+    return math.erfc(math.sqrt(x / 2)) + math.exp(-x / 2) * sum((x / 2) ** (k + 0.5) / math.gamma(k + 1.5) for k in range(df // 2))
 
 
 def beta_inc(a: float, b: float, x: float) -> float:

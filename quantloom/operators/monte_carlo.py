@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import kernels as K
-from .book import values
+from .book import factor_moves, pnl, values
 from .once import dealt, once
 from .panel import SHOCKS, frame, mc_shocks
 
@@ -144,6 +144,69 @@ def garch_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draw
     return _run(d.where((F.col("i") - 1 - window) % step == 0), draw, alpha)
 
 
+#: The factors whose moves book.factor_pnl takes.
+MOVES = ("d_log", "b_log", "a_log", "rate_chg", "vol_chg")
+
+
+def by_moves(row, x: np.ndarray) -> np.ndarray:
+    """book.factor_pnl of simulated moves x (a column for each of MOVES) on a row's state."""
+    r1, v1 = row.r + x[:, 3] / 100, np.maximum((row.v + x[:, 4]) / 100, S.MIN_VOL)
+    straddles = K.straddle(row.spot * np.exp(x[:, 0]), row.k, row.t, r1, v1) - K.straddle(row.spot, row.k, row.t, row.r, max(row.v / 100, S.MIN_VOL))
+    swap = K.irs(r1, S.IRS_NOTIONAL, S.IRS_FIXED) - K.irs(np.array(row.r), S.IRS_NOTIONAL, S.IRS_FIXED)
+    return S.V0 * S.WEIGHT * x[:, :3].sum(1) + swap + S.STRADDLE_SHARES * straddles
+
+
+def factor_var(lv: DataFrame, models: DataFrame, window: int = 250, every: int = 50, draws: int = 5_000, seed: int = 42, levels=(0.95, 0.99)) -> DataFrame:
+    """(book, d, i, refit, var_95, var_99, realised_pnl, exception_95, exception_99): filtered simulation of factor moves.
+
+    Each factor has the GARCH model that `models` (book, factor, gjr, normal) names, refitted every `every` days; a t copula joins the residuals,
+    and draws are quantiles of the residuals themselves (median-unbiased), brought to mean 0 and deviation 1. Means stay between refits; each day's
+    volatility follows from the day before's.
+    """
+    n = len(MOVES)
+    of = lambda c: F.array(*[F.max(F.when(F.col("factor") == m, F.col(c))) for m in MOVES]).alias(c)
+    models = models.groupBy(S.BOOK).agg(of("gjr"), of("normal"))
+    d = factor_moves(once(lv)).withColumn("_w", F.collect_list(F.array(*MOVES)).over(frame(-window, -1))).where(F.size("_w") == window)
+    d = d.withColumns({"w": F.flatten("_w"), "refit": ((F.col("i") - 1 - window) / every).cast("int")}).drop("_w", *MOVES)
+    at = d.where((F.col("i") - 1 - window) % every == 0).select(S.BOOK, "refit", "i", "w").join(models, S.BOOK)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                w = np.asarray(row.w, float).reshape(-1, n)
+                z, params = np.empty(w.shape), []
+                for j in range(n):
+                    scale = 1 / (w[:, j].std() or 1.0)
+                    f = K.garch_fit(w[:, j] * scale, leverage=bool(row.gjr[j]), normal=bool(row.normal[j]))
+                    z[:, j] = (w[:, j] * scale - f["mu"]) / f["sigma"]
+                    params += [f["mu"] / scale, f["omega"] / scale**2, f["alpha"], f["beta"], f["gamma"], np.sqrt(f["next"]) / scale]
+                r, nu, _ = K.t_copula_fit(K.pseudo(z))
+                out.append((row.book, row.refit, row.i, params, z.ravel().tolist(), r.ravel().tolist(), float(nu)))
+            yield pd.DataFrame(out, columns=["book", "refit", "start", "params", "z", "corr", "nu"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                mu, omega, alpha, beta, gamma, sigma = np.asarray(row.params, float).reshape(n, 6).T
+                w, z = np.asarray(row.w, float).reshape(-1, n), np.asarray(row.z, float).reshape(-1, n)
+                for r in w[len(w) - (row.i - row.start) :]:
+                    e = r - mu
+                    sigma = np.sqrt(np.maximum(omega + (alpha + gamma * (e < 0)) * e * e + beta * sigma**2, 1e-12))
+                u = K.t_copula_sample(np.asarray(row.corr, float).reshape(n, n), row.nu, draws, np.random.default_rng([seed, row.i]))
+                q = np.stack([np.quantile(z[:, j], u[:, j], method="median_unbiased") for j in range(n)], 1)
+                pnl = by_moves(row, mu + sigma * (q - q.mean(0)) / q.std(0, ddof=1))
+                out.append((row.book, row.d, row.i, row.refit, *(-float(np.quantile(pnl, 1 - a)) for a in levels)))
+            yield pd.DataFrame(out, columns=["book", "d", "i", "refit", *names])
+
+    names = [f"var_{100 * a:g}" for a in levels]
+    fits = dealt(at, S.BOOK, "refit").mapInPandas(fit, "book string, refit int, start long, params array<double>, z array<double>, corr array<double>, nu double")
+    rows = dealt(d.join(fits, [S.BOOK, "refit"]), S.BOOK, "i").mapInPandas(run, "book string, d date, i long, refit int, " + ", ".join(f"{c} double" for c in names))
+    rows = rows.join(pnl(lv).select(S.BOOK, "i", F.col("pnl_total").alias("realised_pnl")), [S.BOOK, "i"])
+    return rows.withColumns({c.replace("var", "exception"): (-F.col("realised_pnl") > F.col(c)) for c in names})
+
+
 def copula_gof(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 500, replicates: int = 200, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """(book, d, i, nu, cvm, p, replicates): parametric bootstrap of the Cramer-von Mises distance of the residuals' t copula, for the first window
     and each `every` days on (every tenth refit). The copula is fitted once a window; a task for each replicate (0 is the sample's own), which

@@ -228,6 +228,23 @@ GF = {
     "gf2": f"select *, sqrt(list_reduce(list_prepend({lit(Q.OMEGA)}/(1-{lit(Q.G_ALPHA)}-{lit(Q.G_BETA)}), coalesce(e2, [])), lambda s, e: greatest({lit(Q.OMEGA)}+{lit(Q.G_ALPHA)}*e+{lit(Q.G_BETA)}*s, 1e-10))) as sigma from gf1",
     "gf": f"select book, d, i, cast(refit as int) as refit, r, sigma, (r-{lit(Q.G_MU)})/sigma as z from gf2",
 }
+_FOLD = {
+    "garch": "sqrt(greatest({o}+{a}*e*e+{b}*greatest(s*s, 1e-12), 1e-12))",
+    "gjr": "sqrt(greatest({o}+({a}+case when e<0 then {g} else 0e0 end)*e*e+{b}*greatest(s*s, 1e-12), 1e-12))",
+    "aparch": "greatest(pow(greatest({o}+{a}*pow(greatest(abs(e)-{g}*e, 1e-12), {d})+{b}*pow(greatest(s, 1e-6), {d}), 1e-12), 1/{d}), 1e-6)",
+}
+VR = {
+    "vr0": "select *, list(r) over (partition by refit order by i rows between unbounded preceding and 1 preceding) as es from gf0",
+    "vr": "select book, d, i, cast(refit as int) as refit, " + ", ".join(f"list_reduce(list_prepend(1e0, coalesce(es, [])), lambda s, e: {f.format(**dict(zip('oabgd', map(lit, Q.RECURSIONS[m]))))}) as sigma_{m}" for m, f in _FOLD.items()) + " from vr0",
+}
+FP = {
+    "fp0": """select book, d, i, ln(px_d/lag(px_d) over w) as d_log, ln(px_b/lag(px_b) over w) as b_log, ln(px_a/lag(px_a) over w) as a_log, rate_idx-lag(rate_idx) over w as rate_chg, vol_idx-lag(vol_idx) over w as vol_chg,
+        lag(px_d) over w as f_s, lag(strike) over w as f_k, greatest(lag(tenor) over w-1e0/252e0, 1e0/252e0) as f_t, lag(rate_idx) over w/100 as f_r, lag(vol_idx) over w as f_v from state window w as (order by i) qualify i>0""",
+    **straddle("fa", "fp0", "f_s", "f_k", "f_t", "f_r", "f_v/100"),
+    **straddle("fb", "fa_ok", "f_s*exp(d_log)", "f_k", "f_t", "f_r+rate_chg/100", "(f_v+vol_chg)/100"),
+    "fp1": f"select book, d, i, 2.5e5*(d_log+b_log+a_log) as pnl_linear, {irs('fb_r')}-{irs('f_r')} as pnl_irs, 2000e0*(fb-fa) as pnl_straddle from fb_ok",
+    "fp": "select *, pnl_linear+pnl_irs+pnl_straddle as pnl_total from fp1",
+}
 TC = {
     "tc0": "select *, quantile_cont(loss, 0.9) over w as u, list(loss) over w as l from loss window w as (order by i rows between 500 preceding and 1 preceding) qualify i>500",
     "tc": "select book, d, i, u, cast(len(list_filter(l, lambda v: v>u)) as int) as n_u, 1-len(list_filter(l, lambda v: v>u))/500e0 as f_u from tc0",
@@ -396,6 +413,9 @@ def oracle_sql() -> dict[str, str]:
         "pot_formula_fixed_params": build(
             f"select book, d, u, n_u, f_u, var, (var+{lit(Q.SIGMA)}-{lit(Q.XI)}*u)/(1-{lit(Q.XI)}) as es from (select *, u+{lit(Q.SIGMA)}/{lit(Q.XI)}*(pow((500/n_u)*{u}, -{lit(Q.XI)})-1) as var from tc)", TC, 8, "u f_u var es"),
         "garch_recursion_fixed_params": build("select * from gf", GF, 8, "r sigma z"),
+        "volatility_recursions": build("select * from vr", GF | VR, 8, "sigma_garch sigma_gjr sigma_aparch"),
+        "factor_pnl": build("select * from fp", FP, 3, "pnl_linear pnl_irs pnl_straddle pnl_total"),
+        "factor_reconstruction": build("select f.book, count(*) as n, corr(f.pnl_total, t.pnl_total) as corr, corr(f.pnl_total, t.pnl_total)>=0.95e0 as passed from fp f join tot t on f.i=t.i group by f.book", FP, 6, "corr"),
         "fhs_fixed_params": build("select book, d, i, sigma, -1e6*sigma*q as var from (select *, quantile_cont(z, 0.01) over (order by i rows between 500 preceding and 1 preceding) as q from gf qualify i>=500)", GF, 3, "sigma var"),
         "ewma_corr_fixed": build(
             "select book, d, i, fold(0) as corr from x".replace("fold(0)", "bd/sqrt(bb*dd)").replace("from x", "from (select book, d, i, "

@@ -135,6 +135,23 @@ def garch_fixed(lv: DataFrame) -> DataFrame:
     return d.select(S.BOOK, "d", "i", "refit", "r", "sigma", "z")
 
 
+#: Fixed parameters of the three recursions: omega, alpha, beta, gamma, delta.
+RECURSIONS = {"garch": (0.05, 0.1, 0.85, 0.0, 2.0), "gjr": (0.05, 0.05, 0.85, 0.08, 2.0), "aparch": (0.05, 0.08, 0.85, 0.3, 1.5)}
+
+
+def _volatility(model: str, *p: float):
+    return F.aggregate("_e", F.lit(1.0), lambda s, e: garch.advance(model, s, e, *p))
+
+
+def volatility_recursions(lv: DataFrame) -> DataFrame:
+    """Three variance recursions in segments of 50 days, each from volatility 1; returns in units of the sample's deviation."""
+    d = series(lv).withColumn("r", F.col("r") / F.stddev_samp("r").over(Window.partitionBy(S.BOOK))).withColumn("refit", F.floor(F.col("i") / 50).cast("int"))
+    seg = Window.partitionBy(S.BOOK, "refit").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_e", F.collect_list("r").over(seg))
+    folds = [_volatility(m, *p).alias(f"sigma_{m}") for m, p in RECURSIONS.items()]
+    return d.select(S.BOOK, "d", "i", "refit", *folds)
+
+
 def fhs_fixed(lv: DataFrame) -> DataFrame:
     d = garch.filtered(garch_fixed(lv).withColumn("mu", F.lit(G_MU)))
     return d.select(S.BOOK, "d", "i", "sigma", "var")
@@ -277,6 +294,13 @@ def window_sweep(lv: DataFrame) -> DataFrame:
     return analysis.summarize(out, ("window",)).select("window", "t", "n", "rate", "p_uc", "p_ind", "p_cc", "mean_var", "max_var")
 
 
+def factor_var(lv: DataFrame) -> DataFrame:
+    """VaR at 95% and 99% by factor moves: each factor's model is the one selected on its whole sample."""
+    lv = once(lv)
+    models = garch.selected(garch.whole_sample(panel.risk_factors(lv), monte_carlo.MOVES, leverage=(False, True), normal=(False, True)))
+    return monte_carlo.factor_var(lv, models)
+
+
 def compare_all(lv: DataFrame) -> DataFrame:
     """All methods of the registry beside each other, as a table of text."""
     lv = once(lv)
@@ -336,6 +360,11 @@ def shock_fits(lv: DataFrame, **models) -> DataFrame:
     return garch.whole_sample(panel.mc_shocks(lv), panel.SHOCKS, **models)
 
 
+def judged_fits(lv: DataFrame) -> DataFrame:
+    """The criteria of each factor's selected model."""
+    return garch.criteria(garch.selected(shock_fits(lv, leverage=(False, True), normal=(False, True), residuals=True)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     losses = lambda f: lambda lv: f(portfolio_losses(lv))
     return {
@@ -372,6 +401,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pot_threshold_counts": _of(losses(diagnostics.tail_counts), 8),
         "pot_formula_fixed_params": _of(pot_fixed, 8),
         "garch_recursion_fixed_params": _of(garch_fixed, 8),
+        "volatility_recursions": _of(volatility_recursions, 8),
+        "factor_pnl": _of(lambda lv: book.factor_pnl(book.factor_moves(lv)), 3),
+        "factor_reconstruction": _of(book.reconstruction, 6),
         "fhs_fixed_params": _of(fhs_fixed, 3),
         "ewma_corr_fixed": _of(ewma_correlation, 8),
         "exceptions": _of(lambda lv: with_exceptions(lv).select(S.BOOK, "d", "pnl", "var", "exception"), 4),
@@ -417,6 +449,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "garch_fit": _of(garch_params, 6),
         "garch_factors": _of(shock_fits, 6),
         "garch_selection": _of(lambda lv: garch.selected(shock_fits(lv, leverage=(False, True), normal=(False, True))), 6),
+        "garch_criteria": _of(judged_fits, 6),
+        "garch_summary_table": _of(lambda lv: garch.summary_table(judged_fits(lv))),
+        "garch_variance_table": _of(lambda lv: garch.variance_table(judged_fits(lv))),
+        "garch_candidates": _of(lambda lv: garch.candidates(shock_fits(lv, leverage=(False, True), normal=(False, True))), 6),
         "garch_evt_thresholds": _of(garch_thresholds, 6),
         "garch_compare": _of(garch_compare, 6),
         "refit_sweep": _of(refit_sweep, 6),
@@ -429,6 +465,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "garch_evt_var": _of(garch_evt_var, 4),
         "garch_evt_rolling": _of(garch_challenger, 4),
         "fhs_var": _of(fhs_var, 4),
+        "mc_factor_var": _of(factor_var, 2),
         "mc_gaussian_var": _of(monte_carlo.gaussian, 2),
         "mc_t_copula_var": _of(monte_carlo.t_copula, 2),
         "mc_garch_copula_var": _of(monte_carlo.garch_copula, 2),

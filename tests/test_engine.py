@@ -297,3 +297,51 @@ def test_fits_are_made_once(spark, sf):
 def test_goodness_of_fit_keeps_nu(spark, sf):
     r = monte_carlo.copula_gof(Q.levels(spark, sf), replicates=10, draws=500, every=10**6).collect()
     assert len(r) == 1 and r[0].replicates == 10 and 0 <= r[0].p <= 1 and r[0].nu in range(2, 21)
+
+
+def test_volatility_recursions_follow_their_formulas(spark):
+    e = np.random.default_rng(4).standard_normal(30)
+    d = spark.createDataFrame([([float(x) for x in e],)], "e array<double>")
+    steps = {
+        "garch": ((0.05, 0.1, 0.85, 0.0, 2.0), lambda s, x: math.sqrt(0.05 + 0.1 * x * x + 0.85 * s * s)),
+        "gjr": ((0.05, 0.05, 0.85, 0.08, 2.0), lambda s, x: math.sqrt(0.05 + (0.13 if x < 0 else 0.05) * x * x + 0.85 * s * s)),
+        "aparch": ((0.05, 0.08, 0.85, 0.3, 1.5), lambda s, x: (0.05 + 0.08 * (abs(x) - 0.3 * x) ** 1.5 + 0.85 * s**1.5) ** (1 / 1.5)),
+    }
+    for model, (p, step) in steps.items():
+        s = 1.0
+        for x in e:
+            s = step(s, x)
+        assert d.select(F.aggregate("e", F.lit(1.0), lambda a, b: garch.advance(model, a, b, *p))).first()[0] == pytest.approx(s)
+
+
+def test_criteria_pass_a_model_that_is_true(spark):
+    r, s, rows = np.random.default_rng(12), 1.0, []
+    for i in range(3000):
+        e = math.sqrt(s) * r.standard_normal()
+        rows.append(("main", i, e, float(r.standard_normal() * (1 if i < 1500 else 4))))
+        s = 0.05 + 0.1 * e * e + 0.85 * s
+    fits = garch.whole_sample(spark.createDataFrame(rows, "book string, i long, a double, b double"), ["a", "b"], normal=(True,), residuals=True)
+    got = {x.factor: x for x in garch.criteria(fits).collect()}
+    assert all(got["a"][f"pass_c{k}"] for k in range(1, 7))
+    assert not got["b"].pass_c6 or not got["b"].pass_c4  # its variance changes once
+    z = np.array(fits.where("factor = 'a'").first().z)
+    assert got["a"].c1 == pytest.approx(K.chi2_tail(K.ljung_box(z, 10), 10)) and got["a"].c4 == pytest.approx(got["a"].long_run / np.var([x[2] for x in rows], ddof=1))
+
+
+def test_simulated_moves_are_priced_as_the_columns_are(spark, sf):
+    from types import SimpleNamespace
+
+    moves = book.factor_moves(Q.levels(spark, sf)).where("i between 40 and 60")
+    want = {r.i: r.pnl_total for r in book.factor_pnl(moves).collect()}
+    for r in moves.collect():
+        got = monte_carlo.by_moves(SimpleNamespace(**r.asDict()), np.array([[r[c] for c in monte_carlo.MOVES]]))
+        assert got[0] == pytest.approx(want[r.i], rel=1e-4, abs=5)
+
+
+def test_factor_var_has_every_day_and_orders_its_levels(spark, sf):
+    lv = Q.levels(spark, sf)
+    models = spark.createDataFrame([("main", m, False, True) for m in monte_carlo.MOVES], "book string, factor string, gjr boolean, normal boolean")
+    rows = monte_carlo.factor_var(lv, models, draws=300, every=1000).collect()
+    n = lv.count()
+    assert sorted(r.i for r in rows) == list(range(251, n)) and all(r.var_99 >= r.var_95 for r in rows)
+    assert all(r.exception_99 == (-r.realised_pnl > r.var_99) for r in rows)

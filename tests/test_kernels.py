@@ -102,3 +102,35 @@ def test_garch_models_are_nested():
     r = np.random.default_rng(6).standard_t(5, 1500)
     plain, gjr, normal = K.garch_fit(r), K.garch_fit(r, leverage=True), K.garch_fit(r, normal=True)
     assert gjr["loglik"] >= plain["loglik"] - 0.5 and plain["loglik"] > normal["loglik"] + 10 and normal["nu"] == 0
+
+
+def test_chi_squared_tail_of_odd_and_even_degrees():
+    # fixed values: 5% points of chi-squared
+    for df, x in ((1, 3.841), (2, 5.991), (3, 7.815), (5, 11.070), (10, 18.307), (19, 30.144), (49, 66.339)):
+        assert K.chi2_tail(x, df) == pytest.approx(0.05, abs=2e-5)
+
+
+def test_groups_test_of_uniform_numbers():
+    u = np.random.default_rng(1).random(4000)
+    assert K.uniform_groups_p(u, 20) > 0.01 and K.uniform_groups_p(u**1.3, 20) < 1e-6
+    assert K.uniform_groups_p(np.array([0.0, 1.0, 0.49, 0.51]), 2) == 1
+
+
+def garch_sample(n, omega, rng):
+    s, out = 1.0, []
+    for k in range(n):
+        e = np.sqrt(s) * rng.standard_normal()
+        out.append(e)
+        s = omega(k) + 0.1 * e * e + 0.85 * s
+    return np.array(out)
+
+
+def test_constant_parameters_pass_nyblom_and_a_break_does_not():
+    rng = np.random.default_rng(5)
+    # a break of the mean: one of the variance's level mostly goes into the persistence
+    steady, broken = garch_sample(2000, lambda k: 0.05, rng), garch_sample(2000, lambda k: 0.05, rng) + np.where(np.arange(2000) < 1000, 0.0, 0.5)
+    for x, low in ((steady, True), (broken, False)):
+        f = K.garch_fit(x, normal=True)
+        assert K.garch_loglik(x, f["mu"], f["omega"], f["alpha"], f["beta"]).sum() == pytest.approx(f["loglik"])
+        j, k = K.nyblom(x, f)
+        assert k == 4 and (j < 1.24) == low
