@@ -31,6 +31,24 @@ def summarize(df: DataFrame, by=("label",), confidence: float = S.ALPHA, extra=(
     return backtest.run(df.withColumn("exception", (F.col("pnl") < -F.col("var")).cast("int")), by, confidence, more=[*more, *extra])
 
 
+def crisis_table(df: DataFrame, by=("method",), windows=S.STRESS, confidence: float = S.ALPHA, fewest: int = 50) -> DataFrame:
+    """A row for each group and period (full, each window, and outside of all): counts, losses, mean and greatest VaR and ES, and the tests where
+    there are `fewest` days. note tells where they are left out or only describe; a period without days has t = 0 and nulls."""
+    c, loss = F.col, -F.col("pnl")
+    hit = lambda f: f(F.when(c("exception") == 1, loss))
+    extra = [F.max(loss).alias("max_loss"), F.avg(loss).alias("mean_loss"), hit(F.avg).alias("mean_exception_loss"), hit(F.max).alias("max_exception_loss")]
+    d = summarize(in_windows(df, windows), (*by, "label"), confidence, extra)
+    names = F.array(*[F.lit(x) for x in ("full", *(w[0] for w in windows), "outside")])
+    d = df.select(*by).distinct().withColumn("label", F.explode(names)).join(d, [*by, "label"], "left").fillna(0, ["t", "n"])
+    enough = c("t") >= fewest
+    short = F.when(c("t") == 0, F.lit("no days")).when(~enough, F.lit(f"under {fewest} days: descriptive"))
+    apart = F.when((c("label") == "outside") & (c("t") > 0), F.lit("not contiguous: p_cc is descriptive"))
+    return d.select(
+        *by, "label", "first_d", "last_d", "t", "n", (c("t") * (1 - confidence)).alias("expected_n"), "rate", "mean_var", "mean_es", "max_var", "max_es", "mean_loss", "max_loss",
+        "mean_exception_loss", "max_exception_loss", F.when(enough, c("p_uc")).alias("p_uc"), F.when(enough, c("p_cc")).alias("p_cc"), F.concat_ws("; ", short, apart).alias("note"),
+    )
+
+
 def tail_summary(usage: DataFrame, n: int = 15) -> DataFrame:
     """The n shock days most often in a tail."""
     g = usage.groupBy("shock_d").agg(
@@ -94,5 +112,5 @@ def summary_stats(value: str) -> dict[str, Column]:
     """n, mean, standard deviation, extremes, skewness, excess kurtosis, and whether the tails are fatter than normal ones."""
     v = F.col(value)
     return {
-        "n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "least": F.min(v), "most": F.max(v), "skew": F.skewness(v), "kurt": F.kurtosis(v), "fat_tailed": F.kurtosis(v) > 0,
+        "n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "least": F.min(v), "most": F.max(v), "skew": F.skewness(v), "kurt": F.kurtosis(v), "fat_tailed": F.kurtosis(v) > 1,
     }

@@ -338,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
     moving = """select book, d, i, case when count(*) over b=30 then stddev_samp(x) over b end*sqrt(252e0) as vol, case when count(*) over a=60 then avg(x) over a end as mean, sqrt(case when count(*) over a=60 then avg(c*c) over a end) as sd
         from (select *, x-avg(x) over () as c from port) window b as (order by i rows between 29 preceding and current row), a as (order by i rows between 29 preceding and 30 following)"""
     stats = f"""select 'main' as book, count(*) as n, any_value(m) as mean, any_value(s) as std, min(x) as least, max(x) as most, avg(pow(x-m, 3))/pow(avg(pow(x-m, 2)), 1.5) as skew, avg(pow(x-m, 4))/pow(avg(pow(x-m, 2)), 2)-3 as kurt,
-        avg(pow(x-m, 4))/pow(avg(pow(x-m, 2)), 2)-3>0 as fat_tailed, max(greatest(k/n_-p, p-(k-1)/n_)) as ks from (select *, {cdf('zz')} as p from (select *, (x-m)/s as zz, row_number() over (order by x) as k, count(*) over () as n_ from (select x, avg(x) over () as m, stddev_samp(x) over () as s from port)))"""
+        avg(pow(x-m, 4))/pow(avg(pow(x-m, 2)), 2)-3>1 as fat_tailed, max(greatest(k/n_-p, p-(k-1)/n_)) as ks from (select *, {cdf('zz')} as p from (select *, (x-m)/s as zz, row_number() over (order by x) as k, count(*) over () as n_ from (select x, avg(x) over () as m, stddev_samp(x) over () as s from port)))"""
     fp = lambda c: f"case when {c}<1e-4 then '< 0.0001' else printf('%.4f', {c}) end as {c}"
     table = f"select method, t, n, printf('%.1f', expected_n) as expected, printf('%.2f%%', 100*rate) as rate, {fp('p_uc')}, {fp('p_ind')}, {fp('p_cc')}, '['||lower||', '||upper||']' as accepted from bt"
     rb = {
@@ -390,6 +390,11 @@ def oracle_sql() -> dict[str, str]:
             None, 4, "x var_full es_full var_diagonal es_diagonal sigma_full sigma_diagonal benefit",
         ),
         "delta_normal_crisis": build(f"select label, t, n, expected_n, {', '.join(cdoubles.split())} from sm", dn() | labelled("dn", True) | summary("lab", "label"), 6, "expected_n " + cdoubles),
+        "crisis_table": build(
+            """select s.method, s.label, first_d, last_d, t, n, t*(1-0.99e0) as expected_n, rate, mean_var, mean_es, max_var, max_es, mean_loss, max_loss, mean_exception_loss, max_exception_loss, case when t>=50 then p_uc end as p_uc, case when t>=50 then p_cc end as p_cc,
+            concat_ws('; ', case when t<50 then 'under 50 days: descriptive' end, case when s.label='outside' then 'not contiguous: p_cc is descriptive' end) as note from sm s join ct0 c on s.method=c.method and s.label=c.label""",
+            dn() | hs(500) | cm | labelled("cm", True) | summary("lab", "method, label") | {"ct0": "select method, label, max(es) as max_es, avg(-pnl) as mean_loss, max(-pnl) as max_loss, avg(-pnl) filter (where exception=1) as mean_exception_loss, max(-pnl) filter (where exception=1) as max_exception_loss from lab group by method, label"},
+            5, "expected_n rate mean_var mean_es max_var max_es mean_loss max_loss mean_exception_loss max_exception_loss p_uc p_cc"),
         "hist_sim_var": build(f"select {hs_cols} from hs", hs(500), 3, hs_doubles),
         "hist_sim_components": build("select d, snapshot_d, component, var, es, tail_scenarios, realised_pnl, realised_loss, exception from comp", comp(), 3, "var es realised_pnl realised_loss"),
         "hist_sim_component_summary": build(f"select component, t, n, expected_n, {', '.join(cdoubles.split())} from sm", comp() | {"cx": "select component, d, realised_pnl as pnl, var, es, exception from comp"} | summary("cx", "component"), 5, "expected_n " + cdoubles),

@@ -201,6 +201,13 @@ def compare_methods(lv: DataFrame) -> DataFrame:
     return backtest.run(dn.unionByName(hs), ("method",)).select("method", *TESTS)
 
 
+def crisis_methods(lv: DataFrame) -> DataFrame:
+    lv = once(lv)
+    dn, hs = dn_backtest(lv), hs_backtest(lv)
+    parts = [d.select(F.lit(k).alias("method"), "d", "pnl", "var", "es") for k, d in (("delta_normal", dn), ("hist_sim", hs))]
+    return analysis.crisis_table(once(parts[0].unionByName(parts[1])))
+
+
 def irs_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = levels(spark, sf_dir).withColumn("_r", book.rate(F.col("rate_idx")))
     return rounded(d.select(S.BOOK, "d", pricing.irs_value(F.col("_r")).alias("value"), pricing.irs_dv01(F.col("_r")).alias("dv01"), pricing.annuity(F.col("_r"), 10, 2).alias("annuity_semi")), 4)
@@ -221,6 +228,14 @@ def evt_var(lv: DataFrame) -> DataFrame:
     return tails.rolling(portfolio_losses(lv))
 
 
+def crisis_tails(lv: DataFrame) -> DataFrame:
+    """crisis_methods() for the two tail estimators."""
+    lv = once(lv)
+    evt = evt_var(lv).select(F.lit("evt").alias("method"), "d", (-S.V0 * F.col("loss")).alias("pnl"), (S.V0 * F.col("var")).alias("var"), (S.V0 * F.col("es")).alias("es"))
+    filtered = garch_evt_var(lv).select(F.lit("garch_evt").alias("method"), "d", (S.V0 * F.col("r")).alias("pnl"), "var", "es")
+    return analysis.crisis_table(once(evt.unionByName(filtered)))
+
+
 QS = (0.85, 0.9, 0.925, 0.95)
 
 
@@ -387,6 +402,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delta_normal_ewma": _of(lambda lv: delta_normal.ewma(lv, 0.94).unionByName(delta_normal.ewma(lv, 0.97)), 4),
         "delta_normal_diag": _of(delta_normal.diagonal, 4),
         "delta_normal_crisis": _of(delta_normal_crisis, 6),
+        "crisis_table": _of(crisis_methods, 5),
+        "crisis_table_tails": _of(crisis_tails, 5),
         "hist_sim_var": _of(lambda lv: hist_sim.rolling(lv).select(*HS_COLUMNS), 3),
         "hist_sim_components": _of(lambda lv: hist_sim.components(lv).select("d", "snapshot_d", "component", "var", "es", "tail_scenarios", "realised_pnl", "realised_loss", "exception"), 3),
         "hist_sim_component_summary": _of(component_summary, 5),

@@ -345,3 +345,16 @@ def test_factor_var_has_every_day_and_orders_its_levels(spark, sf):
     n = lv.count()
     assert sorted(r.i for r in rows) == list(range(251, n)) and all(r.var_99 >= r.var_95 for r in rows)
     assert all(r.exception_99 == (-r.realised_pnl > r.var_99) for r in rows)
+
+
+def test_crisis_table_gates_its_tests_and_names_empty_periods(spark):
+    rows = [("m", dt.date(2001, 1, 1) + dt.timedelta(days=k), -3.0 if k % 20 == 0 else 1.0, 2.0, 2.5) for k in range(200)]
+    d = spark.createDataFrame(rows, "method string, d date, pnl double, var double, es double")
+    windows = (("short", "2001-01-01", "2001-01-30"), ("long", "2001-02-01", "2001-04-30"), ("none", "1990-01-01", "1990-12-31"))
+    got = {r.label: r for r in analysis.crisis_table(d, windows=windows).collect()}
+    assert set(got) == {"full", "short", "long", "none", "outside"}
+    assert got["full"].t == 200 and got["full"].n == 10 and got["full"].p_uc is not None and got["full"].note == "" and got["full"].max_exception_loss == 3
+    assert got["short"].t == 30 and got["short"].n == 2 and got["short"].p_uc is None and got["short"].note == "under 50 days: descriptive"
+    assert got["long"].t == 89 and got["long"].p_cc is not None and got["long"].first_d == dt.date(2001, 2, 1)
+    assert got["none"].t == 0 and got["none"].n == 0 and got["none"].mean_var is None and got["none"].note == "no days"
+    assert got["outside"].t == 81 and got["outside"].note == "not contiguous: p_cc is descriptive"
