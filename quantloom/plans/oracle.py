@@ -391,9 +391,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "delta_normal_crisis": build(f"select label, t, n, expected_n, {', '.join(cdoubles.split())} from sm", dn() | labelled("dn", True) | summary("lab", "label"), 6, "expected_n " + cdoubles),
         "crisis_table": build(
-            """select s.method, s.label, first_d, last_d, t, n, t*(1-0.99e0) as expected_n, rate, mean_var, mean_es, max_var, max_es, mean_loss, max_loss, mean_exception_loss, max_exception_loss, case when t>=50 then p_uc end as p_uc, case when t>=50 then p_cc end as p_cc,
-            concat_ws('; ', case when t<50 then 'under 50 days: descriptive' end, case when s.label='outside' then 'not contiguous: p_cc is descriptive' end) as note from sm s join ct0 c on s.method=c.method and s.label=c.label""",
-            dn() | hs(500) | cm | labelled("cm", True) | summary("lab", "method, label") | {"ct0": "select method, label, max(es) as max_es, avg(-pnl) as mean_loss, max(-pnl) as max_loss, avg(-pnl) filter (where exception=1) as mean_exception_loss, max(-pnl) filter (where exception=1) as max_exception_loss from lab group by method, label"},
+            """select p.method, p.label, first_d, last_d, coalesce(t, 0) as t, coalesce(n, 0) as n, coalesce(t, 0)*(1-0.99e0) as expected_n, rate, mean_var, mean_es, max_var, max_es, mean_loss, max_loss, mean_exception_loss, max_exception_loss,
+            case when t>=50 then p_uc end as p_uc, case when t>=50 then p_cc end as p_cc,
+            concat_ws('; ', case when t is null then 'no days' when t<50 then 'under 50 days: descriptive' end, case when p.label='outside' and t is not null then 'not contiguous: p_cc is descriptive' end) as note
+            from ct1 p left join sm s on p.method=s.method and p.label=s.label left join ct0 c on p.method=c.method and p.label=c.label""",
+            dn() | hs(500) | cm | labelled("cm", True) | summary("lab", "method, label") | {"ct0": "select method, label, max(es) as max_es, avg(-pnl) as mean_loss, max(-pnl) as max_loss, avg(-pnl) filter (where exception=1) as mean_exception_loss, max(-pnl) filter (where exception=1) as max_exception_loss from lab group by method, label",
+                "ct1": f"select distinct method, unnest(['full', {', '.join(repr(w[0]) for w in S.STRESS)}, 'outside']) as label from cm"},
             5, "expected_n rate mean_var mean_es max_var max_es mean_loss max_loss mean_exception_loss max_exception_loss p_uc p_cc"),
         "hist_sim_var": build(f"select {hs_cols} from hs", hs(500), 3, hs_doubles),
         "hist_sim_components": build("select d, snapshot_d, component, var, es, tail_scenarios, realised_pnl, realised_loss, exception from comp", comp(), 3, "var es realised_pnl realised_loss"),
