@@ -391,7 +391,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "delta_normal_crisis": build(f"select label, t, n, expected_n, {', '.join(cdoubles.split())} from sm", dn() | labelled("dn", True) | summary("lab", "label"), 6, "expected_n " + cdoubles),
         "crisis_table": build(
-            """select p.method, p.label, first_d, last_d, coalesce(t, 0) as t, coalesce(n, 0) as n, coalesce(t, 0)*(1-0.99e0) as expected_n, rate, mean_var, mean_es, max_var, max_es, mean_loss, max_loss, mean_exception_loss, max_exception_loss,
+            f"""select p.method, p.label, first_d, last_d, coalesce(t, 0) as t, coalesce(n, 0) as n, coalesce(t, 0)*(1-0.99e0) as expected_n, rate, {', '.join(f'round({c}, 2) as {c}' for c in Q.MONEY)},
             case when t>=50 then p_uc end as p_uc, case when t>=50 then p_cc end as p_cc,
             concat_ws('; ', case when t is null then 'no days' when t<50 then 'under 50 days: descriptive' end, case when p.label='outside' and t is not null then 'not contiguous: p_cc is descriptive' end) as note
             from ct1 p left join sm s on p.method=s.method and p.label=s.label left join ct0 c on p.method=c.method and p.label=c.label""",

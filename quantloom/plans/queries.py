@@ -201,11 +201,19 @@ def compare_methods(lv: DataFrame) -> DataFrame:
     return backtest.run(dn.unionByName(hs), ("method",)).select("method", *TESTS)
 
 
+#: Columns of money in crisis tables, which are given in cents.
+MONEY = ("mean_var", "mean_es", "max_var", "max_es", "mean_loss", "max_loss", "mean_exception_loss", "max_exception_loss")
+
+
 def crisis_methods(lv: DataFrame) -> DataFrame:
     lv = once(lv)
     dn, hs = dn_backtest(lv), hs_backtest(lv)
     parts = [d.select(F.lit(k).alias("method"), "d", "pnl", "var", "es") for k, d in (("delta_normal", dn), ("hist_sim", hs))]
-    return analysis.crisis_table(once(parts[0].unionByName(parts[1])))
+    return in_cents(analysis.crisis_table(once(parts[0].unionByName(parts[1]))))
+
+
+def in_cents(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 2) for c in MONEY})
 
 
 def irs_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +241,7 @@ def crisis_tails(lv: DataFrame) -> DataFrame:
     lv = once(lv)
     evt = evt_var(lv).select(F.lit("evt").alias("method"), "d", (-S.V0 * F.col("loss")).alias("pnl"), (S.V0 * F.col("var")).alias("var"), (S.V0 * F.col("es")).alias("es"))
     filtered = garch_evt_var(lv).select(F.lit("garch_evt").alias("method"), "d", (S.V0 * F.col("r")).alias("pnl"), "var", "es")
-    return analysis.crisis_table(once(evt.unionByName(filtered)))
+    return in_cents(analysis.crisis_table(once(evt.unionByName(filtered))))
 
 
 QS = (0.85, 0.9, 0.925, 0.95)
