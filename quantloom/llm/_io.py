@@ -100,14 +100,19 @@ def schema(df: DataFrame, keys: list[str], more: str) -> T.StructType:
 
 def pack(docs: DataFrame, used: list[str], results: tuple[str, ...] = ()) -> DataFrame:
     """docs with the columns `used` and all others in one, so that names of working columns can't clash with theirs. Columns with the name of a
-    result give way to it."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used and c not in results]
+    result, in whatever case, give way to it."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used and not named(c, results)]
     return docs.select(*(c for c in used if c in docs.columns), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("_others"))
 
 
 def unpack(df: DataFrame, columns: list[str], used: list[str], results: tuple[str, ...] = ()) -> list:
     """The Columns that pack() took, in their order."""
-    return [F.col(c) if c in used else F.col(f"_others.`{c}`").alias(c) for c in columns if c not in results]
+    return [F.col(c) if c in used else F.col(f"_others.`{c}`").alias(c) for c in columns if not named(c, results)]
+
+
+def named(column: str, names) -> bool:
+    """Whether a column has one of the names (None is none), as Spark compares them: without case."""
+    return column.lower() in {n.lower() for n in names if n}
 
 
 def slices(column: pa.Array | pa.ChunkedArray, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -96,3 +96,39 @@ select o.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
     coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from own o left join hits using (doc_id) left join items using (doc_id)
 """
+
+OP11 = r"""
+with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
+own as (
+    select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') as path
+    from cut
+),
+rules(verdict, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits as (
+    select page_id, max_by(h || p, length(h || p)) as rule, max_by(verdict, length(h || p)) as verdict
+    from (select distinct * from own) join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id
+)
+select o.page_id, host, path, rule,
+    coalesce(verdict, case when regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|porn|spam)([.-]|$)') then 'block' else 'allow' end) as verdict
+from own o left join fits f on o.page_id = f.page_id
+"""
+
+OP12 = r"""
+with own as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || doc_id::varchar) as x from documents
+),
+drawn as (
+    select *, len(u)::bigint as n, ('0x' || substr(x, 1, 8))::bigint as h1, ('0x' || substr(x, 9, 8))::bigint as h2, ('0x' || substr(x, 25, 8))::bigint as h4 from own
+),
+placed as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from drawn),
+formed as (
+    select *, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+        array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf
+    from placed
+)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+    sha256(case form when 'plain' then text when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else '<P>' || pre || '<S>' || suf || '<M>' || mid end) as output_sha256,
+    sha256(text) as restored_sha256
+from formed
+"""

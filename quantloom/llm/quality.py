@@ -202,7 +202,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: fl
     its own; a stratum without enough good labelled documents has no certain cutoffs, so there only the base rules reject. Repeated rows each
     get their own result.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in RESULTS))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text" and not _io.named(c, RESULTS)))
     d = docs.select(F.col("doc_id").alias("id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), F.xxhash64("text").alias("copy"), row.alias("row"), "text")
     counted = _io.keep(features(d), "quality-counts")
     limits = _io.keep(cutoffs(counted, labels, risk, delta), "quality-limits")

@@ -42,7 +42,7 @@ def shard(docs: DataFrame, *, key: str = "doc_id", weights: Sequence[float] = (1
     buckets = max(1, -(-docs.count() // (BUCKET_ROWS * len(weights))))
     out = _numbered(d, buckets)
     made = [F.col(c).alias(n) for c, n in zip(("_shard", "_grown_shard", "_slot"), names) if n]
-    return out.select(*_io.unpack(out, [c for c in docs.columns if c not in names], [key]), *made)
+    return out.select(*_io.unpack(out, [c for c in docs.columns if not _io.named(c, names)], [key]), *made)
 
 
 def _numbered(d: DataFrame, buckets: int) -> DataFrame:
