@@ -7,6 +7,7 @@ index file has the offset and payload length of each record, 8 bytes each. Files
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -77,15 +78,24 @@ def record(file, index: bytes, i: int) -> bytes:
     return found
 
 
+def cuts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's description is of a byte-level one that takes a text's pieces between spaces each by itself, as they are."""
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return plain and not spec.get("normalizer") and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens") or ())
+
+
 class Encoder:
-    """A tokenizer of the tokenizers library with the ids of words kept. Its pre-tokenizer (byte level, with the usual pattern) never joins
-    what stands before a space and what follows it, unless that is white space too; so texts are encoded in pieces cut there."""
+    """A tokenizer of the tokenizers library with the ids of words kept. A pre-tokenizer of the byte-level kind, with the usual pattern, never joins
+    what stands before a space and what follows it, unless that is white space too; so texts are encoded in pieces cut there. With any other kind whole texts
+    are encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # the library's own store of words: those that come here are new to it
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
@@ -108,6 +118,8 @@ class Encoder:
             yield from zip(part, map(data.__getitem__, map(slice, at, at[1:])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [ids.tobytes() for ids in self._ids(texts)]
         if len(self.words) > CACHED:
             self.words = {}
         cut = []

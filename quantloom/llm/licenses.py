@@ -5,7 +5,7 @@ notices of each family varied at random, on the names of licences in sentences t
 probabilities are calibrated with a temperature on notices and sentences that the fit didn't see: a third of them at a time is kept out whole.
 
 A family is reported if its probability is CERTAIN or more and a template of the family has most of its 2-grams in the paragraph. A new wording,
-like no template, needs a surer classifier and a name: it is reported if the probability of any licence is SURE or more, as the likeliest of
+like no template, needs a surer classifier and a name: it is reported if the probability of any licence is SURE or more and CERTAIN of that is the family's, as the likeliest of
 the families that a name of stands there.
 A paragraph is a line, or lines in a row that a notice is wrapped over.
 """
@@ -29,6 +29,7 @@ FOLDS = 3
 OTHER_WEIGHT = 6.0
 SAMPLE_DOCS = 400  # documents whose paragraphs show the classifier other text, about
 SAMPLE_LINES = 1000
+SAMPLE_CHARS = (10, 2000)  # shorter and longer paragraphs aren't learned from; all are judged
 
 #: Short notices of licence families; those of one family are alternatives.
 NOTICES = {
@@ -129,6 +130,10 @@ GRANTS = [
 ]
 #: Sentences that only speak of one, for training.
 MENTIONS = [
+    "{} is not used here, nor is any other licence",
+    "this work is not licensed under the {} licence",
+    "it was never released under {} and will not be",
+    "no code under the {} may be used in this project",
     "the judges talked about the {} for hours", "a history of the {} was written", "why does anyone prefer the {} asked the reporter", "students compare the {} with other texts",
     "a lecture on the {} and its critics", "she read about the {} in the paper", "the {} was invented long ago", "some people dislike the {}", "what does the {} say about patents",
     "the debate over the {} went on",
@@ -285,8 +290,8 @@ class Classifier:
                 return k, float(p[k])
         if by_name and 1 - p[0] >= SURE:
             named = [f for f, names in self.names.items() if any(self._stands(n, words) for n in names)]
-            if named:
-                k = max(named, key=lambda f: p[f])
+            k = max(named, key=lambda f: p[f], default=0)
+            if k and p[k] >= CERTAIN * (1 - p[0]):
                 return k, float(p[k])
         return 0, float(p[0])
 
@@ -301,7 +306,7 @@ def trained(docs: DataFrame) -> Classifier:
     drawn by hashes of their text, so that neither the order of rows nor their partitions show."""
     n = max(1, docs.count())
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 2 * SAMPLE_DOCS / n)) + 1
-    lines = docs.where(drawn).select(F.explode(F.split("text", "\n")).alias("t")).where("length(t) between 10 and 2000 and lower(t) not like '%licen%'")
+    lines = docs.where(drawn).select(F.explode(F.split("text", "\n")).alias("t")).where(F.length("t").between(*SAMPLE_CHARS) & ~F.lower("t").like("%licen%"))
     lines = lines.distinct().orderBy(F.xxhash64("t"), "t").limit(SAMPLE_LINES)
     return Classifier(sorted(r.t for r in lines.collect()))
 

@@ -23,10 +23,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Symbols of the quality rules, and the least weight that a document has.
+SYMBOLS = r"[#*$%&|<>]"
+LEAST_WEIGHT = 0.01
+
+
 def quality(text: Column, size: Column) -> Column:
-    """1 where the mean word has 3 to 10 characters, else 0.25."""
-    mean = F.length(text) / F.greatest(size, F.lit(1))
-    return F.when(mean.between(3, 10), 1.0).otherwise(0.25)
+    """The share of the text's lines that are its own, by the share of its words left if each symbol spoils one, by how near the mean word's length is to that
+    of prose (5 characters and a space): between LEAST_WEIGHT and 1."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    own = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+    words = F.greatest(size, F.lit(1))
+    clean = 1 - F.least(F.regexp_count(text, F.lit(SYMBOLS)) / words, F.lit(1.0))
+    mean = F.length(text) / words
+    return F.greatest(own * clean * F.least(mean / 6, 6 / mean), F.lit(LEAST_WEIGHT))
 
 
 def uniform(*parts: Column) -> Column:

@@ -427,9 +427,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", percent: int = P
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """docs without the near-duplicates of a document of lesser id; all columns stay."""
-    out = _io.keep(near_duplicates(docs, id_col=id_col, percent=percent).where("not kept").select(id_col).distinct(), "near-duplicates")
-    return docs.join(F.broadcast(out) if out.count() <= SEND_IDS else out, id_col, "left_anti")
+    """docs without the near-duplicates of a document of lesser id; all columns stay. Of rows with one id and one text, one stays; other texts of an id that
+    stays are that document's, and stay too."""
+    rows = _io.keep(near_duplicates(docs, id_col=id_col, percent=percent).select(id_col, "kept"), "near-kept")
+    out = _io.keep(rows.where("not kept").select(id_col).distinct(), "near-duplicates")
+    left = docs.join(F.broadcast(out) if out.count() <= SEND_IDS else out, id_col, "left_anti")
+    again = _io.keep(rows.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated-ids")
+    n = again.count()
+    if not n:
+        return left
+    again = F.broadcast(again) if n <= SEND_IDS else again
+    packed = _io.pack(left, [id_col, "text"]).withColumn("_h", F.xxhash64("text"))  # only rows of ids that come twice are shuffled
+    once = packed.join(again, id_col, "left_semi").dropDuplicates([id_col, "_h"]).select(*_io.unpack(left, left.columns, [id_col, "text"]))
+    return left.join(again, id_col, "left_anti").unionByName(once)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,9 @@ budget as (
 keyed as (
     select s.*, b.source_size, b.target, b.epochs, round(b.target)::bigint - b.epochs * b.source_size as rest,
         ln(-ln((('0x' || substr(md5('0:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 1) / 4503599627370496.0::double * (1 - 1 / 4503599627370496.0::double))
-            / case when length(text)::double / greatest(size, 1) between 3 and 10 then 1.0 else 0.25 end::double) as key
-    from sized s join budget b on s.source is not distinct from b.source
+            / greatest(len(list_distinct(lines))::double / greatest(len(lines), 1) * (1 - least(len(regexp_extract_all(text, '[#*$%&|<>]'))::double / greatest(size, 1), 1.0::double))
+                * least(length(text)::double / greatest(size, 1) / 6, 6 / (length(text)::double / greatest(size, 1))), 0.01::double)) as key
+    from (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from sized) s join budget b on s.source is not distinct from b.source
 ),
 taken as (
     select *, greatest(0, least(size, rest - (sum(size) over (partition by source order by key, doc_id rows unbounded preceding) - size))) as part from keyed where size > 0

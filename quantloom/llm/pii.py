@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,14 +80,14 @@ _MAY = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]", re.I | re.A)
 def shape(token: str) -> str:
     """Runs of digits as 9 and their length, of letters as a or A; others as they are. The ends' punctuation counts too.
 
-    After PARTS runs follow the kinds of all the rest, each once, so that a long token's shape is of the whole token.
+    After PARTS runs follows a digest of all the rest, in order, so that a long token's shape is short and of the whole token.
     """
     out = []
     for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", token, re.S):
         s = m.group()
         out.append(f"9{min(len(s), 20)}" if s[0] in "0123456789" else ("A" if s.isupper() else "a") if s[0].isalpha() else s)
-    rest = sorted({part[0] for part in out[PARTS:]})
-    return "".join(out[:PARTS]) + ("~" + "".join(rest) if rest else "")
+    rest = "".join(out[PARTS:])
+    return "".join(out[:PARTS]) + ("~" + hashlib.sha256(rest.encode("utf-8", "surrogatepass")).hexdigest()[:16] if rest else "")
 
 
 def token_features(tokens: list[str], i: int) -> list[str]:
@@ -318,6 +319,12 @@ def _added(text: str, run, labels: list[int]) -> Iterator[tuple[int, int, int]]:
         p = q
 
 
+def _free(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether none of the spans, in order and apart from each other, overlaps a to b."""
+    k = bisect_right(spans, a, key=lambda s: s[1])
+    return k == len(spans) or spans[k][0] >= b
+
+
 def find(texts: list[str], model: Field) -> list[tuple[list[list[tuple[int, int]]], list[tuple[int, int, int]]]]:
     """For each text the patterns' spans by kind, and (kind, start, end) of those that the field adds: what overlaps none of the patterns'."""
     based = [base_spans(t) for t in texts]
@@ -328,7 +335,7 @@ def find(texts: list[str], model: Field) -> list[tuple[list[list[tuple[int, int]
     for (i, run), path in zip(flat, labels):
         if any(path):
             for k, a, b in _added(texts[i], run, path):
-                if all(b <= x or y <= a for spans in based[i] for x, y in spans) and all(b <= x or y <= a for _, x, y in more[i]):
+                if all(_free(spans, a, b) for spans in based[i]) and (not more[i] or more[i][-1][2] <= a):  # runs come in order
                     more[i].append((k, a, b))
     return list(zip(based, more))
 

@@ -352,16 +352,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows, names, count): rows (doc_id, text) without null ids, in which a doc_id stands for one text, and their count.
+
+    Where ids come once that is docs itself, and names is None. Otherwise each distinct (doc_id, text) is one row, with a number in place of its id, in their
+    order, and names (doc_id, named, copies) has the ids that the numbers stand for, and how many rows are equal.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    n = d.groupBy("doc_id").count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    if (n.most or 0) < 2:
+        return d, None, n.rows or 0
+    d = d.withColumn("_h", F.xxhash64("text"))
+    # the ranges of a sort are in order, and so are the ids that their rows are given
+    names = d.groupBy("doc_id", "_h").agg(F.count("*").alias("copies")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").withColumn("_row", F.monotonically_increasing_id())
+    names = _io.keep(names, "rows")
+    rows = d.join(names, ["doc_id", "_h"]).select(F.col("_row").alias("doc_id"), "text", "copies")
+    rows = rows.where("copies = 1").unionByName(rows.where("copies > 1").dropDuplicates(["doc_id"])).drop("copies")
+    return _io.keep(rows, "numbered"), names.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("named"), "copies"), n.rows
+
+
+def repeated_spans(d: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """(spans, near): spans (doc_id, start, n, mask) of words whose windows occur earlier; near, the documents (doc_id, text) that may have some.
 
-    docs: doc_id, text. A mask has a bit for each window of the span; null: all. Occurrences are ordered by (doc_id, start). Rows of one
-    doc_id stand at the same places, so they don't repeat each other; null texts have no words; a null doc_id takes no part.
+    d: rows of numbered(), `count` of them. A mask has a bit for each window of the span; null: all. Occurrences are ordered by (doc_id, start); null
+    texts have no words.
     """
-    spark = docs.sparkSession
+    spark = d.sparkSession
     _io.ready(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    frequent, known = _frequent(d, d.count())
+    frequent, known = _frequent(d, count)
     rows = d.mapInArrow(_rows(frequent, known), _ROWS)
     sure = rows.where("known")
     counted = rows.where("not known").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, _ROWS)
@@ -391,15 +409,41 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _io.keep(spans.dropDuplicates(["doc_id", "start", "n"]), "spans"), near
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of the documents that lose words; `kept` joins the words left by one space."""
-    spans, near = repeated_spans(docs)
+def _lost(d: DataFrame, count: int) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of the rows of numbered() that lose words."""
+    spans, near = repeated_spans(d, count)
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
     return near.join(lists, "doc_id").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def _renamed(df: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Rows of numbered() as the rows that they stand for."""
+    if names is None:
+        return df
+    d = df.join(names, "doc_id").withColumn("doc_id", F.col("named")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return d.drop("named", "copies", "_copy")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of the documents that lose words; `kept` joins the words left by one space.
+
+    docs: doc_id, text; other columns are not read. Texts that share a doc_id are documents of their own, in the order of a hash of the text: the first
+    occurrence of a window stays, whatever ids come twice. Equal rows (of one id and text) are one document: each gets its result. Null texts have no words; a
+    null doc_id takes no part. An empty table gives an empty one.
+    """
+    d, names, count = numbered(docs)
+    return _renamed(_lost(d, count), names)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cut = _io.keep(without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "cut")
-    rest = docs.mapInArrow(_whole, "doc_id long, n_words long, kept_sha256 string").join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
-    return cut.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
+    d, names, count = numbered(docs)
+    cut = _io.keep(_lost(d, count).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "cut")
+    whole = lambda rows: rows.mapInArrow(_whole, "doc_id long, n_words long, kept_sha256 string")
+    # rows without an id take no part: they are only read here
+    rest = (docs if names is None else d).select(F.col("doc_id").cast("long"), "text")
+    rest = whole(rest).join(cut.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    out = _renamed(cut.unionByName(rest), names)
+    if names is not None:
+        out = out.unionByName(whole(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), "text")).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
+    return out

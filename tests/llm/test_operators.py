@@ -209,7 +209,7 @@ def test_near_duplicate_edges(edge, empty, clashing):
     assert len(got) == 12 and (2, len(shingles(edge.where("doc_id = 2").first().text)), 1, False) in got and (3, 0, 3, True) in got and (7, len(shingles(edge.where("doc_id = 7").first().text)), 6, False) in got
     assert neardup.near_duplicates(empty).count() == 0 and neardup.deduplicated(empty).count() == 0
     out = neardup.deduplicated(clashing)
-    assert out.columns == clashing.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 1, 3, 4, 5, 6, 8, 9, 10]
+    assert out.columns == clashing.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 3, 4, 5, 6, 8, 9, 10]  # one of the two equal rows
 
 
 def test_components_of_a_long_chain(spark):
