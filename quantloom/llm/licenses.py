@@ -5,8 +5,8 @@ notices of each family varied at random, on the names of licences in sentences t
 probabilities are calibrated with a temperature on notices and sentences that the fit didn't see: a third of them at a time is kept out whole.
 
 A family is reported if its probability is CERTAIN or more and a template of the family has most of its 2-grams in the paragraph. A new wording,
-like no template, needs a surer classifier and a name: it is reported if the probability of any licence is SURE or more and CERTAIN of that is the family's, as the likeliest of
-the families that a name of stands there.
+like no template, needs a surer classifier and a name: it is reported if the probability of any licence is SURE or more, a name of the family stands there,
+and the family is the likeliest of all, with NAMED of that probability or more.
 A paragraph is a line, or lines in a row that a notice is wrapped over.
 """
 
@@ -24,6 +24,7 @@ from . import _io, _text
 
 CERTAIN = 0.5
 SURE = 0.8
+NAMED = 0.3
 CONFIRMED = 0.6  # of a template's 2-grams
 FOLDS = 3
 OTHER_WEIGHT = 6.0
@@ -136,7 +137,8 @@ MENTIONS = [
     "no code under the {} may be used in this project",
     "the judges talked about the {} for hours", "a history of the {} was written", "why does anyone prefer the {} asked the reporter", "students compare the {} with other texts",
     "a lecture on the {} and its critics", "she read about the {} in the paper", "the {} was invented long ago", "some people dislike the {}", "what does the {} say about patents",
-    "the debate over the {} went on",
+    "the debate over the {} went on", "they looked at the {} again and found nothing", "the parties argued about the {} in front of a judge", "nobody there had heard of the {}",
+    "the book tells how the {} came about", "she spoke at the meeting on the {}",
 ]
 #: Text that speaks of licences and is none.
 OTHER = [
@@ -291,7 +293,7 @@ class Classifier:
         if by_name and 1 - p[0] >= SURE:
             named = [f for f, names in self.names.items() if any(self._stands(n, words) for n in names)]
             k = max(named, key=lambda f: p[f], default=0)
-            if k and p[k] >= CERTAIN * (1 - p[0]):
+            if k and p[k] == p[1:].max() and p[k] >= NAMED * (1 - p[0]):
                 return k, float(p[k])
         return 0, float(p[0])
 
