@@ -25,9 +25,9 @@ NYBLOM_5 = {4: 1.24, 5: 1.47, 6: 1.68}
 FIT_SCHEMA = "book string, refit int, t long, mu double, omega double, alpha double, beta double, nu double, loglik double, next double, sigma array<double>"
 
 
-def refits(r: DataFrame, window: int = S.WINDOW, every: int = REFIT, rolling: bool = False, scale: float = 100.0) -> DataFrame:
-    """A fit for each refit day t = window, window + every, ...: returns (book, i, r) with i from 0. sigma: the sample's volatilities, kept for
-    its last `window` days."""
+def refits(r: DataFrame, window: int = S.WINDOW, every: int = REFIT, rolling: bool = False) -> DataFrame:
+    """A fit for each refit day t = window, window + every, ...: returns (book, i, r) with i from 0, taken in units of their sample's deviation for the fit. sigma:
+    the sample's volatilities, kept for its last `window` days."""
     n = r.groupBy(S.BOOK).agg(F.max("i").alias("last"))
     days = n.select(S.BOOK, F.explode(F.sequence(F.lit(window), F.col("last"), F.lit(every))).alias("t"))
     days = days.withColumn("refit", ((F.col("t") - window) / every).cast("int"))
@@ -39,7 +39,9 @@ def refits(r: DataFrame, window: int = S.WINDOW, every: int = REFIT, rolling: bo
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                f = K.garch_fit(np.asarray(row.x, float) * scale)
+                x = np.asarray(row.x, float)
+                scale = 1 / (x.std() or 1.0)
+                f = K.garch_fit(x * scale)
                 out.append((row.book, row.refit, row.t, f["mu"] / scale, f["omega"] / scale**2, f["alpha"], f["beta"], f["nu"], f["loglik"], f["next"] / scale**2, (f["sigma"][-window:] / scale).tolist()))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FIT_SCHEMA.split(", ")])
 

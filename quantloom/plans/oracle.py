@@ -67,7 +67,7 @@ CTES: dict[str, str] = {
     "lv": "select 'main' as book, *, row_number() over (order by d)-1 as i from filled where px_a is not null and px_b is not null and px_c is not null and px_d is not null and vol_idx is not null and rate_idx is not null",
     "ret": f"select book, d, i, {', '.join(f'ln(px_{x}/lag(px_{x}) over (order by i)) as r_{x}' for x in A)} from lv qualify i>0",
     "port": "select *, 0.25e0*r_a+0.25e0*r_b+0.25e0*r_c+0.25e0*r_d as x from ret",
-    "loss": "select book, d, i, x, -x as loss from port",
+    "loss": "select book, d, i, pnl_total as pnl, -pnl_total as loss from tot",
     "shock": f"select book, d, i, {', '.join(f'ln(px_{x}/lag(px_{x}) over (order by i)) as s_{x}' for x in A)}, ln(vol_idx/lag(vol_idx) over (order by i)) as s_vol, rate_idx-lag(rate_idx) over (order by i) as s_rate from lv qualify i>0",
     "state": f"""select *, first_value(px_d) over (partition by i//30 order by i) as strike, greatest((30-i%30)/252e0, 1e0/252e0) as tenor, i%30 as days_held, (i>0 and i%30=0) as rolled,
         {', '.join(f'1e6*0.25e0/first_value(px_{x}) over (order by i) as sh_{x}' for x in A)}, greatest(rate_idx/100, 0e0) as rate from lv""",
@@ -177,7 +177,7 @@ def dn(w: int = 500, name: str = "dn") -> dict[str, str]:
     z, e = lit(S.Z_ALPHA), lit(S.PHI_ALPHA) + "/(1-0.99e0)"
     return {
         f"{name}0": f"select *, 1e6*avg(x) over w as m, 1e6*sqrt(var_samp(x) over w) as s from port window w as (order by i rows between {w} preceding and 1 preceding) qualify i>{w}",
-        name: f"select book, d, i, x, {z}*s-m as var_full, {z}*s as var_nodrift, {e}*s-m as es_full, {e}*s as es_nodrift, m as mu, s as sigma, 1e6*x as pnl, {z}*s-m as var, {e}*s-m as es, cast(1e6*x < -({z}*s-m) as int) as exception from {name}0",
+        name: f"select n.book, n.d, n.i, x, {z}*s-m as var_full, {z}*s as var_nodrift, {e}*s-m as es_full, {e}*s as es_nodrift, m as mu, s as sigma, t.pnl_total as pnl, t.pnl_linear, {z}*s-m as var, {e}*s-m as es, cast(t.pnl_total < -({z}*s-m) as int) as exception from {name}0 n join tot t on n.i=t.i",
     }
 
 
@@ -223,7 +223,7 @@ def labelled(src: str, others: bool) -> dict[str, str]:
 TESTS = ", ".join(Q.TESTS)
 TEST_DOUBLES = "lr_uc lr_ind lr_cc p_uc p_ind p_cc expected_n rate binomial_p"
 GF = {
-    "gf0": f"select book, d, i-1 as i, x/stddev_samp(x) over () as r, (i-1)//50 as refit from port",
+    "gf0": "select book, d, i-1 as i, (pnl_total/1e6)/stddev_samp(pnl_total/1e6) over () as r, (i-1)//50 as refit from tot",
     "gf1": f"select *, list((r-{lit(Q.G_MU)})*(r-{lit(Q.G_MU)})) over (partition by refit order by i rows between unbounded preceding and 1 preceding) as e2 from gf0",
     "gf2": f"select *, sqrt(list_reduce(list_prepend({lit(Q.OMEGA)}/(1-{lit(Q.G_ALPHA)}-{lit(Q.G_BETA)}), coalesce(e2, [])), lambda s, e: greatest({lit(Q.OMEGA)}+{lit(Q.G_ALPHA)}*e+{lit(Q.G_BETA)}*s, 1e-10))) as sigma from gf1",
     "gf": f"select book, d, i, cast(refit as int) as refit, r, sigma, (r-{lit(Q.G_MU)})/sigma as z from gf2",
@@ -289,7 +289,7 @@ def oracle_sql() -> dict[str, str]:
 
     hw = named(250, 3, "h") | named(750, 8, "g") | hs(500) | {"hw": " union all ".join((hsx(250, "hhs"), hsx(500, "hs"), hsx(750, "ghs")))}
     hb = {"hb": "select d, realised_pnl as pnl, var, es, exception from hs"}
-    cm = {"cm": "select 'delta_normal' as method, d, pnl, var, es, exception from dn union all select 'hist_sim', d, realised_pnl, var, es, exception from hs"}
+    cm = {"cm": "select 'delta_normal' as method, d, pnl, var, es, exception from dn union all select 'hist_sim', h.d, t.pnl_total, h.var, h.es, cast(t.pnl_total < -h.var as int) from hs h join tot t on h.d=t.d"}
     q9 = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
     mom = " union all ".join(
         f"""select '{c}' as component, avg(v) as mean, sqrt(avg((v-m)*(v-m))) as std, avg(pow(v-m, 3))/pow(avg(pow(v-m, 2)), 1.5) as skew, avg(pow(v-m, 4))/pow(avg(pow(v-m, 2)), 2)-3 as kurt,
@@ -351,6 +351,8 @@ def oracle_sql() -> dict[str, str]:
         "rb4": "select *, 1e6*avg(x) over w as mu, 1e6*sqrt(var_samp(x) over w) as sigma from rb3 window w as (partition by book order by i rows between 250 preceding and 1 preceding) qualify i>250",
     }
     days = "cast(o_orderdate as date) as d from orders"
+    dg = f"select book, d, i, x, {z}*sf-m as var_full, {e}*sf-m as es_full, {z}*sd-m as var_diagonal, {e}*sd-m as es_diagonal, sf as sigma_full, sd as sigma_diagonal, ({z}*sd-m)-({z}*sf-m) as benefit from (select *, 1e6*avg(x) over w as m, 1e6*sqrt(var_samp(x) over w) as sf, 1e6*sqrt({'+'.join(f'0.0625e0*var_samp(r_{x}) over w' for x in A)}) as sd from port window w as (order by i rows between 500 preceding and 1 preceding) qualify i>500)"
+    sens, sens_doubles = ", ".join(Q.SENSITIVITY), "rate p_uc p_cc mean_var mean_es max_var"
     return {
         "strict_backtest": build(strict, dn() | tests("dn", "book"), 8, "lr_uc_strict lr_ind_strict"),
         "panel_violations": build(bad("lv", ("px_a", "px_b", "px_c", "px_d", "vol_idx", "rate_idx"))),
@@ -384,9 +386,12 @@ def oracle_sql() -> dict[str, str]:
         "instrument_pnl": build("select book, d, pnl_irs, pnl_straddle from pnl", None, 3, "pnl_irs pnl_straddle"),
         "total_pnl": build("select * from tot", None, 3, "pnl_linear pnl_irs pnl_straddle pnl_total"),
         "delta_normal_windows": build('select "window", t, n, p_uc, p_cc, mean_var, mean_es, max_var from sm', dnw | summary("dw", '"window"'), 6, "p_uc p_cc mean_var mean_es max_var"),
+        "delta_normal_linear": build(f"select book, {TESTS} from bt", dn() | {"dl": "select book, d, pnl_linear as pnl, var, es, cast(pnl_linear < -var as int) as exception from dn"} | tests("dl", "book"), 8, TEST_DOUBLES),
+        "delta_normal_ewma_tests": build(f"select lam, {sens} from sm", dn() | EW | {"ex": f"select 1e0 as lam, d, pnl, var, es, exception from dn union all select w.lam, w.d, t.pnl_total, w.var_full, w.es_full, cast(t.pnl_total < -w.var_full as int) from ({ewma(0.94)} union all {ewma(0.97)}) w join tot t on w.i=t.i"} | summary("ex", "lam"), 5, "lam " + sens_doubles),
+        "delta_normal_diag_tests": build(f"select covariance, {sens} from sm", {"dg": dg} | {"dx": " union all ".join(f"select '{k}' as covariance, g.d, t.pnl_total as pnl, var_{k} as var, es_{k} as es, cast(t.pnl_total < -var_{k} as int) as exception from dg g join tot t on g.i=t.i" for k in ("full", "diagonal"))} | summary("dx", "covariance"), 5, sens_doubles),
         "delta_normal_ewma": build(f"{ewma(0.94)} union all {ewma(0.97)}", EW, 4, "lam x var_full var_nodrift es_full es_nodrift mu sigma"),
         "delta_normal_diag": build(
-            f"select book, d, i, x, {z}*sf-m as var_full, {e}*sf-m as es_full, {z}*sd-m as var_diagonal, {e}*sd-m as es_diagonal, sf as sigma_full, sd as sigma_diagonal, ({z}*sd-m)-({z}*sf-m) as benefit from (select *, 1e6*avg(x) over w as m, 1e6*sqrt(var_samp(x) over w) as sf, 1e6*sqrt({'+'.join(f'0.0625e0*var_samp(r_{x}) over w' for x in A)}) as sd from port window w as (order by i rows between 500 preceding and 1 preceding) qualify i>500)",
+            dg,
             None, 4, "x var_full es_full var_diagonal es_diagonal sigma_full sigma_diagonal benefit",
         ),
         "delta_normal_crisis": build(f"select label, t, n, expected_n, {', '.join(cdoubles.split())} from sm", dn() | labelled("dn", True) | summary("lab", "label"), 6, "expected_n " + cdoubles),
@@ -414,12 +419,12 @@ def oracle_sql() -> dict[str, str]:
         "hist_sim_subperiods": build(f"select label, first_d, last_d, t, n, expected_n, {', '.join(cdoubles.split())} from sm", hs(500) | hb | labelled("hb", False) | summary("lab", "label"), 5, "expected_n " + cdoubles),
         "hist_sim_windows": build(f'select "window", t, n, {", ".join(cdoubles.split())}, max_var from sm', hw | summary("hw", '"window"'), 5, cdoubles + " max_var"),
         "vol_adjusted_hs": build(f"select {hs_cols}, avg_vol_ratio from hs", hs(500, vol=True), 3, hs_doubles + " avg_vol_ratio"),
-        "rolling_quantile_var": build("select book, d, quantile_cont(loss, 0.99) over (order by i rows between 500 preceding and 1 preceding) as q from loss qualify i>500", None, 8, "q"),
+        "rolling_quantile_var": build("select book, d, quantile_cont(loss, 0.99) over (order by i rows between 500 preceding and 1 preceding) as q from loss qualify i>500", None, 3, "q"),
         "empirical_es": build(
-            "select book, d, i, greatest(qq, 0e0) as q, greatest(list_avg(list_filter(l, lambda v: v>=qq)), qq, 0e0) as es from (select *, quantile_cont(loss, 0.99) over w as qq, list(loss) over w as l from loss window w as (order by i rows between 500 preceding and 1 preceding) qualify i>500)", None, 8, "q es"),
-        "pot_threshold_counts": build("select * from tc", TC, 8, "u f_u"),
+            "select book, d, i, greatest(qq, 0e0) as q, greatest(list_avg(list_filter(l, lambda v: v>=qq)), qq, 0e0) as es from (select *, quantile_cont(loss, 0.99) over w as qq, list(loss) over w as l from loss window w as (order by i rows between 500 preceding and 1 preceding) qualify i>500)", None, 3, "q es"),
+        "pot_threshold_counts": build("select * from tc", TC, 3, "u f_u"),
         "pot_formula_fixed_params": build(
-            f"select book, d, u, n_u, f_u, var, (var+{lit(Q.SIGMA)}-{lit(Q.XI)}*u)/(1-{lit(Q.XI)}) as es from (select *, u+{lit(Q.SIGMA)}/{lit(Q.XI)}*(pow((500/n_u)*{u}, -{lit(Q.XI)})-1) as var from tc)", TC, 8, "u f_u var es"),
+            f"select book, d, u, n_u, f_u, var, (var+{lit(Q.SIGMA)}-{lit(Q.XI)}*u)/(1-{lit(Q.XI)}) as es from (select *, u+{lit(Q.SIGMA)}/{lit(Q.XI)}*(pow((500/n_u)*{u}, -{lit(Q.XI)})-1) as var from tc)", TC, 3, "u f_u var es"),
         "garch_recursion_fixed_params": build("select * from gf", GF, 8, "r sigma z"),
         "volatility_recursions": build("select * from vr", GF | VR, 8, "sigma_garch sigma_gjr sigma_aparch"),
         "factor_pnl": build("select * from fp", FP, 3, "pnl_linear pnl_irs pnl_straddle pnl_total"),
@@ -439,7 +444,7 @@ def oracle_sql() -> dict[str, str]:
         "exception_severity": build("select book, avg(-pnl-var) filter (where exception=1) as severity from dn group by book", dn(), 4, "severity"),
         "moments_quantiles": build(mom, None, 4, "mean std skew kurt " + " ".join(f"q{i}" for i in range(9))),
         "mean_excess_curve": build(
-            " union all ".join(f"select 'main' as book, {k} as pos, u, count(*) as n, avg(loss-u) as excess from loss, (select quantile_cont(loss, {k}/20e0) as u from loss) where loss>u group by u" for k in range(20)), None, 8, "u excess"),
+            " union all ".join(f"select 'main' as book, {k} as pos, u, count(*) as n, avg(loss-u) as excess from loss, (select quantile_cont(loss, {k}/20e0) as u from loss) where loss>u group by u" for k in range(20)), None, 3, "u excess"),
         "hill_curve": build("select book, cast(rk-1 as int) as k, before-ln(loss) as xi from (select *, row_number() over (order by loss desc, i) as rk, avg(ln(loss)) over (order by loss desc, i rows between unbounded preceding and 1 preceding) as before from loss where loss>0) where rk between 2 and 301", None, 8, "xi"),
         "pseudo_observations": build("select * from po", PO, 8, "u_r_a u_r_b u_r_c u_r_d"),
         "copula_corr": build(_pairs("po", [f"u_r_{x}" for x in A], lambda a, b: f"corr({a}, {b})"), PO, 8, "value"),
@@ -449,6 +454,6 @@ def oracle_sql() -> dict[str, str]:
         "ks_two_sample_stat": build("select book, cast(max(na) as bigint) as n_a, cast(max(n_)-max(na) as bigint) as n_b, max(abs(ca/na-(c-ca)/(n_-na))) as ks from (select book, sum(cast(i%2=0 as int)) over () as na, count(*) over () as n_, sum(cast(i%2=0 as int)) over (order by x) as ca, count(*) over (order by x) as c from port) group by book", None, 8, "ks"),
         "sign_bias_ols": build(f"select 'main' as book, {sbc} from sb", GF | sb, 4, sbd),
         "pnl_component_corr": build(_pairs("tot", [f"pnl_{c}" for c in S.COMPONENTS], lambda a, b: f"corr({a}, {b})"), None, 8, "value"),
-        "param_stability": build(" union all ".join(stab(c) for c in ("u", "n_u", "f_u")), TC, 8, "mean std least most max_change"),
+        "param_stability": build(" union all ".join(stab(c) for c in ("u", "n_u", "f_u")), TC, 3, "mean std least most max_change"),
         "stress_worst_n": build("select book, cast(row_number() over (order by loss desc, shock_d) as int) as rank, shock_d, loss, pnl_linear, pnl_irs, pnl_straddle from scen qualify rank<=10", worst, 3, "loss pnl_linear pnl_irs pnl_straddle"),
     }

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import pricing
 from ..operators import analysis, backtest, book, delta_normal, diagnostics, garch, hist_sim, monte_carlo, panel, tails
-from ..operators.once import once, shared_folder
+from ..operators.once import fresh_path, once
 from ..sources import market
 
 #: Fixed parameters of the queries that show formulas apart from fits.
-XI, SIGMA = 0.15, 0.02
+XI, SIGMA = 0.15, 2e4
 Z_95 = 1.6448536269514722
 US = (0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999)
 OMEGA, G_ALPHA, G_BETA, G_MU = 0.05, 0.1, 0.85, 0.0
@@ -34,20 +34,41 @@ def _of(f: Callable[[DataFrame], DataFrame], n: int = 6) -> Callable:
     return lambda spark, sf_dir: rounded(f(levels(spark, sf_dir)), n)
 
 
+def total_pnl(lv: DataFrame) -> DataFrame:
+    """(book, d, i, pnl): the P&L of the whole book, which every estimate is held against."""
+    return book.pnl(lv).select(S.BOOK, "d", "i", F.col("pnl_total").alias("pnl"))
+
+
 def portfolio_losses(lv: DataFrame) -> DataFrame:
-    """(book, d, i, x, loss): the equal-weight return and its negative."""
-    return panel.portfolio_return(lv).select(S.BOOK, "d", "i", "x", (-F.col("x")).alias("loss"))
+    """(book, d, i, pnl, loss): the book's P&L and its negative, in money."""
+    return total_pnl(lv).withColumn("loss", -F.col("pnl"))
 
 
 def series(lv: DataFrame) -> DataFrame:
-    """(book, d, i, r) with i from 0, for the GARCH operators."""
-    return panel.portfolio_return(lv).select(S.BOOK, "d", (F.col("i") - 1).alias("i"), F.col("x").alias("r"))
+    """(book, d, i, r) with i from 0, for the GARCH operators: the book's P&L over its value at inception."""
+    return total_pnl(lv).select(S.BOOK, "d", (F.col("i") - 1).alias("i"), (F.col("pnl") / S.V0).alias("r"))
+
+
+def against(est: DataFrame, pnl: DataFrame) -> DataFrame:
+    """Estimates (book, d, var, maybe es) as backtests take them: with the P&L (book, d, pnl) of their days. Without an es, var stands there."""
+    es = F.col("es") if "es" in est.columns else F.col("var")
+    return est.select(S.BOOK, "d", "var", es.alias("es")).join(pnl.select(S.BOOK, "d", "pnl"), [S.BOOK, "d"]).select(S.BOOK, "d", "pnl", "var", "es")
+
+
+def dn_rows(lv: DataFrame, window: int = S.WINDOW) -> DataFrame:
+    return delta_normal.rolling(lv, window).select(S.BOOK, "d", F.col("var_full").alias("var"), F.col("es_full").alias("es"))
 
 
 def dn_backtest(lv: DataFrame, window: int = S.WINDOW) -> DataFrame:
-    """Delta-normal rows as backtests take them."""
-    d = delta_normal.rolling(lv, window)
-    return d.select(S.BOOK, "d", "i", (S.V0 * F.col("x")).alias("pnl"), F.col("var_full").alias("var"), F.col("es_full").alias("es"))
+    """Delta-normal estimates, which are of the linear part, against the whole book's P&L."""
+    lv = once(lv)
+    return against(dn_rows(lv, window), total_pnl(lv))
+
+
+def dn_linear(lv: DataFrame) -> DataFrame:
+    """The same estimates against the P&L of the linear part alone."""
+    lv = once(lv)
+    return against(dn_rows(lv), book.pnl(lv).select(S.BOOK, "d", F.col("pnl_linear").alias("pnl")))
 
 
 def with_exceptions(lv: DataFrame) -> DataFrame:
@@ -55,9 +76,16 @@ def with_exceptions(lv: DataFrame) -> DataFrame:
 
 
 def hs_backtest(lv: DataFrame, window: int = S.WINDOW) -> DataFrame:
+    """Historical simulation against its own revaluation of the next day."""
     return hist_sim.rolling(lv, window).select(S.BOOK, "d", F.col("realised_pnl").alias("pnl"), "var", "es")
 
 
+def united(parts: dict, name: str) -> DataFrame:
+    """Tables of (book, d, pnl, var, es), each with its key as column `name`."""
+    rows = [d.select(F.lit(k).alias(name), S.BOOK, "d", "pnl", "var", "es") for k, d in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 TESTS = ("t", "n", "n00", "n01", "n10", "n11", "lr_uc", "lr_ind", "lr_cc", "p_uc", "p_ind", "p_cc", "expected_n", "rate", "reject_uc", "reject_ind", "reject_cc", "lower", "upper", "binomial_p", "binomial_reject")
 
 
@@ -67,8 +95,36 @@ def asof_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_normal_windows(lv: DataFrame) -> DataFrame:
-    parts = [dn_backtest(lv, w).withColumn("window", F.lit(w)) for w in (250, 500, 750)]
-    return analysis.summarize(parts[0].unionByName(parts[1]).unionByName(parts[2]), ("window",)).select("window", "t", "n", "p_uc", "p_cc", "mean_var", "mean_es", "max_var")
+    lv = once(lv)
+    d = united({w: dn_backtest(lv, w) for w in (250, 500, 750)}, "window")
+    return analysis.summarize(d, ("window",)).select("window", "t", "n", "p_uc", "p_cc", "mean_var", "mean_es", "max_var")
+
+
+SENSITIVITY = ("t", "n", "rate", "p_uc", "p_cc", "mean_var", "mean_es", "max_var")
+
+
+def delta_normal_ewma_tests(lv: DataFrame) -> DataFrame:
+    """Weighted covariances beside the plain one (lam 1), against the book's P&L."""
+    lv = once(lv)
+    pnl = once(total_pnl(lv))
+    rows = {lam: delta_normal.ewma(lv, lam).select(S.BOOK, "d", F.col("var_full").alias("var"), F.col("es_full").alias("es")) for lam in (0.94, 0.97)}
+    d = united({k: against(v, pnl) for k, v in ({1.0: dn_rows(lv)} | rows).items()}, "lam")
+    return analysis.summarize(d, ("lam",)).select("lam", *SENSITIVITY)
+
+
+def delta_normal_diag_tests(lv: DataFrame) -> DataFrame:
+    """Correlations of the window beside none, against the book's P&L."""
+    lv = once(lv)
+    pnl, d = once(total_pnl(lv)), once(delta_normal.diagonal(lv))
+    parts = {k: against(d.select(S.BOOK, "d", F.col(f"var_{k}").alias("var"), F.col(f"es_{k}").alias("es")), pnl) for k in ("full", "diagonal")}
+    return analysis.summarize(united(parts, "covariance"), ("covariance",)).select("covariance", *SENSITIVITY)
+
+
+def delta_t_normal_tests(lv: DataFrame) -> DataFrame:
+    """Student-t quantiles beside normal ones, against the book's P&L."""
+    lv = once(lv)
+    parts = {"normal": dn_backtest(lv), "t": delta_t_normal(lv)}
+    return analysis.summarize(united(parts, "law"), ("law",)).select("law", *SENSITIVITY)
 
 
 def delta_normal_crisis(lv: DataFrame) -> DataFrame:
@@ -78,6 +134,7 @@ def delta_normal_crisis(lv: DataFrame) -> DataFrame:
 
 def delta_t_normal(lv: DataFrame) -> DataFrame:
     """Student-t quantiles with one nu for each book, fitted on its whole series in a task of its own."""
+    lv = once(lv)
     x = panel.portfolio_return(lv)
 
     def fit(pdf):
@@ -91,8 +148,8 @@ def delta_t_normal(lv: DataFrame) -> DataFrame:
         return pd.DataFrame({"book": [pdf["book"].iloc[0]], "nu": [nu], "z": [z], "es_factor": [es]})
 
     nus = x.select(S.BOOK, "x").groupBy(S.BOOK).applyInPandas(fit, "book string, nu double, z double, es_factor double")
-    d = delta_normal.rolling(lv).join(nus, S.BOOK)
-    return d.select(S.BOOK, "d", "i", "nu", (F.col("z") * F.col("sigma") - F.col("mu")).alias("var"), (F.col("es_factor") * F.col("sigma") - F.col("mu")).alias("es"), (S.V0 * F.col("x")).alias("pnl"))
+    d = delta_normal.rolling(lv).join(nus, S.BOOK).join(total_pnl(lv).select(S.BOOK, "d", "pnl"), [S.BOOK, "d"])
+    return d.select(S.BOOK, "d", "i", "nu", (F.col("z") * F.col("sigma") - F.col("mu")).alias("var"), (F.col("es_factor") * F.col("sigma") - F.col("mu")).alias("es"), "pnl")
 
 
 def hist_windows(lv: DataFrame) -> DataFrame:
@@ -195,10 +252,15 @@ def stress_worst(lv: DataFrame, n: int = 10) -> DataFrame:
     return d.select(S.BOOK, "rank", "shock_d", "loss", "pnl_linear", "pnl_irs", "pnl_straddle")
 
 
+def two_methods(lv: DataFrame) -> DataFrame:
+    """Delta-normal and historical simulation against one P&L."""
+    lv = once(lv)
+    pnl = once(total_pnl(lv))
+    return united({"delta_normal": against(dn_rows(lv), pnl), "hist_sim": against(hist_sim.rolling(lv), pnl)}, "method")
+
+
 def compare_methods(lv: DataFrame) -> DataFrame:
-    dn = dn_backtest(lv).select(F.lit("delta_normal").alias("method"), "d", "pnl", "var")
-    hs = hs_backtest(lv).select(F.lit("hist_sim").alias("method"), "d", "pnl", "var")
-    return backtest.run(dn.unionByName(hs), ("method",)).select("method", *TESTS)
+    return backtest.run(two_methods(lv), ("method",)).select("method", *TESTS)
 
 
 #: Columns of money in crisis tables, which are given in cents.
@@ -206,10 +268,7 @@ MONEY = ("mean_var", "mean_es", "max_var", "max_es", "mean_loss", "max_loss", "m
 
 
 def crisis_methods(lv: DataFrame) -> DataFrame:
-    lv = once(lv)
-    dn, hs = dn_backtest(lv), hs_backtest(lv)
-    parts = [d.select(F.lit(k).alias("method"), "d", "pnl", "var", "es") for k, d in (("delta_normal", dn), ("hist_sim", hs))]
-    return in_cents(analysis.crisis_table(once(parts[0].unionByName(parts[1]))))
+    return in_cents(analysis.crisis_table(once(two_methods(lv).drop(S.BOOK))))
 
 
 def in_cents(df: DataFrame) -> DataFrame:
@@ -239,9 +298,9 @@ def evt_var(lv: DataFrame) -> DataFrame:
 def crisis_tails(lv: DataFrame) -> DataFrame:
     """crisis_methods() for the two tail estimators."""
     lv = once(lv)
-    evt = evt_var(lv).select(F.lit("evt").alias("method"), "d", (-S.V0 * F.col("loss")).alias("pnl"), (S.V0 * F.col("var")).alias("var"), (S.V0 * F.col("es")).alias("es"))
-    filtered = garch_evt_var(lv).select(F.lit("garch_evt").alias("method"), "d", (S.V0 * F.col("r")).alias("pnl"), "var", "es")
-    return in_cents(analysis.crisis_table(once(evt.unionByName(filtered))))
+    pnl = once(total_pnl(lv))
+    d = united({"evt": against(evt_var(lv), pnl), "garch_evt": against(garch_evt_var(lv), pnl)}, "method")
+    return in_cents(analysis.crisis_table(once(d.drop(S.BOOK))))
 
 
 QS = (0.85, 0.9, 0.925, 0.95)
@@ -255,7 +314,7 @@ def evt_grid(lv: DataFrame) -> DataFrame:
 
 
 def _fits(lv: DataFrame, rolling: bool = False) -> DataFrame:
-    return garch.refits(series(lv), rolling=rolling, scale=1.0)
+    return garch.refits(series(lv), rolling=rolling)
 
 
 def garch_params(lv: DataFrame) -> DataFrame:
@@ -264,7 +323,7 @@ def garch_params(lv: DataFrame) -> DataFrame:
 
 def _resid(lv: DataFrame, rolling: bool = False, every: int = garch.REFIT) -> DataFrame:
     r = once(series(lv))
-    return garch.residuals(r, garch.refits(r, rolling=rolling, scale=1.0, every=every), every=every)
+    return garch.residuals(r, garch.refits(r, rolling=rolling, every=every), every=every)
 
 
 def garch_evt_var(lv: DataFrame) -> DataFrame:
@@ -309,11 +368,9 @@ def refit_sweep(lv: DataFrame) -> DataFrame:
 
 def window_sweep(lv: DataFrame) -> DataFrame:
     """GARCH-copula simulation on windows of 250, 500 and 750 days."""
-    lv, out = once(lv), None
-    pnl = book.pnl(lv).select(S.BOOK, "d", F.col("pnl_total").alias("pnl"))
-    for n in (250, 500, 750):
-        d = monte_carlo.garch_copula(lv, window=n).select(S.BOOK, "d", "var").join(pnl, [S.BOOK, "d"]).select(F.lit(n).alias("window"), "d", "pnl", "var", F.col("var").alias("es"))
-        out = d if out is None else out.unionByName(d)
+    lv = once(lv)
+    pnl = once(total_pnl(lv))
+    out = united({n: against(monte_carlo.garch_copula(lv, window=n), pnl) for n in (250, 500, 750)}, "window")
     return analysis.summarize(out, ("window",)).select("window", "t", "n", "rate", "p_uc", "p_ind", "p_cc", "mean_var", "max_var")
 
 
@@ -324,20 +381,26 @@ def factor_var(lv: DataFrame) -> DataFrame:
     return monte_carlo.factor_var(lv, models)
 
 
-def compare_all(lv: DataFrame) -> DataFrame:
-    """All methods of the registry beside each other, as a table of text."""
+def every_method(lv: DataFrame) -> DataFrame:
+    """(method, book, d, pnl, var, es): all methods of the registry against the book's P&L. factor_copula is the simulation of factor moves by vines."""
     lv = once(lv)
-    pnl = book.pnl(lv).select(S.BOOK, "d", F.col("pnl_total").alias("pnl"))
-    simulated = {"mc_gaussian": monte_carlo.gaussian(lv), "mc_garch_copula": monte_carlo.garch_copula(lv)}
-    x = portfolio_losses(lv).select(S.BOOK, "d", (S.V0 * F.col("x")).alias("pnl"))
-    returns = {"evt": evt_var(lv).withColumn("var", S.V0 * F.col("var")), "garch_evt": garch_evt_var(lv)}
-    parts = {"delta_normal": dn_backtest(lv), "hist_sim": hs_backtest(lv)}
-    parts |= {k: v.select(S.BOOK, "d", "var").join(pnl, [S.BOOK, "d"]) for k, v in simulated.items()} | {k: v.select(S.BOOK, "d", "var").join(x, [S.BOOK, "d"]) for k, v in returns.items()}
-    out = None
-    for name, d in parts.items():
-        d = d.select(F.lit(name).alias("method"), "d", "pnl", "var")
-        out = d if out is None else out.unionByName(d)
-    return backtest.compare(backtest.run(out, ("method",)))
+    pnl, resid = once(total_pnl(lv)), once(_resid(lv))
+    factor = factor_var(lv).select(S.BOOK, "d", F.col("var_99").alias("var"))
+    parts = {
+        "delta_normal": dn_rows(lv), "hist_sim": hist_sim.rolling(lv), "mc_gaussian": monte_carlo.gaussian(lv), "mc_t_copula": monte_carlo.t_copula(lv), "mc_garch_copula": monte_carlo.garch_copula(lv),
+        "factor_copula": factor, "evt": evt_var(lv), "garch_evt": garch.garch_evt(resid), "fhs": garch.filtered(resid),
+    }
+    return once(united({k: against(v, pnl) for k, v in parts.items()}, "method"))
+
+
+def compare_all(lv: DataFrame) -> DataFrame:
+    """All methods beside each other, as a table of text."""
+    return backtest.compare(backtest.run(every_method(lv), ("method",)))
+
+
+def method_backtests(lv: DataFrame) -> DataFrame:
+    """All methods' tests, with how deep exceptions go and what the estimates are."""
+    return analysis.summarize(every_method(lv), ("method",)).select("method", *TESTS[:-3], "severity", "mean_var", "mean_es", "max_var")
 
 
 def compare_table(lv: DataFrame) -> DataFrame:
@@ -346,10 +409,10 @@ def compare_table(lv: DataFrame) -> DataFrame:
 
 def registry_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written, then read by their names; one that isn't there is left out."""
-    lv = once(levels(spark, sf_dir))
-    at = f"{shared_folder(spark)}/quantloom/results-{uuid.uuid4().hex[:12]}"
-    for name, d in (("delta_normal", dn_backtest(lv)), ("hist_sim", hs_backtest(lv))):
-        market.write_result(d.select("d", "pnl", "var"), f"{at}/{name}")
+    d = once(two_methods(levels(spark, sf_dir)))
+    at = fresh_path(spark, "results")
+    for name in ("delta_normal", "hist_sim"):
+        market.write_result(d.where(F.col("method") == name).select("d", "pnl", "var"), f"{at}/{name}")
     d = market.methods(spark, {k: f"{at}/{k}" for k in ("delta_normal", "hist_sim", "not_there")})
     return rounded(backtest.run(d, ("method",)).select("method", *TESTS))
 
@@ -407,6 +470,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "instrument_pnl": _of(lambda lv: book.pnl(lv).select(S.BOOK, "d", "pnl_irs", "pnl_straddle"), 3),
         "total_pnl": _of(book.pnl, 3),
         "delta_normal_windows": _of(delta_normal_windows, 6),
+        "delta_normal_linear": _of(lambda lv: backtest.run(dn_linear(lv)).select(S.BOOK, *TESTS), 8),
+        "delta_normal_ewma_tests": _of(delta_normal_ewma_tests, 5),
+        "delta_normal_diag_tests": _of(delta_normal_diag_tests, 5),
         "delta_normal_ewma": _of(lambda lv: delta_normal.ewma(lv, 0.94).unionByName(delta_normal.ewma(lv, 0.97)), 4),
         "delta_normal_diag": _of(delta_normal.diagonal, 4),
         "delta_normal_crisis": _of(delta_normal_crisis, 6),
@@ -421,10 +487,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hist_sim_subperiods": _of(hist_subperiods, 5),
         "hist_sim_windows": _of(hist_windows, 5),
         "vol_adjusted_hs": _of(lambda lv: hist_sim.vol_adjusted(lv).select(*HS_COLUMNS, "avg_vol_ratio"), 3),
-        "rolling_quantile_var": _of(losses(lambda x: x.withColumn("q", diagnostics.rolling_quantile(x, "loss", S.ALPHA)).where(F.col("i") > S.WINDOW).select(S.BOOK, "d", "q")), 8),
-        "empirical_es": _of(losses(diagnostics.empirical_var_es), 8),
-        "pot_threshold_counts": _of(losses(diagnostics.tail_counts), 8),
-        "pot_formula_fixed_params": _of(pot_fixed, 8),
+        "rolling_quantile_var": _of(losses(lambda x: x.withColumn("q", diagnostics.rolling_quantile(x, "loss", S.ALPHA)).where(F.col("i") > S.WINDOW).select(S.BOOK, "d", "q")), 3),
+        "empirical_es": _of(losses(diagnostics.empirical_var_es), 3),
+        "pot_threshold_counts": _of(losses(diagnostics.tail_counts), 3),
+        "pot_formula_fixed_params": _of(pot_fixed, 3),
         "garch_recursion_fixed_params": _of(garch_fixed, 8),
         "volatility_recursions": _of(volatility_recursions, 8),
         "factor_pnl": _of(lambda lv: book.factor_pnl(book.factor_moves(lv)), 3),
@@ -442,7 +508,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cumulative_exceptions": _of(lambda lv: backtest.cumulative(with_exceptions(lv)), 6),
         "exception_severity": _of(lambda lv: with_exceptions(lv).groupBy(S.BOOK).agg(backtest.severity().alias("severity")), 4),
         "moments_quantiles": _of(moments, 4),
-        "mean_excess_curve": _of(losses(lambda x: diagnostics.mean_excess(x, [k / 20 for k in range(20)])), 8),
+        "mean_excess_curve": _of(losses(lambda x: diagnostics.mean_excess(x, [k / 20 for k in range(20)])), 3),
         "hill_curve": _of(losses(diagnostics.hill), 8),
         "pseudo_observations": _of(pseudo_obs, 8),
         "copula_corr": _of(lambda lv: diagnostics.correlations(pseudo_obs(lv), [f"u_{c}" for c in RETURNS]), 8),
@@ -452,7 +518,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ks_two_sample_stat": _of(lambda lv: diagnostics.ks_two(panel.portfolio_return(lv), "x", F.col("i") % 2 == 0), 8),
         "sign_bias_ols": _of(lambda lv: diagnostics.sign_bias(garch_fixed(lv), "z"), 4),
         "pnl_component_corr": _of(lambda lv: diagnostics.correlations(book.pnl(lv), [f"pnl_{c}" for c in S.COMPONENTS]), 8),
-        "param_stability": _of(param_stability, 8),
+        "param_stability": _of(param_stability, 3),
         "stress_worst_n": _of(stress_worst, 3),
         "adequacy_ljung_box": _of(adequacy, 6),
         "sign_bias_test": _of(lambda lv: diagnostics.sign_bias_test(garch_fixed(lv), "z"), 6),
@@ -468,8 +534,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "panel_violations": _of(panel.violations),
         "raw_panel_violations": lambda spark, sf_dir: panel.violations(market.lineitem_panel(spark, sf_dir)),
         "delta_t_normal": _of(delta_t_normal, 4),
-        "evt_var": _of(evt_var, 8),
-        "evt_violations": _of(lambda lv: tails.invariants(evt_var(lv)), 8),
+        "delta_t_normal_tests": _of(delta_t_normal_tests, 5),
+        "evt_var": _of(evt_var, 4),
+        "evt_violations": _of(lambda lv: tails.invariants(evt_var(lv)), 4),
         "evt_threshold_windows": _of(evt_grid, 6),
         "garch_fit": _of(garch_params, 6),
         "garch_factors": _of(shock_fits, 6),
@@ -483,6 +550,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "refit_sweep": _of(refit_sweep, 6),
         "window_sweep": _of(window_sweep, 6),
         "compare_all_methods": _of(compare_all),
+        "method_backtests": _of(method_backtests, 5),
         "sign_bias_p": _of(lambda lv: diagnostics.with_p(diagnostics.sign_bias_test(garch_fixed(lv), "z")), 6),
         "arch_lm": _of(lambda lv: diagnostics.arch_lm(garch_fixed(lv), "z"), 6),
         "adf": _of(lambda lv: diagnostics.dickey_fuller(panel.portfolio_return(lv), "x"), 6),
