@@ -3,15 +3,17 @@ alone, so any task can be run again."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import kernels as K
+from ..functions import vine as V
 from .book import factor_moves, pnl, values
 from .once import dealt, once
 from .panel import SHOCKS, frame, mc_shocks
@@ -20,65 +22,99 @@ EWMA = 0.94
 OUT = "book string, d date, i long, var double, mean_pnl double, std_pnl double"
 
 
-def days(lv: DataFrame, window: int = S.MC_WINDOW, step: int = 1) -> DataFrame:
-    """(book, d, i, w, snapshot before): w is the window's shocks, flat, oldest first. Every step-th day of those with a full window. The
-    levels are computed once; a window is built from them where it is needed, as it is wider than what it comes from."""
-    lv = once(lv)
+def refit_days(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 1) -> DataFrame:
+    """(book, d, i, w): w is the window's shocks, flat, oldest first, for every `every`-th day of those with a full window."""
     shocks = mc_shocks(lv).withColumn("_w", F.collect_list(F.array(*SHOCKS)).over(frame(-window, -1))).where(F.size("_w") == window)
-    shocks = shocks.where((F.col("i") - 1 - window) % step == 0)
-    snap = values(lv).select(S.BOOK, (F.col("i") + 1).alias("i"), F.array(*S.ASSETS).alias("px"), F.array(*(f"sh_{c[-1]}" for c in S.ASSETS)).alias("sh"), "strike", "tenor", "vol_idx", "rate_idx")
-    return shocks.select(S.BOOK, "d", "i", F.flatten("_w").alias("w")).join(snap, [S.BOOK, "i"])
+    return shocks.where((F.col("i") - 1 - window) % every == 0).select(S.BOOK, "d", "i", F.flatten("_w").alias("w"))
 
 
-def reprice(row, x: np.ndarray) -> np.ndarray:
-    """P&L of scenarios x (a column for each shock) on a snapshot; no rate is clipped and no straddle struck anew within the day."""
+def days(lv: DataFrame, window: int = S.MC_WINDOW) -> DataFrame:
+    """(book, d, i, snapshot of the day before) of the days with a full window before them."""
+    snap = values(lv).select(S.BOOK, "d", F.col("i").alias("_at"), F.array(*S.ASSETS).alias("px"), F.array(*(f"sh_{c[-1]}" for c in S.ASSETS)).alias("sh"), "strike", "tenor", "vol_idx", "rate_idx")
+    next_day = F.lead("d").over(Window.partitionBy(S.BOOK).orderBy("_at"))
+    snap = snap.withColumns({"d": next_day, "i": F.col("_at") + 1}).where(F.col("d").isNotNull() & (F.col("i") > window)).drop("_at")
+    return snap.select(S.BOOK, "d", "i", "px", "sh", "strike", "tenor", "vol_idx", "rate_idx")
+
+
+def reprice_parts(row, x: np.ndarray) -> np.ndarray:
+    """P&L by component (columns) of scenarios x (a column for each shock) on a snapshot; no rate is clipped and no straddle struck anew within the day."""
     px, sh = np.asarray(row.px, float), np.asarray(row.sh, float)
     moved = px * np.exp(x[:, :4])
     r0, v0 = row.rate_idx / 100, max(row.vol_idx / 100, S.MIN_VOL)
     r1, v1 = r0 + x[:, 5], np.maximum(v0 * np.exp(x[:, 4]), S.MIN_VOL)
     t1 = max(row.tenor - 1 / S.TRADING_DAYS, 1 / S.TRADING_DAYS)
-    pnl = (moved - px) @ sh + K.irs(r1, S.IRS_NOTIONAL, S.IRS_FIXED) - K.irs(np.array(r0), S.IRS_NOTIONAL, S.IRS_FIXED)
-    return pnl + S.STRADDLE_SHARES * (K.straddle(moved[:, 3], row.strike, t1, r1, v1) - K.straddle(px[3], row.strike, row.tenor, r0, v0))
+    swap = K.irs(r1, S.IRS_NOTIONAL, S.IRS_FIXED) - K.irs(np.array(r0), S.IRS_NOTIONAL, S.IRS_FIXED)
+    straddles = K.straddle(moved[:, 3], row.strike, t1, r1, v1) - K.straddle(px[3], row.strike, row.tenor, r0, v0)
+    return np.column_stack([(moved - px) @ sh, swap, S.STRADDLE_SHARES * straddles])
 
 
-def _run(d: DataFrame, draw, alpha: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                pnl = reprice(row, draw(row))
-                out.append((row.book, row.d, row.i, -float(np.quantile(pnl, 1 - alpha)), float(pnl.mean()), float(pnl.std())))
-            yield pd.DataFrame(out, columns=["book", "d", "i", "var", "mean_pnl", "std_pnl"])
+def reprice(row, x: np.ndarray) -> np.ndarray:
+    return reprice_parts(row, x).sum(1)
+
+
+@dataclass(frozen=True)
+class Model:
+    """A simulation: days with what a draw reads, and a function of a day's row that draws its scenarios of the shocks."""
+
+    rows: DataFrame
+    draw: Callable
 
-    return dealt(d, S.BOOK, "i").mapInPandas(run, OUT)
+    def var(self, alpha: float = S.ALPHA) -> DataFrame:
+        """(book, d, i, var, mean_pnl, std_pnl) of each day, dealt day by day."""
+        draw = self.draw
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for row in b.itertuples(index=False):
+                    pnl = reprice(row, draw(row))
+                    out.append((row.book, row.d, row.i, -float(np.quantile(pnl, 1 - alpha)), float(pnl.mean()), float(pnl.std())))
+                yield pd.DataFrame(out, columns=["book", "d", "i", "var", "mean_pnl", "std_pnl"])
 
-def gaussian(lv: DataFrame, window: int = S.MC_WINDOW, draws: int = 10_000, seed: int = 42, alpha: float = S.ALPHA, step: int = 1) -> DataFrame:
-    """Scenarios of the window's mean and covariance (plus 1e-8 on the diagonal)."""
+        return dealt(self.rows, S.BOOK, "i").mapInPandas(run, OUT)
+
+
+def gaussian_model(lv: DataFrame, window: int = S.MC_WINDOW, draws: int = 10_000, seed: int = 42) -> Model:
+    """Scenarios of the window's mean and covariance (plus 1e-8 on the diagonal), which are sums over the frame."""
+    lv, n = once(lv), len(SHOCKS)
+    w = frame(-window, -1)
+    upper = [(a, b) for a in range(n) for b in range(a, n)]
+    moments = mc_shocks(lv).select(S.BOOK, "i", F.array(*[F.avg(c).over(w) for c in SHOCKS]).alias("mean"), F.array(*[F.covar_samp(SHOCKS[a], SHOCKS[b]).over(w) for a, b in upper]).alias("cov"))
 
     def draw(row):
-        w = np.asarray(row.w, float).reshape(-1, len(SHOCKS))
-        root = np.linalg.cholesky(np.cov(w, rowvar=False) + 1e-8 * np.eye(w.shape[1]))
-        return np.random.default_rng([seed, row.i]).standard_normal((draws, w.shape[1])) @ root.T + w.mean(0)
+        cov = np.zeros((n, n))
+        for (a, b), v in zip(upper, row.cov):
+            cov[a, b] = cov[b, a] = v
+        root = np.linalg.cholesky(cov + 1e-8 * np.eye(n))
+        return np.random.default_rng([seed, row.i]).standard_normal((draws, n)) @ root.T + np.asarray(row.mean, float)
 
-    return _run(days(lv, window, step), draw, alpha)
+    return Model(days(lv, window).join(moments, [S.BOOK, "i"]), draw)
 
 
-def _with_fits(d: DataFrame, window: int, every: int, fit, schema: str) -> DataFrame:
-    """d with the fit of its refit day: the day's own, or the last before."""
-    d = d.withColumn("refit", ((F.col("i") - 1 - window) / every).cast("int"))
-    at = d.where((F.col("i") - 1 - window) % every == 0).select(S.BOOK, "refit", "i", "w")
+def gaussian(lv: DataFrame, window: int = S.MC_WINDOW, draws: int = 10_000, seed: int = 42, alpha: float = S.ALPHA) -> DataFrame:
+    return gaussian_model(lv, window, draws, seed).var(alpha)
+
+
+def _fitted(at: DataFrame, window: int, every: int, fit, schema: str) -> DataFrame:
+    """Refit days -> (book, refit, what fit gives); refit numbers them from 0."""
+    full = "book string, refit int, " + schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([(row.book, row.refit, *fit(np.asarray(row.w, float).reshape(-1, len(SHOCKS)), row.i)) for row in b.itertuples(index=False)], columns=[x.split()[0] for x in full.split(", ")])
 
-    full = "book string, refit int, " + schema
-    return d.join(dealt(at, S.BOOK, "refit").mapInPandas(run, full), [S.BOOK, "refit"])
+    at = at.withColumn("refit", refit_of(window, every)).select(S.BOOK, "refit", "i", "w")
+    return dealt(at, S.BOOK, "refit").mapInPandas(run, full)
+
+
+def refit_of(window: int, every: int):
+    """The number of the last refit day up to a row's."""
+    return ((F.col("i") - 1 - window) / every).cast("int")
 
 
-def t_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draws: int = 10_000, seed: int = 42, alpha: float = S.ALPHA, step: int = 1) -> DataFrame:
+def t_copula_model(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draws: int = 10_000, seed: int = 42) -> Model:
     """Student-t marginals joined by a t copula, refitted every `every` days."""
+    lv, n = once(lv), len(SHOCKS)
 
     def fit(w, i):
         marginals = [K.t_fit(w[:, j]) for j in range(w.shape[1])]
@@ -86,12 +122,15 @@ def t_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draws: i
         return np.array(marginals).ravel().tolist(), r.ravel().tolist(), float(nu)
 
     def draw(row):
-        n = len(SHOCKS)
         u = K.t_copula_sample(np.array(row.corr).reshape(n, n), row.nu, draws, np.random.default_rng([seed, row.i]))
         return np.stack([m[1] + m[2] * K.t_ppf(u[:, j], m[0]) for j, m in enumerate(np.array(row.marginals).reshape(n, 3))], 1)
 
-    d = _with_fits(days(lv, window), window, every, fit, "marginals array<double>, corr array<double>, nu double")
-    return _run(d.where((F.col("i") - 1 - window) % step == 0), draw, alpha)
+    fits = _fitted(refit_days(lv, window, every), window, every, fit, "marginals array<double>, corr array<double>, nu double")
+    return Model(days(lv, window).withColumn("refit", refit_of(window, every)).join(fits, [S.BOOK, "refit"]), draw)
+
+
+def t_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draws: int = 10_000, seed: int = 42, alpha: float = S.ALPHA) -> DataFrame:
+    return t_copula_model(lv, window, every, draws, seed).var(alpha)
 
 
 def garch_fits(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +150,8 @@ def _ewma(q: np.ndarray, z: np.ndarray, lam: float) -> np.ndarray:
     return lam * q + (1 - lam) * np.outer(z, z)
 
 
-def garch_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draws: int = 10_000, seed: int = 42, alpha: float = S.ALPHA, step: int = 1, again: bool = True) -> DataFrame:
-    """GARCH marginals, a t copula of their residuals, and an EWMA correlation that goes on from the refit day by day.
-
-    A day's state is folded from its refit's: the days between are in the window, at most `every` of them. again: the last residual of the
-    warm-up enters the correlation a second time, as in the model that this follows.
-    """
+def garch_copula_fits(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50) -> DataFrame:
+    """(book, refit, params, q, nu, start): GARCH marginals, a t copula of their residuals and their EWMA covariance, for every `every`-th day."""
 
     def fit(w, i):
         z, params = garch_fits(w)
@@ -126,12 +161,19 @@ def garch_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draw
             q = _ewma(q, row, EWMA)
         return params.ravel().tolist(), q.ravel().tolist(), float(nu), i
 
+    return _fitted(refit_days(lv, window, every), window, every, fit, "params array<double>, q array<double>, nu double, start long")
+
+
+def garch_copula_model(lv: DataFrame, fits: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draws: int = 10_000, seed: int = 42, again: bool = True) -> Model:
+    """A day's state is folded from its refit's over the days between, at most `every` of them: an EWMA correlation goes on from the refit day by day. again:
+    the last residual of the warm-up enters the correlation a second time, as in the model that this follows."""
+    n = len(SHOCKS)
+    past = mc_shocks(lv).select(S.BOOK, "i", F.flatten(F.collect_list(F.array(*SHOCKS)).over(frame(-every, -1))).alias("past"))
+
     def draw(row):
-        n = len(SHOCKS)
         p, q = np.array(row.params).reshape(n, 6), np.array(row.q).reshape(n, n)
         mu, omega, a, b, nus, sigma = p.T
-        past = np.asarray(row.w, float).reshape(-1, n)[-(row.i - row.start) - 1 :]
-        for k, r in enumerate(past):
+        for k, r in enumerate(np.asarray(row.past, float).reshape(-1, n)[-(row.i - row.start) - 1 :]):
             x = r - mu
             if k or again:
                 q = _ewma(q, x / np.maximum(sigma, 1e-8), EWMA)
@@ -140,8 +182,14 @@ def garch_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draw
         u = K.t_copula_sample(K.nearest_pd(q / np.outer(dev, dev)), row.nu, draws, np.random.default_rng([seed, row.i]))
         return np.stack([mu[j] + sigma[j] * K.t_ppf(u[:, j], nus[j]) * np.sqrt((nus[j] - 2) / nus[j]) for j in range(n)], 1)
 
-    d = _with_fits(days(lv, window), window, every, fit, "params array<double>, q array<double>, nu double, start long")
-    return _run(d.where((F.col("i") - 1 - window) % step == 0), draw, alpha)
+    rows = days(lv, window).withColumn("refit", refit_of(window, every)).join(fits, [S.BOOK, "refit"])
+    return Model(rows.join(past, [S.BOOK, "i"]), draw)
+
+
+def garch_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draws: int = 10_000, seed: int = 42, alpha: float = S.ALPHA) -> DataFrame:
+    """GARCH marginals, a t copula of their residuals, and an EWMA correlation."""
+    lv = once(lv)
+    return garch_copula_model(lv, garch_copula_fits(lv, window, every), window, every, draws, seed).var(alpha)
 
 
 #: The factors whose moves book.factor_pnl takes.
@@ -159,7 +207,7 @@ def by_moves(row, x: np.ndarray) -> np.ndarray:
 def factor_var(lv: DataFrame, models: DataFrame, window: int = 250, every: int = 50, draws: int = 5_000, seed: int = 42, levels=(0.95, 0.99)) -> DataFrame:
     """(book, d, i, refit, var_95, var_99, realised_pnl, exception_95, exception_99): filtered simulation of factor moves.
 
-    Each factor has the GARCH model that `models` (book, factor, gjr, normal) names, refitted every `every` days; a t copula joins the residuals,
+    Each factor has the GARCH model that `models` (book, factor, gjr, normal) names, refitted every `every` days; a vine copula joins the residuals,
     and draws are quantiles of the residuals themselves (median-unbiased), brought to mean 0 and deviation 1. Means stay between refits; each day's
     volatility follows from the day before's.
     """
@@ -181,9 +229,8 @@ def factor_var(lv: DataFrame, models: DataFrame, window: int = 250, every: int =
                     f = K.garch_fit(w[:, j] * scale, leverage=bool(row.gjr[j]), normal=bool(row.normal[j]))
                     z[:, j] = (w[:, j] * scale - f["mu"]) / f["sigma"]
                     params += [f["mu"] / scale, f["omega"] / scale**2, f["alpha"], f["beta"], f["gamma"], np.sqrt(f["next"]) / scale]
-                r, nu, _ = K.t_copula_fit(K.pseudo(z))
-                out.append((row.book, row.refit, row.i, params, z.ravel().tolist(), r.ravel().tolist(), float(nu)))
-            yield pd.DataFrame(out, columns=["book", "refit", "start", "params", "z", "corr", "nu"])
+                out.append((row.book, row.refit, row.i, params, z.ravel().tolist(), V.packed(V.fit(K.pseudo(z)))))
+            yield pd.DataFrame(out, columns=["book", "refit", "start", "params", "z", "vine"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -194,14 +241,14 @@ def factor_var(lv: DataFrame, models: DataFrame, window: int = 250, every: int =
                 for r in w[len(w) - (row.i - row.start) :]:
                     e = r - mu
                     sigma = np.sqrt(np.maximum(omega + (alpha + gamma * (e < 0)) * e * e + beta * sigma**2, 1e-12))
-                u = K.t_copula_sample(np.asarray(row.corr, float).reshape(n, n), row.nu, draws, np.random.default_rng([seed, row.i]))
+                u = V.unpacked(n, row.vine).sample(draws, np.random.default_rng([seed, row.i]))
                 q = np.stack([np.quantile(z[:, j], u[:, j], method="median_unbiased") for j in range(n)], 1)
                 pnl = by_moves(row, mu + sigma * (q - q.mean(0)) / q.std(0, ddof=1))
                 out.append((row.book, row.d, row.i, row.refit, *(-float(np.quantile(pnl, 1 - a)) for a in levels)))
             yield pd.DataFrame(out, columns=["book", "d", "i", "refit", *names])
 
     names = [f"var_{100 * a:g}" for a in levels]
-    fits = dealt(at, S.BOOK, "refit").mapInPandas(fit, "book string, refit int, start long, params array<double>, z array<double>, corr array<double>, nu double")
+    fits = dealt(at, S.BOOK, "refit").mapInPandas(fit, "book string, refit int, start long, params array<double>, z array<double>, vine array<double>")
     rows = dealt(d.join(fits, [S.BOOK, "refit"]), S.BOOK, "i").mapInPandas(run, "book string, d date, i long, refit int, " + ", ".join(f"{c} double" for c in names))
     rows = rows.join(pnl(lv).select(S.BOOK, "i", F.col("pnl_total").alias("realised_pnl")), [S.BOOK, "i"])
     return rows.withColumns({c.replace("var", "exception"): (-F.col("realised_pnl") > F.col(c)) for c in names})
@@ -233,7 +280,7 @@ def copula_gof(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 500, repli
                 out.append((row.book, row.d, row.i, row.replicate, row.nu, K.cvm(u, r, row.nu, seed, draws)))
             yield pd.DataFrame(out, columns=["book", "d", "i", "replicate", "nu", "cvm"])
 
-    fits = once(dealt(days(lv, window, every).select(S.BOOK, "d", "i", "w"), S.BOOK, "i").mapInPandas(fit, "book string, d date, i long, u array<double>, r array<double>, nu double"))
+    fits = once(dealt(refit_days(lv, window, every), S.BOOK, "i").mapInPandas(fit, "book string, d date, i long, u array<double>, r array<double>, nu double"))
     s = dealt(fits.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))), S.BOOK, "i", "replicate")
     s = once(s.mapInPandas(run, "book string, d date, i long, replicate int, nu double, cvm double"))
     own = s.where("replicate = 0").select(S.BOOK, "i", F.col("cvm").alias("own"))

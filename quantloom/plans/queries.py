@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import pricing
-from ..operators import analysis, backtest, book, delta_normal, diagnostics, garch, hist_sim, monte_carlo, panel, tails
+from ..operators import analysis, backtest, book, delta_normal, diagnostics, garch, hist_sim, monte_carlo, panel, scenarios, tails
 from ..operators.once import fresh_path, once
 from ..sources import market
 
@@ -381,6 +381,21 @@ def factor_var(lv: DataFrame) -> DataFrame:
     return monte_carlo.factor_var(lv, models)
 
 
+def scenario_table(lv: DataFrame) -> DataFrame:
+    """The t copula's scenarios of every day."""
+    return scenarios.table(monte_carlo.t_copula_model(lv))
+
+
+def sample_day(lv: DataFrame) -> DataFrame:
+    """The worst scenarios of the book's last day, and what they are made of."""
+    lv = once(lv)
+    last = lv.agg(F.max("d").cast("string")).first()[0]
+    model = monte_carlo.t_copula_model(lv)
+    if not last:
+        return scenarios.day_slice(scenarios.table(model), "1970-01-01")
+    return scenarios.day_slice(scenarios.table(monte_carlo.Model(model.rows.where(F.col("d") == F.lit(last).cast("date")), model.draw)), last)
+
+
 def every_method(lv: DataFrame) -> DataFrame:
     """(method, book, d, pnl, var, es): all methods of the registry against the book's P&L. factor_copula is the simulation of factor moves by vines."""
     lv = once(lv)
@@ -559,6 +574,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "garch_evt_rolling": _of(garch_challenger, 4),
         "fhs_var": _of(fhs_var, 4),
         "mc_factor_var": _of(factor_var, 2),
+        "scenario_var": _of(lambda lv: scenarios.figures(scenario_table(lv)), 2),
+        "scenario_shares": _of(lambda lv: scenarios.shares(scenario_table(lv)), 4),
+        "sample_day": _of(sample_day, 4),
         "mc_gaussian_var": _of(monte_carlo.gaussian, 2),
         "mc_t_copula_var": _of(monte_carlo.t_copula, 2),
         "mc_garch_copula_var": _of(monte_carlo.garch_copula, 2),
