@@ -345,6 +345,51 @@ def chi2_tail(x: float, df: int) -> float:
     return math.erfc(math.sqrt(x / 2)) + math.exp(-x / 2) * sum((x / 2) ** (k + 0.5) / math.gamma(k + 1.5) for k in range(df // 2))
 
 
+def gamma_tail(x: float, shape: float) -> float:
+    """The regularised upper incomplete gamma function: by its series for small x, by a continued fraction else."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(shape * math.log(x) - x - math.lgamma(shape))
+    if x < shape + 1:
+        term = total = 1 / shape
+        for k in range(1, 2000):
+            term *= x / (shape + k)
+            total += term
+            if term < total * 1e-16:
+                break
+        return 1 - front * total
+    tiny, b = 1e-300, x + 1 - shape
+    c, d = 1 / tiny, 1 / b
+    out = d
+    for k in range(1, 2000):
+        a = -k * (k - shape)
+        b += 2
+        d = 1 / (a * d + b or tiny)
+        c = b + a / c or tiny
+        out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def weighted_tail(q: float, lags: int, fitted: int) -> float | None:
+    """1 - distribution function of a weighted portmanteau statistic, a gamma law of its first two moments; None where these give none."""
+    rest = 2 * lags * lags + 3 * lags + 1 - 6 * lags * fitted
+    if rest <= 0:
+        return None
+    return gamma_tail(q / (2 / 3 * rest / (lags * (lags + 1))), 0.75 * (lags + 1) ** 2 * lags / rest)
+
+
+def weighted_ljung_box(x: np.ndarray, lags: int, fitted: int = 0) -> tuple[float, float]:
+    """(statistic, p): squared autocorrelations with weights that fall from 1; where the gamma law has no moments, the plain test."""
+    c = x - x.mean()
+    v, n = float(c @ c), len(c)
+    own = [(float(c[k:] @ c[:-k]) / v) ** 2 / (n - k) * n * (n + 2) for k in range(1, lags + 1)]
+    q = sum((lags - k) / lags * s for k, s in enumerate(own))
+    p = weighted_tail(q, lags, fitted)
+    return (q, p) if p is not None else (sum(own), gamma_tail(sum(own) / 2, (lags - fitted) / 2))
+
+
 def beta_inc(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function, by the continued fraction (Lentz)."""
     if x <= 0 or x >= 1:

@@ -142,8 +142,8 @@ def start(model: str, law: str, order: tuple[int, int], r: np.ndarray) -> list[f
     return [float(r.mean()), *[0.05] * order[0], *[0.0] * order[1], *own, *laws.LAWS[law].free]
 
 
-def loglik(model: str, law: str, order: tuple[int, int], r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray]:
-    """(log-likelihood of each lane, parameters, residuals, variances)."""
+def densities(model: str, law: str, order: tuple[int, int], r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray]:
+    """(each day's log density in each lane, parameters, residuals, variances)."""
     v = float(r.var()) or 1e-8
     with np.errstate(all="ignore"):
         q = unpack(model, law, order, p, v)
@@ -152,9 +152,15 @@ def loglik(model: str, law: str, order: tuple[int, int], r: np.ndarray, p: np.nd
         m = _abs(law, own) if model == "egarch" else 0.0
         s = variance(model, e, q["omega"], q["alpha"], q["beta"], q["gamma"], q["delta"], m)
         d = laws.LAWS[law].logpdf(e / np.sqrt(s[:-1]), *own) - 0.5 * np.log(s[:-1])
-        ll = d.sum(0)
-        if model in ("garch", "gjr"):
-            ll = np.where(q["alpha"] + q["beta"] + q["gamma"] / 2 < 1, ll, -np.inf)
+    return d, q, e, s
+
+
+def loglik(model: str, law: str, order: tuple[int, int], r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray]:
+    """densities(), summed by lane; parameters without a long-run variance have none."""
+    d, q, e, s = densities(model, law, order, r, p)
+    ll = d.sum(0)
+    if model in ("garch", "gjr"):
+        ll = np.where(q["alpha"] + q["beta"] + q["gamma"] / 2 < 1, ll, -np.inf)
     return ll, q, e, s
 
 
@@ -196,7 +202,7 @@ def fit(r: np.ndarray, model: str, names: Sequence[str], order: tuple[int, int]
         p = tuple(float(q[n][0]) for n in laws.LAWS[law].names)
         own = {n: float(q[n][0]) for n in ("mu", "omega", "alpha", "beta", "gamma", "delta")}
         out.append(own | {
-            "model": model, "law": law, "ar": q["ar"][:, 0].tolist() if order[0] else [], "ma": q["ma"][:, 0].tolist() if order[1] else [], "law_p": p, "loglik": float(ll[0]), "k": sizes[k],
+            "model": model, "law": law, "ar": q["ar"][:, 0].tolist() if order[0] else [], "ma": q["ma"][:, 0].tolist() if order[1] else [], "law_p": p, "loglik": float(ll[0]), "k": sizes[k], "order": order, "x": x[k, : sizes[k]],
             "z": z, "e": e[:, 0], "sigma": np.sqrt(s[:-1, 0]), "next": float(s[-1, 0]), "mean_abs": laws.mean_abs(law, p),
         })
     return out
@@ -237,6 +243,23 @@ def variance_step(model: str, s, e, omega, alpha, beta, gamma, delta, m):
     return max(omega + (alpha + (gamma if model == "gjr" and e < 0 else 0.0)) * e * e + beta * s, 1e-12)
 
 
+def nyblom(f: dict, r: np.ndarray) -> float:
+    """The joint statistic of the test that a fit's parameters are constant, from numerical scores. It is the same for parameters on the whole line."""
+    step = 1e-4 * np.maximum(1, np.abs(f["x"]))
+    points = np.concatenate([f["x"] + np.diag(step), f["x"] - np.diag(step)])
+    d = densities(f["model"], f["law"], f["order"], r, points)[0]
+    k = len(step)
+    scores = np.nan_to_num((d[:, :k] - d[:, k:]) / (2 * step))
+    sums = np.cumsum(scores - scores.mean(0), 0)
+    return float(np.einsum("ij,jk,ik->", sums, np.linalg.pinv(scores.T @ scores), sums)) / len(r)
+
+
+def mean_of_next(f: dict, r: np.ndarray) -> float:
+    """The forecast of the day after r by the fit's ARMA mean."""
+    ar, ma = f["ar"], f["ma"]
+    return f["mu"] + sum(a * (r[-1 - k] - f["mu"]) for k, a in enumerate(ar)) + sum(m * f["e"][-1 - k] for k, m in enumerate(ma))
+
+
 def gof(f: dict, groups: Sequence[int] = (20, 30, 40, 50)) -> list[float]:
     """p values of Pearson's tests that the residuals follow the fit's law."""
     u = laws.cdf(f["law"], f["z"], *f["law_p"])

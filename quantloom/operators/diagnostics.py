@@ -113,6 +113,19 @@ def portmanteau(df: DataFrame, series: dict[str, Column], lags=(10, 20)) -> Data
     return g.select(*by, "n", *(c for m in lags for c in (f"q{m}", f"p{m}")))
 
 
+def weighted_portmanteau(df: DataFrame, series: dict[str, Column], lags: int = 10) -> DataFrame:
+    """(book, series, n, plain, weighted): Ljung-Box statistics of several series of the same rows, and those with weights that fall from 1 to 1 / lags."""
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("series"), v.cast("double").alias("_v")) for k, v in series.items()]))
+    by = (S.BOOK, "series")
+    w = Window.partitionBy(*by).orderBy("i")
+    d = df.select(S.BOOK, "i", rows).withColumn("_c", F.col("_v") - F.avg("_v").over(Window.partitionBy(*by)))
+    d = d.withColumns({f"_l{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)})
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_s0"), *(F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, lags + 1)))
+    own = [F.pow(F.col(f"_s{k}") / F.col("_s0"), 2) / (F.col("n") - k) for k in range(1, lags + 1)]
+    scale = F.col("n") * (F.col("n") + 2)
+    return g.select(*by, "n", (scale * sum(own)).alias("plain"), (scale * sum((lags - k) / lags * x for k, x in enumerate(own))).alias("weighted"))
+
+
 def ks_normal(df: DataFrame, value: str) -> DataFrame:
     """(book, n, ks): the greatest distance from a normal of the sample's mean and standard deviation."""
     every = Window.partitionBy(S.BOOK)
@@ -219,22 +232,51 @@ def arch_lm(df: DataFrame, z: str, lags: int = 10) -> DataFrame:
     return out.withColumn("p", chi2_tail_even(F.col("lm"), lags))
 
 
-#: Quantiles of the Dickey-Fuller t statistic with constant and trend, for samples without end.
+#: Quantiles of the Dickey-Fuller t statistic with constant and trend, by sample size (rows) and probability.
 DF_PROBABILITIES = (0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99)
-DF_QUANTILES = (-3.96, -3.66, -3.41, -3.12, -1.25, -0.94, -0.66, -0.33)
+DF_SIZES = (25, 50, 100, 250, 500, 100_000)
+DF_QUANTILES = (
+    (-4.38, -3.95, -3.60, -3.24, -1.14, -0.80, -0.50, -0.15),
+    (-4.15, -3.80, -3.50, -3.18, -1.19, -0.87, -0.58, -0.24),
+    (-4.04, -3.73, -3.45, -3.15, -1.22, -0.90, -0.62, -0.28),
+    (-3.99, -3.69, -3.43, -3.13, -1.23, -0.92, -0.64, -0.31),
+    (-3.98, -3.68, -3.42, -3.13, -1.24, -0.93, -0.65, -0.32),
+    (-3.96, -3.66, -3.41, -3.12, -1.25, -0.94, -0.66, -0.33),
+)
+
+
+def _between(x: Column, xs, ys) -> Column:
+    """The line through points (xs: numbers that grow, ys: Columns or numbers), held to its ends."""
+    ys = [y if isinstance(y, Column) else F.lit(float(y)) for y in ys]
+    xs = [v if isinstance(v, Column) else F.lit(float(v)) for v in xs]
+    out = ys[-1]
+    for k in reversed(range(len(xs) - 1)):
+        out = F.when(x < xs[k + 1], ys[k] + (x - xs[k]) / (xs[k + 1] - xs[k]) * (ys[k + 1] - ys[k])).otherwise(out)
+    return F.when(x <= xs[0], ys[0]).otherwise(out)
+
+
+def dickey_fuller_p(t: Column, n: Column) -> Column:
+    """p of a statistic of n differences: the table between its sizes, then between its quantiles."""
+    return _between(t, [_between(n, DF_SIZES, [row[j] for row in DF_QUANTILES]) for j in range(len(DF_PROBABILITIES))], DF_PROBABILITIES)
+
+
+def dickey_fuller(df: DataFrame, value: str, lags: int | None = None) -> DataFrame:
+    """(book, n, lags, t, p): the augmented test of a unit root, with constant and trend. lags: of the differences; by default the whole part of the cube root of
+    one less than the book's rows, so books of several sizes have several; there is one regression for each number of lags, of which there are few."""
+    rows = df.groupBy(S.BOOK).agg(F.count(value).alias("_rows"))
+    rows = rows.withColumn("_lags", F.lit(lags) if lags is not None else F.floor(F.pow(F.greatest(F.col("_rows") - 1, F.lit(0)), F.lit(1 / 3)) + 1e-9).cast("int"))
+    several = [r._lags for r in rows.select("_lags").distinct().orderBy("_lags").collect()]
+    out = [_dickey_fuller(df.join(rows.where(F.col("_lags") == k), S.BOOK), value, k).join(rows, S.BOOK) for k in several]
+    out = reduce(DataFrame.unionByName, out) if out else _dickey_fuller(df, value, 0).join(rows, S.BOOK)
+    t = F.col("t_before")
+    return out.select(S.BOOK, "n", F.col("_lags").alias("lags"), t.alias("t"), dickey_fuller_p(t, F.col("_rows") - 1).alias("p"))
 
 
-def dickey_fuller(df: DataFrame, value: str, lags: int = 12) -> DataFrame:
-    """(book, n, t, p): the augmented test of a unit root, with constant and trend; p is between the table's quantiles, and held to its ends."""
+def _dickey_fuller(df: DataFrame, value: str, lags: int) -> DataFrame:
     w = Window.partitionBy(S.BOOK).orderBy("i")
     d = df.withColumn("_x", F.col(value)).withColumn("_d", F.col("_x") - F.lag("_x").over(w))
     d = d.withColumns({"_b": F.lag("_x").over(w), "_n": F.row_number().over(w)} | {f"_l{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)})
-    out = least_squares(d, F.col("_d"), {"before": F.col("_b"), "trend": F.col("_n").cast("double")} | {f"l{k}": F.col(f"_l{k}") for k in range(1, lags + 1)})
-    t = F.col("t_before")
-    p = F.lit(DF_PROBABILITIES[-1])
-    for (q0, p0), (q1, p1) in reversed(list(zip(zip(DF_QUANTILES, DF_PROBABILITIES), zip(DF_QUANTILES[1:], DF_PROBABILITIES[1:])))):
-        p = F.when(t < q1, p0 + (t - q0) / (q1 - q0) * (p1 - p0)).otherwise(p)
-    return out.select(S.BOOK, "n", t.alias("t"), F.when(t < DF_QUANTILES[0], F.lit(DF_PROBABILITIES[0])).otherwise(p).alias("p"))
+    return least_squares(d, F.col("_d"), {"before": F.col("_b"), "trend": F.col("_n").cast("double")} | {f"l{k}": F.col(f"_l{k}") for k in range(1, lags + 1)})
 
 
 def quantiles_type8(df: DataFrame, value: str, us) -> DataFrame:
@@ -248,25 +290,3 @@ def quantiles_type8(df: DataFrame, value: str, us) -> DataFrame:
         aggs += [F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"_a{j}"), F.max(F.when(F.col("_k") == k + 1, F.col("_v"))).alias(f"_b{j}"), F.max(at(u) - k).alias(f"_g{j}")]
     q = [F.struct(F.lit(u).alias("u"), (F.col(f"_a{j}") + F.when(F.col(f"_g{j}") > 0, F.col(f"_g{j}") * (F.col(f"_b{j}") - F.col(f"_a{j}"))).otherwise(0.0)).alias("q")) for j, u in enumerate(us)]
     return d.groupBy(S.BOOK).agg(*aggs).select(S.BOOK, F.inline(F.array(*q)))
-
-
-def families(df: DataFrame, value: str) -> DataFrame:
-    """(book, family, p1, p2, p3, loglik, aic, ks, ks_p): normal, Laplace and Student-t laws fitted to a column, a book a task."""
-    fields = "book string, family string, p1 double, p2 double, p3 double, loglik double, aic double, ks double, ks_p double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, out = pdf["_v"].to_numpy(float), []
-        m, s, mid = x.mean(), x.std(), float(np.median(x))
-        b = float(np.abs(x - mid).mean())
-        nu, at, scale = K.t_fit(x)
-        laws = {
-            "normal": ((m, s, None), -0.5 * np.log(2 * np.pi * s * s) - (x - m) ** 2 / (2 * s * s), lambda v: K.norm_cdf((v - m) / s)),
-            "laplace": ((mid, b, None), -np.log(2 * b) - np.abs(x - mid) / b, lambda v: np.where(v < mid, 0.5 * np.exp((v - mid) / b), 1 - 0.5 * np.exp(-(v - mid) / b))),
-            "t": ((at, scale, nu), K.t_logpdf((x - at) / scale, nu) - np.log(scale), lambda v: K.t_cdf((v - at) / scale, nu)),
-        }
-        for name, (p, like, cdf) in laws.items():
-            d, k = K.ks_against(x, cdf), 3 if name == "t" else 2
-            out.append((pdf["book"].iloc[0], name, *p, float(like.sum()), 2 * k - 2 * float(like.sum()), d, K.ks_p(d, len(x))))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
-
-    return df.select(S.BOOK, F.col(value).alias("_v")).groupBy(S.BOOK).applyInPandas(run, fields)

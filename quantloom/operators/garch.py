@@ -13,15 +13,11 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import kernels as K
-from . import diagnostics, tails
+from . import tails
 from .once import dealt, once
 from .panel import frame
 
 REFIT = 50
-#: Groups of the Pearson tests of a residuals' law.
-GROUPS = (20, 30, 40, 50)
-#: 5% points of Nyblom's joint statistic for 4, 5 and 6 parameters.
-NYBLOM_5 = {4: 1.24, 5: 1.47, 6: 1.68}
 FIT_SCHEMA = "book string, refit int, t long, mu double, omega double, alpha double, beta double, nu double, loglik double, next double, sigma array<double>"
 
 
@@ -108,90 +104,3 @@ def filtered(resid: DataFrame, window: int = S.WINDOW, p: float = 1 - S.ALPHA, v
     w = frame(-window, -1)
     d = resid.withColumns({"_q": F.percentile("z", p).over(w), "_n": F.count("z").over(w)}).where((F.col("_n") == window) & (F.col("refit") >= 0))
     return d.select(S.BOOK, "d", "i", "r", "sigma", (-v0 * F.col("sigma") * F.col("_q")).alias("var"))
-
-
-def whole_sample(shocks: DataFrame, columns, leverage=(False,), normal=(False,), residuals: bool = False) -> DataFrame:
-    """A fit of all history for each book, column and model: GARCH or GJR, with t or normal innovations; each is a task's row of its own.
-
-    aic counts the parameters; lb_p is the Ljung-Box test of ten lags of the squared residuals, ks_p that of the residuals' law. residuals: with them as an
-    array z, and what criteria() needs: the sample's and the model's variance, mean and passing share of the groups tests, and Nyblom's statistic.
-    """
-    series = F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in columns]))
-    d = shocks.select(S.BOOK, "i", series).groupBy(S.BOOK, "factor").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("x"))
-    d = d.withColumn("gjr", F.explode(F.array(*map(F.lit, leverage)))).withColumn("normal", F.explode(F.array(*map(F.lit, normal))))
-    fields = "book string, factor string, gjr boolean, normal boolean, n long, mu double, omega double, alpha double, beta double, gamma double, nu double, loglik double, aic double, lb_p double, ks_p double"
-    if residuals:
-        fields += ", variance double, long_run double, gof double, gof_share double, nyblom double, parameters int, z array<double>"
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                x = np.asarray(row.x, float)
-                scale = 1 / (x.std() or 1.0)
-                f = K.garch_fit(x * scale, leverage=bool(row.gjr), normal=bool(row.normal))
-                z = (x * scale - f["mu"]) / f["sigma"]
-                loglik = f["loglik"] + len(x) * float(np.log(scale))
-                k = 4 + bool(row.gjr) + (not row.normal)
-                nu = None if row.normal else f["nu"]
-                law = K.norm_cdf if row.normal else lambda v, nu=nu: K.t_cdf(v * np.sqrt(nu / (nu - 2)), nu)
-                more = ()
-                if residuals:
-                    rest = 1 - f["alpha"] - f["beta"] - f["gamma"] / 2
-                    ps = [K.uniform_groups_p(law(z), g) for g in GROUPS]
-                    more = (float(x.var(ddof=1)), f["omega"] / scale**2 / rest if rest > 0 else None, float(np.mean(ps)), float(np.mean([p > 0.05 for p in ps])), *K.nyblom(x * scale, f), z.tolist())
-                out.append((row.book, row.factor, row.gjr, row.normal, len(x), f["mu"] / scale, f["omega"] / scale**2, f["alpha"], f["beta"], f["gamma"], nu, loglik, 2 * k - 2 * loglik, K.chi2_tail(K.ljung_box(z * z, 10), 10), K.ks_p(K.ks_against(z, law), len(z)), *more))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
-
-    return dealt(d, S.BOOK, "factor", "gjr", "normal").mapInPandas(run, fields)
-
-
-def selected(fits: DataFrame, top: int = 3, least: float = 0.05) -> DataFrame:
-    """Of each factor's `top` models by AIC, the best whose tests pass; the best of all if none does. passed tells which."""
-    w = Window.partitionBy(S.BOOK, "factor").orderBy("aic", "gjr", "normal")
-    d = fits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumn("passed", (F.col("lb_p") > least) & (F.col("ks_p") > least))
-    first = Window.partitionBy(S.BOOK, "factor").orderBy(F.desc("passed"), "rank")
-    return d.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-
-
-def criteria(fits: DataFrame) -> DataFrame:
-    """(book, factor, c1 ... c6 and pass_c1 ... pass_c6) of whole_sample()'s fits with residuals, one for each factor: no autocorrelation of z; none of
-    z^2 and no ARCH effect; the residuals' law; the model's variance over the sample's; no sign bias; constant parameters (Nyblom)."""
-    fits = once(fits)
-    key = F.to_json(F.struct(S.BOOK, "factor"))  # the diagnostics work book by book: each fit is one
-    z = once(fits.select(key.alias(S.BOOK), F.posexplode("z").alias("i", "z")))
-    c = F.col
-    lb = diagnostics.portmanteau(z, {"z": c("z"), "z2": c("z") * c("z")}, lags=(10,))
-    lb = lb.groupBy(S.BOOK).agg(F.max(F.when(c("series") == "z", c("p10"))).alias("p_z"), F.max(F.when(c("series") == "z2", diagnostics.chi2_tail_even(c("q10"), 8))).alias("p_z2"))
-    lm = diagnostics.arch_lm(z, "z").select(S.BOOK, c("p").alias("p_arch"))
-    bias = diagnostics.with_p(diagnostics.sign_bias_test(z, "z")).select(S.BOOK, F.least("p_sign", "p_neg", "p_pos", "p_joint").alias("p_bias"))
-    tests = lb.join(lm, S.BOOK).join(bias, S.BOOK).withColumnRenamed(S.BOOK, "_key")
-    critical = F.element_at(F.create_map(*[F.lit(x) for kv in NYBLOM_5.items() for x in kv]), c("parameters"))
-    values = {"c1": c("p_z"), "c2": F.least("p_z2", "p_arch"), "c3": c("gof"), "c4": c("long_run") / c("variance"), "c5": c("p_bias"), "c6": c("nyblom")}
-    passed = {"c1": c("c1") > 0.05, "c2": c("c2") > 0.05, "c3": c("gof_share") >= 0.5, "c4": F.coalesce((c("c4") > 0.75) & (c("c4") < 1.25), F.lit(False)), "c5": c("c5") > 0.05, "c6": c("c6") < critical}
-    d = fits.withColumn("_key", key).join(tests, "_key").withColumns(values).withColumns({f"pass_{k}": v for k, v in passed.items()})
-    keep = (S.BOOK, "factor", "gjr", "normal", "variance", "long_run", (c("alpha") + c("beta") + c("gamma") / 2).alias("persistence"))
-    return d.select(*keep, *values, *(f"pass_{k}" for k in values))
-
-
-def summary_table(judged: DataFrame) -> DataFrame:
-    """criteria() as a table of text: each factor's model, its innovations, and what passed."""
-    mark = lambda k: F.when(F.col(f"pass_{k}"), "pass").otherwise("fail").alias(k)
-    return judged.select(S.BOOK, "factor", F.when(F.col("gjr"), "GJR(1,1)").otherwise("GARCH(1,1)").alias("model"), F.when(F.col("normal"), "normal").otherwise("t").alias("innovations"), *(mark(f"c{k}") for k in range(1, 7)))
-
-
-def variance_table(judged: DataFrame) -> DataFrame:
-    """criteria()'s fourth as a table: the sample's variance, the model's, their ratio and its deviation from 1."""
-    c = F.col
-    return judged.select(
-        S.BOOK, "factor", F.format_string("%.3e", c("variance")).alias("empirical"), F.format_string("%.3e", c("long_run")).alias("modelled"), F.round("c4", 3).alias("ratio"),
-        F.format_string("%+.1f%%", 100 * (c("c4") - 1)).alias("deviation"), F.round("persistence", 3).alias("persistence"), c("pass_c4").alias("passed"),
-    )
-
-
-def candidates(fits: DataFrame, top: int = 3) -> DataFrame:
-    """Each factor's `top` models by AIC, with BIC and their tests."""
-    w = Window.partitionBy(S.BOOK, "factor").orderBy("aic", "gjr", "normal")
-    k = 4 + F.col("gjr").cast("int") + (~F.col("normal")).cast("int")
-    d = fits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return d.select(S.BOOK, "factor", "rank", "gjr", "normal", "aic", (k * F.log("n") - 2 * F.col("loglik")).alias("bic"), "lb_p", "ks_p")

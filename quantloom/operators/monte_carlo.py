@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import kernels as K
 from ..functions import vine as V
+from ..functions import volatility as G
 from .book import factor_moves, pnl, values
 from .once import dealt, once
 from .panel import SHOCKS, frame, mc_shocks
@@ -150,8 +153,8 @@ def _ewma(q: np.ndarray, z: np.ndarray, lam: float) -> np.ndarray:
     return lam * q + (1 - lam) * np.outer(z, z)
 
 
-def garch_copula_fits(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50) -> DataFrame:
-    """(book, refit, params, q, nu, start): GARCH marginals, a t copula of their residuals and their EWMA covariance, for every `every`-th day."""
+def garch_copula_fits(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, at: DataFrame | None = None) -> DataFrame:
+    """(book, refit, params, q, nu, start): GARCH marginals, a t copula of their residuals and their EWMA covariance, for every `every`-th day, or the days of `at`."""
 
     def fit(w, i):
         z, params = garch_fits(w)
@@ -161,7 +164,7 @@ def garch_copula_fits(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50)
             q = _ewma(q, row, EWMA)
         return params.ravel().tolist(), q.ravel().tolist(), float(nu), i
 
-    return _fitted(refit_days(lv, window, every), window, every, fit, "params array<double>, q array<double>, nu double, start long")
+    return _fitted(refit_days(lv, window, every) if at is None else at, window, every, fit, "params array<double>, q array<double>, nu double, start long")
 
 
 def garch_copula_model(lv: DataFrame, fits: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draws: int = 10_000, seed: int = 42, again: bool = True) -> Model:
@@ -192,6 +195,17 @@ def garch_copula(lv: DataFrame, window: int = S.MC_WINDOW, every: int = 50, draw
     return garch_copula_model(lv, garch_copula_fits(lv, window, every), window, every, draws, seed).var(alpha)
 
 
+def refit_sweep(lv: DataFrame, every=(10, 25, 50), window: int = S.MC_WINDOW, draws: int = 10_000, seed: int = 42) -> tuple[dict[int, DataFrame], DataFrame]:
+    """({frequency: garch_copula's rows}, fits): the model refitted at several frequencies. A day that several of them refit on is fitted once; each frequency
+    takes its own of the fits, whose `refit` is the day's distance from the first."""
+    lv = once(lv)
+    at = refit_days(lv, window)
+    at = at.where(reduce(or_, [(F.col("i") - 1 - window) % n == 0 for n in every]))
+    fits = once(garch_copula_fits(lv, window, 1, at))
+    own = lambda n: fits.where(F.col("refit") % n == 0).withColumn("refit", (F.col("refit") / n).cast("int"))
+    return {n: garch_copula_model(lv, own(n), window, n, draws, seed).var() for n in every}, fits
+
+
 #: The factors whose moves book.factor_pnl takes.
 MOVES = ("d_log", "b_log", "a_log", "rate_chg", "vol_chg")
 
@@ -207,16 +221,19 @@ def by_moves(row, x: np.ndarray) -> np.ndarray:
 def factor_var(lv: DataFrame, models: DataFrame, window: int = 250, every: int = 50, draws: int = 5_000, seed: int = 42, levels=(0.95, 0.99)) -> DataFrame:
     """(book, d, i, refit, var_95, var_99, realised_pnl, exception_95, exception_99): filtered simulation of factor moves.
 
-    Each factor has the GARCH model that `models` (book, factor, gjr, normal) names, refitted every `every` days; a vine copula joins the residuals,
-    and draws are quantiles of the residuals themselves (median-unbiased), brought to mean 0 and deviation 1. Means stay between refits; each day's
-    volatility follows from the day before's.
+    Each factor has the mean, volatility model and law that `models` (book, factor, model, law, p, q) names, refitted every `every` days; a vine copula joins the
+    residuals, and draws are quantiles of the residuals themselves (median-unbiased), brought to mean 0 and deviation 1. Forecast means stay between refits; each
+    day's volatility follows from the day before's by the model's own recursion, that of the exponential model too.
     """
     n = len(MOVES)
     of = lambda c: F.array(*[F.max(F.when(F.col("factor") == m, F.col(c))) for m in MOVES]).alias(c)
-    models = models.groupBy(S.BOOK).agg(of("gjr"), of("normal"))
-    d = factor_moves(once(lv)).withColumn("_w", F.collect_list(F.array(*MOVES)).over(frame(-window, -1))).where(F.size("_w") == window)
-    d = d.withColumns({"w": F.flatten("_w"), "refit": ((F.col("i") - 1 - window) / every).cast("int")}).drop("_w", *MOVES)
-    at = d.where((F.col("i") - 1 - window) % every == 0).select(S.BOOK, "refit", "i", "w").join(models, S.BOOK)
+    models = models.groupBy(S.BOOK).agg(*map(of, ("model", "law", "p", "q")))
+    lv = once(lv)
+    moves = factor_moves(lv)
+    d = moves.drop(*MOVES).where(F.col("i") > window).withColumn("refit", refit_of(window, every))
+    past = moves.select(S.BOOK, "i", F.flatten(F.collect_list(F.array(*MOVES)).over(frame(-every, -1))).alias("past"))
+    at = moves.withColumn("_w", F.collect_list(F.array(*MOVES)).over(frame(-window, -1))).where((F.size("_w") == window) & ((F.col("i") - 1 - window) % every == 0))
+    at = at.select(S.BOOK, refit_of(window, every).alias("refit"), "i", F.flatten("_w").alias("w")).join(models, S.BOOK)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -226,9 +243,10 @@ def factor_var(lv: DataFrame, models: DataFrame, window: int = 250, every: int =
                 z, params = np.empty(w.shape), []
                 for j in range(n):
                     scale = 1 / (w[:, j].std() or 1.0)
-                    f = K.garch_fit(w[:, j] * scale, leverage=bool(row.gjr[j]), normal=bool(row.normal[j]))
-                    z[:, j] = (w[:, j] * scale - f["mu"]) / f["sigma"]
-                    params += [f["mu"] / scale, f["omega"] / scale**2, f["alpha"], f["beta"], f["gamma"], np.sqrt(f["next"]) / scale]
+                    r = w[:, j] * scale
+                    f = G.fit(r, row.model[j], [row.law[j]], (int(row.p[j]), int(row.q[j])), rounds=40)[0]
+                    z[:, j] = f["z"]
+                    params += [scale, G.MODELS.index(row.model[j]), G.mean_of_next(f, r), f["next"], *(f[k] for k in ("omega", "alpha", "beta", "gamma", "delta", "mean_abs"))]
                 out.append((row.book, row.refit, row.i, params, z.ravel().tolist(), V.packed(V.fit(K.pseudo(z)))))
             yield pd.DataFrame(out, columns=["book", "refit", "start", "params", "z", "vine"])
 
@@ -236,11 +254,14 @@ def factor_var(lv: DataFrame, models: DataFrame, window: int = 250, every: int =
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                mu, omega, alpha, beta, gamma, sigma = np.asarray(row.params, float).reshape(n, 6).T
-                w, z = np.asarray(row.w, float).reshape(-1, n), np.asarray(row.z, float).reshape(-1, n)
-                for r in w[len(w) - (row.i - row.start) :]:
-                    e = r - mu
-                    sigma = np.sqrt(np.maximum(omega + (alpha + gamma * (e < 0)) * e * e + beta * sigma**2, 1e-12))
+                z, mu, sigma = np.asarray(row.z, float).reshape(-1, n), np.empty(n), np.empty(n)
+                days_on = row.i - row.start
+                between = np.asarray(row.past, float).reshape(-1, n)[-days_on:] if days_on else np.empty((0, n))
+                for j, p in enumerate(np.asarray(row.params, float).reshape(n, -1).tolist()):
+                    scale, model, m, s, *rest = p
+                    for r in between[:, j].tolist():
+                        s = G.variance_step(G.MODELS[int(model)], s, r * scale - m, *rest)
+                    mu[j], sigma[j] = m / scale, np.sqrt(s) / scale
                 u = V.unpacked(n, row.vine).sample(draws, np.random.default_rng([seed, row.i]))
                 q = np.stack([np.quantile(z[:, j], u[:, j], method="median_unbiased") for j in range(n)], 1)
                 pnl = by_moves(row, mu + sigma * (q - q.mean(0)) / q.std(0, ddof=1))
@@ -249,7 +270,8 @@ def factor_var(lv: DataFrame, models: DataFrame, window: int = 250, every: int =
 
     names = [f"var_{100 * a:g}" for a in levels]
     fits = dealt(at, S.BOOK, "refit").mapInPandas(fit, "book string, refit int, start long, params array<double>, z array<double>, vine array<double>")
-    rows = dealt(d.join(fits, [S.BOOK, "refit"]), S.BOOK, "i").mapInPandas(run, "book string, d date, i long, refit int, " + ", ".join(f"{c} double" for c in names))
+    d = d.join(fits, [S.BOOK, "refit"]).join(past, [S.BOOK, "i"])
+    rows = dealt(d, S.BOOK, "i").mapInPandas(run, "book string, d date, i long, refit int, " + ", ".join(f"{c} double" for c in names))
     rows = rows.join(pnl(lv).select(S.BOOK, "i", F.col("pnl_total").alias("realised_pnl")), [S.BOOK, "i"])
     return rows.withColumns({c.replace("var", "exception"): (-F.col("realised_pnl") > F.col(c)) for c in names})
 

@@ -350,10 +350,27 @@ def oracle_sql() -> dict[str, str]:
         "rb3": "select book, d, i, " + "+".join(f"0.25e0*ln({c}/lag({c}) over w)" for c in "abcs") + " as x from rb2 window w as (partition by book order by d) qualify i>0",
         "rb4": "select *, 1e6*avg(x) over w as mu, 1e6*sqrt(var_samp(x) over w) as sigma from rb3 window w as (partition by book order by i rows between 250 preceding and 1 preceding) qualify i>250",
     }
+    moves = {"mv": "select book, i, ln(px_d/lag(px_d) over w) as d_log, rate_idx-lag(rate_idx) over w as rate_chg, ln(px_b/lag(px_b) over w) as b_log, ln(px_a/lag(px_a) over w) as a_log, vol_idx-lag(vol_idx) over w as vol_chg from lv window w as (order by i) qualify i>0"}
+    names = sorted(("d_log", "rate_chg", "b_log", "a_log", "vol_chg"))
+    tau = lambda a, b: f"select '{a}' as a, '{b}' as b, sum(sign(x.{a}-y.{a})*sign(x.{b}-y.{b}))/sqrt(sum(abs(sign(x.{a}-y.{a})))*sum(abs(sign(x.{b}-y.{b})))) as tau from mv x join mv y on x.i<y.i"
+    kt = moves | {"kt": " union all ".join(tau(a, b) for a, b in itertools.combinations(names, 2))}
+    # an edge is of the tree unless a path of greater edges joins its ends: four steps reach all five names
+    steps = {"sp0": "select a as ea, b as eb, abs(tau) as w, a as place from kt"}
+    for k in range(1, 5):
+        steps[f"sp{k}"] = f"select ea, eb, w, place from sp{k - 1} union select s.ea, s.eb, s.w, case when e.a=s.place then e.b else e.a end from sp{k - 1} s join kt e on abs(e.tau)>s.w and (e.a=s.place or e.b=s.place)"
+    wl = lambda k: f"pow(s{k}/s0, 2)/(n-{k})"
+    td = " union all ".join(
+        f"select 'main' as book, '{a}' as a, '{b}' as b, {lit(q)} as q, avg(cast({a}<={lit(q)} and {b}<={lit(q)} as int))/{lit(q)} as lower, avg(cast({a}>1-{lit(q)} and {b}>1-{lit(q)} as int))/{lit(q)} as upper from po"
+        for a, b in itertools.combinations([f"u_r_{x}" for x in A], 2) for q in (0.01, 0.025, 0.05, 0.1, 0.2)
+    )
     days = "cast(o_orderdate as date) as d from orders"
     dg = f"select book, d, i, x, {z}*sf-m as var_full, {e}*sf-m as es_full, {z}*sd-m as var_diagonal, {e}*sd-m as es_diagonal, sf as sigma_full, sd as sigma_diagonal, ({z}*sd-m)-({z}*sf-m) as benefit from (select *, 1e6*avg(x) over w as m, 1e6*sqrt(var_samp(x) over w) as sf, 1e6*sqrt({'+'.join(f'0.0625e0*var_samp(r_{x}) over w' for x in A)}) as sd from port window w as (order by i rows between 500 preceding and 1 preceding) qualify i>500)"
     sens, sens_doubles = ", ".join(Q.SENSITIVITY), "rate p_uc p_cc mean_var mean_es max_var"
     return {
+        "factor_taus": build("select 'main' as book, a, b, tau from kt", kt, 8, "tau"),
+        "vine_first_tree": build("select 'main' as book, a, b, tau from kt k where not exists (select 1 from sp4 s where s.ea=k.a and s.eb=k.b and s.place=k.b)", kt | steps, 8, "tau"),
+        "tail_dependence": build(td, PO, 8, "q lower upper"),
+        "weighted_portmanteau": build(f"select book, series, n, n*(n+2)*({'+'.join(wl(k) for k in range(1, 11))}) as plain, n*(n+2)*({'+'.join(f'{11 - k}/10e0*{wl(k)}' for k in range(1, 11))}) as weighted from lj3 where series<>'r'", GF | pm, 6, "plain weighted"),
         "strict_backtest": build(strict, dn() | tests("dn", "book"), 8, "lr_uc_strict lr_ind_strict"),
         "panel_violations": build(bad("lv", ("px_a", "px_b", "px_c", "px_d", "vol_idx", "rate_idx"))),
         "raw_panel_violations": build(bad("rw", "abcsvr"), {"rw": "select 'main' as book, * from raw"}),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import pricing
-from ..operators import analysis, backtest, book, delta_normal, diagnostics, garch, hist_sim, monte_carlo, panel, scenarios, tails
+from ..operators import analysis, backtest, book, delta_normal, dependence, diagnostics, garch, hist_sim, monte_carlo, panel, scenarios, selection, tails
 from ..operators.once import fresh_path, once
 from ..sources import market
 
@@ -358,12 +358,12 @@ def garch_compare(lv: DataFrame) -> DataFrame:
 
 
 def refit_sweep(lv: DataFrame) -> DataFrame:
-    """Filtered historical simulation with refits every 10, 25 and 50 days."""
-    lv, out = once(lv), None
-    for every in (10, 25, 50):
-        d = garch.filtered(_resid(lv, every=every)).select(F.lit(every).alias("every"), "d", (S.V0 * F.col("r")).alias("pnl"), "var", F.col("var").alias("es"))
-        out = d if out is None else out.unionByName(d)
-    return analysis.summarize(out, ("every",)).select("every", "t", "n", "rate", "p_uc", "p_ind", "p_cc", "mean_var", "max_var")
+    """GARCH-copula simulation with refits every 10, 25 and 50 days; days that they share are fitted once."""
+    lv = once(lv)
+    rows, _ = monte_carlo.refit_sweep(lv)
+    pnl = once(total_pnl(lv))
+    d = united({k: against(v, pnl) for k, v in rows.items()}, "every")
+    return analysis.summarize(d, ("every",)).select("every", "t", "n", "rate", "p_uc", "p_ind", "p_cc", "mean_var", "max_var")
 
 
 def window_sweep(lv: DataFrame) -> DataFrame:
@@ -374,11 +374,56 @@ def window_sweep(lv: DataFrame) -> DataFrame:
     return analysis.summarize(out, ("window",)).select("window", "t", "n", "rate", "p_uc", "p_ind", "p_cc", "mean_var", "max_var")
 
 
+def factor_orders(lv: DataFrame) -> DataFrame:
+    """The mean's order of each factor of the book's P&L by moves: the first by AIC."""
+    return selection.arma_orders(panel.risk_factors(lv), monte_carlo.MOVES)
+
+
+def factor_fits(lv: DataFrame) -> DataFrame:
+    """Four volatility models with seven laws for each factor, with its own ARMA mean."""
+    lv = once(lv)
+    orders = once(factor_orders(lv)).where("rank = 1")
+    return once(selection.fits(panel.risk_factors(lv), monte_carlo.MOVES, orders=orders))
+
+
 def factor_var(lv: DataFrame) -> DataFrame:
     """VaR at 95% and 99% by factor moves: each factor's model is the one selected on its whole sample."""
     lv = once(lv)
-    models = garch.selected(garch.whole_sample(panel.risk_factors(lv), monte_carlo.MOVES, leverage=(False, True), normal=(False, True)))
-    return monte_carlo.factor_var(lv, models)
+    return monte_carlo.factor_var(lv, selection.selected(factor_fits(lv)).select(S.BOOK, "factor", "model", "law", "p", "q"))
+
+
+def factor_residuals(lv: DataFrame) -> DataFrame:
+    """(book, i, a column for each factor): the residuals of the selected models, days side by side."""
+    z = selection.selected(factor_fits(lv)).select(S.BOOK, "factor", F.posexplode("z").alias("i", "z"))
+    return z.groupBy(S.BOOK, "i").pivot("factor", sorted(monte_carlo.MOVES)).agg(F.first("z"))
+
+
+def factor_vine(lv: DataFrame) -> DataFrame:
+    """The vine of the residuals, edge by edge."""
+    return dependence.vine(factor_residuals(lv), monte_carlo.MOVES)
+
+
+def vine_fit(lv: DataFrame) -> DataFrame:
+    z = once(factor_residuals(lv))
+    return dependence.vine_fit(once(dependence.vine(z, monte_carlo.MOVES)), z.groupBy(S.BOOK).agg(F.count("*").alias("n")))
+
+
+def first_tree(lv: DataFrame) -> DataFrame:
+    """The first tree of the vine of the factor moves as they are: the edges of greatest |tau|."""
+    d = dependence.vine(panel.risk_factors(lv), monte_carlo.MOVES, ("gaussian",))
+    return d.where("tree = 1").select(S.BOOK, "a", "b", "tau")
+
+
+def copula_checks(lv: DataFrame) -> DataFrame:
+    z = once(factor_residuals(lv))
+    return dependence.copula_checks(z, sorted(monte_carlo.MOVES))
+
+
+def simulation_checks(lv: DataFrame) -> DataFrame:
+    """The GARCH-copula simulation's draws beside the moves that came, refit by refit."""
+    lv = once(lv)
+    m = monte_carlo.garch_copula_model(lv, monte_carlo.garch_copula_fits(lv))
+    return dependence.simulation_checks(m.rows, m.draw, panel.mc_shocks(lv), panel.SHOCKS)
 
 
 def scenario_table(lv: DataFrame) -> DataFrame:
@@ -457,13 +502,14 @@ def calendar(how: str) -> Callable:
     return lambda spark, sf_dir: panel.date_set(levels(spark, sf_dir), market.orders_index(spark, sf_dir), how)
 
 
-def shock_fits(lv: DataFrame, **models) -> DataFrame:
-    return garch.whole_sample(panel.mc_shocks(lv), panel.SHOCKS, **models)
+def shock_fits(lv: DataFrame) -> DataFrame:
+    """GARCH(1,1) with t innovations of each shock."""
+    return selection.fits(panel.mc_shocks(lv), panel.SHOCKS, ("garch",), ("std",))
 
 
 def judged_fits(lv: DataFrame) -> DataFrame:
     """The criteria of each factor's selected model."""
-    return garch.criteria(garch.selected(shock_fits(lv, leverage=(False, True), normal=(False, True), residuals=True)))
+    return selection.criteria(selection.selected(factor_fits(lv)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -535,6 +581,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pnl_component_corr": _of(lambda lv: diagnostics.correlations(book.pnl(lv), [f"pnl_{c}" for c in S.COMPONENTS]), 8),
         "param_stability": _of(param_stability, 3),
         "stress_worst_n": _of(stress_worst, 3),
+        "factor_taus": _of(lambda lv: dependence.taus(panel.risk_factors(lv), monte_carlo.MOVES), 8),
+        "vine_first_tree": _of(first_tree, 8),
+        "tail_dependence": _of(lambda lv: dependence.tail_dependence(pseudo_obs(lv), [f"u_{c}" for c in RETURNS]), 8),
+        "weighted_portmanteau": _of(lambda lv: diagnostics.weighted_portmanteau(garch_fixed(lv), {"z": F.col("z"), "z2": F.col("z") * F.col("z")}), 6),
         "adequacy_ljung_box": _of(adequacy, 6),
         "sign_bias_test": _of(lambda lv: diagnostics.sign_bias_test(garch_fixed(lv), "z"), 6),
         "innovation_quantiles": _of(lambda lv: diagnostics.quantiles_type8(garch_fixed(lv), "z", US), 8),
@@ -554,12 +604,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "evt_violations": _of(lambda lv: tails.invariants(evt_var(lv)), 4),
         "evt_threshold_windows": _of(evt_grid, 6),
         "garch_fit": _of(garch_params, 6),
-        "garch_factors": _of(shock_fits, 6),
-        "garch_selection": _of(lambda lv: garch.selected(shock_fits(lv, leverage=(False, True), normal=(False, True))), 6),
+        "garch_factors": _of(lambda lv: shock_fits(lv).drop("z", "ar", "ma"), 6),
+        "arma_orders": _of(lambda lv: factor_orders(lv).drop("ar", "ma"), 6),
+        "garch_comparison": _of(lambda lv: factor_fits(lv).drop("z", "ar", "ma"), 6),
+        "garch_selection": _of(lambda lv: selection.selected(factor_fits(lv)).drop("z", "ar", "ma"), 6),
         "garch_criteria": _of(judged_fits, 6),
-        "garch_summary_table": _of(lambda lv: garch.summary_table(judged_fits(lv))),
-        "garch_variance_table": _of(lambda lv: garch.variance_table(judged_fits(lv))),
-        "garch_candidates": _of(lambda lv: garch.candidates(shock_fits(lv, leverage=(False, True), normal=(False, True))), 6),
+        "garch_summary_table": _of(lambda lv: selection.summary_table(judged_fits(lv))),
+        "garch_variance_table": _of(lambda lv: selection.variance_table(judged_fits(lv))),
+        "garch_candidates": _of(lambda lv: selection.candidates(factor_fits(lv)), 6),
+        "vine_edges": _of(factor_vine, 6),
+        "vine_fit": _of(vine_fit, 4),
+        "copula_checks": _of(copula_checks, 6),
+        "simulation_checks": _of(simulation_checks, 6),
         "garch_evt_thresholds": _of(garch_thresholds, 6),
         "garch_compare": _of(garch_compare, 6),
         "refit_sweep": _of(refit_sweep, 6),
@@ -568,8 +624,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "method_backtests": _of(method_backtests, 5),
         "sign_bias_p": _of(lambda lv: diagnostics.with_p(diagnostics.sign_bias_test(garch_fixed(lv), "z")), 6),
         "arch_lm": _of(lambda lv: diagnostics.arch_lm(garch_fixed(lv), "z"), 6),
-        "adf": _of(lambda lv: diagnostics.dickey_fuller(panel.portfolio_return(lv), "x"), 6),
-        "residual_families": _of(lambda lv: diagnostics.families(garch_fixed(lv), "z"), 6),
+        "adf": _of(lambda lv: diagnostics.dickey_fuller(once(panel.portfolio_return(lv)), "x"), 6),
+        "residual_families": _of(lambda lv: selection.residual_families(selection.selected(factor_fits(lv))), 6),
         "garch_evt_var": _of(garch_evt_var, 4),
         "garch_evt_rolling": _of(garch_challenger, 4),
         "fhs_var": _of(fhs_var, 4),
