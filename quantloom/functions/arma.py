@@ -37,18 +37,25 @@ def loglik(x: np.ndarray, phi: np.ndarray, theta: np.ndarray, mu: np.ndarray) ->
     y = x[None] - mu[:, None]
     n = len(x)
     v, logs, e = np.zeros(lanes), np.zeros(lanes), np.zeros((lanes, n))
+    back = t.transpose(0, 2, 1)
     first = min(SETTLED, n)
-    for k in range(first):
+    for k in range(min(SETTLED, n)):
         f = np.maximum(p[:, 0, 0], 1e-12)
         e[:, k] = y[:, k] - a[:, 0]
         v += e[:, k] ** 2 / f
         logs += np.log(f)
         gain = p[:, :, 0] / f[:, None]
         a = np.einsum("lij,lj->li", t, a + gain * e[:, k : k + 1])
-        p = np.einsum("lij,ljk,lmk->lim", t, p - gain[:, :, None] * p[:, 0][:, None, :], t) + q
-    for k in range(first, n):
-        past = min(d, k)
-        e[:, k] = y[:, k] - (phi[:, :past] * y[:, k - past : k][:, ::-1]).sum(1) - (theta[:, :past] * e[:, k - past : k][:, ::-1]).sum(1)
+        after = t @ (p - gain[:, :, None] * p[:, :1]) @ back + q
+        if k % 10 == 9 and np.abs(after - p).max() < 1e-13:
+            first = k + 1
+            break
+        p = after
+    ar = y.copy()
+    for j in range(d):
+        ar[:, j + 1 :] -= phi[:, j : j + 1] * y[:, : n - j - 1]
+    for k in range(max(first, d), n):
+        e[:, k] = ar[:, k] - (theta * e[:, k - d : k][:, ::-1]).sum(1)
     v += (e[:, first:] ** 2).sum(1)
     s = np.maximum(v / n, 1e-300)
     return -0.5 * n * (math.log(2 * math.pi) + 1 + np.log(s)) - 0.5 * logs, s
@@ -58,8 +65,8 @@ def _stationary(t: np.ndarray, q: np.ndarray) -> np.ndarray:
     """p = t p t' + q, by doubling."""
     p, a = q.copy(), t.copy()
     for _ in range(40):
-        p = p + np.einsum("lij,ljk,lmk->lim", a, p, a)
-        a = np.einsum("lij,ljk->lik", a, a)
+        p = p + a @ p @ a.transpose(0, 2, 1)
+        a = a @ a
         if np.abs(a).max() < 1e-12:
             break
     return p

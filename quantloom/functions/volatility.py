@@ -76,9 +76,10 @@ def residuals(r: np.ndarray, mu: np.ndarray, ar: np.ndarray, ma: np.ndarray) ->
     e = x.copy()
     for k in range(len(ar)):
         e[k + 1 :] -= ar[k] * x[: -k - 1]
-    for t in range(len(r) if len(ma) else 0):
-        for k in range(min(len(ma), t)):
-            e[t] -= ma[k] * e[t - 1 - k]
+    q, back = len(ma), ma[::-1]
+    for t in range(1, len(r) if q else 0):
+        k = min(q, t)
+        e[t] -= (back[q - k :] * e[t - k : t]).sum(0)
     return e
 
 
@@ -90,11 +91,11 @@ def variance(model: str, e: np.ndarray, omega, alpha, beta, gamma, delta, m) ->
     first = np.maximum((w[:, None] * e[:k] ** 2).sum(0) / w.sum(), 1e-8)
     out = np.empty((n + 1, e.shape[1]))
     if model == "egarch":
-        s = np.log(first)
+        s, level = np.log(first), omega - gamma * m
         for t in range(n):
             out[t] = s
             z = e[t] * np.exp(-0.5 * s)
-            s = np.minimum(np.maximum(omega + alpha * z + gamma * (np.abs(z) - m) + beta * s, -40.0), 40.0)
+            s = np.minimum(np.maximum(level + alpha * z + gamma * np.abs(z) + beta * s, -40.0), 40.0)
         out[n] = s
         return np.exp(out)
     if model == "aparch":
@@ -142,26 +143,41 @@ def start(model: str, law: str, order: tuple[int, int], r: np.ndarray) -> list[f
     return [float(r.mean()), *[0.05] * order[0], *[0.0] * order[1], *own, *laws.LAWS[law].free]
 
 
-def densities(model: str, law: str, order: tuple[int, int], r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray]:
-    """(each day's log density in each lane, parameters, residuals, variances)."""
+def filtered(model: str, order: tuple[int, int], r: np.ndarray, parts: list[tuple[str, np.ndarray]]) -> list[tuple[dict, np.ndarray, np.ndarray]]:
+    """(parameters, residuals, variances) of several laws' points, each (law, points): all their lanes go through one loop over time."""
     v = float(r.var()) or 1e-8
     with np.errstate(all="ignore"):
-        q = unpack(model, law, order, p, v)
-        e = residuals(r, q["mu"], q["ar"], q["ma"])
-        own = [q[k] for k in laws.LAWS[law].names]
-        m = _abs(law, own) if model == "egarch" else 0.0
-        s = variance(model, e, q["omega"], q["alpha"], q["beta"], q["gamma"], q["delta"], m)
-        d = laws.LAWS[law].logpdf(e / np.sqrt(s[:-1]), *own) - 0.5 * np.log(s[:-1])
-    return d, q, e, s
+        qs = [unpack(model, law, order, p, v) for law, p in parts]
+        for q, (law, p) in zip(qs, parts):
+            q["m"] = np.broadcast_to(_abs(law, [q[k] for k in laws.LAWS[law].names]), len(p)) if model == "egarch" else np.zeros(len(p))
+        both = {k: np.concatenate([q[k] for q in qs], -1) for k in ("mu", "ar", "ma", "omega", "alpha", "beta", "gamma", "delta", "m") if qs[0][k].size}
+        none = np.zeros((0, len(both["mu"])))
+        e = residuals(r, both["mu"], both.get("ar", none), both.get("ma", none))
+        s = variance(model, e, *(both[k] for k in ("omega", "alpha", "beta", "gamma", "delta", "m")))
+    ends = np.cumsum([len(p) for _, p in parts])
+    return [(q, e[:, b - len(p) : b], s[:, b - len(p) : b]) for q, (_, p), b in zip(qs, parts, ends)]
+
+
+def _density(law: str, q: dict, e: np.ndarray, s: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return laws.LAWS[law].logpdf(e / np.sqrt(s[:-1]), *(q[k] for k in laws.LAWS[law].names)) - 0.5 * np.log(s[:-1])
+
+
+def _allowed(model: str, q: dict, ll: np.ndarray) -> np.ndarray:
+    """Parameters without a long-run variance have no likelihood."""
+    return np.where(q["alpha"] + q["beta"] + q["gamma"] / 2 < 1, ll, -np.inf) if model in ("garch", "gjr") else ll
+
+
+def densities(model: str, law: str, order: tuple[int, int], r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray]:
+    """(each day's log density in each lane, parameters, residuals, variances)."""
+    ((q, e, s),) = filtered(model, order, r, [(law, p)])
+    return _density(law, q, e, s), q, e, s
 
 
 def loglik(model: str, law: str, order: tuple[int, int], r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray]:
-    """densities(), summed by lane; parameters without a long-run variance have none."""
+    """densities(), summed by lane."""
     d, q, e, s = densities(model, law, order, r, p)
-    ll = d.sum(0)
-    if model in ("garch", "gjr"):
-        ll = np.where(q["alpha"] + q["beta"] + q["gamma"] / 2 < 1, ll, -np.inf)
-    return ll, q, e, s
+    return _allowed(model, q, d.sum(0)), q, e, s
 
 
 def _abs(law: str, p: list):
@@ -189,10 +205,10 @@ def fit(r: np.ndarray, model: str, names: Sequence[str], order: tuple[int, int]
 
     def values(points, lanes):
         ll = np.empty(len(points))
-        for k, law in enumerate(names):
-            own = np.flatnonzero(lanes == k)
-            if len(own):
-                ll[own] = loglik(model, law, order, r, points[own, : sizes[k]])[0]
+        owns = [(k, own) for k in range(len(names)) if len(own := np.flatnonzero(lanes == k))]
+        found = filtered(model, order, r, [(names[k], points[own, : sizes[k]]) for k, own in owns])
+        for (k, own), (q, e, s) in zip(owns, found):
+            ll[own] = _allowed(model, q, _density(names[k], q, e, s).sum(0))
         return ll
 
     x, best = maximise(values, x0, rounds)

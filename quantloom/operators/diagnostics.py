@@ -48,7 +48,7 @@ def mean_excess(losses: DataFrame, grid) -> DataFrame:
     """(book, q, u, n, mean excess) at the quantiles of a grid."""
     u = losses.groupBy(S.BOOK).agg(F.percentile("loss", [float(x) for x in grid]).alias("us"))
     u = u.select(S.BOOK, F.posexplode("us").alias("pos", "u"))
-    d = losses.join(F.broadcast(u), S.BOOK).where("loss > u") if len(grid) <= 1000 else losses.join(u, S.BOOK).where("loss > u")
+    d = losses.join(u, S.BOOK).where("loss > u")
     return d.groupBy(S.BOOK, "pos", "u").agg(F.count("*").alias("n"), F.avg(F.col("loss") - F.col("u")).alias("excess"))
 
 
@@ -276,7 +276,8 @@ def _dickey_fuller(df: DataFrame, value: str, lags: int) -> DataFrame:
     w = Window.partitionBy(S.BOOK).orderBy("i")
     d = df.withColumn("_x", F.col(value)).withColumn("_d", F.col("_x") - F.lag("_x").over(w))
     d = d.withColumns({"_b": F.lag("_x").over(w), "_n": F.row_number().over(w)} | {f"_l{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)})
-    return least_squares(d, F.col("_d"), {"before": F.col("_b"), "trend": F.col("_n").cast("double")} | {f"l{k}": F.col(f"_l{k}") for k in range(1, lags + 1)})
+    out = least_squares(d, F.col("_d"), {"before": F.col("_b"), "trend": F.col("_n").cast("double")} | {f"l{k}": F.col(f"_l{k}") for k in range(1, lags + 1)})
+    return out.select(S.BOOK, "n", "t_before")
 
 
 def quantiles_type8(df: DataFrame, value: str, us) -> DataFrame:

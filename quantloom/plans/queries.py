@@ -243,10 +243,11 @@ def param_stability(lv: DataFrame) -> DataFrame:
 
 def stress_worst(lv: DataFrame, n: int = 10) -> DataFrame:
     """The n shocks of all history that are worst for today's book."""
+    lv = once(lv)
     snap = hist_sim.snapshots(lv)
-    last = snap.join(F.broadcast(snap.groupBy(S.BOOK).agg(F.max("f").alias("f"))), [S.BOOK, "f"])
+    last = snap.join(snap.groupBy(S.BOOK).agg(F.max("f").alias("f")), [S.BOOK, "f"])
     s = panel.hist_shocks(lv).select(S.BOOK, F.col("d").alias("shock_d"), *panel.SHOCKS)
-    d = hist_sim.price_scenarios(s.join(F.broadcast(last.drop("d")), S.BOOK))
+    d = hist_sim.price_scenarios(s.join(last.drop("d"), S.BOOK))
     w = Window.partitionBy(S.BOOK).orderBy(F.desc("loss"), "shock_d")
     d = d.withColumn("loss", hist_sim.loss()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return d.select(S.BOOK, "rank", "shock_d", "loss", "pnl_linear", "pnl_irs", "pnl_straddle")
