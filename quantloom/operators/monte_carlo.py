@@ -19,7 +19,7 @@ from ..functions import vine as V
 from ..functions import volatility as G
 from .book import factor_moves, pnl, values
 from .once import dealt, once
-from .panel import SHOCKS, frame, mc_shocks
+from .panel import SHOCKS, frame, mc_shocks, rows
 
 EWMA = 0.94
 OUT = "book string, d date, i long, var double, mean_pnl double, std_pnl double"
@@ -78,11 +78,21 @@ class Model:
 
 
 def gaussian_model(lv: DataFrame, window: int = S.MC_WINDOW, draws: int = 10_000, seed: int = 42) -> Model:
-    """Scenarios of the window's mean and covariance (plus 1e-8 on the diagonal), which are sums over the frame."""
+    """Scenarios of the window's mean and covariance (plus 1e-8 on the diagonal). These are differences of running sums, of values less the book's means, so that a
+    day costs the same for any window."""
     lv, n = once(lv), len(SHOCKS)
-    w = frame(-window, -1)
     upper = [(a, b) for a in range(n) for b in range(a, n)]
-    moments = mc_shocks(lv).select(S.BOOK, "i", F.array(*[F.avg(c).over(w) for c in SHOCKS]).alias("mean"), F.array(*[F.covar_samp(SHOCKS[a], SHOCKS[b]).over(w) for a, b in upper]).alias("cov"))
+    every, so_far = Window.partitionBy(S.BOOK), rows().rowsBetween(Window.unboundedPreceding, 0)
+    d = mc_shocks(lv).select(S.BOOK, "i", *SHOCKS, *(F.avg(c).over(every).alias(f"_m{k}") for k, c in enumerate(SHOCKS)))
+    d = d.select(S.BOOK, "i", *(f"_m{k}" for k in range(n)), *((F.col(c) - F.col(f"_m{k}")).alias(f"_c{k}") for k, c in enumerate(SHOCKS)))
+    sums = {f"_s{k}": F.col(f"_c{k}") for k in range(n)} | {f"_p{a}_{b}": F.col(f"_c{a}") * F.col(f"_c{b}") for a, b in upper}
+    d = d.select(S.BOOK, "i", *(f"_m{k}" for k in range(n)), F.array(*[F.sum(x).over(so_far) for x in sums.values()]).alias("_now"))
+    zero = F.array(*[F.lit(0.0)] * len(sums))
+    d = d.withColumns({"_to": F.lag("_now", 1).over(rows()), "_from": F.coalesce(F.lag("_now", window + 1).over(rows()), zero)}).where(F.col("i") > window)
+    own = {k: F.col("_to")[j] - F.col("_from")[j] for j, k in enumerate(sums)}
+    mean = F.array(*[F.col(f"_m{k}") + own[f"_s{k}"] / window for k in range(n)])
+    cov = F.array(*[(own[f"_p{a}_{b}"] - own[f"_s{a}"] * own[f"_s{b}"] / window) / (window - 1) for a, b in upper])
+    moments = d.select(S.BOOK, "i", mean.alias("mean"), cov.alias("cov"))
 
     def draw(row):
         cov = np.zeros((n, n))
