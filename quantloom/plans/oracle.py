@@ -403,6 +403,7 @@ def oracle_sql() -> dict[str, str]:
         "instrument_pnl": build("select book, d, pnl_irs, pnl_straddle from pnl", None, 3, "pnl_irs pnl_straddle"),
         "total_pnl": build("select * from tot", None, 3, "pnl_linear pnl_irs pnl_straddle pnl_total"),
         "delta_normal_windows": build('select "window", t, n, p_uc, p_cc, mean_var, mean_es, max_var from sm', dnw | summary("dw", '"window"'), 6, "p_uc p_cc mean_var mean_es max_var"),
+        "delta_normal_violations": build("select book, d, var_full, es_full, sigma from dn where coalesce(es_full<var_full or es_nodrift<var_nodrift or sigma<=0 or var_full<0, true)", dn(), 4, "var_full es_full sigma"),
         "delta_normal_linear": build(f"select book, {TESTS} from bt", dn() | {"dl": "select book, d, pnl_linear as pnl, var, es, cast(pnl_linear < -var as int) as exception from dn"} | tests("dl", "book"), 8, TEST_DOUBLES),
         "delta_normal_ewma_tests": build(f"select lam, {sens} from sm", dn() | EW | {"ex": f"select 1e0 as lam, d, pnl, var, es, exception from dn union all select w.lam, w.d, t.pnl_total, w.var_full, w.es_full, cast(t.pnl_total < -w.var_full as int) from ({ewma(0.94)} union all {ewma(0.97)}) w join tot t on w.i=t.i"} | summary("ex", "lam"), 5, "lam " + sens_doubles),
         "delta_normal_diag_tests": build(f"select covariance, {sens} from sm", {"dg": dg} | {"dx": " union all ".join(f"select '{k}' as covariance, g.d, t.pnl_total as pnl, var_{k} as var, es_{k} as es, cast(t.pnl_total < -var_{k} as int) as exception from dg g join tot t on g.i=t.i" for k in ("full", "diagonal"))} | summary("dx", "covariance"), 5, sens_doubles),

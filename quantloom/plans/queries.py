@@ -304,6 +304,20 @@ def crisis_tails(lv: DataFrame) -> DataFrame:
     return in_cents(analysis.crisis_table(once(d.drop(S.BOOK))))
 
 
+def dn_violations(lv: DataFrame) -> DataFrame:
+    """Delta-normal rows that break what always holds: ES >= VaR >= 0, deviation > 0, no nulls."""
+    c = F.col
+    bad = (c("es_full") < c("var_full")) | (c("es_nodrift") < c("var_nodrift")) | (c("sigma") <= 0) | (c("var_full") < 0)
+    return delta_normal.rolling(lv).where(F.coalesce(bad, F.lit(True))).select(S.BOOK, "d", "var_full", "es_full", "sigma")
+
+
+def garch_evt_violations(lv: DataFrame) -> DataFrame:
+    """Filtered tail rows that break what always holds: ES >= VaR >= 0, volatility > 0, shape in [-0.5, 1]."""
+    c = F.col
+    bad = (c("es") < c("var") - 1e-9) | (c("var") < 0) | (c("vol") <= 0) | c("var").isNull() | F.coalesce((c("xi") < -0.5) | (c("xi") > 1), F.lit(False))
+    return garch_evt_var(lv).where(bad).select(S.BOOK, "d", "vol", "xi", "var", "es")
+
+
 QS = (0.85, 0.9, 0.925, 0.95)
 
 
@@ -602,6 +616,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delta_t_normal": _of(delta_t_normal, 4),
         "delta_t_normal_tests": _of(delta_t_normal_tests, 5),
         "evt_var": _of(evt_var, 4),
+        "delta_normal_violations": _of(dn_violations, 4),
+        "garch_evt_violations": _of(garch_evt_violations, 4),
         "evt_violations": _of(lambda lv: tails.invariants(evt_var(lv)), 4),
         "evt_threshold_windows": _of(evt_grid, 6),
         "garch_fit": _of(garch_params, 6),
