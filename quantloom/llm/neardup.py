@@ -8,7 +8,8 @@ shingle sets is one document.
   where neighbours have their shortest longest common prefix, so that its depth adapts to its size. They cost in proportion to the documents,
   and join most copies.
 - The last pass takes all trees, and every pair of documents that a region has in different components: a region within BLOCK_BYTES in one task,
-  a larger one by pairs of blocks, a task's group for each. Nothing is capped.
+  a larger one by pairs of blocks, a task's group for each. A component over a block's size has blocks of its own, which don't meet each other, so
+  that a large group of joined copies costs its own size. Nothing is capped.
 
 A task holds the full shingle sets of its documents, confirms pairs on them, and gives only links that join two components, so that links
 grow with the documents whatever the size of a group. Within a group, documents with too few shingles that occur in other components drop out
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _io, _text
@@ -332,19 +333,40 @@ def _cut(path: np.ndarray) -> int:
     return half + int(np.argmin(common[half - 1 :])) if half else len(path)
 
 
+def _blocked(rows: DataFrame, size: DataFrame, block_bytes: int) -> DataFrame:
+    """The rows of the regions in size (region, bytes), with their block and once for each pair of blocks (one, two) that they are compared in. A region of
+    at most block_bytes is one block. In a larger one a component over block_bytes has blocks of its own and all others share blocks; blocks of one
+    component don't meet. So a group that is joined already goes out once for each block of the rest, however large it is itself."""
+    bytes_of = F.sum(F.col("n") * 8 + ROW_BYTES)
+    n_blocks = lambda c: F.ceil(c / F.lit(float(block_bytes))).cast("long")
+    sent = lambda df: F.broadcast(df) if df.count() <= SEND_IDS else df
+    large = size.where(F.col("bytes") > block_bytes).select("region")
+    own = rows.join(sent(large), "region", "left_semi").groupBy("region", "comp").agg(bytes_of.alias("own_bytes")).where(F.col("own_bytes") > block_bytes)
+    # a region has no more such components than its bytes have blocks
+    before = Window.partitionBy("region").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("n_own", n_blocks(F.col("own_bytes"))).withColumn("place", F.coalesce(F.sum("n_own").over(before), F.lit(0)))
+    own = _io.keep(own, "large-components")
+    owned = own.groupBy("region").agg(F.sum("n_own").alias("owned"), F.sum("own_bytes").alias("owned_bytes"))
+    size = size.join(sent(owned), "region", "left").select("region", n_blocks(F.col("bytes") - F.coalesce("owned_bytes", F.lit(0))).alias("shared"), F.coalesce("owned", F.lit(0)).alias("owned"))
+    at = rows.join(sent(size), "region").join(sent(own.select("region", "comp", "n_own", "place")), ["region", "comp"], "left")
+    spread = F.xxhash64("set_id", "region")
+    at = at.withColumn("start", F.col("shared") + F.col("place"))
+    at = at.withColumn("block", F.when(F.col("n_own").isNull(), F.pmod(spread, F.greatest("shared", F.lit(1)))).otherwise(F.col("start") + F.pmod(spread, F.greatest("n_own", F.lit(1)))))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("shared") + F.col("owned") - 1), lambda b: F.col("n_own").isNull() | (b < F.col("start")) | (b >= F.col("start") + F.col("n_own")))
+    at = at.withColumn("with", F.explode(others))
+    return at.withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
+
+
 def _links(texts: DataFrame, near: DataFrame, span: tuple[int, int], last: bool, percent: int, words: int, block_bytes: int) -> DataFrame:
     """Confirmed links (a, b) of documents in a common region of the trees `span`, between components that none joined so far."""
     n_hashes = trees(percent) * DEPTH
     rows = near.select("id", "set_id", "comp", "n", "sig").mapInArrow(_paths(*span, n_hashes), _NODE)
     size = rows.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.col("n") * 8 + ROW_BYTES).alias("bytes")).where("c0 < c1")
     size = _io.keep(size.select("region", "bytes"), "regions")
-    at = rows.join(F.broadcast(size) if size.count() <= SEND_IDS else size, "region")
     if last:
-        at = at.withColumn("blocks", F.ceil(F.col("bytes") / F.lit(float(block_bytes))).cast("int"))
-        at = at.withColumn("block", F.pmod(F.xxhash64("set_id", "region"), F.col("blocks")).cast("long"))
-        at = at.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-        at = at.withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
+        at = _blocked(rows, size, block_bytes)
     else:
+        at = rows.join(F.broadcast(size) if size.count() <= SEND_IDS else size, "region")
         at = at.select("*", *(F.lit(0).cast("long").alias(c) for c in ("block", "one", "two")))
     at = _io.keep(at.select("region", "one", "two", "block", "id", "comp", "sketch", "path", "set_id"), "open")
     wanted = at.select("id").distinct()

@@ -181,6 +181,45 @@ def test_a_large_region_is_joined_whole(spark, percent):
         assert got == want
 
 
+def blocks_of_a_region(spark, joined, alone):
+    """Rows (block, comp, one, two, id) of a region of `joined` documents of one component and `alone` others, 100 documents a block."""
+    rows = [("r", i, 0 if i < joined else i, str(i).encode(), 1) for i in range(joined + alone)]
+    rows = spark.createDataFrame(rows, "region string, id long, comp long, set_id binary, n long")
+    size = spark.createDataFrame([("r", (joined + alone) * (neardup.ROW_BYTES + 8))], "region string, bytes long")
+    return neardup._blocked(rows, size, 100 * (neardup.ROW_BYTES + 8)).select("block", "comp", "one", "two", "id").collect()
+
+
+def test_blocks_of_one_component_do_not_meet(spark):
+    count = {}
+    for joined in (1000, 2000, 4000):
+        rows = blocks_of_a_region(spark, joined, 5)
+        at = {}
+        for r in rows:
+            assert r.block in (r.one, r.two)
+            at.setdefault(r.id, {})[r.one, r.two] = r.block
+        # each pair of different components meets once; the joined ones are held against the rest alone
+        for i in range(joined + 5):
+            for j in range(joined, joined + 5):
+                if i != j:
+                    assert sum(k[0] == k[1] or at[i][k] != at[j][k] for k in at[i].keys() & at[j].keys()) == 1  # a pair of blocks counts only what is across
+        assert max(len(at[i]) for i in range(joined)) == 1
+        count[joined] = len(rows)
+    assert count[4000] - count[2000] < 2.2 * (count[2000] - count[1000]) and count[4000] < 4000 * 1.1
+    small = blocks_of_a_region(spark, 60, 30)  # within a block: one group
+    assert len(small) == 90 and {(r.block, r.one, r.two) for r in small} == {(0, 0, 0)}
+
+
+def test_blocks_where_several_components_are_large(spark):
+    rows = [("r", i, i // 300, str(i).encode(), 1) for i in range(900)]
+    rows = spark.createDataFrame(rows, "region string, id long, comp long, set_id binary, n long")
+    size = spark.createDataFrame([("r", 900 * (neardup.ROW_BYTES + 8))], "region string, bytes long")
+    at = {}
+    for r in neardup._blocked(rows, size, 100 * (neardup.ROW_BYTES + 8)).select("id", "one", "two").collect():
+        at.setdefault(r.id, set()).add((r.one, r.two))
+    ids = list(range(0, 900, 13))
+    assert all(len(at[i] & at[j]) == (i // 300 != j // 300) for i in ids for j in ids if i != j)
+
+
 def test_links_of_a_group_are_no_more_than_its_merges():
     texts = copies(400, 100, 9, 3)
     raw, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t) for t in texts)])
