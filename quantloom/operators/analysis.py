@@ -79,6 +79,18 @@ def stability(df: DataFrame, columns, order: str = "d") -> DataFrame:
     return d.groupBy("parameter").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"), F.max("change").alias("max_change"))
 
 
+def stability_with_counts(df: DataFrame, columns, counts: dict[str, Column], clean: Column | None = None, order: str = "d") -> DataFrame:
+    """stability() of the clean rows (all, if no condition is given), for columns with two values or more, and a row _meta_<name> for each count: the number of
+    rows, of all, that a condition holds for, as the mean. A null condition doesn't hold. Without a clean row there is no table."""
+    clean = F.coalesce(clean, F.lit(False)) if clean is not None else F.lit(True)
+    kept = df.where(clean)
+    two = kept.agg(*(F.count(c).alias(c) for c in columns)).select(F.inline(F.array(*[F.struct(F.lit(c).alias("parameter"), F.col(c).alias("_n")) for c in columns])))
+    table = stability(kept, columns, order).join(two.where("_n >= 2").drop("_n"), "parameter")
+    n = df.agg(F.max(clean).alias("_any"), *(F.count_if(c).alias(k) for k, c in counts.items())).where("_any")
+    n = n.select(F.inline(F.array(*[F.struct(F.lit(f"_meta_{k}").alias("parameter"), F.col(k).cast("double").alias("mean")) for k in counts])))
+    return table.unionByName(n, allowMissingColumns=True)
+
+
 def moments(value: Column) -> dict[str, Column]:
     """Mean, population standard deviation, skewness and excess kurtosis, and nine quantiles."""
     q = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)

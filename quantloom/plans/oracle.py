@@ -296,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
         {', '.join(f'quantile_cont(v, {q}) as q{i}' for i, q in enumerate(q9))} from (select pnl_{c} as v, avg(pnl_{c}) over () as m from tot)"""
         for c in (*S.COMPONENTS, "total")
     )
-    stab = lambda c: f"select '{c}' as parameter, avg(v) as mean, stddev_samp(v) as std, min(v) as least, max(v) as most, max(abs(v-w)) as max_change from (select cast({c} as double) as v, lag(cast({c} as double)) over (order by d) as w from tc)"
+    stab = lambda c, of="tc": f"select '{c}' as parameter, avg(v) as mean, stddev_samp(v) as std, min(v) as least, max(v) as most, max(abs(v-w)) as max_change from (select cast({c} as double) as v, lag(cast({c} as double)) over (order by d) as w from {of})"
     sb = {"sb": "select z*z as y, b, cast(b<0 as int)*1e0 as neg from (select z, lag(z) over (order by i) as b from gf) where b is not null"}
     sbc = "count(*) as n, sum(y*y) as yy, " + ", ".join(f"sum(y*({v})) as xy_{k}" for k, v in _SB.items()) + ", " + ", ".join(f"sum(({_SB[a]})*({_SB[b]})) as xx_{a}_{b}" for a, b in itertools.combinations_with_replacement(_SB, 2))
     sbd = "yy " + " ".join(f"xy_{k}" for k in _SB) + " " + " ".join(f"xx_{a}_{b}" for a, b in itertools.combinations_with_replacement(_SB, 2))
@@ -473,5 +473,8 @@ def oracle_sql() -> dict[str, str]:
         "sign_bias_ols": build(f"select 'main' as book, {sbc} from sb", GF | sb, 4, sbd),
         "pnl_component_corr": build(_pairs("tot", [f"pnl_{c}" for c in S.COMPONENTS], lambda a, b: f"corr({a}, {b})"), None, 8, "value"),
         "param_stability": build(" union all ".join(stab(c) for c in ("u", "n_u", "f_u")), TC, 3, "mean std least most max_change"),
+        "parameter_stability_counts": build(" union all ".join([*(stab(c, "calm") for c in ("u", "n_u", "f_u")), *(f"select '_meta_n_{k}', cast(count(*) as double), null, null, null, null from {t}" for k, t in (("clean_windows", "calm"), ("total_windows", "tc")))]), TC | {"calm": "select * from tc where u<=(select avg(u) from tc)"}, 3, "mean std least most max_change"),
+        "pricing_validation": build(" union all ".join(f"select book, d, '{p}' as part, pnl_{p} as own, pnl_{p} as again, 0e0 as abs_err from tot" for p in (*S.COMPONENTS, "total")), None, 3, "own again abs_err"),
+        "found_estimates": build("select d, pnl, var, exception from dn", dn(), 4, "pnl var"),
         "stress_worst_n": build("select book, cast(row_number() over (order by loss desc, shock_d) as int) as rank, shock_d, loss, pnl_linear, pnl_irs, pnl_straddle from scen qualify rank<=10", worst, 3, "loss pnl_linear pnl_irs pnl_straddle"),
     }

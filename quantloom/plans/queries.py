@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import pricing
-from ..operators import analysis, backtest, book, delta_normal, dependence, diagnostics, garch, hist_sim, monte_carlo, panel, scenarios, selection, tails
+from ..operators import analysis, backtest, book, delta_normal, dependence, diagnostics, garch, hist_sim, monte_carlo, panel, scenarios, selection, tails, validation
 from ..operators.once import fresh_path, once
 from ..sources import market
 
@@ -241,6 +241,41 @@ def param_stability(lv: DataFrame) -> DataFrame:
     return analysis.stability(diagnostics.tail_counts(portfolio_losses(lv)), ("u", "n_u", "f_u"))
 
 
+def evt_stability(lv: DataFrame) -> DataFrame:
+    """How far the rolling tail's parameters move over the windows that were fitted, and how many were not, were clamped, or fit poorly."""
+    c = F.col
+    clean = c("fallback") == "none"
+    counts = {"n_clean_windows": clean, "n_total_windows": F.lit(True), "n_fallbacks": ~clean, "n_xi_clamped": c("clamped"), "n_poor_ks": c("ks_p") < 0.05}
+    return analysis.stability_with_counts(once(evt_var(lv)), ("var", "var_raw", "var_mle", "es", "es_raw", "xi", "xi_raw", "sigma", "u", "n_u", "f_u"), counts, clean)
+
+
+def garch_stability(lv: DataFrame) -> DataFrame:
+    """How far the filter's parameters move from refit to refit, as fitted (raw) and as used, and how many refits were near-integrated and given others."""
+    fits = once(_fits(lv))
+    raw = fits.select(S.BOOK, "refit", *(F.col(p).alias(f"raw_{p}") for p in ("mu", "omega", "alpha", "beta")))
+    d = garch.guarded(fits).join(raw, [S.BOOK, "refit"])
+    d = d.withColumns({"persistence": F.col("alpha") + F.col("beta"), "raw_persistence": F.col("raw_alpha") + F.col("raw_beta")})
+    moved = F.col("reverted") & (F.col("persistence") != F.col("raw_persistence"))  # the first refits may have none to go back to
+    counts = {"n_refits": F.lit(True), "near_integrated_count": F.col("reverted"), "stationarity_fallback_count": moved}
+    names = ("mu", "omega", "alpha", "beta", "persistence")
+    return analysis.stability_with_counts(once(d.drop("sigma")), (*names, *(f"raw_{n}" for n in names), "nu"), counts, order="refit")
+
+
+def stability_counts(lv: DataFrame) -> DataFrame:
+    """Stability of thresholds and exceedances over calm windows, those whose threshold isn't above the book's mean, with counts of these and of all."""
+    d = diagnostics.tail_counts(portfolio_losses(lv)).withColumn("calm", F.col("u") <= F.avg("u").over(Window.partitionBy(S.BOOK)))
+    calm = F.col("calm")
+    return analysis.stability_with_counts(once(d), ("u", "n_u", "f_u"), {"n_clean_windows": calm, "n_total_windows": F.lit(True)}, calm)
+
+
+def found_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates written as CSV under names of another program, and read again by the look of their columns."""
+    at = fresh_path(spark, "estimates")
+    d = dn_backtest(levels(spark, sf_dir))
+    market.write_result(d.select(F.lit("dn").alias("note"), F.col("d").alias("day"), (-F.col("pnl")).alias("actual_loss"), F.col("var").alias("VaR_95")), at, "csv")
+    return rounded(market.read_estimates(spark, at), 4)
+
+
 def stress_worst(lv: DataFrame, n: int = 10) -> DataFrame:
     """The n shocks of all history that are worst for today's book."""
     lv = once(lv)
@@ -607,6 +642,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rolling_moments": _of(lambda lv: analysis.rolling_moments(panel.portfolio_return(lv), "x"), 8),
         "summary_stats": _of(summary_stats, 6),
         "compare_table": _of(compare_table),
+        "pricing_validation": _of(lambda lv: validation.pnl_twice(once(lv)).where("not endswith(part, '_simulated')").drop("allowed"), 3),
+        "parameter_stability_counts": _of(stability_counts, 3),
+        "found_estimates": found_estimates,
         "registry_backtest": registry_backtest,
         "region_books": region_books,
         "dates_in_both": calendar("intersect"),
@@ -616,6 +654,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delta_t_normal": _of(delta_t_normal, 4),
         "delta_t_normal_tests": _of(delta_t_normal_tests, 5),
         "evt_var": _of(evt_var, 4),
+        "evt_stability": _of(evt_stability, 6),
+        "garch_stability": _of(garch_stability, 8),
+        "pricing_validation_summary": _of(lambda lv: validation.summary(validation.pnl_twice(once(lv))), 9),
+        "pricing_validation_worst": _of(lambda lv: validation.worst(validation.pnl_twice(once(lv))), 9),
         "delta_normal_violations": _of(dn_violations, 4),
         "garch_evt_violations": _of(garch_evt_violations, 4),
         "evt_violations": _of(lambda lv: tails.invariants(evt_var(lv)), 4),

@@ -55,6 +55,39 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     w.csv(path, header=True) if fmt == "csv" else w.format(fmt).save(path)
 
 
+#: Fixed names of a date column, the likeliest first, and the form of a date in any other.
+DATE_NAMES, DATE_FORM = ("Date", "date", "X", "_c0"), r"^\d{4}-\d{2}-\d{2}$"
+
+
+def date_column(df: DataFrame) -> str:
+    """The column of df that holds its dates: one of DATE_NAMES, else the first with a value whose values, apart from nulls and empty ones, all look like
+    dates (one pass over df). ValueError where there is none."""
+    for name in DATE_NAMES:
+        if name in df.columns:
+            return name
+    text = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    filled = [F.when(F.length(c) > 0, c.rlike(DATE_FORM)) for c in text]
+    fits = df.agg(*(F.min(c).alias(f"_{k}") for k, c in enumerate(filled))).first()
+    for name, fit in zip(df.columns, fits):
+        if fit:
+            return name
+    raise ValueError(f"no column of dates among {df.columns}")
+
+
+def read_estimates(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of another program's estimates as (d, pnl, var, exception): its dates found by date_column, loss or P&L, VaR or VaR_95, and exceptions told or else
+    found from these. Columns of the same names in another case are told apart."""
+    df = spark.read.option("header", True).csv(path)
+    have = set(df.columns)
+    number = lambda c, sign=1: sign * F.col(f"`{c}`").cast("double")
+    pick = lambda *ways: next((e for c, e in ways if c in have), F.lit(None).cast("double"))
+    pnl = pick(("pnl", number("pnl")), ("realised_pnl", number("realised_pnl")), ("actual_loss", number("actual_loss", -1)))
+    var = pick(("VaR", number("VaR")), ("var", number("var")), ("VaR_95", number("VaR_95")))
+    d = df.select(F.to_date(F.col(f"`{date_column(df)}`").cast("string")).alias("d"), pnl.alias("pnl"), var.alias("var"), *(number(c).cast("int").alias(c) for c in ("exception", "exception_95") if c in have))
+    told = [F.col(c) for c in ("exception", "exception_95") if c in have]
+    return d.select("d", "pnl", "var", F.coalesce(*told, (F.col("pnl") < -F.col("var")).cast("int")).alias("exception"))
+
+
 def methods(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(method, d, pnl, var) of those results of a registry that exist and have the columns."""
     out = None

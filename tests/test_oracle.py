@@ -22,4 +22,5 @@ def test_every_query_without_sql_is_a_fit_or_a_check():
         "mc_garch_copula_var", "copula_gof_cvm", "garch_factors", "garch_selection", "garch_evt_thresholds", "garch_compare", "refit_sweep", "window_sweep", "compare_all_methods", "sign_bias_p", "arch_lm",
         "adf", "residual_families", "garch_criteria", "garch_summary_table", "garch_variance_table", "garch_candidates", "mc_factor_var", "crisis_table_tails", "delta_t_normal_tests", "method_backtests",
         "arma_orders", "garch_comparison", "vine_edges", "vine_fit", "copula_checks", "simulation_checks", "scenario_var", "scenario_shares", "sample_day",
+        "evt_stability", "garch_stability", "pricing_validation_summary", "pricing_validation_worst",
     }
