@@ -99,6 +99,23 @@ def rolling(lv: DataFrame, window: int = S.WINDOW, alpha: float = S.ALPHA, first
     return estimate(scenarios(lv, window, first), window, alpha)
 
 
+def over_windows(lv: DataFrame, windows, alpha: float = S.ALPHA) -> DataFrame:
+    """(window, book, f, d, pnl, var, es): rolling() of several windows. Each scenario is priced once, for the longest; the shorter take those of their own
+    days. A forecast has the windows that it has enough days for."""
+    s = scenarios(lv, max(windows), first=min(windows) + 1).withColumns({"loss": loss(), "pnl": realised()})
+    own = [F.collect_list(F.when(F.col("shock_i") >= F.col("f") - w, F.col("loss"))).alias(f"_l{w}") for w in windows]
+    g = s.groupBy(S.BOOK, "f").agg(F.first("d").alias("d"), F.first("pnl").alias("pnl"), *own)
+    tails = {w: worst(F.col(f"_l{w}"), tail_count(w, alpha)) for w in windows}
+    g = g.select(S.BOOK, "f", "d", "pnl", F.inline(F.array(*[F.struct(F.lit(w).alias("window"), *(F.when(F.col("f") > w, F.greatest(v, F.lit(0.0))).alias(c) for c, v in t.items())) for w, t in tails.items()])))
+    return g.where(F.col("f") > F.col("window"))
+
+
+def realised_parts(lv: DataFrame, window: int = S.WINDOW) -> DataFrame:
+    """(book, f, component, realised_loss) of the days that rolling() forecasts: of the snapshots alone, without a scenario."""
+    parts = F.inline(F.array(*[F.struct(F.lit(c).alias("component"), (F.col(f"v_{c}") - F.col(f"real_{c}")).alias("realised_loss")) for c in S.COMPONENTS]))
+    return snapshots(lv).where(F.col("f") > window).select(S.BOOK, "f", parts)
+
+
 def vol_ratios(lv: DataFrame, vol_window: int = 60) -> DataFrame:
     """Shocks with vol_<shock>: rolling standard deviation, 0 as missing, filled forwards, then backwards."""
     d = hist_shocks(lv)

@@ -153,9 +153,8 @@ def delta_t_normal(lv: DataFrame) -> DataFrame:
 
 
 def hist_windows(lv: DataFrame) -> DataFrame:
-    lv = once(lv)
-    parts = [hs_backtest(lv, w).withColumn("window", F.lit(w)) for w in (250, 500, 750)]
-    return analysis.summarize(parts[0].unionByName(parts[1]).unionByName(parts[2]), ("window",)).select("window", "t", "n", "p_uc", "p_ind", "p_cc", "severity", "mean_var", "mean_es", "max_var")
+    d = hist_sim.over_windows(lv, (250, 500, 750))
+    return analysis.summarize(d, ("window",)).select("window", "t", "n", "p_uc", "p_ind", "p_cc", "severity", "mean_var", "mean_es", "max_var")
 
 
 def hist_subperiods(lv: DataFrame) -> DataFrame:
@@ -169,8 +168,8 @@ def component_summary(lv: DataFrame) -> DataFrame:
 
 
 def extreme_days(lv: DataFrame) -> DataFrame:
-    c = hist_sim.components(lv)
-    d = analysis.extreme_days(hist_sim.rolling(lv), c)
+    lv = once(lv)
+    d = analysis.extreme_days(hist_sim.rolling(lv), hist_sim.realised_parts(lv))
     return d.select("d", "realised_loss", "var", *S.COMPONENTS, "driver")
 
 
