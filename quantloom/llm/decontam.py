@@ -197,24 +197,14 @@ def automata(benchmark: DataFrame, window: int = WINDOW) -> list[Automaton]:
     return out + ([Automaton(block, window)] if block else [])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, cut: bool = False) -> DataFrame:
-    """docs' columns but the text, with _n_words, _n_hit and _items (the sorted distinct item_ids whose windows occur); with `cut`, also
-    _cut: the text without the hit words (from a hit run's first byte to its last).
-
-    docs: text, and any other columns. Words are runs of ASCII letters, digits and all beyond ASCII; A-Z count as a-z. Null and empty
-    texts have no words and no hits. Items of fewer than `window` words are windows as they are; items without words are none. No
-    benchmark rows: no hits. Repeated rows each get their own result.
-    """
-    spark = docs.sparkSession
-    _io.ready(spark)
-    sent = spark.sparkContext.broadcast(automata(benchmark, window))
-    results = ("_n_words", "_n_hit", "_items", *["_cut"] * cut)
-    keys = ["_others"]
+def _scan(sent, names: list[str], n_keys: int, cut: bool):
+    """(_others, text) -> the first n_keys of them and the results, in ordinary slices: an executor has a worker for each task, and their memory stays
+    theirs in the stages after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = sent.value
         for b in batches:
-            for i, j, raw, offsets in _io.slices(b.column(len(keys)), 1 << 22):
+            for i, j, raw, offsets in _io.slices(b.column(1)):
                 lower = _text.LOWER[raw]
                 starts, ends, first = _text.words(lower, offsets, _text.NOT_ALNUM)
                 h = _text.hashes(lower, starts, ends)
@@ -230,12 +220,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, cut: bo
                 cols = [pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]]), pa.array(items, pa.list_(pa.int64()))]
                 if cut:
                     cols.append(_without(raw, offsets, starts, ends, first, hit))
-                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(len(keys))), *cols], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(n_keys)), *cols], names)
+
+    return run
 
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, cut: bool = False, whole: bool = False) -> DataFrame:
+    """docs' columns but the text, with _n_words, _n_hit and _items (the sorted distinct item_ids whose windows occur); with `cut`, also
+    _cut: the text without the hit words (from a hit run's first byte to its last). With `whole` the text stays, as it is.
+
+    docs: text, and any other columns. Words are runs of ASCII letters, digits and all beyond ASCII; A-Z count as a-z. Null and empty
+    texts have no words and no hits. Items of fewer than `window` words are windows as they are; items without words are none. No
+    benchmark rows: no hits. Repeated rows each get their own result.
+    """
+    spark = docs.sparkSession
+    _io.ready(spark)
+    sent = spark.sparkContext.broadcast(automata(benchmark, window))
+    results = ("_n_words", "_n_hit", "_items", *["_cut"] * cut)
+    keys = ["_others", "text"] if whole else ["_others"]
     names = [*keys, *results]
-    d = _io.pack(docs, ["text"], results).select(*keys, "text")
-    out = d.mapInArrow(run, _io.schema(d, keys, "_n_words long, _n_hit long, _items array<long>" + ", _cut string" * cut))
-    return out.select(*_io.unpack(out, docs.columns, [], ("text", *results)), *results)
+    d = _io.pack(docs, ["text"], results).select("_others", "text")
+    out = d.mapInArrow(_scan(sent, names, len(keys), cut), _io.schema(d, keys, "_n_words long, _n_hit long, _items array<long>" + ", _cut string" * cut))
+    return out.select(*_io.unpack(out, docs.columns, ["text"], results if whole else ("text", *results)), *results)
 
 
 def _without(raw, offsets, starts, ends, first, hit) -> pa.Array:
@@ -256,8 +262,8 @@ def contaminated() -> F.Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; the others as they are."""
-    kept = scan(_io.pack(docs, ["text"]).withColumn("_text", F.col("text")), benchmark).where(~contaminated())
-    return kept.withColumnRenamed("_text", "text").select(*_io.unpack(docs, docs.columns, ["text"]))
+    kept = scan(_io.pack(docs, ["text"]), benchmark, whole=True).where(~contaminated())
+    return kept.select(*_io.unpack(docs, docs.columns, ["text"]))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
