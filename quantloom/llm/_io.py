@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _made: list[str] = []
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,11 +63,17 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+def keep(df: DataFrame, tag: str, group_rows: int | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+
+    group_rows: the most rows of a row group, for large rows: a reader takes a group's rows, up to some thousands, into memory at once.
+    batch_bytes: of the Arrow batches that Python workers get while df is written, about.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    ready(spark, batch_bytes)
+    df.write.options(**({"parquet.block.row.count.limit": group_rows} if group_rows else {})).parquet(path)
+    ready(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._quantloom_path = path
     return out
@@ -76,10 +84,10 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._quantloom_path)
 
 
-def ready(spark: SparkSession) -> None:
+def ready(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Python workers can import this package, and get Arrow batches of bounded size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     sc = spark.sparkContext
     root = str(_PACKAGE.parent)
     seen = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]

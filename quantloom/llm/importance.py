@@ -27,7 +27,10 @@ SEED = 7
 BLOCK_BYTES = 1 << 20
 #: Words up to so many bytes are hashed side by side, longer ones each by itself.
 LONG_WORD = 64
-BLOCK = "doc_ids array<long>, n_words array<long>, n_features array<long>, indptr array<long>, indices array<int>, counts array<int>"
+#: Blocks that a reader of the matrix takes into memory at once, whatever the size of its files.
+GROUP_BLOCKS = 4
+#: indices (see _index) and counts (32 bits) are little-endian bytes: as arrays, Spark's reader holds twelve bytes a number and more.
+BLOCK = "doc_ids array<long>, n_words array<long>, n_features array<long>, indptr array<long>, indices binary, counts binary"
 _CRC = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)  # the table without its constant: _CRC[0] is 0
 #: Scores with equal bits above these are counted together first.
 COARSE = 8
@@ -52,6 +55,11 @@ def crc32s(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: np.ndar
     return out
 
 
+def _index(buckets: int) -> str:
+    """The type of a bucket's number."""
+    return "<u2" if buckets <= 1 << 16 else "<i4"
+
+
 def csr(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
     """(words, features, indptr, indices, counts) of the rows of a slice: single words and pairs of neighbours, by bucket."""
     lower = _text.LOWER[raw]
@@ -65,7 +73,7 @@ def csr(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray,
     key = np.concatenate((row * buckets + one % buckets, row[pair] * buckets + two % buckets))
     key, counts = np.unique(key, return_counts=True)
     indptr = np.searchsorted(key, np.arange(n_rows + 1) * buckets)
-    return n, n + np.maximum(n - 1, 0), indptr, (key % buckets).astype(np.int32), counts.astype(np.int32)
+    return n, n + np.maximum(n - 1, 0), indptr, (key % buckets).astype(_index(buckets)), counts.astype("<i4")
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -79,7 +87,7 @@ def _blocks(buckets: int):
             for i, j, raw, offsets in _io.slices(b.column(1), BLOCK_BYTES):
                 n, features, indptr, indices, counts = csr(raw, offsets, buckets)
                 ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), b.column(0)[i:j])
-                cols = [ids, _lists(n, pa.int64()), _lists(features, pa.int64()), _lists(indptr, pa.int64()), _lists(indices, pa.int32()), _lists(counts, pa.int32())]
+                cols = [ids, *(_lists(x, pa.int64()) for x in (n, features, indptr)), *(pa.array([x.tobytes()], pa.binary()) for x in (indices, counts))]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in BLOCK.split(", ")])
 
     return run
@@ -88,12 +96,12 @@ def _blocks(buckets: int):
 def blocks(docs: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
     """The count matrix of docs (key, text), kept as Parquet: a row for each block of documents."""
     _io.ready(docs.sparkSession)
-    return _io.keep(docs.select(F.col(key).cast("long"), "text").mapInArrow(_blocks(buckets), BLOCK), "csr")
+    return _io.keep(docs.select(F.col(key).cast("long"), "text").mapInArrow(_blocks(buckets), BLOCK), "csr", GROUP_BLOCKS, 4 * BLOCK_BYTES)
 
 
-def _flat(b: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+def _flat(b: pa.RecordBatch, name: str, kind: str) -> Iterator[np.ndarray]:
     for x in b.column(b.schema.get_field_index(name)):
-        yield x.values.to_numpy(zero_copy_only=False)
+        yield np.frombuffer(x.as_buffer(), kind)
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -102,7 +110,7 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets, np.int64)
         for b in batches:
-            for at, n in zip(_flat(b, "indices"), _flat(b, "counts")):
+            for at, n in zip(_flat(b, "indices", _index(buckets)), _flat(b, "counts", "<i4")):
                 sums += np.bincount(at, n, buckets).astype(np.int64)  # a block's sums are exact in doubles
         own = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(sums[own])], ["bucket", "n"])
@@ -133,11 +141,10 @@ def weigh(matrix: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                own = b.slice(k, 1)
-                ids, n, features, indptr, at, counts = (own.column(c)[0].values for c in range(6))
+            for k, (at, counts) in enumerate(zip(_flat(b, "indices", _index(len(gain))), _flat(b, "counts", "<i4"))):
+                ids, n, features, indptr = (b.column(c)[k].values for c in range(4))
                 features, indptr = features.to_numpy(), indptr.to_numpy()
-                sums = np.concatenate(([0], np.cumsum(gain[at.to_numpy()] * counts.to_numpy())))
+                sums = np.concatenate(([0], np.cumsum(gain[at] * counts)))
                 weight = np.where(features > 0, (sums[indptr[1:]] - sums[indptr[:-1]]) // np.maximum(features, 1), 0)
                 score = weight + np.array([noise(seed, i) for i in ids.to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays([ids, n, pa.array(features), pa.array(weight), pa.array(score)], ["doc_id", "n_words", "n_features", "weight", "score"])
